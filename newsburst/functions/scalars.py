@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsburst.schemas import ARTICLE_METADATA, TEXT_SEPARATOR
 
@@ -28,10 +29,18 @@ def hours_interval(hours) -> Column:
     return F.make_dt_interval(F.lit(0), hours.cast("int"))
 
 
-def recency(df_type, time: Column, id_col: Column) -> Column:
-    """Sort key that puts the newest row first and breaks ties by the smaller id."""
-    epoch = F.lit("1970-01-01 00:00:00").cast(df_type)
-    return F.struct((epoch - time).alias("age"), id_col.alias("id"))
+def age_micros(time: Column, kind: T.DataType) -> Column:
+    """Microseconds before 1970, so that newer rows have smaller values.
+
+    A zone-less time is counted field by field: going through a zoned one could reorder
+    rows around a change of clocks.
+    """
+    if isinstance(kind, T.TimestampType):
+        return -F.unix_micros(time)
+    days = F.date_diff(time.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    minutes = (days * 24 + F.hour(time)) * 60 + F.minute(time)
+    seconds = F.extract(F.lit("SECOND"), time)
+    return -(minutes * 60000000 + (seconds * 1000000).cast("long"))
 
 
 def article_text(title="title", summary="summary", full_text="full_text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsburst.functions.scalars import cluster_weight, hot_score, moment, recency
+from newsburst.functions.scalars import age_micros, cluster_weight, hot_score, moment
 from newsburst.operators import filters
 from newsburst.operators.dbscan import NOISE, dbscan_labels
 from newsburst.operators.visibility import exclusive_pairs, shared_pool
@@ -111,7 +111,7 @@ def summarize(labels: DataFrame, articles: DataFrame, keys: list[str]) -> DataFr
         articles.select("id", "title", "weight"), "id"
     )
     group = [*keys, "cluster_id"]
-    order = recency(time_type, F.col("create_time"), F.col("id"))
+    order = F.struct(age_micros(F.col("create_time"), time_type).alias("age"), "id")
     sizes = clustered.groupBy(*group).agg(
         F.count("*").alias("article_count"),
         F.sum(cluster_weight(F.col("weight"))).cast("decimal(16,4)").alias("total_weight"),
@@ -152,12 +152,9 @@ def tenant_labels(
     require_configs(systems, configs)
     params = resolve_parameters(systems, configs, hours, eps, min_samples)
     candidates = tenant_candidates(articles, links, params, as_of)
-    return dbscan_labels(candidates, _vectors(articles, candidates), ["system_id"], **grid)
-
-
-def _vectors(articles: DataFrame, candidates: DataFrame) -> DataFrame:
-    wanted = candidates.select("id").distinct()
-    return filters.embedded(articles).select("id", "embedding").join(wanted, "id", "left_semi")
+    return dbscan_labels(
+        candidates, filters.embedded(articles).select("id", "embedding"), ["system_id"], **grid
+    )
 
 
 def global_labels(articles, as_of, hours=DEFAULT_HOURS, eps=DEFAULT_EPS,

@@ -38,7 +38,9 @@ def _schema(edges: DataFrame, keys: list[str]) -> T.StructType:
     return T.StructType([edges.schema[k] for k in keys] + table(id=LONG, root=LONG).fields)
 
 
-def _finish_in_tasks(edges: DataFrame, keys: list[str]) -> DataFrame:
+def finish_in_tasks(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Components with one task per scope; the caller has checked the scopes' sizes."""
+
     def finish(table: pa.Table) -> pa.Table:
         nodes, roots = _union(table.column("a").to_numpy(), table.column("b").to_numpy())
         columns = [pa.repeat(table.column(k)[0], len(nodes)) for k in keys]
@@ -105,8 +107,8 @@ def connected_components(
     sizes = edges.groupBy(*keys).agg(F.count("*").alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= task_edges:
-        return _finish_in_tasks(edges, keys)
+        return finish_in_tasks(edges, keys)
     big = sizes.filter(F.col("_n") > task_edges).select(*keys)
     rest = edges.join(big, keys, "left_anti")
     hard = edges.join(big, keys, "left_semi")
-    return _finish_in_tasks(rest, keys).unionByName(_star_rounds(hard, keys))
+    return finish_in_tasks(rest, keys).unionByName(_star_rounds(hard, keys))

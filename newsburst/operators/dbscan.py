@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsburst.functions.scalars import recency
-from newsburst.operators.components import TASK_EDGES, connected_components
+from newsburst.functions.scalars import age_micros
+from newsburst.operators.components import TASK_EDGES, connected_components, finish_in_tasks
 from newsburst.operators.neighbors import (
     BLOCK_ROWS,
     DEGREE,
@@ -62,6 +62,56 @@ def newest_per_key(rows: DataFrame, keys: list[str], cap: str = "cap", salts: in
     return whole.unionByName(cut)
 
 
+def _scope_sizes(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    return candidates.groupBy(*keys).agg(F.count("*").alias("scope_rows"), F.max("cap").alias("_cap"))
+
+
+def _graph(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Core points, edges between them, and edges from border points to them.
+
+    Rows (keys, role, a, b, found); only core rows carry ``found``, their place in the
+    newest-first order.
+    """
+    core = (
+        summary.filter(F.col("kind") == DEGREE)
+        .groupBy(*keys, F.col("a").alias("rep"))
+        .agg(
+            F.sum("b").alias("degree"),
+            F.max("age").alias("age"),
+            F.max("first_id").alias("id"),
+            F.max("min_samples").alias("min_samples"),
+        )
+        .filter(F.col("degree") >= F.col("min_samples"))
+        .select(*keys, "rep", F.struct("age", "id").alias("found"))
+    )
+
+    def flag(side):
+        return core.select(*keys, F.col("rep").alias(side), F.lit(True).alias(f"{side}_core"))
+
+    sparse = (
+        summary.filter(F.col("kind") == SPARSE)
+        .join(flag("a"), [*keys, "a"], "left")
+        .join(flag("b"), [*keys, "b"], "left")
+        .filter(F.col("a_core") | F.col("b_core"))
+    )
+    swap = F.col("a_core").isNull()
+    unseen = F.lit(None).cast(core.schema["found"].dataType).alias("found")
+    sparse_edges = sparse.select(
+        *keys,
+        F.when(F.col("a_core") & F.col("b_core"), "edge").otherwise("border").alias("role"),
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"),
+        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"),
+        unseen,
+    )
+    forest = summary.filter(F.col("kind") == FOREST).select(
+        *keys, F.lit("edge").alias("role"), "a", "b", unseen
+    )
+    cores = core.select(
+        *keys, F.lit("core").alias("role"), F.col("rep").alias("a"), F.col("rep").alias("b"), "found"
+    )
+    return cores.unionByName(forest).unionByName(sparse_edges)
+
+
 def dbscan_labels(
     candidates: DataFrame,
     vectors: DataFrame,
@@ -75,133 +125,120 @@ def dbscan_labels(
     scope); vectors: id, embedding. Returns keys, id, create_time, is_core, cluster_id with
     -1 for noise. Clusters are numbered by their newest core row; a border row belongs to
     the lowest-numbered cluster it touches.
+
+    Sizes are observed while a table is written. When all rows together fit one block, and
+    all edges together one task, the jobs that would size each scope are left out.
     """
+    spark = candidates.sparkSession
     time_type = candidates.schema["create_time"].dataType
-    candidates = stage(candidates, "candidates")
-    scopes = candidates.groupBy(*keys).agg(
-        F.count("*").alias("scope_rows"),
-        F.max("eps").alias("eps"),
-        F.max("min_samples").alias("min_samples"),
-        F.max("cap").alias("_cap"),
-    )
-    largest, over, total = scopes.agg(
-        F.max("scope_rows"), F.max(F.col("scope_rows") > F.col("_cap")), F.count("*")
-    ).first()
-    result_schema = T.StructType(
-        [candidates.schema[k] for k in keys]
-        + table(id=LONG, create_time=time_type, is_core=FLAG, cluster_id=LONG).fields
-    )
-    if not total:
-        return candidates.sparkSession.createDataFrame([], result_schema)
-    if over:
-        candidates = stage(newest_per_key(candidates, keys), "newest")
-        scopes = candidates.groupBy(*keys).agg(
-            F.count("*").alias("scope_rows"),
-            F.max("eps").alias("eps"),
-            F.max("min_samples").alias("min_samples"),
+    seen = Observation()
+    candidates = stage(
+        candidates.observe(seen, F.count(F.lit(1)).alias("rows"), F.min("cap").alias("cap")),
+        "candidates",
+    )
+    rows, cap = seen.get["rows"], seen.get["cap"]
+    if not rows:
+        result_schema = T.StructType(
+            [candidates.schema[k] for k in keys]
+            + table(id=LONG, create_time=time_type, is_core=FLAG, cluster_id=LONG).fields
+        )
+        return spark.createDataFrame([], result_schema)
+    blocks = 1
+    if rows > min(block_rows, cap):
+        largest, over = (
+            _scope_sizes(candidates, keys)
+            .agg(F.max("scope_rows"), F.max(F.col("scope_rows") > F.col("_cap")))
+            .first()
         )
-        largest = scopes.agg(F.max("scope_rows")).first()[0]
+        if over:
+            candidates = stage(newest_per_key(candidates, keys), "newest")
+            largest = _scope_sizes(candidates, keys).agg(F.max("scope_rows")).first()[0]
+        blocks = math.ceil(largest / block_rows)
 
     # Vectors are packed once per article, however many scopes see it.
-    blocks = math.ceil(largest / block_rows)
+    vectors = vectors.join(candidates.select("id").distinct(), "id", "left_semi")
     pivots = choose_pivots(vectors, blocks) if blocks > 1 else None
     packed = stage(pack_vectors(vectors, pivots), "vectors")
 
     # Equal vectors of a scope become one weighted point before any vector is shuffled.
-    members = candidates.select(*keys, "id", "create_time").join(packed.select("id", "digest"), "id")
-    copies = members.groupBy(*keys, "digest").agg(
+    members = candidates.join(packed.select("id", "digest"), "id")
+    aged = members.withColumn("age", age_micros(F.col("create_time"), time_type))
+    copies = aged.groupBy(*keys, "digest").agg(
         F.min("id").alias("rep"),
         F.count("*").alias("mult"),
-        F.min(recency(time_type, F.col("create_time"), F.col("id"))).alias("first_seen"),
-    )
-    points = (
-        copies.select(*keys, F.col("rep").alias("id"), "mult")
-        .join(packed.select("id", "vec", "cells", "angles"), "id")
-        .join(scopes.select(*keys, "scope_rows", "eps", "min_samples"), keys)
+        F.min(F.struct("age", "id")).alias("first"),
+        F.max("eps").alias("eps"),
+        F.max("min_samples").alias("min_samples"),
     )
+    points = copies.select(
+        *keys,
+        F.col("rep").alias("id"),
+        "mult",
+        F.col("first.age").alias("age"),
+        F.col("first.id").alias("first_id"),
+        "eps",
+        "min_samples",
+    ).join(packed.select("id", "vec", "cells", "angles"), "id")
     if pivots is None:
-        tiles, tile_count = None, total
+        tiles, tile_count = None, math.ceil(rows / 1024)
     else:
         levels = int(math.log2(len(pivots))) + 1
-        points = assign_blocks(points, keys, block_rows, levels)
-        points = stage(points, "points")
+        points = points.join(_scope_sizes(candidates, keys).drop("_cap"), keys)
+        points = stage(assign_blocks(points, keys, block_rows, levels), "points")
         tiles = stage(tile_list(points, keys, pivots), "tiles")
         tile_count = tiles.count()
-    summary = stage(neighbour_summary(points, tiles, keys, tile_count), "summary")
-
-    # Core points, then edges between them and from border points to them.
-    core = (
-        summary.filter(F.col("kind") == DEGREE)
-        .groupBy(*keys, F.col("a").alias("id"))
-        .agg(F.sum("b").alias("degree"))
-        .join(scopes.select(*keys, "min_samples"), keys)
-        .filter(F.col("degree") >= F.col("min_samples"))
-        .select(*keys, "id")
-    )
-    flag = lambda side: core.select(*keys, F.col("id").alias(side), F.lit(True).alias(f"{side}_core"))
-    sparse = (
-        summary.filter(F.col("kind") == SPARSE)
-        .join(flag("a"), [*keys, "a"], "left")
-        .join(flag("b"), [*keys, "b"], "left")
-        .filter(F.col("a_core") | F.col("b_core"))
-    )
-    inner = F.col("a_core").isNotNull() & F.col("b_core").isNotNull()
-    border_side = F.when(F.col("a_core").isNull(), F.col("a")).otherwise(F.col("b"))
-    core_side = F.when(F.col("a_core").isNull(), F.col("b")).otherwise(F.col("a"))
-    resolved = stage(
-        sparse.select(
-            *keys,
-            F.when(inner, "edge").otherwise("border").alias("role"),
-            F.when(inner, F.col("a")).otherwise(border_side).alias("a"),
-            F.when(inner, F.col("b")).otherwise(core_side).alias("b"),
-        )
-        .unionByName(
-            summary.filter(F.col("kind") == FOREST).select(*keys, F.lit("edge").alias("role"), "a", "b")
-        )
-        .unionByName(core.select(*keys, F.lit("core").alias("role"), F.col("id").alias("a"), F.col("id").alias("b"))),
-        "graph",
-    )
-    roots = connected_components(
-        resolved.filter(F.col("role") == "edge").select(*keys, "a", "b"), keys, task_edges
-    )
+    counted = Observation()
+    summary = stage(
+        neighbour_summary(points, tiles, keys, tile_count).observe(
+            counted,
+            F.count_if(F.col("kind") != DEGREE).alias("edges"),
+            F.count_if(F.col("kind") == DEGREE).alias("degrees"),
+        ),
+        "summary",
+    )
+    graph = _graph(summary, keys)
+    few = counted.get["edges"] <= task_edges
+    if not few:
+        graph = stage(graph, "graph")
+    edges = graph.filter(F.col("role") == "edge").select(*keys, "a", "b")
+    roots = finish_in_tasks(edges, keys) if few else connected_components(edges, keys, task_edges)
 
     # Number the components of a scope by their newest core row.
     cores = (
-        resolved.filter(F.col("role") == "core")
-        .select(*keys, F.col("a").alias("id"))
+        graph.filter(F.col("role") == "core")
+        .select(*keys, F.col("a").alias("id"), "found")
         .join(roots, [*keys, "id"], "left")
-        .select(*keys, "id", F.coalesce("root", "id").alias("root"))
-        .join(copies.select(*keys, F.col("rep").alias("id"), "first_seen"), [*keys, "id"])
+        .select(*keys, "id", F.coalesce("root", "id").alias("root"), "found")
     )
     numbered = (
         cores.groupBy(*keys, "root")
-        .agg(F.min("first_seen").alias("found"))
+        .agg(F.min("found").alias("found"))
         .withColumn(
             "cluster_id",
             (F.dense_rank().over(Window.partitionBy(*keys).orderBy("found")) - 1).cast("long"),
         )
         .select(*keys, "root", "cluster_id")
     )
-    core_labels = cores.join(numbered, [*keys, "root"]).select(
-        *keys, "id", F.lit(True).alias("is_core"), "cluster_id"
-    )
+    core_labels = cores.join(numbered, [*keys, "root"]).select(*keys, "id", "cluster_id")
     border_labels = (
-        resolved.filter(F.col("role") == "border")
-        .join(core_labels.select(*keys, F.col("id").alias("b"), "cluster_id"), [*keys, "b"])
-        .groupBy(*keys, F.col("a").alias("id"))
+        graph.filter(F.col("role") == "border")
+        .join(core_labels.withColumnRenamed("id", "a"), [*keys, "a"])
+        .groupBy(*keys, F.col("b").alias("id"))
         .agg(F.min("cluster_id").alias("cluster_id"))
-        .select(*keys, "id", F.lit(False).alias("is_core"), "cluster_id")
-    )
-    labels = core_labels.unionByName(border_labels).withColumnRenamed("id", "rep")
-    labelled = (
-        members.join(copies.select(*keys, "digest", "rep"), [*keys, "digest"])
-        .join(labels, [*keys, "rep"], "left")
-        .select(
-            *keys,
-            "id",
-            "create_time",
-            F.coalesce("is_core", F.lit(False)).alias("is_core"),
-            F.coalesce("cluster_id", F.lit(NOISE).cast("long")).alias("cluster_id"),
-        )
+    )
+    labels = core_labels.select("*", F.lit(True).alias("is_core")).unionByName(
+        border_labels.select("*", F.lit(False).alias("is_core"))
+    )
+    # A single block holds each distinct vector once: as many points as rows means no copies.
+    if pivots is None and counted.get["degrees"] == rows:
+        named = candidates.withColumn("rep", F.col("id"))
+    else:
+        named = members.join(copies.select(*keys, "digest", "rep"), [*keys, "digest"])
+    labelled = named.join(labels.withColumnRenamed("id", "rep"), [*keys, "rep"], "left").select(
+        *keys,
+        "id",
+        "create_time",
+        F.coalesce("is_core", F.lit(False)).alias("is_core"),
+        F.coalesce("cluster_id", F.lit(NOISE).cast("long")).alias("cluster_id"),
     )
     return stage(labelled, "labels")

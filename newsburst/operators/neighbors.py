@@ -236,15 +236,15 @@ def _weighted_degree(near: np.ndarray, mult: np.ndarray) -> np.ndarray:
 
 
 def _compare_tile(row_ids, rows, row_mult, col_ids, cols, col_mult, diagonal, eps, min_samples):
-    """Edges and degrees of one tile as (kind, a, b) arrays."""
+    """Degrees and edges of one tile as (kind, a, b) arrays; the degrees come first."""
     near = _adjacency(rows, cols, eps)
     if diagonal:
         np.fill_diagonal(near, True)
     row_degree = _weighted_degree(near, col_mult)
     col_degree = row_degree if diagonal else _weighted_degree(near.T, row_mult)
-    out = [(DEGREE, row_ids[row_degree > 0], row_degree[row_degree > 0])]
+    out = [(DEGREE, row_ids, row_degree)]
     if not diagonal:
-        out.append((DEGREE, col_ids[col_degree > 0], col_degree[col_degree > 0]))
+        out.append((DEGREE, col_ids, col_degree))
     row_dense = np.flatnonzero(row_degree >= min_samples)
     col_dense = np.flatnonzero(col_degree >= min_samples)
     if row_dense.size and col_dense.size:
@@ -278,14 +278,17 @@ def _compare_tile(row_ids, rows, row_mult, col_ids, cols, col_mult, diagonal, ep
 def neighbour_summary(
     points: DataFrame, tiles: DataFrame | None, keys: list[str], tile_count: int
 ) -> DataFrame:
-    """Compare all tiles. ``points``: keys, id, mult, vec, eps, min_samples [, cell, part].
+    """Compare all tiles. ``points``: keys, id, mult, age, first_id, vec, eps, min_samples
+    and, with ``tiles``, cell and part; without, every scope is a single block.
 
-    Without ``tiles`` every scope is a single block. Result rows are (keys, kind, a, b):
-    kind 0 = id and neighbour count, 1 = forest edge of dense points, 2 = edge of a
-    sparse point.
+    Result rows are (keys, kind, a, b, age, first_id, min_samples): kind 0 = id and
+    neighbour count, 1 = forest edge of dense points, 2 = edge of a sparse point. The last
+    three columns repeat the point's own values on rows of kind 0.
     """
-    key_fields = [points.schema[k] for k in keys]
-    schema = T.StructType(key_fields + table(kind=T.ByteType(), a=LONG, b=LONG).fields)
+    schema = T.StructType(
+        [points.schema[k] for k in keys]
+        + table(kind=T.ByteType(), a=LONG, b=LONG, age=LONG, first_id=LONG, min_samples=INT).fields
+    )
     if tiles is None:
         sided = points.withColumns(
             {"pc": F.lit(0), "pp": F.lit(0), "qc": F.lit(0), "qp": F.lit(0), "side": F.lit(2)}
@@ -303,34 +306,39 @@ def neighbour_summary(
         )
         sided = points.join(as_p.unionByName(as_q), [*keys, "cell", "part"])
     tile = [*keys, "pc", "pp", "qc", "qp"]
-    sided = sided.select(*tile, "side", "id", "mult", "vec", "eps", "min_samples")
-
-    def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        mult = table.column("mult").to_numpy()
-        eps = table.column("eps")[0].as_py()
-        min_samples = table.column("min_samples")[0].as_py()
-        vectors = _matrix(table.column("vec"))
+    sided = sided.select(
+        *tile, "side", "id", "mult", "age", "first_id", "vec", "eps", "min_samples"
+    )
+
+    def compare(block: pa.Table) -> pa.Table:
+        side = block.column("side").to_numpy()
+        ids, mult, age, first_id = (
+            block.column(c).to_numpy() for c in ("id", "mult", "age", "first_id")
+        )
+        eps = block.column("eps")[0].as_py()
+        min_samples = block.column("min_samples")[0].as_py()
+        vectors = _matrix(block.column("vec"))
         diagonal = bool(side[0] == 2)
-        p = side != 1
-        q = p if diagonal else side == 1
-        parts = (
-            _compare_tile(
-                ids[p], vectors[p], mult[p], ids[q], vectors[q], mult[q], diagonal, eps, min_samples
-            )
-            if p.any() and q.any()
-            else []
+        p = np.flatnonzero(side != 1)
+        q = p if diagonal else np.flatnonzero(side == 1)
+        parts = _compare_tile(
+            ids[p], vectors[p], mult[p], ids[q], vectors[q], mult[q], diagonal, eps, min_samples
         )
-        kinds = [np.full(len(a), kind, dtype=np.int8) for kind, a, _ in parts]
-        count = sum(len(k) for k in kinds)
-        first = [table.column(k)[0] for k in keys]
-        columns = [pa.repeat(v, count) for v in first]
-        columns.append(pa.array(np.concatenate(kinds) if kinds else np.zeros(0, np.int8)))
-        for slot in (1, 2):
-            values = [np.asarray(part[slot], dtype=np.int64) for part in parts]
-            columns.append(pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
-        return pa.Table.from_arrays(columns, names=[*keys, "kind", "a", "b"])
+        kind = np.concatenate([np.full(len(a), k, dtype=np.int8) for k, a, _ in parts])
+        own = p if diagonal else np.r_[p, q]
+
+        def per_point(values):
+            return pa.array(values[own]), pa.nulls(len(kind) - len(own), pa.int64())
+
+        columns = [pa.repeat(block.column(k)[0], len(kind)) for k in keys]
+        columns += [pa.array(kind)]
+        columns += [
+            pa.array(np.concatenate([np.asarray(part[slot], dtype=np.int64) for part in parts]))
+            for slot in (1, 2)
+        ]
+        columns += [pa.concat_arrays(per_point(values)) for values in (age, first_id)]
+        columns += [pa.repeat(pa.scalar(min_samples, pa.int32()), len(kind))]
+        return pa.Table.from_arrays(columns, names=schema.names)
 
     single_threaded_blas(points.sparkSession)
     partitions = max(1, min(4 * tile_count, 20000))

@@ -9,15 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+RAW_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+}
+
+
 class Tables:
     """Lazy views over one test-data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A test table; the declared schema spares the job that would infer it."""
+        if name not in self._raw:
+            path = f"{self.folder}/{name}.parquet"
+            self._raw[name] = self.spark.read.schema(RAW_SCHEMAS[name]).parquet(path)
+        return self._raw[name]
 
     @property
     def systems(self) -> DataFrame:
