@@ -14,6 +14,7 @@ from newsburst.schemas import (
     DEFAULT_HOURS,
     DEFAULT_MAX_ARTICLES,
     DEFAULT_MIN_SAMPLES,
+    PRESETS,
     SAMPLE_SEPARATOR,
     SAMPLE_TITLES,
 )
@@ -56,6 +57,17 @@ def require_configs(systems: DataFrame, configs: DataFrame) -> None:
         raise MissingConfig(f"no configuration for tenants {[r[0] for r in missing]}")
 
 
+def _widest(params: DataFrame) -> tuple[int, int]:
+    hours, cap = params.agg(F.max("hours"), F.max("cap")).first()
+    return hours or 0, cap or 0
+
+
+def _tenant_pairs(narrow: DataFrame, pool: DataFrame, links: DataFrame, params: DataFrame) -> DataFrame:
+    ids = params.agg(F.sort_array(F.collect_set("system_id")).alias("ids"))
+    shared = pool.select(F.explode(ids.scalar()).alias("system_id"), "id", "create_time")
+    return exclusive_pairs(narrow, links, params).unionByName(shared).join(params, "system_id")
+
+
 def tenant_candidates(articles: DataFrame, links: DataFrame, params: DataFrame, as_of) -> DataFrame:
     """(system_id, id, create_time, eps, min_samples, cap) of all tenants in ``params``.
 
@@ -64,18 +76,43 @@ def tenant_candidates(articles: DataFrame, links: DataFrame, params: DataFrame,
     among any tenant's newest rows, so the pool is cut to that before it is repeated per
     tenant; the result is the same.
     """
-    widest, cap = params.agg(F.max("hours"), F.max("cap")).first()
-    if widest is None:
-        widest, cap = 0, 0
+    widest, cap = _widest(params)
     narrow = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, widest)
     narrow = narrow.select("id", "system_id", "is_shared", "create_time")
     pool = shared_pool(narrow).select("id", "create_time").orderBy(*filters.newest_first()).limit(cap)
-    ids = params.agg(F.sort_array(F.collect_set("system_id")).alias("ids"))
-    pool = pool.select(F.explode(ids.scalar()).alias("system_id"), "id", "create_time")
-    pairs = exclusive_pairs(narrow, links, params).unionByName(pool).join(params, "system_id")
     own_window = moment(as_of, articles) - F.make_dt_interval(F.lit(0), F.col("hours"))
-    return pairs.filter(F.col("create_time") >= own_window).select(
-        "system_id", "id", "create_time", "eps", "min_samples", "cap"
+    pairs = _tenant_pairs(narrow, pool, links, params).filter(F.col("create_time") >= own_window)
+    return pairs.select("system_id", "id", "create_time", "eps", "min_samples", "cap")
+
+
+def backfill_candidates(
+    articles: DataFrame, links: DataFrame, params: DataFrame, first_tick, ticks: int, step_minutes: int
+) -> DataFrame:
+    """Candidates of every tenant at every tick of a regular grid, keyed (system_id, tick).
+
+    A pair is repeated for the ticks whose window holds it, found by arithmetic on its time
+    - one scan, however many ticks there are. A tick does not see newer articles.
+    """
+    widest, _ = _widest(params)
+    kind = articles.schema["create_time"].dataType
+    start = moment(first_tick, articles)
+    last = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit((ticks - 1) * step_minutes))
+    narrow = filters.within_hours(filters.not_deleted(filters.embedded(articles)), first_tick, widest)
+    narrow = narrow.filter(F.col("create_time") <= last)
+    narrow = narrow.select("id", "system_id", "is_shared", "create_time")
+    pool = shared_pool(narrow).select("id", "create_time")
+    step = step_minutes * 60_000_000
+    since = age_micros(start, kind) - age_micros(F.col("create_time"), kind)
+    until = since + F.col("hours").cast("long") * F.lit(3_600_000_000)
+    from_tick = F.greatest(F.lit(0).cast("long"), F.ceil(since / F.lit(step)))
+    to_tick = F.least(F.lit(ticks - 1).cast("long"), F.floor(until / F.lit(step)))
+    return (
+        _tenant_pairs(narrow, pool, links, params)
+        .withColumns({"_from": from_tick, "_to": to_tick})
+        .filter(F.col("_from") <= F.col("_to"))
+        .withColumn("_n", F.explode(F.sequence("_from", "_to")))
+        .withColumn("tick", start + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("_n") * step_minutes).cast("int")))
+        .select("system_id", "tick", "id", "create_time", "eps", "min_samples", "cap")
     )
 
 
@@ -178,6 +215,39 @@ def cluster_events_global(articles, as_of, hours=DEFAULT_HOURS, eps=DEFAULT_EPS,
     return summarize(labels, articles, ["system_id"])
 
 
+def backfill_events(
+    articles, links, systems, configs, first_tick, ticks: int, step_minutes: int, **grid
+) -> DataFrame:
+    """Events as they would have been at each tick; every (tenant, tick) is its own scope of
+    one clustering job."""
+    require_configs(systems, configs)
+    params = resolve_parameters(systems, configs)
+    candidates = backfill_candidates(articles, links, params, first_tick, ticks, step_minutes)
+    vectors = filters.embedded(articles).select("id", "embedding")
+    labels = dbscan_labels(candidates, vectors, ["system_id", "tick"], **grid)
+    return summarize(labels, articles, ["system_id", "tick"])
+
+
+def cluster_presets(articles, as_of, hours, presets=PRESETS, cap=DEFAULT_MAX_ARTICLES, **grid) -> DataFrame:
+    """Global events under each named (eps, min_samples) preset; vectors are prepared once."""
+    options = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("preset"),
+                F.lit(eps).cast("double").alias("eps"),
+                F.lit(min_samples).cast("int").alias("min_samples"),
+            )
+            for name, (eps, min_samples) in presets.items()
+        ]
+    )
+    recent = filters.within_hours(filters.embedded(articles), as_of, hours)
+    candidates = recent.select("id", "create_time", F.explode(options).alias("o")).select(
+        "o.preset", "id", "create_time", "o.eps", "o.min_samples", F.lit(cap).cast("long").alias("cap")
+    )
+    labels = dbscan_labels(candidates, recent.select("id", "embedding"), ["preset"], **grid)
+    return summarize(labels, articles, ["preset"])
+
+
 def rank_events(events: DataFrame, keys: list[str], limit=None) -> DataFrame:
     """Add ``rank_no`` by score (ties by cluster number) and keep the first ``limit``.
 
