@@ -65,17 +65,22 @@ def event_article_rows(ranked: DataFrame, articles: DataFrame, snapshot_time) ->
     )
 
 
-def build_snapshot(
-    articles, links, systems, configs, as_of, snapshot_time, model_name: str = DEFAULT_MODEL, **grid
-) -> tuple[DataFrame, DataFrame]:
-    """Cluster once, keep each tenant's top events, and derive both snapshot tables."""
-    events = cluster_events(articles, links, systems, configs, as_of, **grid)
+def with_limits(events: DataFrame, configs: DataFrame) -> DataFrame:
+    """Add each tenant's ``snapshot_limit`` and window ``hours``."""
     limits = configs.select(
         "system_id",
         F.coalesce("snapshot_limit", F.lit(DEFAULT_SNAPSHOT_LIMIT)).alias("snapshot_limit"),
         F.col("default_hours").alias("hours"),
     )
-    ranked = stage(rank_events(events.join(limits, "system_id"), ["system_id"], "snapshot_limit"), "ranked")
+    return events.join(limits, "system_id")
+
+
+def build_snapshot(
+    articles, links, systems, configs, as_of, snapshot_time, model_name: str = DEFAULT_MODEL, **grid
+) -> tuple[DataFrame, DataFrame]:
+    """Cluster once, keep each tenant's top events, and derive both snapshot tables."""
+    events = cluster_events(articles, links, systems, configs, as_of, **grid)
+    ranked = stage(rank_events(with_limits(events, configs), ["system_id"], "snapshot_limit"), "ranked")
     return (
         snapshot_rows(ranked, snapshot_time, model_name),
         event_article_rows(ranked, articles, snapshot_time),

@@ -55,7 +55,7 @@ cand as materialized (
 
 PARAMS = """
 params as (
-  select system_id, {hours} hours, {eps} eps, {ms} ms,
+  select system_id, {hours} as window_hours, {eps} eps, {ms} ms,
          case when coalesce(max_articles_limit, 0) = 0 then 80000 else max_articles_limit end cap
   from active join configs using (system_id))
 """
@@ -67,7 +67,7 @@ cand as materialized (
   select v.system_id k, a.id, a.create_time, p.eps, p.ms, p.cap, cast(a.embedding as double[]) u
   from visible v join articles a using (id) join params p on p.system_id = v.system_id, clock
   where a.embedding is not null and a.is_deleted = false
-    and a.create_time >= clock.t - to_hours(p.hours))
+    and a.create_time >= clock.t - to_hours(p.window_hours))
 """
 )
 
@@ -75,12 +75,12 @@ cand as materialized (
 TICKS = (
     PARAMS
     + """,
-tick as (select n, t - to_hours(240 * (1 - n)) at from clock, range(2) r(n)),
+tick as (select n, t - to_hours(240 * (1 - n)) as at_time from clock, range(2) r(n)),
 cand as materialized (
   select v.system_id + 100 * tick.n k, a.id, a.create_time, p.eps, p.ms, p.cap, cast(a.embedding as double[]) u
   from visible v join articles a using (id) join params p on p.system_id = v.system_id join tick on true
   where a.embedding is not null and a.is_deleted = false
-    and a.create_time >= tick.at - to_hours(p.hours) and a.create_time <= tick.at)
+    and a.create_time >= tick.at_time - to_hours(p.window_hours) and a.create_time <= tick.at_time)
 """
 )
 
@@ -132,7 +132,7 @@ ev as materialized (
 # Stored snapshots: all tenants at the first tick, tenants 1 and 2 again at the second.
 STORED = """,
 snap as materialized (
-  select ev.k % 100 system_id, tick.at snapshot_time, ev.rank_no, ev.cluster_id, ev.title, ev.article_count,
+  select ev.k % 100 system_id, tick.at_time snapshot_time, ev.rank_no, ev.cluster_id, ev.title, ev.article_count,
          ev.total_weight, ev.hot_score, ev.sample_titles, ev.article_ids, c.default_hours hours_window
   from ev join tick on tick.n = ev.k // 100 join configs c on c.system_id = ev.k % 100
   where ev.rank_no <= c.snapshot_limit and (tick.n = 0 or ev.k % 100 in (1, 2))),

@@ -54,6 +54,10 @@ def i1(t):
     return rows.select("id", "title", "weight", "create_time", *vector_sums(rows))
 
 
+# Written times keep their microseconds.
+MICROS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def _records(t):
     """The article view as posted records, with some fields left out."""
     return t.articles.select(
@@ -95,7 +99,7 @@ def _ingested(rows):
 @query("i2_ingest_json", with_views(INGESTED))
 def i2(t):
     path = scratch_path(t.spark, "records")
-    _records(t).write.json(path)
+    _records(t).write.options(**MICROS).json(path)
     return _ingested(ingest.apply_defaults(ingest.read_records(t.spark, path), system_id=1))
 
 
@@ -105,7 +109,7 @@ def i3(t):
     path = scratch_path(t.spark, "arrays")
     records = _records(t)
     posts = records.select(
-        F.floor(F.col("id") / 100).alias("post"), F.to_json(F.struct(*records.columns)).alias("r")
+        F.floor(F.col("id") / 100).alias("post"), F.to_json(F.struct(*records.columns), MICROS).alias("r")
     ).groupBy("post")
     bodies = posts.agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
     bodies.select("value").write.text(path)
@@ -477,10 +481,10 @@ def f2(t):
 
 
 @query("f3_hot_score", with_views(
-    "select id, round(round(weight::double * pow(log2(1 + length(title)), 1.8), 6), 4) score from articles"))
+    "select id, round(weight::double * pow(log2(1 + length(title)), 1.8), 6) score from articles"))
 def f3(t):
     score = scalars.hot_score(F.col("weight"), F.length("title"))
-    return t.articles.select("id", F.round(score, 4).alias("score"))
+    return t.articles.select("id", score.alias("score"))
 
 
 @query("f4_round", with_views("select id, cast(round(weight, 2) as double) rounded from articles"))

@@ -5,9 +5,17 @@ The SQL form of the same views (for the checks) lives in ``plans/oracle.py``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsburst.functions.scalars import moment
+from newsburst.operators.cluster import backfill_events, rank_events
+from newsburst.operators.events import event_article_rows, snapshot_rows, with_limits
+from newsburst.session import scratch_path, stage
+from newsburst.sources.store import SnapshotStore
+
 
 RAW_SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -19,6 +27,9 @@ RAW_SCHEMAS = {
 }
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
 class Tables:
     """Lazy views over one test-data folder."""
 
@@ -113,3 +124,33 @@ class Tables:
     def as_of(self):
         """The newest article time: one value."""
         return self.articles.agg(F.max("create_time")).first()[0]
+
+    @property
+    def store(self) -> SnapshotStore:
+        """Stored snapshots: all tenants at a first tick, tenants 1 and 2 again ten days later.
+
+        Built once per session and folder, as a refresh job would; readers only read it.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _stores:
+            path = scratch_path(self.spark, "store")
+            store = SnapshotStore(self.spark, path)
+            minutes = 240 * 60
+            newest = self.as_of
+            first = newest - dt.timedelta(minutes=minutes)
+            events = backfill_events(
+                self.articles, self.links, self.active_systems, self.configs, first, 2, minutes
+            )
+            ranked = stage(rank_events(with_limits(events, self.configs), ["system_id", "tick"], "snapshot_limit"), "ranked")
+            tenants = self.active_systems
+            for tick, refreshed in (
+                (first, tenants),
+                (newest, tenants.filter(F.col("system_id").isin(1, 2))),
+            ):
+                at = moment(tick, self.articles)
+                rows = ranked.filter(F.col("tick") == at).join(refreshed.select("system_id"), "system_id", "left_semi")
+                store.commit(
+                    snapshot_rows(rows, at), event_article_rows(rows, self.articles, at), refreshed, at, keep=2
+                )
+            _stores[key] = path
+        return SnapshotStore(self.spark, _stores[key])
