@@ -87,7 +87,7 @@ def j12(t):
 
 
 @query("c0_parameters", with_views("""
-select system_id, default_hours as "hours", 0.5 eps, default_min_samples min_samples,
+select system_id, default_hours as "hours", cast(0.5 as double) eps, default_min_samples min_samples,
        case when coalesce(max_articles_limit, 0) = 0 then 80000 else max_articles_limit end cap
 from active join configs using (system_id)
 """))
@@ -267,7 +267,7 @@ def j6(t):
 
 
 @query("e5_sql_view", tenant_sql(
-    "select k system_id, count(*) events, sum(article_count) articles, max(hot_score) hottest from ev group by k"))
+    "select k system_id, count(*) events, cast(sum(article_count) as bigint) articles, max(hot_score) hottest from ev group by k"))
 def e5(t):
     tenant_events(t).createOrReplaceTempView("hot_event_clusters")
     return t.spark.sql(

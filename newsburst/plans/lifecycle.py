@@ -38,6 +38,8 @@ TODO_1 = (
     "and id in (select id from visible where system_id = 1) order by create_time desc, id limit 1500"
 )
 SLOTS = "select id, slot, round(v, 5) val from vec"
+# Encoders store single precision.
+FLOAT_SLOTS = "select id, slot, round(cast(cast(v as float) as double), 5) val from vec"
 
 
 def slots(vectors):
@@ -45,17 +47,17 @@ def slots(vectors):
     return rows.select("id", F.col("slot").cast("long").alias("slot"), F.round(F.col("val").cast("double"), 5).alias("val"))
 
 
-@query("e1_embed_pending", hashed_sql(TODO, SLOTS))
+@query("e1_embed_pending", hashed_sql(TODO, FLOAT_SLOTS))
 def e1(t):
     return slots(N.embed_pending(t.articles, t.as_of))
 
 
-@query("e2_embed_pending_tenant", hashed_sql(TODO_1, SLOTS))
+@query("e2_embed_pending_tenant", hashed_sql(TODO_1, FLOAT_SLOTS))
 def e2(t):
     return slots(N.embed_pending(t.articles, t.as_of, links=t.links, system_id=1))
 
 
-@query("e3_embed_through_requests", hashed_sql(TODO, SLOTS))
+@query("e3_embed_through_requests", hashed_sql(TODO, FLOAT_SLOTS))
 def e3(t):
     """Request bodies of fifty texts, answered by an encoder, decoded, scaled."""
     requests = N.encoder_requests(N.pending_texts(t.articles, t.as_of))
@@ -70,7 +72,8 @@ def e3(t):
 
     answered = stage(requests.mapInPandas(answer, "batch STRING, ids ARRAY<BIGINT>, response STRING"), "answers")
     vectors, _ = N.decode_responses(answered)
-    return slots(vectors.select("id", N.l2_normalize(F.col("embedding")).alias("embedding")))
+    unit = N.l2_normalize(F.col("embedding")).cast("array<float>")
+    return slots(vectors.select("id", unit.alias("embedding")))
 
 
 @query("e4_hash_encode", hashed_sql(f"select id, {TEXT} from articles", SLOTS))
@@ -121,7 +124,7 @@ def f14(t):
 
 
 @query("f15_encoder_requests", with_views(f"""
-select (rn - 1) // 50 as slot, 'm1' model, count(*) texts, sum(length(text)) characters, string_agg(cast(id as varchar), ',' order by rn) ids
+select (rn - 1) // 50 as slot, 'm1' model, count(*) texts, cast(sum(length(text)) as bigint) characters, string_agg(cast(id as varchar), ',' order by rn) ids
 from (select id, text, row_number() over (order by create_time desc, id) rn from (
   select id, create_time, {TEXT} from articles, clock where {PENDING} order by create_time desc, id limit 1500))
 group by 1"""))
@@ -337,7 +340,7 @@ with asked as (
          case when c_custkey % 2 = 0 then 48 end default_hours
   from customer
   union all select lower(r_name), r_name, null from region)
-select a.system_code, coalesce(a.default_hours, 24) default_hours, 0.38 default_eps, 3 default_min_samples,
+select a.system_code, coalesce(a.default_hours, 24) default_hours, cast(0.38 as double) default_eps, 3 default_min_samples,
        '*/8 * * * *' embedding_cron, '*/12 * * * *' clustering_cron, 80000 max_articles_limit, 100 snapshot_limit, '' error
 from asked a where a.system_code <> 'region' and a.system_code not in (select lower(r_name) from region)
 union all select lower(r_name), -1, -1, -1, '', '', -1, -1, 'code already exists' from region
@@ -370,7 +373,7 @@ def t1(t):
 
 @query("t2_merge_configs", """
 select c_custkey + 1 system_id, case when c_custkey % 3 = 0 then 12 else 24 end default_hours,
-       case when c_custkey % 2 = 0 then 0.5 else 0.38 end default_eps, 3 default_min_samples, 100 snapshot_limit
+       cast(case when c_custkey % 2 = 0 then 0.5 else 0.38 end as double) default_eps, 3 default_min_samples, 100 snapshot_limit
 from customer""")
 def t2(t):
     key = (F.col("c_custkey") + 1).alias("system_id")
@@ -420,7 +423,7 @@ def s1(t):
     return t.spark.read.parquet(target).select("id", "system_id", "title", "weight", "create_time")
 
 
-@query("s2_embed_stream", hashed_sql(f"select id, {TEXT} from articles where embedding is null", SLOTS))
+@query("s2_embed_stream", hashed_sql(f"select id, {TEXT} from articles where embedding is null", FLOAT_SLOTS))
 def s2(t):
     source = scratch_path(t.spark, "articles")
     t.articles.write.parquet(source)

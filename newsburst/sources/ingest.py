@@ -64,7 +64,7 @@ _EXPORT_COLUMNS = ", ".join(
     f"{f.name} {'STRING' if f.name == 'embedding' else f.dataType.simpleString()}"
     for f in ARTICLES.fields
 )
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": "",
+_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "nullValue": "\\N", 
         "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
