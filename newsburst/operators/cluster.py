@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,16 +52,26 @@ def resolve_parameters(
     )
 
 
-def require_configs(systems: DataFrame, configs: DataFrame) -> None:
-    """Raise when a tenant lacks its configuration; names at most ten of them."""
-    missing = systems.join(configs, "system_id", "left_anti").select("system_id").limit(10).collect()
-    if missing:
-        raise MissingConfig(f"no configuration for tenants {[r[0] for r in missing]}")
+@dataclass(frozen=True)
+class Scopes:
+    """Tenant parameters with the two numbers a scan needs: the widest window, the largest cap."""
+
+    params: DataFrame
+    hours: int
+    cap: int
 
 
-def _widest(params: DataFrame) -> tuple[int, int]:
-    hours, cap = params.agg(F.max("hours"), F.max("cap")).first()
-    return hours or 0, cap or 0
+def scopes(systems: DataFrame, configs: DataFrame, **options) -> Scopes:
+    """Resolve parameters and raise when a tenant has no configuration; one small job."""
+    params = resolve_parameters(systems, configs, **options)
+    asked = systems.select("system_id").join(params, "system_id", "left")
+    missing = F.collect_list(F.when(F.col("cap").isNull(), F.col("system_id")))
+    lost, hours, cap = asked.agg(
+        F.slice(missing, 1, 10), F.max("hours"), F.max("cap")
+    ).first()
+    if lost:
+        raise MissingConfig(f"no configuration for tenants {lost}")
+    return Scopes(params, hours or 0, cap or 0)
 
 
 def _tenant_pairs(narrow: DataFrame, pool: DataFrame, links: DataFrame, params: DataFrame) -> DataFrame:
@@ -68,36 +80,34 @@ def _tenant_pairs(narrow: DataFrame, pool: DataFrame, links: DataFrame, params:
     return exclusive_pairs(narrow, links, params).unionByName(shared).join(params, "system_id")
 
 
-def tenant_candidates(articles: DataFrame, links: DataFrame, params: DataFrame, as_of) -> DataFrame:
-    """(system_id, id, create_time, eps, min_samples, cap) of all tenants in ``params``.
+def tenant_candidates(articles: DataFrame, links: DataFrame, tenants: Scopes, as_of) -> DataFrame:
+    """(system_id, id, create_time, eps, min_samples, cap) of all given tenants.
 
     The widest window of any tenant goes to the scan; each tenant's own window follows on
     the narrow pairs. Of the shared pool only the newest rows up to the largest cap can be
     among any tenant's newest rows, so the pool is cut to that before it is repeated per
     tenant; the result is the same.
     """
-    widest, cap = _widest(params)
-    narrow = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, widest)
+    narrow = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, tenants.hours)
     narrow = narrow.select("id", "system_id", "is_shared", "create_time")
-    pool = shared_pool(narrow).select("id", "create_time").orderBy(*filters.newest_first()).limit(cap)
+    pool = shared_pool(narrow).select("id", "create_time").orderBy(*filters.newest_first()).limit(tenants.cap)
     own_window = moment(as_of, articles) - F.make_dt_interval(F.lit(0), F.col("hours"))
-    pairs = _tenant_pairs(narrow, pool, links, params).filter(F.col("create_time") >= own_window)
+    pairs = _tenant_pairs(narrow, pool, links, tenants.params).filter(F.col("create_time") >= own_window)
     return pairs.select("system_id", "id", "create_time", "eps", "min_samples", "cap")
 
 
 def backfill_candidates(
-    articles: DataFrame, links: DataFrame, params: DataFrame, first_tick, ticks: int, step_minutes: int
+    articles: DataFrame, links: DataFrame, tenants: Scopes, first_tick, ticks: int, step_minutes: int
 ) -> DataFrame:
     """Candidates of every tenant at every tick of a regular grid, keyed (system_id, tick).
 
     A pair is repeated for the ticks whose window holds it, found by arithmetic on its time
     - one scan, however many ticks there are. A tick does not see newer articles.
     """
-    widest, _ = _widest(params)
     kind = articles.schema["create_time"].dataType
     start = moment(first_tick, articles)
     last = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit((ticks - 1) * step_minutes))
-    narrow = filters.within_hours(filters.not_deleted(filters.embedded(articles)), first_tick, widest)
+    narrow = filters.within_hours(filters.not_deleted(filters.embedded(articles)), first_tick, tenants.hours)
     narrow = narrow.filter(F.col("create_time") <= last)
     narrow = narrow.select("id", "system_id", "is_shared", "create_time")
     pool = shared_pool(narrow).select("id", "create_time")
@@ -107,7 +117,7 @@ def backfill_candidates(
     from_tick = F.greatest(F.lit(0).cast("long"), F.ceil(since / F.lit(step)))
     to_tick = F.least(F.lit(ticks - 1).cast("long"), F.floor(until / F.lit(step)))
     return (
-        _tenant_pairs(narrow, pool, links, params)
+        _tenant_pairs(narrow, pool, links, tenants.params)
         .withColumns({"_from": from_tick, "_to": to_tick})
         .filter(F.col("_from") <= F.col("_to"))
         .withColumn("_n", F.explode(F.sequence("_from", "_to")))
@@ -186,9 +196,8 @@ def summarize(labels: DataFrame, articles: DataFrame, keys: list[str]) -> DataFr
 def tenant_labels(
     articles, links, systems, configs, as_of, hours=None, eps=None, min_samples=None, **grid
 ) -> DataFrame:
-    require_configs(systems, configs)
-    params = resolve_parameters(systems, configs, hours, eps, min_samples)
-    candidates = tenant_candidates(articles, links, params, as_of)
+    tenants = scopes(systems, configs, hours=hours, eps=eps, min_samples=min_samples)
+    candidates = tenant_candidates(articles, links, tenants, as_of)
     return dbscan_labels(
         candidates, filters.embedded(articles).select("id", "embedding"), ["system_id"], **grid
     )
@@ -220,9 +229,8 @@ def backfill_events(
 ) -> DataFrame:
     """Events as they would have been at each tick; every (tenant, tick) is its own scope of
     one clustering job."""
-    require_configs(systems, configs)
-    params = resolve_parameters(systems, configs)
-    candidates = backfill_candidates(articles, links, params, first_tick, ticks, step_minutes)
+    tenants = scopes(systems, configs)
+    candidates = backfill_candidates(articles, links, tenants, first_tick, ticks, step_minutes)
     vectors = filters.embedded(articles).select("id", "embedding")
     labels = dbscan_labels(candidates, vectors, ["system_id", "tick"], **grid)
     return summarize(labels, articles, ["system_id", "tick"])

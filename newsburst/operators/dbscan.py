@@ -25,6 +25,8 @@ from newsburst.schemas import FLAG, LONG, table
 from newsburst.session import stage
 
 NOISE = -1
+# Narrow per-row tables (some tens of bytes a row) of at most this many rows are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], cap: str = "cap", salts: int = 32) -> DataFrame:
@@ -66,7 +68,7 @@ def _scope_sizes(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.count("*").alias("scope_rows"), F.max("cap").alias("_cap"))
 
 
-def _graph(summary: DataFrame, keys: list[str]) -> DataFrame:
+def _graph(summary: DataFrame, keys: list[str], small) -> DataFrame:
     """Core points, edges between them, and edges from border points to them.
 
     Rows (keys, role, a, b, found); only core rows carry ``found``, their place in the
@@ -86,7 +88,7 @@ def _graph(summary: DataFrame, keys: list[str]) -> DataFrame:
     )
 
     def flag(side):
-        return core.select(*keys, F.col("rep").alias(side), F.lit(True).alias(f"{side}_core"))
+        return small(core.select(*keys, F.col("rep").alias(side), F.lit(True).alias(f"{side}_core")))
 
     sparse = (
         summary.filter(F.col("kind") == SPARSE)
@@ -143,6 +145,8 @@ def dbscan_labels(
             + table(id=LONG, create_time=time_type, is_core=FLAG, cluster_id=LONG).fields
         )
         return spark.createDataFrame([], result_schema)
+    # Every table below has at most one row per candidate, so the observed count bounds it.
+    small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     blocks = 1
     if rows > min(block_rows, cap):
         largest, over = (
@@ -161,7 +165,7 @@ def dbscan_labels(
     packed = stage(pack_vectors(vectors, pivots), "vectors")
 
     # Equal vectors of a scope become one weighted point before any vector is shuffled.
-    members = candidates.join(packed.select("id", "digest"), "id")
+    members = candidates.join(small(packed.select("id", "digest")), "id")
     aged = members.withColumn("age", age_micros(F.col("create_time"), time_type))
     copies = aged.groupBy(*keys, "digest").agg(
         F.min("id").alias("rep"),
@@ -196,7 +200,7 @@ def dbscan_labels(
         ),
         "summary",
     )
-    graph = _graph(summary, keys)
+    graph = _graph(summary, keys, small)
     few = counted.get["edges"] <= task_edges
     if not few:
         graph = stage(graph, "graph")
@@ -207,7 +211,7 @@ def dbscan_labels(
     cores = (
         graph.filter(F.col("role") == "core")
         .select(*keys, F.col("a").alias("id"), "found")
-        .join(roots, [*keys, "id"], "left")
+        .join(small(roots), [*keys, "id"], "left")
         .select(*keys, "id", F.coalesce("root", "id").alias("root"), "found")
     )
     numbered = (
@@ -219,10 +223,10 @@ def dbscan_labels(
         )
         .select(*keys, "root", "cluster_id")
     )
-    core_labels = cores.join(numbered, [*keys, "root"]).select(*keys, "id", "cluster_id")
+    core_labels = cores.join(small(numbered), [*keys, "root"]).select(*keys, "id", "cluster_id")
     border_labels = (
         graph.filter(F.col("role") == "border")
-        .join(core_labels.withColumnRenamed("id", "a"), [*keys, "a"])
+        .join(small(core_labels.withColumnRenamed("id", "a")), [*keys, "a"])
         .groupBy(*keys, F.col("b").alias("id"))
         .agg(F.min("cluster_id").alias("cluster_id"))
     )
@@ -234,7 +238,8 @@ def dbscan_labels(
         named = candidates.withColumn("rep", F.col("id"))
     else:
         named = members.join(copies.select(*keys, "digest", "rep"), [*keys, "digest"])
-    labelled = named.join(labels.withColumnRenamed("id", "rep"), [*keys, "rep"], "left").select(
+    labels = small(labels.withColumnRenamed("id", "rep"))
+    labelled = named.join(labels, [*keys, "rep"], "left").select(
         *keys,
         "id",
         "create_time",

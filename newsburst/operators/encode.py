@@ -21,6 +21,7 @@ from newsburst.schemas import (
     LONG,
     table,
 )
+from newsburst.session import spread
 
 # How text is cut into tokens, the same in SQL and in Python.
 TOKEN_BREAK = "[ \t\r\n。]+"
@@ -35,6 +36,7 @@ def tokens(text: Column) -> Column:
 
 def token_rows(docs: DataFrame) -> DataFrame:
     """(id, token) for (id, text); a document without tokens keeps one null row."""
+    docs = spread(docs.select("id", "text"))
     return docs.select("id", F.explode_outer(tokens(F.col("text"))).alias("token"))
 
 

@@ -53,12 +53,8 @@ def global_labels(t, **options):
     return C.global_labels(t.articles, t.as_of, **{**GLOBAL, **options})
 
 
-def params(t, **options):
-    return C.resolve_parameters(t.active_systems, t.configs, **options)
-
-
 def candidates(t):
-    return C.tenant_candidates(t.articles, t.links, params(t), t.as_of)
+    return C.tenant_candidates(t.articles, t.links, C.scopes(t.active_systems, t.configs), t.as_of)
 
 
 EVENT = "cluster_id, title, article_count, total_weight, hot_score, sample_titles, article_ids"
@@ -92,7 +88,7 @@ select system_id, default_hours as "hours", cast(0.5 as double) eps, default_min
 from active join configs using (system_id)
 """))
 def c0(t):
-    return params(t, eps=0.5)
+    return C.resolve_parameters(t.active_systems, t.configs, eps=0.5)
 
 
 @query("c1_candidates", tenant_sql(f"select k system_id, id, {CREATED} create_time from pts"))

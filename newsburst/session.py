@@ -62,6 +62,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that sits in fewer files than there are cores before heavy row-wise
+    work. Large tables have many files and are left alone: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def single_threaded_blas(spark: SparkSession) -> None:
     """One BLAS thread per Python worker: the parallelism is the task count."""
     spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
