@@ -17,6 +17,7 @@ from newsburst.operators.neighbors import (
     SPARSE,
     assign_blocks,
     choose_pivots,
+    chunk_blocks,
     neighbour_summary,
     pack_vectors,
     tile_list,
@@ -188,7 +189,8 @@ def dbscan_labels(
     else:
         levels = int(math.log2(len(pivots))) + 1
         points = points.join(_scope_sizes(candidates, keys).drop("_cap"), keys)
-        points = stage(assign_blocks(points, keys, block_rows, levels), "points")
+        points = assign_blocks(points, keys, block_rows, levels)
+        points = stage(chunk_blocks(points, keys), "blocks")
         tiles = stage(tile_list(points, keys, pivots), "tiles")
         tile_count = tiles.count()
     counted = Observation()

@@ -27,15 +27,16 @@ from newsburst.schemas import INT, LONG, table
 from newsburst.session import single_threaded_blas
 
 BLOCK_ROWS = 8192
+CHUNK_ROWS = 256
 MAX_PIVOTS = 32
 DEGREE, FOREST, SPARSE = 0, 1, 2
 
 
-def _matrix(column) -> np.ndarray:
-    """An Arrow list or binary column of equal-length vectors as one float32 matrix."""
+def _matrix(column, rows: int | None = None) -> np.ndarray:
+    """An Arrow list column, or binary column of one or more vectors a row, as one matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    n = len(column)
+    n = len(column) if rows is None else rows
     if n == 0:
         return np.zeros((0, 0), dtype=np.float32)
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
@@ -111,7 +112,7 @@ def choose_pivots(vectors: DataFrame, blocks: int) -> np.ndarray:
     This is all that ever reaches the driver: a fixed number of vectors. They only steer
     which points share a block; the result does not depend on them.
     """
-    wanted = min(MAX_PIVOTS, 1 << max(0, math.ceil(math.log2(max(blocks, 1)))))
+    wanted = min(MAX_PIVOTS, 1 << max(1, int(math.log2(max(blocks, 1)))))
     rows = (
         vectors.select(F.xxhash64("id").alias("h"), "embedding").orderBy("h").limit(wanted).collect()
     )
@@ -122,11 +123,11 @@ def choose_pivots(vectors: DataFrame, blocks: int) -> np.ndarray:
 def assign_blocks(points: DataFrame, keys: list[str], block_rows: int, levels: int) -> DataFrame:
     """Add ``cell``, ``angle`` and ``block``; ``points`` carries ``scope_rows``.
 
-    A scope uses about as many pivot cells as it needs blocks, and a cell with more than
+    A scope uses at most as many pivot cells as it needs blocks, and a cell with more than
     ``block_rows`` points is split evenly by hash, so a hot cell cannot make a large block.
     """
     needed = F.ceil(F.col("scope_rows") / F.lit(block_rows)).cast("double")
-    level = F.least(F.ceil(F.log2(F.greatest(needed, F.lit(1.0)))).cast("int"), F.lit(levels - 1))
+    level = F.least(F.floor(F.log2(F.greatest(needed, F.lit(1.0)))).cast("int"), F.lit(levels - 1))
     points = points.withColumn("_level", level + 1).select(
         *[c for c in points.columns if c not in ("cells", "angles")],
         F.element_at("cells", F.col("_level")).alias("cell"),
@@ -139,6 +140,42 @@ def assign_blocks(points: DataFrame, keys: list[str], block_rows: int, levels: i
     return points.join(cells, [*keys, "cell"]).withColumn("part", part).drop("_parts")
 
 
+def chunk_blocks(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Turn the points of each block into few rows of up to ``CHUNK_ROWS`` points.
+
+    Blocks are copied to every tile they are part of; copying a handful of large binary
+    rows is far cheaper than shuffling and sorting thousands of small ones. The order of
+    a block's points does not matter. ``angle`` becomes the largest of the chunk.
+    """
+    lists = ["id", "mult", "age", "first_id"]
+    constant = [*keys, "cell", "part", "eps", "min_samples"]
+    fields = [points.schema[c] for c in constant]
+    schema = T.StructType(
+        fields
+        + table(angle=T.FloatType()).fields
+        + [T.StructField(c, T.ArrayType(LONG)) for c in lists]
+        + table(vec=T.BinaryType()).fields
+    )
+
+    def chunk(block: pa.Table) -> pa.Table:
+        n = block.num_rows
+        bounds = np.append(np.arange(0, n, CHUNK_ROWS), n)
+        count = len(bounds) - 1
+        angle = block.column("angle").to_numpy()
+        raw = block.column("vec").to_pylist()
+        columns = [pa.repeat(block.column(c)[0], count) for c in constant]
+        columns.append(pa.array([angle[a:b].max() for a, b in zip(bounds, bounds[1:])], pa.float32()))
+        offsets = pa.array(bounds.astype(np.int32))
+        columns += [
+            pa.ListArray.from_arrays(offsets, pa.array(block.column(c).to_numpy())) for c in lists
+        ]
+        columns.append(pa.array([b"".join(raw[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary()))
+        return pa.Table.from_arrays(columns, names=schema.names)
+
+    rows = points.select(*constant, "angle", *lists, "vec")
+    return rows.groupBy(*keys, "cell", "part").applyInArrow(chunk, schema)
+
+
 def tile_list(
     points: DataFrame, keys: list[str], pivots: np.ndarray | None
 ) -> DataFrame:
@@ -193,8 +230,11 @@ def _adjacency(rows, cols, eps: float) -> np.ndarray:
     for start in range(0, len(rows), strip):
         stop = min(len(rows), start + strip)
         similarity = row_unit[start:stop] @ col_unit.T
-        result[start:stop] = similarity >= threshold + tolerance
-        close_i, close_j = np.nonzero(np.abs(similarity - threshold) < tolerance)
+        sure = np.greater_equal(similarity, threshold + tolerance, out=result[start:stop])
+        maybe = similarity >= threshold - tolerance
+        if np.count_nonzero(sure) == np.count_nonzero(maybe):
+            continue
+        close_i, close_j = np.nonzero(maybe ^ sure)
         for at in range(0, len(close_i), 4096):
             i = close_i[at : at + 4096] + start
             j = close_j[at : at + 4096]
@@ -278,8 +318,8 @@ def _compare_tile(row_ids, rows, row_mult, col_ids, cols, col_mult, diagonal, ep
 def neighbour_summary(
     points: DataFrame, tiles: DataFrame | None, keys: list[str], tile_count: int
 ) -> DataFrame:
-    """Compare all tiles. ``points``: keys, id, mult, age, first_id, vec, eps, min_samples
-    and, with ``tiles``, cell and part; without, every scope is a single block.
+    """Compare all tiles. ``points``: keys, id, mult, age, first_id, vec, eps, min_samples;
+    without ``tiles`` every scope is a single block, with them rows are chunks of a block.
 
     Result rows are (keys, kind, a, b, age, first_id, min_samples): kind 0 = id and
     neighbour count, 1 = forest edge of dense points, 2 = edge of a sparse point. The last
@@ -306,18 +346,21 @@ def neighbour_summary(
         )
         sided = points.join(as_p.unionByName(as_q), [*keys, "cell", "part"])
     tile = [*keys, "pc", "pp", "qc", "qp"]
+    chunked = tiles is not None
     sided = sided.select(
         *tile, "side", "id", "mult", "age", "first_id", "vec", "eps", "min_samples"
     )
 
     def compare(block: pa.Table) -> pa.Table:
         side = block.column("side").to_numpy()
-        ids, mult, age, first_id = (
-            block.column(c).to_numpy() for c in ("id", "mult", "age", "first_id")
-        )
+        columns = [block.column(c).combine_chunks() for c in ("id", "mult", "age", "first_id")]
+        if chunked:
+            side = np.repeat(side, np.asarray(columns[0].value_lengths()))
+            columns = [c.flatten() for c in columns]
+        ids, mult, age, first_id = (c.to_numpy() for c in columns)
         eps = block.column("eps")[0].as_py()
         min_samples = block.column("min_samples")[0].as_py()
-        vectors = _matrix(block.column("vec"))
+        vectors = _matrix(block.column("vec"), len(ids))
         diagonal = bool(side[0] == 2)
         p = np.flatnonzero(side != 1)
         q = p if diagonal else np.flatnonzero(side == 1)
