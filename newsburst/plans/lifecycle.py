@@ -57,9 +57,16 @@ def e2(t):
     return slots(N.embed_pending(t.articles, t.as_of, links=t.links, system_id=1))
 
 
-@query("e3_embed_through_requests", hashed_sql(TODO, FLOAT_SLOTS))
+RAW_SLOTS = """
+select d.id, r.slot, round(cast(cast(coalesce(c.v, 0) as float) as double), 5) val
+from docs d join range(64) r(slot) on true left join cnt c on c.id = d.id and c.slot = r.slot
+"""
+
+
+@query("e3_embed_through_requests", hashed_sql(TODO, RAW_SLOTS))
 def e3(t):
-    """Request bodies of fifty texts, answered by an encoder, decoded, scaled."""
+    """Request bodies of fifty texts, answered by an encoder and decoded; vectors are stored
+    as the service gave them."""
     requests = N.encoder_requests(N.pending_texts(t.articles, t.as_of))
 
     def answer(frames):
@@ -72,8 +79,7 @@ def e3(t):
 
     answered = stage(requests.mapInPandas(answer, "batch STRING, ids ARRAY<BIGINT>, response STRING"), "answers")
     vectors, _ = N.decode_responses(answered)
-    unit = N.l2_normalize(F.col("embedding")).cast("array<float>")
-    return slots(vectors.select("id", unit.alias("embedding")))
+    return slots(vectors)
 
 
 @query("e4_hash_encode", hashed_sql(f"select id, {TEXT} from articles", SLOTS))
