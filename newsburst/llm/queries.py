@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, reputation
+from newsburst.llm import chat, decontam, pieces, records, reputation
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -46,6 +46,23 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return reputation.filter_urls(pages, labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def model_file(name: str) -> bytes:
+    """A public tokenizer's file, read on the driver; its size is that of the model."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
+@register("op6_binary_records")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path = records.record_path(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    records.write_records(docs, model_file("word_bpe_49k.json").decode(), 2, path)
+    index = records.write_index(spark, path)
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32", "offset", "length")
+
+
 @register("op8_chat_events")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -60,6 +77,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.render(messages)))
 
 
+@register("op10_sentencepiece_ids")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.add_ids(table(spark, folder, "documents").select("doc_id", "text"), model_file("piece_bpe_32k.model"))
+
+
 ORACLES["op5_host_reputation"] = r"""
 with parsed as (
   select page_id,
@@ -115,15 +137,15 @@ with turns as (
   select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 escaped as (
-  select *, replace(replace(replace(role, '\\', '\\\\'), '<', '\l'), chr(10), '\n') er,
-    replace(replace(text, '\\', '\\\\'), '<', '\l') et from turns)
+  select *, replace(replace(replace(role, '\', '\\'), '<', '\l'), chr(10), '\n') er,
+    replace(replace(text, '\', '\\'), '<', '\l') et from turns)
 select conv_id, count(*) n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) loss_sha256,
   cast(sum(18 + length(er) + length(et)) as bigint) formatted_chars
 from escaped group by 1
-""".replace("\\\\", "\\")
+"""
 
 
 def callables():
