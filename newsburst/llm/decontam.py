@@ -42,10 +42,6 @@ MATCH = T.StructType(
         T.StructField("n_words", T.IntegerType()),
     ]
 )
-_FOUND = pa.list_(
-    pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("doc_start", pa.int32()), ("n_words", pa.int32())])
-)
-
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
     for b in range(256)
@@ -137,14 +133,14 @@ class TestSuffixes:
         return suffix, place, length
 
 
-def _search(shard: list[bytes], tests: TestSuffixes) -> list[list[tuple]]:
+def _search(split: list[list[bytes]], tests: TestSuffixes) -> list[list[tuple]]:
+    """The matches of each of a shard's documents, given as words."""
     get = tests.vocabulary.get
-    split = [words_of(t) for t in shard]
     ends = np.cumsum([len(w) + 1 for w in split])
     tokens = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
     for words, end in zip(split, ends):
         tokens[end - 1 - len(words) : end - 1] = np.fromiter(map(get, words, repeat(0)), np.int32, len(words))
-    found: list[list[tuple]] = [[] for _ in shard]
+    found: list[list[tuple]] = [[] for _ in split]
     # Runs of benchmark words long enough to hold a match, one after another, a 0 behind each.
     known = np.concatenate([[0], (tokens != 0).astype(np.int8), [0]])
     edges = np.flatnonzero(np.diff(known)).reshape(-1, 2)
@@ -170,32 +166,43 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> int:
 
 
 def find_matches(
-    docs: DataFrame, benchmark: DataFrame, column: str, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    column: str,
+    keep: list[str] | None = None,
+    window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``docs`` with ``column`` added: the maximal verbatim matches of its text with benchmark
-    items (item_id, text), as (item_id, item_start, doc_start, n_words) in words."""
+    """``docs`` with ``column`` added: (n_words, matches) of its text, the matches being the
+    maximal verbatim ones with benchmark items (item_id, text), as (item_id, item_start,
+    doc_start, n_words) in words. ``keep``: the columns of ``docs`` to return, by default all."""
     n_blocks = _blocks(benchmark, block_bytes)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("text is not null")
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.ArrayType(MATCH))])
-    result = docs.withColumn(column, F.array().cast(schema[column].dataType))
+    given = [f for f in docs.schema.fields if keep is None or f.name in keep]
+    result = docs.withColumn(column, F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast(T.ArrayType(MATCH)).alias("matches")))
     for number in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
         worded = [(r.item_id, words_of(r.text.encode())) for r in block.collect()]
         tests = TestSuffixes([(name, words) for name, words in worded if words], window)
+        fields = given if number == n_blocks - 1 else docs.schema.fields
+        names = [f.name for f in fields]
 
-        def search(batches, tests=tests):
+        def search(batches, tests=tests, names=names):
             for batch in slices(batches, "text", SHARD_BYTES):
-                found = _search(texts(batch.column("text")), tests)
-                if any(found):
-                    old = batch.column(column).to_pylist()
-                    fields = _FOUND.value_type
-                    new = pa.array(
-                        [a + [dict(zip((f.name for f in fields), m)) for m in b] for a, b in zip(old, found)], _FOUND
-                    )
-                    batch = batch.set_column(batch.schema.get_field_index(column), column, new)
-                yield batch
-
-        result = result.mapInArrow(search, schema)
+                split = [words_of(t) for t in texts(batch.column("text"))]
+                found = _search(split, tests)
+                old = batch.column(column).field("matches").to_pylist()
+                rows = [
+                    {"n_words": len(w), "matches": a + [dict(zip(MATCH.names, m)) for m in b]}
+                    for w, a, b in zip(split, old, found)
+                ]
+                kind = batch.schema.field(column)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in names), pa.array(rows, kind.type)],
+                    schema=pa.schema([*(batch.schema.field(n) for n in names), kind]),
+                )
+
+        result = result.mapInArrow(search, T.StructType([*fields, result.schema[column]]))
     return result
 
 
@@ -218,13 +225,13 @@ def hit_items(matches: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, matches, longest) per document: every match, and the words of the longest."""
-    found = find_matches(docs.select("doc_id", "text"), benchmark, "matches", **options)
-    longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m.n_words)), F.lit(0))
-    return found.select("doc_id", "text", "matches", longest.alias("longest"))
+    """(doc_id, n_words, matches, longest) per document: every match, and the words of the longest."""
+    found = find_matches(docs.select("doc_id", "text"), benchmark, "found", keep=["doc_id"], **options)
+    longest = F.coalesce(F.array_max(F.transform("found.matches", lambda m: m.n_words)), F.lit(0))
+    return found.select("doc_id", "found.n_words", "found.matches", longest.alias("longest"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those that hold a match."""
-    column = fresh(docs, "_matches")
-    return find_matches(docs, benchmark, column, **options).filter(F.size(column) == 0).drop(column)
+    column = fresh(docs, "_found")
+    return find_matches(docs, benchmark, column, **options).filter(F.size(f"{column}.matches") == 0).drop(column)

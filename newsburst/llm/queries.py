@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, pieces, records, reputation
+from newsburst.llm import chat, decontam, pieces, quality, records, reputation, surrogates
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -22,15 +22,21 @@ def register(name: str):
     return keep
 
 
+@register("op1_distribution_divergence")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    judged, verdict = quality.judge(docs, keep=["doc_id"])
+    return judged.select("doc_id", f"{verdict}.*").drop("class_distance", "common_distance")
+
+
 @register("op2_suffix_decontamination")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, folder, "benchmark"))
     n_hit, items = decontam.hit_words(F.col("matches")), decontam.hit_items(F.col("matches"))
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     return found.select(
         "doc_id",
-        n_words.cast("long").alias("n_words"),
+        "n_words",
         n_hit.cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
@@ -38,6 +44,16 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Key of the registered query; a real job takes its own from a secret store.
+SURROGATE_KEY = "registered-query"
+
+
+@register("op4_surrogates")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, SURROGATE_KEY)[0]
+
+
 @register("op5_host_reputation")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
