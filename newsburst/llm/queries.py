@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, pieces, quality, records, reputation, surrogates
+from newsburst.llm import chat, decontam, pieces, quality, records, reputation, surrogates, toxicity
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -79,6 +79,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "offset", "length")
 
 
+@register("op7_toxicity_chain")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = toxicity.category_labels(docs, table(spark, folder, "labels"))
+    categories = [*toxicity.CATEGORY_WORDS, "toxic"]
+    scored = toxicity.score(docs, *toxicity.train(docs, labels, categories), categories)
+    return scored.withColumn("toxic", F.col("p_toxic") > 0.5)
+
+
 @register("op8_chat_events")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
