@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, pieces, quality, records, reputation, surrogates, toxicity
+from newsburst.llm import chat, decontam, pieces, quality, records, repeats, reputation, surrogates, toxicity
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -44,6 +44,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register("op3_debruijn_repeats")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Key of the registered query; a real job takes its own from a secret store.
 SURROGATE_KEY = "registered-query"
 
