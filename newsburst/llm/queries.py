@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, pieces, quality, records, repeats, reputation, surrogates, toxicity
+from newsburst.llm import chat, decontam, partenum, pieces, quality, records, repeats, reputation, surrogates, toxicity
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -108,6 +108,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.render(messages)))
 
 
+@register("op9_partenum_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), words=3, percent=90)
+
+
 @register("op10_sentencepiece_ids")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.add_ids(table(spark, folder, "documents").select("doc_id", "text"), model_file("piece_bpe_32k.model"))

@@ -39,30 +39,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsburst.llm.chunks import (
+    CHUNK_BYTES,
+    bucket_bounds,
+    dealt_by_chunk,
+    packed,
+    partitions,
+    run_prints,
+    schema_of,
+    table_of,
+    unpacked,
+)
 from newsburst.llm.common import slices, texts
 
 WINDOW = 13
-CHUNK_BYTES = 8 << 20
 #: More bytes of paths to one source chunk than this are dealt to copies of it.
 PATH_BYTES = 32 << 20
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def edge_prints(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Fingerprint of each run of ``window`` words, from the words' hashes."""
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for j in range(window):
-        total = total * _FACTOR + hashes[j : j + n]
-    return _mix(total)
 
 
 @dataclass
@@ -90,85 +82,28 @@ class Chunk:
         digest = xxhash.xxh3_64_intdigest
         self.word_hash = np.array([digest(w) for w in self.numbers], np.uint64)
         self.doc = np.repeat(np.arange(len(self.words)), self.sizes)
-        prints = edge_prints(self.word_hash[self.ids], self.window)
+        prints = run_prints(self.word_hash[self.ids], self.window)
         whole = self.doc[: len(prints)] == self.doc[self.window - 1 :][: len(prints)]
         self.starts = np.flatnonzero(whole)
         self.edges, self.first, self.which = np.unique(prints[self.starts], return_index=True, return_inverse=True)
 
 
-def _bucket_bounds(n_buckets: int) -> np.ndarray:
-    return np.array([(b << 64) // n_buckets for b in range(1, n_buckets)], np.uint64)
-
-
-def _packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte plane by byte plane, which compresses well."""
-    steps = np.diff(values, prepend=values.dtype.type(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(values), -1).T).tobytes()
-
-
-def _unpacked(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
-
-
-def _chunk_count(docs: DataFrame, chunk_bytes: int) -> tuple[int, list[int]]:
-    """Number of chunks and the smallest doc_id of each but the first."""
-    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(held / chunk_bytes))
-    if n == 1:
-        return 1, []
-    shares = [i / n for i in range(1, n)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0]
-    return n, sorted(set(cuts or []))
-
-
-def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _dealt(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text), shuffled by chunk, and the number of chunks."""
-    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, cuts = _chunk_count(known, chunk_bytes)
-    bounds = np.array(cuts, np.int64)
-
-    def deal(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            chunk = np.searchsorted(bounds, ids, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], ["chunk", "doc_id", "text"])
-
-    dealt = known.mapInArrow(deal, "chunk int, doc_id long, text string")
-    return dealt.repartition(_partitions(docs), "chunk"), n
-
-
-def _table(rows: list[tuple], fields: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [()] * len(fields)
-    return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(fields, columns)})
-
-
 _EDGES = [("bucket", pa.int32()), ("chunk", pa.int32()), ("edges", pa.binary())]
 _REPEATED = [("chunk", pa.int32()), ("bucket", pa.int32()), ("places", pa.binary()), ("sources", pa.binary())]
 _PATHS = [("source", pa.int32()), ("sender", pa.int32()), ("marks", pa.binary()), ("words", pa.binary())]
 _SPANS = [("chunk", pa.int32()), ("spans", pa.binary())]
 
 
-def _schema(fields: list[tuple]) -> str:
-    names = {pa.int32(): "int", pa.binary(): "binary"}
-    return ", ".join(f"{n} {names[k]}" for n, k in fields)
-
-
 def _send_edges(window: int, n_buckets: int):
-    bounds = _bucket_bounds(n_buckets)
+    bounds = bucket_bounds(n_buckets)
 
     def run(table: pa.Table) -> pa.Table:
         chunk = Chunk.of(table, window)
         chunk.index()
         number = table.column("chunk")[0].as_py()
         cuts = [0, *np.searchsorted(chunk.edges, bounds).tolist(), len(chunk.edges)]
-        return _table(
-            [(b, number, _packed(chunk.edges[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i], _EDGES
+        return table_of(
+            [(b, number, packed(chunk.edges[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i], _EDGES
         )
 
     return run
@@ -178,7 +113,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """For one bucket: which entries of each chunk an earlier chunk has, and the first such."""
     bucket = table.column("bucket")[0].as_py()
     rows = sorted(zip(table.column("chunk").to_pylist(), table.column("edges").to_pylist()))
-    lists = [_unpacked(e, np.uint64) for _, e in rows]
+    lists = [unpacked(e, np.uint64) for _, e in rows]
     sizes = np.array([len(x) for x in lists])
     prints = np.concatenate(lists)
     chunk = np.repeat(np.array([c for c, _ in rows], np.int32), sizes)
@@ -192,24 +127,24 @@ def _answer(table: pa.Table) -> pa.Table:
         part = source[at : at + size]
         places = np.flatnonzero(part >= 0)
         if len(places):
-            result.append((number, bucket, _packed(places.astype(np.uint32)), part[places].tobytes()))
+            result.append((number, bucket, packed(places.astype(np.uint32)), part[places].tobytes()))
         at += size
-    return _table(result, _REPEATED)
+    return table_of(result, _REPEATED)
 
 
 def _cut_paths(window: int, n_buckets: int):
-    bounds = _bucket_bounds(n_buckets)
+    bounds = bucket_bounds(n_buckets)
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _table([], _PATHS)
+            return table_of([], _PATHS)
         chunk = Chunk.of(table, window)
         chunk.index()
         number = table.column("chunk")[0].as_py()
         base = [0, *np.searchsorted(chunk.edges, bounds).tolist()]
         source = np.full(len(chunk.edges), -1, np.int64)
         for b, places, sources in zip(*(answers.column(c).to_pylist() for c in ("bucket", "places", "sources"))):
-            source[base[b] + _unpacked(places, np.uint32)] = np.frombuffer(sources, np.int32)
+            source[base[b] + unpacked(places, np.uint32)] = np.frombuffer(sources, np.int32)
         at = source[chunk.which]
         ids = np.array(chunk.doc_ids, np.int64)
         here = ids[chunk.doc[chunk.starts]]
@@ -232,7 +167,7 @@ def _cut_paths(window: int, n_buckets: int):
         for s, paths in by_source.items():
             marks = [(i, d, first) for i, places in enumerate(paths.values()) for d, first in places]
             rows.append((s, number, np.array(marks, np.int32).tobytes(), b"\n".join(paths)))
-        return _table(rows, _PATHS)
+        return table_of(rows, _PATHS)
 
     return run
 
@@ -240,13 +175,13 @@ def _cut_paths(window: int, n_buckets: int):
 def _prove(window: int):
     def run(table: pa.Table, paths: pa.Table) -> pa.Table:
         if not table.num_rows or not paths.num_rows:
-            return _table([], _SPANS)
+            return table_of([], _SPANS)
         chunk = Chunk.of(table, window)
         chunk.index()
         lookup = chunk.numbers.get
         rows = []
         if not len(chunk.edges):
-            return _table([], _SPANS)
+            return table_of([], _SPANS)
         for sender, marks, words in zip(*(paths.column(c).to_pylist() for c in ("sender", "marks", "words"))):
             split = [p.split(b" ") for p in words.split(b"\n")]
             sizes = np.array([len(p) for p in split])
@@ -255,7 +190,7 @@ def _prove(window: int):
             ids = np.fromiter((lookup(w, -1) for w in flat), np.int32, len(flat))
             number = np.repeat(np.arange(len(split)), sizes)
             hashes = np.where(ids >= 0, chunk.word_hash[np.maximum(ids, 0)], np.uint64(0))
-            prints = edge_prints(hashes, window)
+            prints = run_prints(hashes, window)
             whole = np.flatnonzero(number[: len(prints)] == number[window - 1 :][: len(prints)])
             edge = np.minimum(np.searchsorted(chunk.edges, prints[whole]), len(chunk.edges) - 1)
             source = chunk.starts[chunk.first[edge]]
@@ -289,7 +224,7 @@ def _prove(window: int):
             found = spans[pick].astype(np.int64)
             found[:, 0] += np.repeat(places[:, 2], counts)
             rows.append((sender, np.column_stack([np.repeat(places[:, 1], counts), found]).astype("<i8").tobytes()))
-        return _table(rows, _SPANS)
+        return table_of(rows, _SPANS)
 
     return run
 
@@ -343,13 +278,13 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans) per row of ``docs`` (doc_id, text): the words
     left, joined by one space, and the proven spans in words with their sources."""
-    dealt, n_chunks = _dealt(docs, chunk_bytes)
+    dealt, n_chunks = dealt_by_chunk(docs, chunk_bytes)
     n_buckets = max(1, math.ceil(n_chunks / 2))
-    edges = dealt.groupBy("chunk").applyInArrow(_send_edges(window, n_buckets), _schema(_EDGES))
-    answers = edges.groupBy("bucket").applyInArrow(_answer, _schema(_REPEATED))
+    edges = dealt.groupBy("chunk").applyInArrow(_send_edges(window, n_buckets), schema_of(_EDGES))
+    answers = edges.groupBy("bucket").applyInArrow(_answer, schema_of(_REPEATED))
     by_chunk = dealt.groupBy("chunk")
-    paths = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_cut_paths(window, n_buckets), _schema(_PATHS))
-    paths = paths.repartition(_partitions(docs), "source")
+    paths = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_cut_paths(window, n_buckets), schema_of(_PATHS))
+    paths = paths.repartition(partitions(docs), "source")
     # A source of very many paths is copied, each copy with a part of the senders.
     size = F.sum(F.length("words") + F.length("marks"))
     heavy = paths.groupBy("source").agg(F.ceil(size / path_bytes).cast("int").alias("copies")).filter("copies > 1")
@@ -358,7 +293,7 @@ def remove_repeats(
     shared = paths.join(heavy, "source").select("source", "sender", "marks", "words", part)
     copies = heavy.selectExpr("source as chunk", "explode(sequence(0, copies - 1)) as part")
     copied = dealt.join(copies, "chunk").select("chunk", "doc_id", "text", "part")
-    proving = _prove(window), _schema(_SPANS)
+    proving = _prove(window), schema_of(_SPANS)
     spans = light.applyInArrow(*proving).unionByName(
         copied.groupBy("chunk", "part").cogroup(shared.groupBy("source", "part")).applyInArrow(*proving)
     )
