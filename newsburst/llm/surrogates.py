@@ -42,7 +42,7 @@ PATTERNS = {
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,4})?(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
 }
 PATTERN = "|".join(PATTERNS.values())
