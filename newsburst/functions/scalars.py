@@ -90,10 +90,15 @@ def vector_norm(vector: Column) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit-length copy as doubles; a zero vector stays zero."""
-    norm = vector_norm(vector)
-    return F.transform(
-        vector, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x.cast("double") / norm)
+    # Bound in a one-element array, the norm is computed once and not for every element.
+    bound = F.array(F.struct(vector.alias("v"), vector_norm(vector).alias("norm")))
+    scaled = F.transform(
+        bound,
+        lambda p: F.transform(
+            p["v"], lambda x: F.when(p["norm"] == 0, F.lit(0.0)).otherwise(x.cast("double") / p["norm"])
+        ),
     )
+    return scaled[0]
 
 
 def cosine_distance(left: Column, right: Column) -> Column:

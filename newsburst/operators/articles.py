@@ -19,8 +19,11 @@ def unknown_ids(articles: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _patch(table: DataFrame, changes: DataFrame, column: str) -> DataFrame:
-    """Replace ``column`` where a change is given for the id; column order is kept."""
-    changes = changes.select("id", F.col(column).alias("_new")).dropDuplicates(["id"])
+    """Replace ``column`` where a change is given for the id; column order is kept.
+
+    Of several changes for one id the largest value wins; ``unknown_ids`` lists ids without an article.
+    """
+    changes = changes.groupBy("id").agg(F.max(column).alias("_new"))
     patched = F.coalesce("_new", column).cast(table.schema[column].dataType).alias(column)
     return table.join(changes, "id", "left").select(
         *[patched if c == column else c for c in table.columns]

@@ -14,7 +14,6 @@ from newsburst.operators.visibility import exclusive_pairs, shared_pool
 from newsburst.schemas import (
     DEFAULT_EPS,
     DEFAULT_HOURS,
-    DEFAULT_MAX_ARTICLES,
     DEFAULT_MIN_SAMPLES,
     PRESETS,
     SAMPLE_SEPARATOR,
@@ -33,7 +32,7 @@ def resolve_parameters(
 ) -> DataFrame:
     """One row per tenant: an argument wins over the tenant's own setting.
 
-    A cap of null or zero means the default cap.
+    A cap of null or zero means no cap: every candidate is clustered.
     """
     cap = F.col("max_articles_limit")
 
@@ -45,33 +44,32 @@ def resolve_parameters(
         given(hours, "default_hours", "int").alias("hours"),
         given(eps, "default_eps", "double").alias("eps"),
         given(min_samples, "default_min_samples", "int").alias("min_samples"),
-        F.when(F.coalesce(cap, F.lit(0)) == 0, F.lit(DEFAULT_MAX_ARTICLES))
-        .otherwise(cap)
-        .cast("long")
-        .alias("cap"),
+        F.nullif(cap.cast("long"), F.lit(0)).alias("cap"),
     )
 
 
 @dataclass(frozen=True)
 class Scopes:
-    """Tenant parameters with the two numbers a scan needs: the widest window, the largest cap."""
+    """Tenant parameters with the two numbers a scan needs: the widest window, and the largest
+    cap, null when some tenant has none."""
 
     params: DataFrame
     hours: int
-    cap: int
+    cap: int | None
 
 
 def scopes(systems: DataFrame, configs: DataFrame, **options) -> Scopes:
     """Resolve parameters and raise when a tenant has no configuration; one small job."""
     params = resolve_parameters(systems, configs, **options)
-    asked = systems.select("system_id").join(params, "system_id", "left")
-    missing = F.collect_list(F.when(F.col("cap").isNull(), F.col("system_id")))
-    lost, hours, cap = asked.agg(
-        F.slice(missing, 1, 10), F.max("hours"), F.max("cap")
+    known = params.withColumn("known", F.lit(True))
+    asked = systems.select("system_id").join(known, "system_id", "left")
+    missing = F.when(F.col("known").isNull(), F.col("system_id"))
+    lost, low, high, hours, cap, capped, rows = asked.agg(
+        F.count(missing), F.min(missing), F.max(missing), F.max("hours"), F.max("cap"), F.count("cap"), F.count("*")
     ).first()
     if lost:
-        raise MissingConfig(f"no configuration for tenants {lost}")
-    return Scopes(params, hours or 0, cap or 0)
+        raise MissingConfig(f"no configuration for {lost} tenants, between {low} and {high}")
+    return Scopes(params, hours or 0, cap if rows and capped == rows else None)
 
 
 def _tenant_pairs(narrow: DataFrame, pool: DataFrame, links: DataFrame, params: DataFrame) -> DataFrame:
@@ -80,17 +78,29 @@ def _tenant_pairs(narrow: DataFrame, pool: DataFrame, links: DataFrame, params:
     return exclusive_pairs(narrow, links, params).unionByName(shared).join(params, "system_id")
 
 
+def _newest_minutes(rows: DataFrame, cap: int) -> DataFrame:
+    """The rows of the newest minutes that hold ``cap`` rows together, or all: counts decide, no
+    rows are sorted."""
+    minute = F.date_trunc("minute", "create_time")
+    counts = rows.groupBy(minute.alias("minute")).agg(F.count("*").alias("n"))
+    newer = Window.orderBy(F.col("minute").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0))).filter(F.col("newer") < cap)
+    return rows.filter(F.col("create_time") >= needed.agg(F.min("minute")).scalar())
+
+
 def tenant_candidates(articles: DataFrame, links: DataFrame, tenants: Scopes, as_of) -> DataFrame:
     """(system_id, id, create_time, eps, min_samples, cap) of all given tenants.
 
     The widest window of any tenant goes to the scan; each tenant's own window follows on
-    the narrow pairs. Of the shared pool only the newest rows up to the largest cap can be
-    among any tenant's newest rows, so the pool is cut to that before it is repeated per
-    tenant; the result is the same.
+    the narrow pairs. Where all tenants have caps, only the newest rows of the shared pool up to
+    the largest cap can be among any tenant's newest rows; older minutes are left out before the
+    pool is repeated per tenant, and the result is the same.
     """
     narrow = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, tenants.hours)
     narrow = narrow.select("id", "system_id", "is_shared", "create_time")
-    pool = shared_pool(narrow).select("id", "create_time").orderBy(*filters.newest_first()).limit(tenants.cap)
+    pool = shared_pool(narrow).select("id", "create_time")
+    if tenants.cap is not None:
+        pool = _newest_minutes(pool, tenants.cap)
     own_window = moment(as_of, articles) - F.make_dt_interval(F.lit(0), F.col("hours"))
     pairs = _tenant_pairs(narrow, pool, links, tenants.params).filter(F.col("create_time") >= own_window)
     return pairs.select("system_id", "id", "create_time", "eps", "min_samples", "cap")
@@ -132,9 +142,12 @@ def global_candidates(
     hours: int = DEFAULT_HOURS,
     eps: float = DEFAULT_EPS,
     min_samples: int = DEFAULT_MIN_SAMPLES,
-    cap: int = DEFAULT_MAX_ARTICLES,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Candidates without tenants, under one pseudo tenant. Deleted rows are not left out."""
+    """Candidates without tenants, under one pseudo tenant. Deleted rows are not left out.
+
+    All candidates count unless a ``cap`` on the newest is given (80,000 is usual).
+    """
     recent = filters.within_hours(filters.embedded(articles), as_of, hours)
     return recent.select(
         F.lit(GLOBAL_SYSTEM).cast("long").alias("system_id"),
@@ -149,8 +162,8 @@ def global_candidates(
 def summarize(labels: DataFrame, articles: DataFrame, keys: list[str]) -> DataFrame:
     """One row per cluster with title, size, weight, score, sample titles and member ids.
 
-    Member ids are part of the result and bounded by the cap per tenant. Titles are cut to
-    the first few per cluster before they are gathered.
+    Member ids are part of the result. Titles are cut to the first few per cluster before they
+    are gathered.
     """
     time_type = labels.schema["create_time"].dataType
     # Wide columns are joined to the clustered rows only, noise is gone by then.
@@ -198,13 +211,12 @@ def tenant_labels(
 ) -> DataFrame:
     tenants = scopes(systems, configs, hours=hours, eps=eps, min_samples=min_samples)
     candidates = tenant_candidates(articles, links, tenants, as_of)
-    return dbscan_labels(
-        candidates, filters.embedded(articles).select("id", "embedding"), ["system_id"], **grid
-    )
+    recent = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, tenants.hours)
+    return dbscan_labels(candidates, recent.select("id", "embedding"), ["system_id"], **grid)
 
 
 def global_labels(articles, as_of, hours=DEFAULT_HOURS, eps=DEFAULT_EPS,
-                  min_samples=DEFAULT_MIN_SAMPLES, cap=DEFAULT_MAX_ARTICLES, **grid) -> DataFrame:
+                  min_samples=DEFAULT_MIN_SAMPLES, cap=None, **grid) -> DataFrame:
     candidates = global_candidates(articles, as_of, hours, eps, min_samples, cap)
     recent = filters.within_hours(filters.embedded(articles), as_of, hours)
     return dbscan_labels(candidates, recent.select("id", "embedding"), ["system_id"], **grid)
@@ -214,14 +226,18 @@ def cluster_events(
     articles, links, systems, configs, as_of, hours=None, eps=None, min_samples=None, **grid
 ) -> DataFrame:
     """Events of every tenant in ``systems``, clustered in one job."""
-    labels = tenant_labels(articles, links, systems, configs, as_of, hours, eps, min_samples, **grid)
-    return summarize(labels, articles, ["system_id"])
+    tenants = scopes(systems, configs, hours=hours, eps=eps, min_samples=min_samples)
+    candidates = tenant_candidates(articles, links, tenants, as_of)
+    # One windowed table gives vectors, titles and weights.
+    recent = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, tenants.hours)
+    labels = dbscan_labels(candidates, recent.select("id", "embedding"), ["system_id"], **grid)
+    return summarize(labels, recent, ["system_id"])
 
 
 def cluster_events_global(articles, as_of, hours=DEFAULT_HOURS, eps=DEFAULT_EPS,
-                          min_samples=DEFAULT_MIN_SAMPLES, cap=DEFAULT_MAX_ARTICLES, **grid) -> DataFrame:
+                          min_samples=DEFAULT_MIN_SAMPLES, cap=None, **grid) -> DataFrame:
     labels = global_labels(articles, as_of, hours, eps, min_samples, cap, **grid)
-    return summarize(labels, articles, ["system_id"])
+    return summarize(labels, filters.within_hours(filters.embedded(articles), as_of, hours), ["system_id"])
 
 
 def backfill_events(
@@ -231,12 +247,12 @@ def backfill_events(
     one clustering job."""
     tenants = scopes(systems, configs)
     candidates = backfill_candidates(articles, links, tenants, first_tick, ticks, step_minutes)
-    vectors = filters.embedded(articles).select("id", "embedding")
-    labels = dbscan_labels(candidates, vectors, ["system_id", "tick"], **grid)
-    return summarize(labels, articles, ["system_id", "tick"])
+    recent = filters.within_hours(filters.not_deleted(filters.embedded(articles)), first_tick, tenants.hours)
+    labels = dbscan_labels(candidates, recent.select("id", "embedding"), ["system_id", "tick"], **grid)
+    return summarize(labels, recent, ["system_id", "tick"])
 
 
-def cluster_presets(articles, as_of, hours, presets=PRESETS, cap=DEFAULT_MAX_ARTICLES, **grid) -> DataFrame:
+def cluster_presets(articles, as_of, hours, presets=PRESETS, cap=None, **grid) -> DataFrame:
     """Global events under each named (eps, min_samples) preset; vectors are prepared once."""
     options = F.array(
         *[
@@ -253,7 +269,7 @@ def cluster_presets(articles, as_of, hours, presets=PRESETS, cap=DEFAULT_MAX_ART
         "o.preset", "id", "create_time", "o.eps", "o.min_samples", F.lit(cap).cast("long").alias("cap")
     )
     labels = dbscan_labels(candidates, recent.select("id", "embedding"), ["preset"], **grid)
-    return summarize(labels, articles, ["preset"])
+    return summarize(labels, recent, ["preset"])
 
 
 def rank_events(events: DataFrame, keys: list[str], limit=None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -26,12 +27,15 @@ from newsburst.schemas import FLAG, LONG, table
 from newsburst.session import stage
 
 NOISE = -1
+# Stands for a null cap.
+NO_CAP = 1 << 62
 # Narrow per-row tables (some tens of bytes a row) of at most this many rows are broadcast.
 BROADCAST_ROWS = 100_000
 
 
 def newest_per_key(rows: DataFrame, keys: list[str], cap: str = "cap", salts: int = 32) -> DataFrame:
-    """The ``cap`` newest rows of each key (ties by id), without sorting whole keys.
+    """The ``cap`` newest rows of each key (ties by id), without sorting whole keys; a key with
+    a null cap keeps all its rows.
 
     A count per minute finds the minute in which the cap is reached. Newer minutes are kept
     as they are; only rows of that one minute are ranked, first within salted shares and
@@ -41,7 +45,7 @@ def newest_per_key(rows: DataFrame, keys: list[str], cap: str = "cap", salts: in
     minute = F.date_trunc("minute", F.col("create_time"))
     counted = rows.withColumn("_minute", minute)
     per_minute = counted.groupBy(*keys, "_minute").agg(
-        F.count("*").alias("_n"), F.max(cap).alias("_cap")
+        F.count("*").alias("_n"), F.coalesce(F.max(cap), F.lit(NO_CAP)).alias("_cap")
     )
     newest = Window.partitionBy(*keys).orderBy(F.col("_minute").desc())
     edges = (
@@ -115,37 +119,33 @@ def _graph(summary: DataFrame, keys: list[str], small) -> DataFrame:
     return cores.unionByName(forest).unionByName(sparse_edges)
 
 
-def dbscan_labels(
-    candidates: DataFrame,
-    vectors: DataFrame,
-    keys: list[str],
-    block_rows: int = BLOCK_ROWS,
-    task_edges: int = TASK_EDGES,
-) -> DataFrame:
-    """Cluster every scope of ``candidates`` and label each of its rows.
+@dataclass(frozen=True)
+class Neighbourhood:
+    """What the comparison of vectors found, staged, with the sizes observed on the way."""
 
-    candidates: keys, id, create_time, eps, min_samples, cap (the last three constant per
-    scope); vectors: id, embedding. Returns keys, id, create_time, is_core, cluster_id with
-    -1 for noise. Clusters are numbered by their newest core row; a border row belongs to
-    the lowest-numbered cluster it touches.
+    candidates: DataFrame  # after the cap
+    members: DataFrame  # candidates with the digest of their vector
+    copies: DataFrame  # one row per scope and distinct vector, named by its smallest id (rep)
+    summary: DataFrame  # degrees, forest and sparse edges between reps
+    rows: int
+    edges: int
+    degrees: int
+    one_block: bool
 
-    Sizes are observed while a table is written. When all rows together fit one block, and
-    all edges together one task, the jobs that would size each scope are left out.
-    """
-    spark = candidates.sparkSession
+
+def _compared(candidates: DataFrame, vectors: DataFrame, keys: list[str], block_rows: int) -> Neighbourhood | None:
+    """Compare the vectors of every scope in blocks; nothing when there are no candidates."""
     time_type = candidates.schema["create_time"].dataType
     seen = Observation()
     candidates = stage(
-        candidates.observe(seen, F.count(F.lit(1)).alias("rows"), F.min("cap").alias("cap")),
+        candidates.observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.min("cap"), F.lit(NO_CAP)).alias("cap")
+        ),
         "candidates",
     )
     rows, cap = seen.get["rows"], seen.get["cap"]
     if not rows:
-        result_schema = T.StructType(
-            [candidates.schema[k] for k in keys]
-            + table(id=LONG, create_time=time_type, is_core=FLAG, cluster_id=LONG).fields
-        )
-        return spark.createDataFrame([], result_schema)
+        return None
     # Every table below has at most one row per candidate, so the observed count bounds it.
     small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     blocks = 1
@@ -202,8 +202,58 @@ def dbscan_labels(
         ),
         "summary",
     )
+    found = counted.get
+    return Neighbourhood(
+        candidates, members, copies, summary, rows, found["edges"], found["degrees"], pivots is None
+    )
+
+
+def neighbour_counts(
+    candidates: DataFrame, vectors: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(keys, id, neighbours): how many rows of its scope lie within eps of each, itself included."""
+    found = _compared(candidates, vectors, keys, block_rows)
+    if found is None:
+        return candidates.select(*keys, "id", F.lit(0).cast("long").alias("neighbours")).limit(0)
+    degrees = (
+        found.summary.filter(F.col("kind") == DEGREE)
+        .groupBy(*keys, F.col("a").alias("rep"))
+        .agg(F.sum("b").alias("neighbours"))
+    )
+    named = found.members.join(found.copies.select(*keys, "digest", "rep"), [*keys, "digest"])
+    return named.join(degrees, [*keys, "rep"]).select(*keys, "id", "neighbours")
+
+
+def dbscan_labels(
+    candidates: DataFrame,
+    vectors: DataFrame,
+    keys: list[str],
+    block_rows: int = BLOCK_ROWS,
+    task_edges: int = TASK_EDGES,
+) -> DataFrame:
+    """Cluster every scope of ``candidates`` and label each of its rows.
+
+    candidates: keys, id, create_time, eps, min_samples, cap (the last three constant per
+    scope, cap may be null); vectors: id, embedding. Returns keys, id, create_time, is_core, cluster_id with
+    -1 for noise. Clusters are numbered by their newest core row; a border row belongs to
+    the lowest-numbered cluster it touches.
+
+    Sizes are observed while a table is written. When all rows together fit one block, and
+    all edges together one task, the jobs that would size each scope are left out.
+    """
+    compared = _compared(candidates, vectors, keys, block_rows)
+    if compared is None:
+        time_type = candidates.schema["create_time"].dataType
+        result_schema = T.StructType(
+            [candidates.schema[k] for k in keys]
+            + table(id=LONG, create_time=time_type, is_core=FLAG, cluster_id=LONG).fields
+        )
+        return candidates.sparkSession.createDataFrame([], result_schema)
+    candidates, members, copies = compared.candidates, compared.members, compared.copies
+    summary, rows = compared.summary, compared.rows
+    small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     graph = _graph(summary, keys, small)
-    few = counted.get["edges"] <= task_edges
+    few = compared.edges <= task_edges
     if not few:
         graph = stage(graph, "graph")
     edges = graph.filter(F.col("role") == "edge").select(*keys, "a", "b")
@@ -236,7 +286,7 @@ def dbscan_labels(
         border_labels.select("*", F.lit(False).alias("is_core"))
     )
     # A single block holds each distinct vector once: as many points as rows means no copies.
-    if pivots is None and counted.get["degrees"] == rows:
+    if compared.one_block and compared.degrees == rows:
         named = candidates.withColumn("rep", F.col("id"))
     else:
         named = members.join(copies.select(*keys, "digest", "rep"), [*keys, "digest"])

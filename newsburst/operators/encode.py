@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,12 @@ from newsburst.functions.scalars import article_text, l2_normalize
 from newsburst.operators import filters
 from newsburst.operators.visibility import visible_to
 from newsburst.schemas import (
-    EMBED_BATCH_ROWS,
     ENCODER_BATCH_ROWS,
     ENCODER_REQUEST_ROWS,
     LONG,
     table,
 )
-from newsburst.session import spread
+from newsburst.session import spread, stage
 
 # How text is cut into tokens, the same in SQL and in Python.
 TOKEN_BREAK = "[ \t\r\n。]+"
@@ -87,25 +87,27 @@ class TokenHashEncoder:
 
 def pending_texts(
     articles: DataFrame, as_of, links: DataFrame | None = None, system_id: int | None = None,
-    rows: int | None = EMBED_BATCH_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """(id, text) still to be encoded: of all articles, or of those one tenant sees.
 
-    ``rows`` caps one run, newest first; None takes everything there is.
+    By default all of them; ``rows`` caps one run, newest first (``EMBED_BATCH_ROWS`` in the
+    schemas is the usual batch). The capped ids are picked before any text is moved.
     """
     todo = filters.pending_embedding(articles, as_of)
     if system_id is not None:
         todo = visible_to(filters.not_deleted(todo), links, system_id)
-    todo = todo.select("id", "create_time", article_text().alias("text"))
-    return filters.embed_batch(todo, rows) if rows is not None else todo
+    if rows is not None:
+        picked = filters.embed_batch(todo.select("id", "create_time"), rows).select("id")
+        todo = todo.join(picked, "id", "left_semi")
+    return todo.select("id", "create_time", article_text().alias("text"))
 
 
 def encode_batches(docs: DataFrame, encoder_factory, batch_rows: int = ENCODER_BATCH_ROWS) -> DataFrame:
     """Run a batch encoder over (id, text) and scale its vectors to unit length.
 
     ``encoder_factory`` is called once per Python worker task and returns a function from a
-    list of texts to a list of vectors. Rows are spread by id first: a capped batch comes
-    out of its sort as a single partition.
+    list of texts to a list of vectors.
     """
 
     def encode(frames):
@@ -116,14 +118,12 @@ def encode_batches(docs: DataFrame, encoder_factory, batch_rows: int = ENCODER_B
                 vectors = encoder(part["text"].tolist())
                 if len(vectors) != len(part):
                     raise ValueError(f"encoder gave {len(vectors)} vectors for {len(part)} texts")
-                scaled = []
-                for vector in vectors:
-                    norm = math.sqrt(math.fsum(x * x for x in vector))
-                    scaled.append([x / norm for x in vector] if norm else list(vector))
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": scaled})
+                matrix = np.asarray(vectors, dtype=float).reshape(len(part), -1)
+                norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+                scaled = matrix / np.where(norms == 0, 1, norms)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": list(scaled)})
 
-    spread = docs.select("id", "text").repartition(F.col("id"))
-    return spread.mapInPandas(encode, VECTORS)
+    return spread(docs.select("id", "text")).mapInPandas(encode, VECTORS)
 
 
 def encoder_requests(docs: DataFrame, model: str | None = None, rows: int = ENCODER_REQUEST_ROWS) -> DataFrame:
@@ -152,12 +152,10 @@ def encoder_requests(docs: DataFrame, model: str | None = None, rows: int = ENCO
     )
 
 
-# The response shapes an encoder service may answer with, in the order in
-# which they are tried. The list of objects must come last: read as that shape, a JSON
-# object gives one null instead of nothing.
+# The response shapes an encoder service may answer with. The first bracket, or
+# the first two, tell which one to read, so a response is parsed once.
 RESPONSE_SHAPES = {
-    "embeddings": "STRUCT<embeddings: ARRAY<ARRAY<FLOAT>>>",
-    "data": "STRUCT<data: ARRAY<STRUCT<embedding: ARRAY<FLOAT>>>>",
+    "object": "STRUCT<embeddings: ARRAY<ARRAY<FLOAT>>, data: ARRAY<STRUCT<embedding: ARRAY<FLOAT>>>>",
     "lists": "ARRAY<ARRAY<FLOAT>>",
     "objects": "ARRAY<STRUCT<embedding: ARRAY<FLOAT>>>",
 }
@@ -166,12 +164,14 @@ RESPONSE_SHAPES = {
 def decode_response(response: Column) -> Column:
     """Response text to an array of vectors; null when it has none of the known shapes."""
     read = {name: F.from_json(response, shape) for name, shape in RESPONSE_SHAPES.items()}
-    plain = F.filter(read["lists"], lambda v: v.isNotNull())
-    return F.coalesce(
-        read["embeddings"]["embeddings"],
-        F.transform(read["data"]["data"], lambda d: d["embedding"]),
-        F.when(F.size(plain) > 0, plain),
-        F.transform(read["objects"], lambda d: d["embedding"]),
+    named = F.transform(
+        F.array(read["object"]),
+        lambda r: F.coalesce(r["embeddings"], F.transform(r["data"], lambda d: d["embedding"])),
+    )[0]
+    return (
+        F.when(response.rlike(r"^\s*\{"), named)
+        .when(response.rlike(r"^\s*\[\s*\["), read["lists"])
+        .when(response.rlike(r"^\s*\["), F.transform(read["objects"], lambda d: d["embedding"]))
     )
 
 
@@ -191,10 +191,40 @@ def decode_responses(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     error = F.when(F.col("vectors").isNull() | ~complete, "unknown response shape").otherwise(
         "vector count differs from text count"
     )
-    return vectors, decoded.filter(~good).select("batch", error.alias("error"))
+    return vectors, decoded.filter(~good).select("batch", "ids", error.alias("error"))
 
 
-def embed_pending(articles, as_of, encoder_factory=TokenHashEncoder, links=None, system_id=None,
-                  rows: int | None = EMBED_BATCH_ROWS) -> DataFrame:
+def encode_texts(docs: DataFrame, encoder_factory=None) -> DataFrame:
+    """(id, embedding) of (id, text): by token hashing in SQL, or by a caller's batch encoder."""
+    if encoder_factory is not None:
+        return encode_batches(docs, encoder_factory)
+    return hash_encode(token_rows(docs)).withColumn("embedding", F.col("embedding").cast("array<float>"))
+
+
+def embed_pending(articles, as_of, encoder_factory=None, links=None, system_id=None,
+                  rows: int | None = None) -> DataFrame:
     """Vectors of the pending articles: (id, embedding), to be joined back in bulk."""
-    return encode_batches(pending_texts(articles, as_of, links, system_id, rows), encoder_factory)
+    return encode_texts(pending_texts(articles, as_of, links, system_id, rows), encoder_factory)
+
+
+def embed_through_requests(
+    docs: DataFrame, answer_factory, model: str | None = None, rows: int = ENCODER_REQUEST_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Encode (id, text) through request bodies: (id, embedding), and the failed batches.
+
+    ``answer_factory`` is called once per task and returns a function from a request body to the
+    text of its response; what a service does per request stays with the caller. Vectors
+    are kept as the service gave them; a batch whose count or shape is wrong fails as a whole and is
+    reported with its ids. Answers are written once, so no request is sent again for the second output.
+    """
+
+    def ask(frames):
+        answer = answer_factory()
+        for frame in frames:
+            yield pd.DataFrame(
+                {"batch": frame["batch"], "ids": frame["ids"], "response": [answer(b) for b in frame["body"]]}
+            )
+
+    requests = encoder_requests(docs, model, rows)
+    answered = stage(requests.mapInPandas(ask, "batch STRING, ids ARRAY<BIGINT>, response STRING"), "answers")
+    return decode_responses(answered)

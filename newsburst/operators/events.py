@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsburst.functions.scalars import link_weight
 from newsburst.operators import filters
 from newsburst.operators.cluster import cluster_events, rank_events
-from newsburst.schemas import DEFAULT_MODEL, DEFAULT_SNAPSHOT_LIMIT
+from newsburst.schemas import DEFAULT_HOURS, DEFAULT_MODEL, DEFAULT_SNAPSHOT_LIMIT
 from newsburst.session import stage
 
 EVENT_KEYS = ["snapshot_time", "rank_no", "system_id"]
@@ -157,14 +157,28 @@ def snapshot_event_articles(
     return filters.heaviest_first(members, limit)
 
 
-def live_event_articles(events: DataFrame, articles: DataFrame, cluster_id: int, limit: int | None = 50):
-    """Articles of one live event."""
-    ids = events.filter(F.col("cluster_id") == cluster_id).select(
+def live_event_articles(
+    events: DataFrame, articles: DataFrame, system_id: int, cluster_id: int, limit: int | None = 50
+):
+    """Articles of one live event of one tenant, heaviest first."""
+    wanted = (F.col("system_id") == system_id) & (F.col("cluster_id") == cluster_id)
+    ids = events.filter(wanted).select(
         F.explode("article_ids").alias("id")
     )
     return filters.heaviest_first(articles.join(ids, "id", "left_semi"), limit)
 
 
+def live_drill_down(
+    articles, links, systems, configs, as_of, system_id: int, cluster_id: int,
+    hours: int = DEFAULT_HOURS, limit: int | None = 50, **options
+) -> DataFrame:
+    """Cluster one tenant's articles now and list those of one event. The window has its own
+    default; distance and size come from the tenant's settings."""
+    one = systems.filter(F.col("system_id") == system_id)
+    events = cluster_events(articles, links, one, configs, as_of, hours=hours, **options)
+    return live_event_articles(events, articles, system_id, cluster_id, limit)
+
+
 def overview(systems: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Events of all active tenants with the tenant's names."""
     names = systems.filter("is_active").select("system_id", "system_code", "system_name")

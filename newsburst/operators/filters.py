@@ -19,8 +19,14 @@ def embedded(df: DataFrame) -> DataFrame:
 
 
 def within_hours(df: DataFrame, as_of, hours) -> DataFrame:
-    """Rows at or after ``as_of - hours``; the lower bound is inclusive, there is no upper one."""
-    return df.filter(F.col("create_time") >= moment(as_of, df) - hours_interval(hours))
+    """Rows at or after ``as_of - hours``; the lower bound is inclusive, there is no upper one.
+
+    A table partitioned by ``create_date`` is pruned to the days of the window.
+    """
+    since = moment(as_of, df) - hours_interval(hours)
+    if "create_date" in df.columns:
+        df = df.filter(F.col("create_date") >= F.to_date(since))
+    return df.filter(F.col("create_time") >= since)
 
 
 def pending_embedding(df: DataFrame, as_of, days: int = EMBED_WINDOW_DAYS) -> DataFrame:

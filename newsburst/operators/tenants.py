@@ -73,8 +73,11 @@ def list_tenants(systems: DataFrame, is_active=None, system_id=None, system_code
 
 
 def insert_if_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Add rows whose key is not there yet; existing rows win."""
-    return table.unionByName(rows.join(table.select(key), key, "left_anti").select(table.columns))
+    """Add rows whose key is not there yet; existing rows win, and of several new rows of one
+    key the smallest in the order of the columns."""
+    new = rows.join(table.select(key), key, "left_anti")
+    one = new.groupBy(key).agg(F.min(F.struct(*table.columns)).alias("_row"))
+    return table.unionByName(one.select("_row.*"))
 
 
 def migrate_to_default(systems: DataFrame, table: DataFrame) -> DataFrame:

@@ -11,18 +11,12 @@ from pyspark.sql import functions as F
 
 
 def visible_to(articles: DataFrame, links: DataFrame, system_id: int) -> DataFrame:
-    """Articles one tenant sees. Links are made unique first, so no row fans out."""
-    linked = (
-        links.filter(F.col("system_id") == system_id)
-        .select(F.col("article_id").alias("id"), F.lit(True).alias("_linked"))
-        .dropDuplicates(["id"])
-    )
-    own = F.col("system_id") == system_id
-    shared = F.col("is_shared") & F.col("system_id").isNotNull()
-    joined = articles.join(linked, "id", "left")
-    return joined.filter(
-        F.coalesce(own, F.lit(False)) | F.coalesce(shared, F.lit(False)) | F.col("_linked").isNotNull()
-    ).select(*articles.columns)
+    """Articles one tenant sees. Own and shared ones are a filter at the scan; only the rest
+    meets the tenant's links, in a semi-join that no row fans out of."""
+    linked = links.filter(F.col("system_id") == system_id).select(F.col("article_id").alias("id"))
+    direct = (F.col("system_id") == system_id) | (F.col("is_shared") & F.col("system_id").isNotNull())
+    rest = articles.filter(~F.coalesce(direct, F.lit(False))).join(linked, "id", "left_semi")
+    return articles.filter(direct).unionByName(rest.select(*articles.columns))
 
 
 def shared_pool(articles: DataFrame) -> DataFrame:

@@ -11,9 +11,8 @@ from newsburst.functions.scalars import age_micros, cluster_weight, moment
 from newsburst.operators import cluster as C
 from newsburst.operators import events as E
 from newsburst.operators import filters
-from newsburst.operators.dbscan import newest_per_key
+from newsburst.operators.dbscan import neighbour_counts, newest_per_key
 from newsburst.operators.events import unnest_articles
-from newsburst.operators.neighbors import DEGREE, neighbour_summary, pack_vectors
 from newsburst.operators.stats import monitoring_counts, unowned_counts
 from newsburst.operators.components import connected_components
 from newsburst.plans.oracle import (
@@ -26,10 +25,11 @@ from newsburst.plans.oracle import (
     ticks_sql,
     with_views,
 )
-from newsburst.plans.registry import query
+from newsburst.plans.registry import ORACLES, query
 from newsburst.plans.relational import ARTICLE, CREATED, PENDING, article
 from newsburst.schemas import PRESETS
-from newsburst.session import stage
+from newsburst.session import scratch_path, stage
+from newsburst.sources import ingest
 
 GLOBAL = {"hours": 720, "eps": 0.6, "min_samples": 3}
 SEEN = TIME.format("snapshot_time")
@@ -66,25 +66,16 @@ EVENT_COLUMNS = EVENT.split(", ")
 @query("j12_neighbour_counts", global_sql(
     "select pts.id, count(*) neighbours from ed join pts on pts.rn = ed.i group by pts.id"))
 def j12(t):
-    """Neighbours within the distance per article, itself included."""
+    """Neighbours within the distance per article, itself included, over the block grid."""
     found = C.global_candidates(t.articles, t.as_of, **GLOBAL)
-    kind = t.articles.schema["create_time"].dataType
-    points = found.join(
-        pack_vectors(filters.embedded(t.articles).select("id", "embedding")), "id"
-    ).withColumns(
-        {"mult": F.lit(1).cast("long"), "age": age_micros(F.col("create_time"), kind), "first_id": F.col("id")}
-    )
-    summary = neighbour_summary(points, None, ["system_id"], 1)
-    return (
-        summary.filter(F.col("kind") == DEGREE)
-        .groupBy(F.col("a").alias("id"))
-        .agg(F.sum("b").alias("neighbours"))
-    )
+    recent = filters.within_hours(filters.embedded(t.articles), t.as_of, GLOBAL["hours"])
+    counts = neighbour_counts(found, recent.select("id", "embedding"), ["system_id"], block_rows=64)
+    return counts.select("id", "neighbours")
 
 
 @query("c0_parameters", with_views("""
 select system_id, default_hours as "hours", cast(0.5 as double) eps, default_min_samples min_samples,
-       case when coalesce(max_articles_limit, 0) = 0 then 80000 else max_articles_limit end cap
+       cast(nullif(max_articles_limit, 0) as bigint) cap
 from active join configs using (system_id)
 """))
 def c0(t):
@@ -110,13 +101,16 @@ select n id, min(l) root from walk group by n
 """)
 def c3(t):
     """Connected components of the graph of orders and their customers."""
+    return connected_components(stage(_customer_graph(t), "edges"), ["system_id"]).select("id", "root")
+
+
+def _customer_graph(t):
     orders = t.spark.read.parquet(f"{t.folder}/orders.parquet")
-    edges = orders.select(
+    return orders.select(
         F.lit(0).cast("long").alias("system_id"),
         F.col("o_orderkey").cast("long").alias("a"),
         (F.col("o_custkey").cast("long") + 1000000000).alias("b"),
     )
-    return connected_components(stage(edges, "edges"), ["system_id"]).select("id", "root")
 
 
 @query("c4_numbered_labels", tenant_sql("select k system_id, id, cluster_id, is_core::int is_core from labels_"))
@@ -153,7 +147,7 @@ _PRESET_ROWS = ", ".join(f"({i}, '{n}', {e}, {m})" for i, (n, (e, m)) in enumera
     "from ev join presets p on p.n = ev.k",
     f"""presets as (select * from (values {_PRESET_ROWS}) x(n, name, eps, ms)),
     cand as materialized (
-      select p.n k, id, create_time, p.eps + 0.2 eps, p.ms ms, 80000 cap, cast(embedding as double[]) u
+      select p.n k, id, create_time, p.eps + 0.2 eps, p.ms ms, cast(null as bigint) cap, cast(embedding as double[]) u
       from articles, clock, presets p
       where embedding is not null and create_time >= clock.t - interval 720 hour)""" + LABELS + EVENTS))
 def c9(t):
@@ -168,6 +162,47 @@ def d2s(t):
     return tenant_labels(t).select("system_id", "cluster_id").filter("cluster_id >= 0").distinct()
 
 
+# -- the same over many small blocks, with components in rounds ------------------------------
+
+GRID = {"block_rows": 64, "task_edges": 0}
+
+
+@query("c2_core_points_grid", ORACLES["c2_core_points"])
+def c2_grid(t):
+    return global_labels(t, **GRID).select("id", "is_core")
+
+
+@query("c3_components_rounds", ORACLES["c3_components"])
+def c3_rounds(t):
+    return connected_components(stage(_customer_graph(t), "edges"), ["system_id"], task_edges=0).select("id", "root")
+
+
+@query("c4_numbered_labels_grid", ORACLES["c4_numbered_labels"])
+def c4_grid(t):
+    return tenant_labels(t, **GRID).select("system_id", "id", "cluster_id", "is_core")
+
+
+@query("c6_tenant_clusters_grid", ORACLES["c6_tenant_clusters"])
+def c6_grid(t):
+    return tenant_events(t, **GRID).select("system_id", *EVENT_COLUMNS)
+
+
+@query("c8_point_labels_grid", ORACLES["c8_point_labels"])
+def c8_grid(t):
+    labels = global_labels(t, eps=0.65, min_samples=5, **GRID)
+    return labels.select("id", "create_time", "cluster_id", "is_core")
+
+
+@query("c6_day_partitions", ORACLES["c6_tenant_clusters"])
+def c6_days(t):
+    """Over an article table partitioned by day, of which each scan reads the window's days."""
+    path = scratch_path(t.spark, "articles")
+    ingest.write_articles(t.articles, path)
+    days = ingest.read_articles(t.spark, path, keep_day=True)
+    events = C.cluster_events(days, t.links, t.active_systems, t.configs, t.as_of)
+    return events.select("system_id", *EVENT_COLUMNS)
+
+
 # -- aggregates over clusters ----------------------------------------------------------------
 
 
@@ -247,13 +282,22 @@ def q2(t):
     return C.rank_events(global_events(t), ["system_id"], 20).select("rank_no", *EVENT_COLUMNS)
 
 
-@query("q6_live_event_articles", tenant_sql(
+Q6 = tenant_sql(
     f"select {ARTICLE} from articles where id in (select id from labels_ where k = 1 and cluster_id = 0) "
-    "order by articles.weight desc, articles.create_time desc, id limit 50", hours="720"))
+    "order by articles.weight desc, articles.create_time desc, id limit 50", hours="720")
+
+
+@query("q6_live_event_articles", Q6)
 def q6(t):
-    one = t.active_systems.filter("system_id = 1")
-    events = tenant_events(t, one, hours=720)
-    return article(E.live_event_articles(events, t.articles, 0, 50))
+    """The events of all tenants are given; only those of the asked tenant count."""
+    return article(E.live_event_articles(tenant_events(t, hours=720), t.articles, 1, 0, 50))
+
+
+@query("q6_live_drill_down", Q6)
+def q6_live(t):
+    return article(
+        E.live_drill_down(t.articles, t.links, t.active_systems, t.configs, t.as_of, 1, 0, hours=720)
+    )
 
 
 @query("j6_unnest_members", tenant_sql("select k system_id, cluster_id, place - 1 as position, id article_id from clustered"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from newsburst.functions.scalars import moment
@@ -32,10 +31,10 @@ from newsburst.streaming import jobs
 # -- encoding --------------------------------------------------------------------------------
 
 TEXT = "title || '。' || coalesce(summary, '') || '。' || coalesce(full_text, '') as text"
-TODO = f"select id, {TEXT} from articles, clock where {PENDING} order by create_time desc, id limit 1500"
+TODO = f"select id, {TEXT} from articles, clock where {PENDING}"
 TODO_1 = (
     f"select id, {TEXT} from articles, clock where {PENDING} and is_deleted = false "
-    "and id in (select id from visible where system_id = 1) order by create_time desc, id limit 1500"
+    "and id in (select id from visible where system_id = 1)"
 )
 SLOTS = "select id, slot, round(v, 5) val from vec"
 # Encoders store single precision.
@@ -66,20 +65,39 @@ from docs d join range(64) r(slot) on true left join cnt c on c.id = d.id and c.
 @query("e3_embed_through_requests", hashed_sql(TODO, RAW_SLOTS))
 def e3(t):
     """Request bodies of fifty texts, answered by an encoder and decoded; vectors are stored
-    as the service gave them."""
-    requests = N.encoder_requests(N.pending_texts(t.articles, t.as_of))
+    as the service gave them, and articles of failed batches are listed with slot -1."""
 
-    def answer(frames):
+    def service():
         encoder = N.TokenHashEncoder()
-        for frame in frames:
-            answers = [
-                json.dumps({"embeddings": encoder(json.loads(body)["texts"])}) for body in frame["body"]
-            ]
-            yield pd.DataFrame({"batch": frame["batch"], "ids": frame["ids"], "response": answers})
+        return lambda body: json.dumps({"embeddings": encoder(json.loads(body)["texts"])})
 
-    answered = stage(requests.mapInPandas(answer, "batch STRING, ids ARRAY<BIGINT>, response STRING"), "answers")
-    vectors, _ = N.decode_responses(answered)
-    return slots(vectors)
+    vectors, failed = N.embed_through_requests(N.pending_texts(t.articles, t.as_of), service)
+    return slots(vectors).unionByName(_failed_slots(failed))
+
+
+def _failed_slots(failed):
+    return failed.select(
+        F.explode("ids").alias("id"), F.lit(-1).cast("long").alias("slot"), F.lit(-1.0).alias("val")
+    )
+
+
+@query("e3_short_answers", f"select vec_id id, case when vec_id // 50 % 3 = 1 then -1 else len(embedding) end n from embeddings")
+def e3_short(t):
+    """Answers of fifty vectors, every third one vector short: it fails as a whole, with its ids."""
+    batch = F.floor(F.col("vec_id") / 50)
+    rows = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    groups = t.raw("embeddings").groupBy(batch.alias("n")).agg(rows.alias("r"))
+    vectors = F.transform("r", lambda x: x["embedding"])
+    sent = F.when(F.col("n") % 3 == 1, F.slice(vectors, 1, F.size("r") - 1)).otherwise(vectors)
+    answers = groups.select(
+        F.col("n").cast("string").alias("batch"),
+        F.transform("r", lambda x: x["vec_id"]).alias("ids"),
+        F.to_json(F.struct(sent.alias("embeddings"))).alias("response"),
+    )
+    good, failed = N.decode_responses(answers)
+    return good.select("id", F.size("embedding").alias("n")).unionByName(
+        failed.select(F.explode("ids").alias("id"), F.lit(-1).alias("n"))
+    )
 
 
 @query("e4_hash_encode", hashed_sql(f"select id, {TEXT} from articles", SLOTS))
@@ -130,21 +148,21 @@ def f14(t):
 
 
 @query("f15_encoder_requests", with_views(f"""
-select (rn - 1) // 50 as slot, 'm1' model, count(*) texts, cast(sum(length(text)) as bigint) characters, string_agg(cast(id as varchar), ',' order by rn) ids
-from (select id, text, row_number() over (order by create_time desc, id) rn from (
-  select id, create_time, {TEXT} from articles, clock where {PENDING} order by create_time desc, id limit 1500))
-group by 1"""))
+select id, 'm1' model, 1 as fits, length(text) characters, md5(text) digest
+from (select id, {TEXT} from articles, clock where {PENDING})"""))
 def f15(t):
+    """Every pending text, read back from the request bodies beside its id."""
     requests = N.encoder_requests(N.pending_texts(t.articles, t.as_of), model="m1")
     body = F.from_json("body", "STRUCT<texts: ARRAY<STRING>, model: STRING>")
-    rows = requests.select("batch", "ids", body.alias("b"))
-    lengths = F.aggregate("b.texts", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    return rows.select(
-        F.split_part("batch", F.lit("-"), F.lit(2)).cast("long").alias("slot"),
+    rows = requests.select("ids", body.alias("b"))
+    pairs = rows.select(
         F.col("b.model").alias("model"),
-        F.size("b.texts").alias("texts"),
-        lengths.alias("characters"),
-        "ids",
+        (F.size("ids") <= 50).cast("int").alias("fits"),
+        F.explode(F.arrays_zip("ids", F.col("b.texts").alias("texts"))).alias("p"),
+    )
+    return pairs.select(
+        F.col("p.ids").alias("id"), "model", "fits",
+        F.length("p.texts").alias("characters"), F.md5("p.texts").alias("digest"),
     )
 
 
@@ -155,10 +173,19 @@ def f15(t):
 select a.id, cast(coalesce(cast(l.quality * 10 as decimal(16,4)), a.weight) as double) weight
 from articles a left join labels l on l.doc_id = a.id"""))
 def w1(t):
-    changes = t.raw("labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 10).alias("weight"))
+    """Two changes for each labelled article, the larger of which counts."""
+    changes = t.raw("labels").select(
+        F.col("doc_id").alias("id"), F.explode(F.array(F.col("quality") * 10, F.col("quality") * 10 - 5)).alias("weight")
+    )
     return A.update_weights(t.articles, changes).select("id", "weight")
 
 
+@query("w1_unknown_ids", "select distinct doc_id + 1000000000 id from labels")
+def w1_unknown(t):
+    """Changes for articles that do not exist are reported."""
+    return A.unknown_ids(t.articles, _shares(t).select(F.col("article_id").alias("id")))
+
+
 @query("w2_soft_delete", with_views("""
 select id, coalesce(case when id in (select doc_id from labels where quality = 0) then 1 else is_deleted::int end, -1) is_deleted
 from articles"""))
@@ -337,7 +364,9 @@ def w11(t):
         (F.col("c_custkey") + 5001).alias("system_id"),
         F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("no-"), name)).otherwise(name).alias("system_code"),
     )
-    return T.insert_if_absent(table, rows, "system_code")
+    # Every row comes again with a larger id; the smaller one is kept.
+    again = rows.withColumn("system_id", F.col("system_id") + 1000000)
+    return T.insert_if_absent(table, rows.unionByName(again), "system_code")
 
 
 CREATED_TENANTS = """
@@ -416,17 +445,24 @@ def t3(t):
 
 
 @query("s1_ingest_stream", with_views(f"""
-select id, 7 system_id, title, cast(case when source = 'src9' then 1 else weight end as double) weight, {CREATED} create_time
-from articles where (source = 'src9' or weight > 0) and trim(title) <> ''"""))
+select id, 7 system_id, title, cast(case when source = 'src9' then 1 else weight end as double) weight, {CREATED} create_time,
+  case when (source = 'src9' or weight > 0) and trim(title) <> '' then 'stored' else 'rejected' end as kind
+from articles"""))
 def s1(t):
-    """Article files in which every record comes twice; invalid ones are left out."""
+    """Two runs: newer articles first, then the late older ones and all the newer ones again.
+    Invalid records end beside the table, none are lost."""
     records = _records(t)
-    source = scratch_path(t.spark, "incoming")
-    records.unionByName(records).write.options(**MICROS).json(source)
-    target = scratch_path(t.spark, "ingested")
-    run = jobs.ingest_stream(t.spark, source, target, scratch_path(t.spark, "checkpoint"), system_id=7, watermark="60 days")
-    run.awaitTermination()
-    return t.spark.read.parquet(target).select("id", "system_id", "title", "weight", "create_time")
+    middle = records.agg(F.percentile_approx(F.unix_micros(F.col("createTime").cast("timestamp")), 0.5)).first()[0]
+    newer = F.unix_micros(F.col("createTime").cast("timestamp")) > middle
+    source, target = scratch_path(t.spark, "incoming"), scratch_path(t.spark, "ingested")
+    checkpoint = scratch_path(t.spark, "checkpoint")
+    for part in (records.filter(newer), records.unionByName(records.filter(newer))):
+        part.write.mode("append").options(**MICROS).json(source)
+        jobs.ingest_stream(t.spark, source, target, checkpoint, system_id=7).awaitTermination()
+    stored = t.spark.read.parquet(target).withColumn("kind", F.lit("stored"))
+    rejected = t.spark.read.parquet(f"{target}_rejected").withColumn("kind", F.lit("rejected"))
+    columns = ["id", "system_id", "title", "weight", "create_time", "kind"]
+    return stored.select(*columns).unionByName(rejected.select(*columns))
 
 
 @query("s2_embed_stream", hashed_sql(f"select id, {TEXT} from articles where embedding is null", FLOAT_SLOTS))

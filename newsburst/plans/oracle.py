@@ -56,7 +56,7 @@ cand as materialized (
 PARAMS = """
 params as (
   select system_id, {hours} as window_hours, {eps} eps, {ms} ms,
-         case when coalesce(max_articles_limit, 0) = 0 then 80000 else max_articles_limit end cap
+         nullif(max_articles_limit, 0) cap
   from active join configs using (system_id))
 """
 
@@ -88,7 +88,7 @@ LABELS = """,
 pts as materialized (
   select * from (
     select *, row_number() over (partition by k order by create_time desc, id) rn from cand)
-  where rn <= cap),
+  where rn <= cap or cap is null),
 ed as materialized (
   select a.k, a.rn i, b.rn j, a.ms
   from pts a join pts b on a.k = b.k
@@ -161,7 +161,7 @@ def with_views(select: str, *parts: str) -> str:
     return "with recursive " + BASE + "".join(f", {p.lstrip(',')}" for p in parts) + select
 
 
-def global_sql(select, hours=720, eps=0.6, ms=3, cap=80000, tail=LABELS + EVENTS) -> str:
+def global_sql(select, hours=720, eps=0.6, ms=3, cap="cast(null as bigint)", tail=LABELS + EVENTS) -> str:
     return with_views(select, GLOBAL.format(hours=hours, eps=eps, ms=ms, cap=cap) + tail)
 
 

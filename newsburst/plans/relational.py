@@ -118,18 +118,20 @@ def i3(t):
 
 @query("i4_validate", with_views("""
 select id, array_to_string(list_filter([
-  case when title is null or trim(title) = '' then 'title: must not be blank' end,
+  case when title is null or not regexp_matches(title, '[^\x00-\x20]') then 'title: must not be blank' end,
   case when weight is null then 'weight: must not be null' end,
   case when weight <= 0 then 'weight: must be greater than 0' end,
   case when embedding is not null and len(embedding) <> 64 then 'embedding: must have 64 dimensions' end
 ], lambda x: x is not null), ';') errors
-from (select id, case when source = 'src5' then '  ' else title end title,
+from (select id, case when source = 'src5' then '  ' when source = 'src4' then chr(9) || chr(10) else title end title,
              case when source = 'src6' then null else weight end weight, embedding from articles)
 """))
 def i4(t):
     rows = t.articles.withColumns(
         {
-            "title": F.when(F.col("source") == "src5", "  ").otherwise(F.col("title")),
+            "title": F.when(F.col("source") == "src5", "  ")
+            .when(F.col("source") == "src4", "\t\n")
+            .otherwise(F.col("title")),
             "weight": F.when(F.col("source") != "src6", F.col("weight")),
         }
     )

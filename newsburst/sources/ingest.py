@@ -37,7 +37,8 @@ def apply_defaults(records: DataFrame, received_at=None, system_id: int | None =
 def field_errors(title="title", weight="weight", embedding=None, dimension: int | None = None):
     """Array of error texts of one row; empty when the row is valid."""
     checks = [
-        F.when(F.col(title).isNull() | (F.trim(title) == ""), F.lit("title: must not be blank")),
+        # Blank: nothing above U+0020, as tabs and line feeds are.
+        F.when(~F.coalesce(F.col(title).rlike("[^\\x00-\\x20]"), F.lit(False)), F.lit("title: must not be blank")),
         F.when(F.col(weight).isNull(), F.lit("weight: must not be null")),
         F.when(F.col(weight) <= 0, F.lit("weight: must be greater than 0")),
     ]
@@ -51,10 +52,15 @@ def field_errors(title="title", weight="weight", embedding=None, dimension: int
     return F.array_compact(F.array(*checks))
 
 
+def with_errors(rows: DataFrame, dimension: int | None = None) -> DataFrame:
+    """Rows with their ``errors``, an empty list when valid."""
+    embedding = "embedding" if "embedding" in rows.columns else None
+    return rows.withColumn("errors", field_errors(embedding=embedding, dimension=dimension))
+
+
 def validate(rows: DataFrame, dimension: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Split rows into accepted ones and rejected ones with their ``errors``."""
-    embedding = "embedding" if "embedding" in rows.columns else None
-    judged = rows.withColumn("errors", field_errors(embedding=embedding, dimension=dimension))
+    judged = with_errors(rows, dimension)
     accepted = judged.filter(F.size("errors") == 0).drop("errors")
     return accepted, judged.filter(F.size("errors") > 0)
 
@@ -91,10 +97,16 @@ def write_articles(articles: DataFrame, path: str) -> None:
     ).write.mode("append").partitionBy("create_date").parquet(path)
 
 
-def read_articles(spark: SparkSession, path: str, as_of=None, hours: int | None = None) -> DataFrame:
-    """Article table; with a window only the days that can hold its rows are listed."""
+def read_articles(
+    spark: SparkSession, path: str, as_of=None, hours: int | None = None, keep_day: bool = False
+) -> DataFrame:
+    """Article table; with a window only the days that can hold its rows are listed.
+
+    ``keep_day`` leaves the ``create_date`` column in, by which every later time window of the
+    operators prunes days as well.
+    """
     articles = spark.read.parquet(path)
     if as_of is not None and hours is not None:
         first = F.to_date(F.lit(str(as_of)).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours)))
         articles = articles.filter(F.col("create_date") >= first)
-    return articles.drop("create_date")
+    return articles if keep_day else articles.drop("create_date")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsburst.functions.scalars import article_text, is_pending, moment
-from newsburst.operators.encode import TokenHashEncoder, encode_batches
+from newsburst.operators.encode import encode_texts
 from newsburst.operators.events import build_snapshot
 from newsburst.schemas import ARTICLE_RECORD
-from newsburst.sources.ingest import apply_defaults, validate
+from newsburst.sources.ingest import apply_defaults, with_errors
 from newsburst.sources.store import SnapshotStore
 
 EMBED_EVERY = "8 minutes"
@@ -26,25 +26,34 @@ def _start(writer, every: str | None):
 def ingest_stream(
     spark: SparkSession, source: str, target: str, checkpoint: str,
     system_id: int | None = None, watermark: str = "1 hour", every: str | None = None,
+    rejected: str | None = None,
 ):
-    """JSON article files to an article table: defaults, validation, duplicate ids dropped.
+    """JSON article files to an article table, invalid records with their errors to ``rejected``
+    (by default ``target`` with ``_rejected`` behind it).
 
-    An id that comes again within the watermark is dropped; state older than it is freed.
+    The watermark counts from arrival, not from the article's own time: an old article that comes
+    late is stored like any other. An id that comes again within the watermark is dropped, valid
+    and invalid records apart; state older than it is freed. Each micro-batch is written under
+    its own number, so one that runs again replaces its earlier attempt.
     """
     records = spark.readStream.schema(ARTICLE_RECORD).json(source)
-    accepted, _ = validate(apply_defaults(records, system_id=system_id))
-    unique = accepted.withWatermark("create_time", watermark).dropDuplicatesWithinWatermark(["id"])
-    writer = (
-        unique.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
+    judged = with_errors(apply_defaults(records, system_id=system_id))
+    judged = judged.withColumns({"_arrived": F.current_timestamp(), "_valid": F.size("errors") == 0})
+    unique = judged.withWatermark("_arrived", watermark).dropDuplicatesWithinWatermark(["id", "_valid"])
+    rejected = rejected or f"{target.rstrip('/')}_rejected"
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch = batch.drop("_arrived")
+        parts = ((target, batch.filter("_valid").drop("errors")), (rejected, batch.filter("NOT _valid")))
+        for path, rows in parts:
+            rows.drop("_valid").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = unique.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _start(writer, every).start()
 
 
 def embed_stream(
-    articles_stream: DataFrame, target: str, checkpoint: str, encoder_factory=TokenHashEncoder,
+    articles_stream: DataFrame, target: str, checkpoint: str, encoder_factory=None,
     every: str | None = EMBED_EVERY,
 ):
     """Encode each micro-batch of new articles that still lacks vectors, and append the
@@ -56,7 +65,7 @@ def embed_stream(
 
     def encode(batch: DataFrame, number: int) -> None:
         todo = batch.filter(is_pending(F.col("embedding"))).select("id", article_text().alias("text"))
-        encode_batches(todo, encoder_factory).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        encode_texts(todo, encoder_factory).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = articles_stream.writeStream.foreachBatch(encode).option("checkpointLocation", checkpoint)
     return _start(writer, every).start()
@@ -78,8 +87,8 @@ def due_tenants(systems: DataFrame, schedule: DataFrame, last_run: DataFrame, no
 
 
 def interval_minutes(cron) -> object:
-    """Minutes of an every-n-minutes schedule text (``*/n * * * *``)."""
-    return F.regexp_extract(cron, r"^\*/(\d+) ", 1).cast("int")
+    """Minutes of an every-n-minutes schedule text (``*/n * * * *``); null for any other."""
+    return F.nullif(F.regexp_extract(cron, r"^\*/(\d+) ", 1), F.lit("")).cast("int")
 
 
 def refresh_stream(
@@ -87,10 +96,11 @@ def refresh_stream(
     load: Callable[[], tuple[DataFrame, DataFrame, DataFrame, DataFrame]],
     every: str | None = REFRESH_EVERY, keep: int = 1,
 ):
-    """Refresh the snapshots on every tick.
+    """Refresh, on every tick, the snapshots of the tenants that are due.
 
     ``ticks`` is a stream with an ``as_of`` column (a rate source, or the ingest table);
-    ``load`` returns the current articles, links, systems and configs.
+    ``load`` returns the current articles, links, systems and configs. A tenant is due when its
+    ``clustering_cron`` interval has passed since its last snapshot; one without an interval always is.
     """
 
     def refresh(batch: DataFrame, number: int) -> None:
@@ -99,6 +109,10 @@ def refresh_stream(
             return
         articles, links, systems, configs = load()
         moment_ = moment(as_of, articles)
+        cron = F.col("clustering_cron") if "clustering_cron" in configs.columns else F.lit(None).cast("string")
+        schedule = configs.select("system_id", F.coalesce(interval_minutes(cron), F.lit(0)).alias("interval_minutes"))
+        last = store.heads().groupBy("system_id").agg(F.max("snapshot_time").alias("snapshot_time"))
+        systems = due_tenants(systems, schedule, last, moment_.cast("timestamp"))
         snapshot, members = build_snapshot(articles, links, systems, configs, as_of, moment_)
         store.commit(snapshot, members, systems, moment_, keep=keep)
 
