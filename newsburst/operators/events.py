@@ -28,7 +28,8 @@ SNAPSHOT_COLUMNS = [
 
 
 def snapshot_rows(ranked: DataFrame, snapshot_time, model_name: str = DEFAULT_MODEL) -> DataFrame:
-    """Snapshot rows of ranked events; ``ranked`` carries the window actually used in ``hours``."""
+    """Snapshot rows of ranked events; ``ranked`` carries the window actually used in ``hours``,
+    ``model_name`` says what made the vectors."""
     return ranked.select(
         snapshot_time.alias("snapshot_time"),
         "rank_no",
@@ -137,12 +138,16 @@ def display(events: DataFrame) -> DataFrame:
     )
 
 
-def event_members(snapshot: DataFrame, event_articles: DataFrame, articles: DataFrame) -> DataFrame:
-    """Snapshot rows joined to their links and articles."""
+def event_members(
+    snapshot: DataFrame, event_articles: DataFrame, articles: DataFrame, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """Snapshot rows joined to their links and articles; ``system_id`` is the event's tenant,
+    ``owner_id`` the article's own. ``carried``: further columns of the snapshot to keep."""
+    named = articles.withColumnsRenamed({"id": "article_id", "system_id": "owner_id"})
     return (
-        snapshot.select(*EVENT_KEYS)
+        snapshot.select(*EVENT_KEYS, *carried)
         .join(event_articles, EVENT_KEYS)
-        .join(articles.withColumnRenamed("id", "article_id").drop("system_id"), "article_id")
+        .join(named, "article_id")
         .withColumnRenamed("article_id", "id")
     )
 

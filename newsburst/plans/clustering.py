@@ -328,9 +328,9 @@ def s4(t):
 
 # -- stored snapshots ------------------------------------------------------------------------
 
-SNAP = f"system_id, {SEEN} snapshot_time, rank_no, cluster_id, title, article_count, total_weight, hot_score, sample_titles, hours_window"
+SNAP = f"system_id, {SEEN} snapshot_time, rank_no, cluster_id, title, article_count, total_weight, hot_score, sample_titles, hours_window, 'token-hash-64' model_name"
 SNAP_COLUMNS = (
-    "system_id snapshot_time rank_no cluster_id title article_count total_weight hot_score sample_titles hours_window"
+    "system_id snapshot_time rank_no cluster_id title article_count total_weight hot_score sample_titles hours_window model_name"
 ).split()
 LATEST = "snapshot_time = (select max(snapshot_time) from snap x where x.system_id = snap.system_id)"
 
@@ -426,8 +426,7 @@ order by articles.weight desc, articles.create_time desc, id limit 50"""))
 def q5(t):
     store = t.store
     rows = E.snapshot_event_articles(store.snapshot, store.event_articles, t.articles, 1, 1, 50)
-    owner = t.articles.select("id", F.col("system_id").alias("owner"))
-    return article(rows.drop("system_id").join(owner, "id").withColumnRenamed("owner", "system_id"))
+    return article(rows.withColumn("system_id", F.col("owner_id")))
 
 
 @query("q7_top_event_members", stored_sql(f"""
@@ -436,7 +435,6 @@ from snap s join snap_articles m using (system_id, snapshot_time, rank_no) join
 where s.snapshot_time = (select max(snapshot_time) from snap) and s.rank_no = 1"""))
 def q7(t):
     store = t.store
-    top = E.latest_global(store.snapshot, rank_no=1)
-    named = top.select(*E.EVENT_KEYS, F.col("title").alias("event_title"))
-    members = E.event_members(top, store.event_articles, t.articles).join(named, E.EVENT_KEYS)
+    top = E.latest_global(store.snapshot, rank_no=1).withColumnRenamed("title", "event_title")
+    members = E.event_members(top, store.event_articles, t.articles, ("event_title",))
     return members.select("system_id", "rank_no", "event_title", "id", "title", "source", "weight", "create_time")

@@ -15,6 +15,7 @@ from newsburst.operators import tenants as T
 from newsburst.plans.clustering import SEEN, SNAP, SNAP_COLUMNS
 from newsburst.plans.oracle import STORED, TIME, hashed_sql, stored_sql, tenant_sql, with_views
 from newsburst.plans.registry import query
+from newsburst.plans.views import MODEL
 from newsburst.plans.relational import (
     CREATED,
     MICROS,
@@ -243,7 +244,7 @@ def _refreshed(t):
     store = t.store
     some = t.active_systems.filter(F.col("system_id").isin(3, 4))
     at = moment(t.as_of, t.articles)
-    new, members = E.build_snapshot(t.articles, t.links, some, t.configs, t.as_of, at)
+    new, members = E.build_snapshot(t.articles, t.links, some, t.configs, t.as_of, at, model_name=MODEL)
     return (
         E.replace_tenants(store.snapshot, new, some),
         E.replace_tenants(store.event_articles, members, some),
@@ -477,7 +478,7 @@ def s2(t):
 
 @query("s3_refresh_stream", tenant_sql(f"""
 select k system_id, {TIME.format('clock.t')} snapshot_time, rank_no, cluster_id, title, article_count, total_weight,
-       hot_score, sample_titles, default_hours hours_window
+       hot_score, sample_titles, default_hours hours_window, 'token-hash-64' model_name
 from ev join configs c on c.system_id = k, clock where rank_no <= c.snapshot_limit"""))
 def s3(t):
     """One tick, given by the newest article, refreshes the store."""
@@ -487,5 +488,6 @@ def s3(t):
     stream = t.spark.readStream.schema(ticks.schema).parquet(source)
     store = SnapshotStore(t.spark, scratch_path(t.spark, "store"))
     load = lambda: (t.articles, t.links, t.active_systems, t.configs)
-    jobs.refresh_stream(stream, store, scratch_path(t.spark, "checkpoint"), load, every=None).awaitTermination()
+    run = jobs.refresh_stream(stream, store, scratch_path(t.spark, "checkpoint"), load, every=None, model_name=MODEL)
+    run.awaitTermination()
     return store.snapshot.select(*SNAP_COLUMNS)

@@ -27,6 +27,10 @@ RAW_SCHEMAS = {
 }
 
 
+# What stands for the encoder's name in stored snapshots.
+MODEL = "token-hash-64"
+
+_newest: dict[tuple[str, str], dt.datetime] = {}
 _stores: dict[tuple[str, str], str] = {}
 
 
@@ -122,8 +126,11 @@ class Tables:
 
     @property
     def as_of(self):
-        """The newest article time: one value."""
-        return self.articles.agg(F.max("create_time")).first()[0]
+        """The newest article time: one value, read once per session and folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _newest:
+            _newest[key] = self.articles.agg(F.max("create_time")).first()[0]
+        return _newest[key]
 
     @property
     def store(self) -> SnapshotStore:
@@ -150,7 +157,7 @@ class Tables:
                 at = moment(tick, self.articles)
                 rows = ranked.filter(F.col("tick") == at).join(refreshed.select("system_id"), "system_id", "left_semi")
                 store.commit(
-                    snapshot_rows(rows, at), event_article_rows(rows, self.articles, at), refreshed, at, keep=2
+                    snapshot_rows(rows, at, MODEL), event_article_rows(rows, self.articles, at), refreshed, at, keep=2
                 )
             _stores[key] = path
         return SnapshotStore(self.spark, _stores[key])

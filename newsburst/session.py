@@ -6,13 +6,17 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
 
 def build_session(app: str = "newsburst", master: str | None = None, **conf) -> SparkSession:
-    """A session with the settings the jobs are written for; cluster settings win."""
+    """A session with the settings the jobs are written for.
+
+    What the cluster's own configuration sets already stays; ``conf`` wins over both.
+    """
     os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
     builder = SparkSession.builder.appName(app)
     if master:
@@ -23,7 +27,8 @@ def build_session(app: str = "newsburst", master: str | None = None, **conf) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
     }
-    settings.update(conf)
+    given = SparkConf()
+    settings = {k: v for k, v in settings.items() if not given.contains(k)} | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -62,11 +67,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path itself, for listing and removing folders, which
+    Spark's own API does not offer."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that sits in fewer files than there are cores before heavy row-wise
-    work. Large tables have many files and are left alone: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Spread rows evenly before heavy row-wise work. Where the input already fills the cores
+    with partitions of the usual size, adaptive execution leaves these as they are."""
+    return df.hint("rebalance")
 
 
 def single_threaded_blas(spark: SparkSession) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsburst.functions.scalars import article_text, is_pending, moment
 from newsburst.operators.encode import encode_texts
 from newsburst.operators.events import build_snapshot
-from newsburst.schemas import ARTICLE_RECORD
+from newsburst.schemas import ARTICLE_RECORD, DEFAULT_MODEL
 from newsburst.sources.ingest import apply_defaults, with_errors
 from newsburst.sources.store import SnapshotStore
 
@@ -94,7 +94,7 @@ def interval_minutes(cron) -> object:
 def refresh_stream(
     ticks: DataFrame, store: SnapshotStore, checkpoint: str,
     load: Callable[[], tuple[DataFrame, DataFrame, DataFrame, DataFrame]],
-    every: str | None = REFRESH_EVERY, keep: int = 1,
+    every: str | None = REFRESH_EVERY, keep: int = 1, model_name: str = DEFAULT_MODEL,
 ):
     """Refresh, on every tick, the snapshots of the tenants that are due.
 
@@ -113,7 +113,7 @@ def refresh_stream(
         schedule = configs.select("system_id", F.coalesce(interval_minutes(cron), F.lit(0)).alias("interval_minutes"))
         last = store.heads().groupBy("system_id").agg(F.max("snapshot_time").alias("snapshot_time"))
         systems = due_tenants(systems, schedule, last, moment_.cast("timestamp"))
-        snapshot, members = build_snapshot(articles, links, systems, configs, as_of, moment_)
+        snapshot, members = build_snapshot(articles, links, systems, configs, as_of, moment_, model_name)
         store.commit(snapshot, members, systems, moment_, keep=keep)
 
     writer = ticks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
