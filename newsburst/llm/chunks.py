@@ -73,7 +73,8 @@ def dealt_by_chunk(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
             chunk = np.searchsorted(bounds, ids, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], ["chunk", "doc_id", "text"])
 
-    dealt = known.mapInArrow(deal, "chunk int, doc_id long, text string")
+    # Without nulls in the key no join adds a filter below the exchange, so all uses share it.
+    dealt = known.mapInArrow(deal, "chunk int not null, doc_id long, text string")
     return dealt.repartition(partitions(docs), "chunk"), n
 
 
@@ -84,6 +85,6 @@ def table_of(rows: list[tuple], fields: list[tuple]) -> pa.Table:
 
 def schema_of(fields: list[tuple]) -> str:
     names = {pa.int32(): "int", pa.binary(): "binary"}
-    return ", ".join(f"{n} {names[k]}" for n, k in fields)
+    return ", ".join(f"{n} {names[k]} not null" for n, k in fields)
 
 

@@ -286,7 +286,9 @@ def remove_repeats(
     paths = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_cut_paths(window, n_buckets), schema_of(_PATHS))
     paths = paths.repartition(partitions(docs), "source")
     # A source of very many paths is copied, each copy with a part of the senders.
-    size = F.sum(F.length("words") + F.length("marks"))
+    # Reading every column (the senders' number is little beside the bytes) lets the sizes share
+    # the exchange of the paths themselves.
+    size = F.sum(F.length("words") + F.length("marks")) + F.max("sender")
     heavy = paths.groupBy("source").agg(F.ceil(size / path_bytes).cast("int").alias("copies")).filter("copies > 1")
     light = by_chunk.cogroup(paths.join(heavy, "source", "left_anti").groupBy("source"))
     part = F.expr("cast(pmod(xxhash64(sender), copies) as int) as part")
