@@ -230,12 +230,9 @@ class PieceEncoder:
             if self.reference is not None:
                 same = [a == b for a, b in zip(ids, self.reference.encode(as_text, num_threads=self.threads))]
             return [(np.array(i, np.int32), s) for i, s in zip(ids, same)]
-        cut = [self._cut(t) for t in batch]
-        flat = self.cache.packed([c for chunks in cut for c in chunks])
-        result, at = [], 0
-        for chunks in cut:
-            ids = np.frombuffer(b"".join(flat[at : at + len(chunks)]), "<i4")
-            at += len(chunks)
+        result = []
+        for packed in self.cache.joined([self._cut(t) for t in batch]):
+            ids = np.frombuffer(packed, "<i4")
             same = ids >= 0
             result.append((ids, True) if same.all() else (ids[same], False))
         return result

@@ -33,32 +33,29 @@ from newsburst.llm.wordcache import WordCache
 from newsburst.session import scratch_path, stage
 
 SLICE_BYTES = 8 << 20
-#: ASCII signs that the tokenizer's pattern never joins with letters or digits (no apostrophe).
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _MASK = 0xA282EAD8
 
 
 class WordEncoder:
     """Ids of whole texts from a tokenizer whose pre-tokenizer drops white space and parts
-    letters from signs, so that words, and letters and signs within, encode on their own.
+    letters and digits from signs: so words, and stops behind them, encode on their own.
 
-    A control character that stands alone marks where one piece ends in a joined encoding. Texts
-    with special tokens, and words that are not plainly signs, letters or digits, signs, go to the tokenizer whole.
+    New words are encoded together in one text, a control character that stands alone between
+    them. Texts with special tokens go to the tokenizer whole.
     """
 
-    SEPARATOR = "\x01"
+    SEPARATOR = b"\x01"
+    STOPS = b".,"
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        mark = self.whole([self.SEPARATOR])[0]
+        mark = self.whole([self.SEPARATOR.decode()])[0]
         self.mark = mark[0] if len(mark) == 1 else None
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)).encode()) if special else None
-        self.words = WordCache(self._words)
-        self.pieces = WordCache(self._pieces)
+        self.cache = WordCache(self._words)
 
     def whole(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -66,43 +63,37 @@ class WordEncoder:
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, self.kind).tobytes()
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Each piece's ids, from one joined text where the separator cannot be misread."""
-        joinable = [p for p in pieces if self.mark is not None and self.SEPARATOR.encode() not in p]
-        found = {}
+    def _together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Each word's ids, from joined texts where the separator cannot be misread."""
+        found = {w: self._pack(self.whole([w.decode()])[0]) for w in words if self.mark is None or self.SEPARATOR in w}
+        joinable = [w for w in words if w not in found]
+        between = b" " + self.SEPARATOR + b" "
         for at in range(0, len(joinable), 20_000):
             group = joinable[at : at + 20_000]
-            text = f" {self.SEPARATOR} ".join(p.decode() for p in group)
-            ids = np.array(self.whole([text])[0], self.kind)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            found.update((p, (x[1:] if i else x).tobytes()) for i, (p, x) in enumerate(zip(group, parts, strict=True)))
-        return [found[p] if p in found else self._pack(self.whole([p.decode()])[0]) for p in pieces]
+            ids = np.array(self.whole([between.join(group).decode()])[0], self.kind)
+            marks = np.flatnonzero(ids == self.mark)
+            begins = ((np.append(-1, marks) + 1) * self.width).tolist()
+            ends = (np.append(marks, len(ids)) * self.width).tolist()
+            data = ids.tobytes()
+            found.update((w, data[a:b]) for w, a, b in zip(group, begins, ends, strict=True))
+        return found
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        split = []
-        for word in words:
-            text = word.decode()
-            core = text.strip(_SIGNS)
-            if core.isalnum():
-                at = text.index(core)
-                split.append((text[:at].encode(), core.translate(_LOWER).encode(), text[at + len(core) :].encode()))
-            else:
-                split.append((b"", word, b""))
-        flat = self.pieces.packed([p for parts in split for p in parts])
-        return [flat[i] + flat[i + 1] + flat[i + 2] for i in range(0, len(flat), 3)]
+        # A stop behind an ASCII letter or digit starts a piece of its own.
+        known = self.cache.known
+        bare = [w.rstrip(self.STOPS) for w in words]
+        bare = [b if b[-1:].isalnum() else w for b, w in zip(bare, words)]
+        stops = [w[len(b) :] for b, w in zip(bare, words)]
+        ids = self._together([p for p in {*bare, *stops} if p and p not in known])
+        ids[b""] = b""
+        ids.update((p, known[p]) for p in {*bare, *stops} if p not in ids)
+        return [ids[b] + ids[s] for b, s in zip(bare, stops)]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
-        plain = [None if self.special and self.special.search(t) else t.split() for t in batch]
-        flat = self.words.packed([w for words in plain if words is not None for w in words])
-        result, at = [], 0
-        for text, words in zip(batch, plain):
-            if words is None:
-                result.append(self._pack(self.whole([text.decode()])[0]))
-            else:
-                result.append(b"".join(flat[at : at + len(words)]))
-                at += len(words)
-        return result
+        whole = [bool(self.special and self.special.search(t)) for t in batch]
+        ids = self.cache.joined([[] if w else t.split() for t, w in zip(batch, whole)])
+        return [self._pack(self.whole([t.decode()])[0]) if w else i for t, w, i in zip(batch, whole, ids)]
 
 
 _encoders: dict[int, tuple[str, WordEncoder]] = {}

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import gc
+from collections.abc import Callable
 
-#: Longer words are encoded each time they occur, so an entry's size is bounded.
+#: Longer words are not kept, so an entry's size is bounded.
 KEY_BYTES = 64
 ENTRIES = 800_000
 
@@ -12,19 +13,28 @@ ENTRIES = 800_000
 class WordCache:
     """Packed ids by word; when full it starts anew, so its memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[bytes]], entries: int = ENTRIES):
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], entries: int = ENTRIES):
         self.encode = encode
         self.entries = entries
         self.known: dict[bytes, bytes] = {}
 
-    def packed(self, words: list[bytes]) -> list[bytes]:
-        values = list(map(self.known.get, words))
-        if None not in values:
-            return values
-        new = list({w for w, v in zip(words, values) if v is None})
-        found = dict(zip(new, self.encode(new)))
-        values = [found[w] if v is None else v for w, v in zip(words, values)]
-        if len(self.known) + len(found) > self.entries:
-            self.known.clear()
-        self.known.update((w, v) for w, v in found.items() if len(w) <= KEY_BYTES)
-        return values
+    def joined(self, split: list[list[bytes]]) -> list[bytes]:
+        """The packed ids of each list of words, one after another."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small objects without cycles
+        try:
+            wanted = set().union(*split)
+            known = self.known
+            new = [w for w in wanted if w not in known]
+            if len(known) + len(new) > self.entries:
+                known.clear()
+                new = list(wanted)
+            known.update(zip(new, self.encode(new), strict=True))
+            result = [b"".join(map(known.__getitem__, words)) for words in split]
+            for word in new:
+                if len(word) > KEY_BYTES:
+                    del known[word]
+            return result
+        finally:
+            if collecting:
+                gc.enable()
