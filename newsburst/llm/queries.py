@@ -184,5 +184,133 @@ from escaped group by 1
 """
 
 
+_SPACED = r"""
+words as materialized (
+  select doc_id, regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+') w from documents)"""
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_CLASS_SIGNS = (
+    "a-z", r"\x20\x09-\x0D", "A-Z", "0-9", """.,;:!?''"()\\-""", "#*$%&|<>", r"+/=@\[\\\]\^_`{}~\x00-\x08\x0E-\x1F\x7F",
+    r"\x{80}-\x{10FFFF}",
+)
+
+
+def _quality_sql() -> str:
+    classes = ", ".join(f"len(regexp_replace(t, '[^{signs}]', '', 'g'))" for signs in _CLASS_SIGNS)
+    common = " ".join(
+        f"when lang = '{lang}' then [{', '.join(f'len(list_filter(w, lambda x: x = {word!r}))' for word in listed)}]"
+        for lang, listed in quality.COMMON_WORDS.items()
+    )
+    n_common = len(quality.COMMON_WORDS["en"])
+    sums = ", ".join(f"sum(c[{i + 1}])" for i in range(len(_CLASS_SIGNS)))
+    word_sums = ", ".join(f"sum(m[{i + 1}])" for i in range(n_common))
+
+    def distance(mine: str, theirs: str) -> str:
+        part = "case when {0} > 0 then {0} * log2(2 * {0} / ({0} + {1})) else 0 end"
+        both = f"{part.format('z[1]', 'z[2]')} + {part.format('z[2]', 'z[1]')}"
+        return f"sqrt(greatest(list_sum(list_transform(list_zip({mine}, {theirs}), lambda z: {both})), 0) / 2)"
+
+    limits = quality.Limits()
+    return rf"""
+with docs as materialized (select doc_id, lang, coalesce(text, '') t from documents),
+words as materialized (select doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w from docs),
+windows as (
+  select doc_id, s, array_to_string(w[s:s + 4], ' ') g
+  from (select doc_id, w, unnest(range(1, len(w) - 3)) s from words where len(w) >= 5)),
+twice as (select doc_id, s, count(*) over (partition by doc_id, g) n from windows),
+repeated as (
+  select doc_id, count(distinct place) n_repeat_words
+  from (select doc_id, unnest(range(s, s + 5)) place from twice where n > 1) group by 1),
+lines as (
+  select doc_id, count(*) - count(distinct line) n_dup_lines
+  from (select doc_id, unnest(string_split(t, chr(10))) line from docs)
+  where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+counted as materialized (
+  select doc_id, lang, cast(len(w) as bigint) n_words, [{classes}] c, case {common} end m from words),
+refs as (
+  select lang, list_transform(cs, lambda x: x / list_sum(cs)) rc,
+    list_transform(list_append(ms, n - list_sum(ms)), lambda x: x / n) rm
+  from (select lang, [{sums}] cs, [{word_sums}] ms, sum(n_words) n from counted where m is not null group by lang)
+  where n > 0),
+judged as (
+  select counted.*, coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words,
+    case when n_words >= {limits.class_words} and rc is not null
+      then {distance("list_transform(c, lambda x: x / list_sum(c))", "rc")} end class_distance,
+    case when n_words >= {limits.common_words} and rc is not null
+      then {distance("list_transform(list_append(m, n_words - list_sum(m)), lambda x: x / n_words)", "rm")} end common_distance
+  from counted left join refs using (lang) left join lines using (doc_id) left join repeated using (doc_id))
+select doc_id, n_words, cast(list_sum(c) - c[2] as bigint) word_chars, cast(c[6] as bigint) n_symbols, n_dup_lines,
+  n_repeat_words, n_words < {limits.least_words} or 100 * n_repeat_words > {limits.most_repeated} * n_words base_failed,
+  not base_failed and coalesce(class_distance, 0) <= {limits.class_distance}
+    and coalesce(common_distance, 0) <= {limits.common_distance} kept
+from judged
+"""
+
+
+ORACLES["op1_distribution_divergence"] = _quality_sql()
+
+ORACLES["op2_suffix_decontamination"] = rf"""
+with items as (
+  select cast(item_id as varchar) item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  from benchmark where text is not null),
+sized as (select item, w, least(10, len(w)) n from items where len(w) > 0),
+item_windows as (
+  select distinct item, n, array_to_string(w[s:s + n - 1], ' ') g
+  from (select *, unnest(range(1, len(w) - n + 2)) s from sized)),
+docs as materialized (
+  select doc_id, regexp_extract_all(coalesce({_LOWERED}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+doc_windows as (
+  select doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) s
+        from docs, (select distinct n from sized) where len(w) >= n)),
+hits as materialized (
+  select distinct doc_id, n, s, item from doc_windows join item_windows using (n, g)),
+covered as (
+  select doc_id, count(distinct place) n_hit
+  from (select doc_id, unnest(range(s, s + n)) place from hits) group by 1),
+named as (
+  select doc_id, count(*) n_items, string_agg(item, ',' order by item) listed
+  from (select distinct doc_id, item from hits) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  sha256(coalesce(listed, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from docs left join covered using (doc_id) left join named using (doc_id)
+"""
+
+ORACLES["op3_debruijn_repeats"] = rf"""
+with {_SPACED.format(text="text")},
+windows as materialized (
+  select doc_id, s, array_to_string(w[s:s + 12], ' ') g
+  from (select doc_id, w, unnest(range(1, len(w) - 11)) s from words where len(w) >= 13)),
+firsts as (select g, min(doc_id) first_doc from windows group by g),
+gone as (
+  select distinct doc_id, unnest(range(s, s + 13)) place
+  from windows join firsts using (g) where first_doc < doc_id),
+placed as (select doc_id, unnest(w) word, generate_subscripts(w, 1) place from words),
+kept as (
+  select doc_id, string_agg(word, ' ' order by place) text, count(*) n
+  from placed anti join gone using (doc_id, place) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed,
+  sha256(coalesce(text, '')) kept_sha256
+from words left join kept using (doc_id)
+"""
+
+ORACLES["op9_partenum_join"] = rf"""
+with recursive {_SPACED.format(text=_LOWERED)},
+shingles as materialized (
+  select distinct doc_id, array_to_string(w[s:s + 2], ' ') g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) s from words where len(w) > 0)),
+sizes as materialized (select doc_id, count(*) n from shingles group by 1),
+links as materialized (
+  select a.doc_id a, b.doc_id b
+  from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id
+    join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+sides as materialized (select a, b from links union select b, a from links),
+walk(d, r) as (select doc_id, doc_id from words union select b, r from walk join sides on a = d where r < b)
+select words.doc_id, coalesce(n, 0) n_shingles, component_id
+from words left join sizes using (doc_id) join (select d doc_id, min(r) component_id from walk group by d) using (doc_id)
+"""
+
+
 def callables():
     return {name: partial(build) for name, build in QUERIES.items()}

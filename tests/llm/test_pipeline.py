@@ -50,7 +50,7 @@ def test_op9(spark, rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("pages", "labels", "conversations", "documents"):
+    for table in ("pages", "labels", "conversations", "documents", "benchmark"):
         duck.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     answer = duck.execute(queries.ORACLES[name])
     columns = [c[0] for c in answer.description]
