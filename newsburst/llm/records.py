@@ -33,6 +33,8 @@ from newsburst.llm.wordcache import WordCache
 from newsburst.session import scratch_path, stage
 
 SLICE_BYTES = 8 << 20
+#: Words kept per Python worker, some 200 bytes each.
+ENTRIES = 1_600_000
 _MASK = 0xA282EAD8
 
 
@@ -55,7 +57,7 @@ class WordEncoder:
         self.mark = mark[0] if len(mark) == 1 else None
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)).encode()) if special else None
-        self.cache = WordCache(self._words)
+        self.cache = WordCache(self._words, ENTRIES)
 
     def whole(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -79,15 +81,16 @@ class WordEncoder:
         return found
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        # A stop behind an ASCII letter or digit starts a piece of its own.
+        # Stops behind an ASCII letter or digit start a piece of their own.
         known = self.cache.known
-        bare = [w.rstrip(self.STOPS) for w in words]
-        bare = [b if b[-1:].isalnum() else w for b, w in zip(bare, words)]
-        stops = [w[len(b) :] for b, w in zip(bare, words)]
-        ids = self._together([p for p in {*bare, *stops} if p and p not in known])
-        ids[b""] = b""
-        ids.update((p, known[p]) for p in {*bare, *stops} if p not in ids)
-        return [ids[b] + ids[s] for b, s in zip(bare, stops)]
+        stopped = {w: w.rstrip(self.STOPS) for w in words if w[-1] in self.STOPS}
+        stopped = {w: (b, w[len(b) :]) for w, b in stopped.items() if b[-1:].isalnum()}
+        parts = {p for pair in stopped.values() for p in pair}
+        parts.update(w for w in words if w not in stopped)
+        ids = self._together([p for p in parts if p not in known])
+        for word, (bare, stops) in stopped.items():
+            ids[word] = (ids.get(bare) or known[bare]) + (ids.get(stops) or known[stops])
+        return [ids[w] if w in ids else known[w] for w in words]
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""

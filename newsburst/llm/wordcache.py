@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable
+from itertools import chain
 
 #: Longer words are not kept, so an entry's size is bounded.
 KEY_BYTES = 64
@@ -23,17 +24,21 @@ class WordCache:
         collecting = gc.isenabled()
         gc.disable()  # millions of small objects without cycles
         try:
-            wanted = set().union(*split)
-            known = self.known
-            new = [w for w in wanted if w not in known]
-            if len(known) + len(new) > self.entries:
-                known.clear()
-                new = list(wanted)
-            known.update(zip(new, self.encode(new), strict=True))
-            result = [b"".join(map(known.__getitem__, words)) for words in split]
-            for word in new:
-                if len(word) > KEY_BYTES:
-                    del known[word]
+            words = list(chain.from_iterable(split))
+            packed = list(map(self.known.get, words))
+            unknown = [i for i, p in enumerate(packed) if p is None]
+            if unknown:
+                new = list({words[i] for i in unknown})
+                if len(self.known) + len(new) > self.entries:
+                    self.known.clear()
+                found = dict(zip(new, self.encode(new), strict=True))
+                for i in unknown:
+                    packed[i] = found[words[i]]
+                self.known.update((w, p) for w, p in found.items() if len(w) <= KEY_BYTES)
+            result, at = [], 0
+            for listed in split:
+                result.append(b"".join(packed[at : at + len(listed)]))
+                at += len(listed)
             return result
         finally:
             if collecting:
