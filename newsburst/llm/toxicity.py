@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from newsburst.llm.common import slices, texts
 from newsburst.llm.decontam import words_of
+from newsburst.session import stage
 
 SLICE_BYTES = 8 << 20
+#: Labelled documents that training takes at most.
+TRAIN_ROWS = 6000
 
 
 #: Lengths of the word beginnings that are features besides whole words.
@@ -159,7 +162,7 @@ def fit_chain(sample: Sample, n_folds: int, n_features: int) -> list[Linear]:
 
 
 def gather(
-    docs: DataFrame, labels: DataFrame, categories: list[str], train_rows: int, n_folds: int, least_rows: int = 6
+    docs: DataFrame, labels: DataFrame, categories: list[str], train_rows: int, n_folds: int, least_rows: int = 6, candidates: int = 4000
 ) -> Sample:
     """The bounded sample: words made on the executors, ``train_rows`` rows at most here."""
     marks = labels.filter("doc_id is not null").groupBy("doc_id").agg(
@@ -182,29 +185,64 @@ def gather(
             yield pa.RecordBatch.from_arrays(columns, [*names, "n_words", "counts"])
 
     schema = ", ".join(f"{c} long" for c in [*names, "n_words"]) + ", counts map<binary,int>"
-    worded = joined.mapInArrow(to_features, schema)
-    # Features of fewer than least_rows of these documents stay out; all others come here, document by document.
-    pairs = worded.select("doc_id", F.explode("counts").alias("feature", "n"))
-    common = pairs.groupBy("feature").count().filter(F.col("count") >= least_rows).select("feature")
-    held = pairs.join(common, "feature").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("feature", "n"))).alias("held"))
-    found = worded.drop("counts").join(held, "doc_id", "left").orderBy("doc_id").collect()
-    vocabulary: dict[bytes, int] = {}
-    rows = [[(vocabulary.setdefault(bytes(f), len(vocabulary)), n) for f, n in r.held or ()] for r in found]
+    worded = stage(joined.mapInArrow(to_features, schema), "training")
+    chosen_features = _candidates(worded, categories, n_folds, least_rows, candidates)
+    vocabulary = [bytes(r.feature) for r in chosen_features.select("feature").collect()]
+    numbered = docs.sparkSession.createDataFrame(
+        [(bytearray(f), i) for i, f in enumerate(vocabulary)], "feature binary, number int"
+    )
+    # Numbers and counts of the bounded sample, document by document.
+    pairs = worded.select("doc_id", F.explode("counts").alias("feature", "n")).join(F.broadcast(numbered), "feature")
+    held = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("number", "n"))).alias("held"))
+    found = (
+        worded.drop("counts").join(held, "doc_id", "left").orderBy("doc_id")
+        .select(*names, "n_words", F.col("held.number").alias("features"), F.col("held.n").alias("times"))
+    ).toArrow()
+    column = {c: found.column(c).combine_chunks() for c in found.column_names}
+    sizes = pa.compute.list_value_length(column["features"]).fill_null(0).to_numpy(zero_copy_only=False)
     entries = Entries(
-        np.array([f for row in rows for f, _ in row], np.int64),
-        np.repeat(np.arange(len(rows)), [len(row) for row in rows]).astype(np.int64),
-        scaled(np.array([n for row in rows for _, n in row], float)),
-        length_of(np.array([r.n_words for r in found], float)),
+        column["features"].flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+        np.repeat(np.arange(len(sizes)), sizes).astype(np.int64),
+        scaled(column["times"].flatten().to_numpy(zero_copy_only=False).astype(float)),
+        length_of(column["n_words"].to_numpy(zero_copy_only=False).astype(float)),
+    )
+    labels_ = np.column_stack([column[c].to_numpy(zero_copy_only=False) for c in categories]).astype(np.int64)
+    return Sample(vocabulary, entries, column["fold"].to_numpy(zero_copy_only=False).astype(np.int64), labels_)
+
+
+def _candidates(worded: DataFrame, categories: list[str], n_folds: int, least_rows: int, most: int) -> DataFrame:
+    """The features of at least ``least_rows`` sample documents that tell most about some category, by
+    chi-square over all of the sample or without one fold: as many as ``most``. Each model picks its
+    own from these."""
+    folds = [F.lit(True), *(F.col("fold") != f for f in range(n_folds))]
+    totals = worded.agg(
+        *(F.count_if(part).alias(f"n{k}") for k, part in enumerate(folds)),
+        *(F.count_if(part & (F.col(c) == 1)).alias(f"p{k}_{j}") for k, part in enumerate(folds) for j, c in enumerate(categories)),
+    ).first()
+    exploded = worded.select("fold", *categories, F.explode("counts").alias("feature", "times"))
+    counts = exploded.groupBy("feature").agg(
+        *(F.count_if(part).alias(f"n{k}") for k, part in enumerate(folds)),
+        *(F.count_if(part & (F.col(c) == 1)).alias(f"p{k}_{j}") for k, part in enumerate(folds) for j, c in enumerate(categories)),
     )
-    labels_ = np.array([[r[c] for c in categories] for r in found], np.int64).reshape(len(found), len(categories))
-    return Sample(list(vocabulary), entries, np.array([r.fold for r in found], np.int64), labels_)
+    scores = [F.lit(0.0)]
+    for k in range(len(folds)):
+        for j in range(len(categories)):
+            n, positive = totals[f"n{k}"], totals[f"p{k}_{j}"]
+            if 0 < positive < n:
+                share = positive / n
+                expected = F.col(f"n{k}") * share
+                noise = expected * (1 - share) * (1 - F.col(f"n{k}") / n)
+                scores.append(F.when(noise > 0, (F.col(f"p{k}_{j}") - expected) ** 2 / noise).otherwise(0.0))
+    best = F.greatest(*scores, F.lit(0.0))
+    told = counts.filter(F.col("n0") >= least_rows).select("feature", best.alias("score")).filter("score > 3.84")
+    return told.orderBy(F.col("score").desc(), "feature").limit(most)
 
 
 def train(
     docs: DataFrame,
     labels: DataFrame,
     categories: list[str],
-    train_rows: int = 6000,
+    train_rows: int = TRAIN_ROWS,
     n_folds: int = 3,
     n_features: int = 1000,
 ) -> tuple[dict[bytes, int], list[Linear]]:
@@ -264,15 +302,16 @@ CATEGORY_WORDS = {
 }
 
 
-def category_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (doc_id, toxic) with a column per category: toxic documents that hold its words."""
-    toxic = labels.select("doc_id", "toxic")
-    marked = toxic.filter("toxic = 1").select("doc_id").distinct()
-    texts_ = docs.select("doc_id", F.lower("text").alias("text"))
-    found = texts_.select(
-        "doc_id", *(F.col("text").rlike(rf"\b(?:{'|'.join(words)})\b").alias(c) for c, words in CATEGORY_WORDS.items())
-    ).join(marked, "doc_id", "left_semi")
-    found = found.groupBy("doc_id").agg(*(F.max(F.col(c).cast("int")).alias(c) for c in CATEGORY_WORDS))
+def category_labels(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Labels (doc_id, toxic) of the training sample, with a column per category: toxic documents
+    that hold its words. The sample is bounded, so its ids are broadcast and no text is shuffled."""
+    toxic = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic = toxic.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    marked = toxic.filter("toxic = 1").select("doc_id")
+    texts_ = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id", "left_semi")
+    found = texts_.groupBy("doc_id").agg(
+        *(F.max(F.col("text").rlike(rf"(?i)\b(?:{'|'.join(words)})\b").cast("int")).alias(c) for c, words in CATEGORY_WORDS.items())
+    )
     return toxic.join(found, "doc_id", "left").select(
         "doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in CATEGORY_WORDS), F.coalesce("toxic", F.lit(0)).alias("toxic")
     )
