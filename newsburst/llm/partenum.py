@@ -14,8 +14,9 @@ No pair is missed, and none is expanded needlessly:
    connected. What takes part further is written with its set, once.
 3. Each chunk sends one document of each of its components to the first chunk of the
    signatures. Large groups of copies connect here by one document per chunk.
-4. Signatures that still join several components: all but the largest component's documents
-   visit every chunk that has the signature, and are compared with those not connected yet.
+4. Signatures that still join several components: the documents of the lighter component visit
+   the chunks of the heavier one, if they share as many signatures with it as a link needs at least,
+   and are compared with those not connected yet.
 5. Components of the links give the result.
 
 Every comparison is exact, on the whole sets. A chunk holds about ``chunk_bytes`` of text. Work
@@ -59,6 +60,8 @@ from newsburst.operators.components import connected_components
 from newsburst.session import stage
 
 SPREAD = 1.5
+#: Tables of at most so many short rows are broadcast, after they were counted.
+BROADCAST_ROWS = 100_000
 THIRDS = 3
 
 
@@ -80,7 +83,8 @@ class Similarity:
 def band(number: int, percent: int) -> tuple[int, int, int]:
     """Least and largest size of a band, and the most elements in which two linked sets differ."""
     low = 1 if number == 0 else band(number - 1, percent)[1] + 1
-    high = max(low, int(low * SPREAD))
+    # At least as wide that linked sets lie in one band or in neighbouring ones.
+    high = max(int(low * SPREAD), 100 * low // percent)
     return low, high, (100 - percent) * 2 * high // (100 + percent)
 
 
@@ -92,6 +96,24 @@ def band_of(size: int, percent: int) -> int:
     return number
 
 
+@cache
+def least_shared(size: int, percent: int) -> int:
+    """How many signatures a set of this size shares at least with any that it links to: two
+    sets of sizes s and t differ in at most so many elements that more parts stay nearly equal
+    than the one that the band's bound leaves."""
+    if not size:
+        return 1
+    number = band_of(size, percent)
+    largest = 100 * size // percent
+    needs = []
+    for b, partner in ((number, min(largest, band(number, percent)[1])), (number + 1, largest)):
+        k = band(b, percent)[2]
+        differ = min(k, (100 - percent) * (size + partner) // (100 + percent))
+        if b == number or 100 * size >= percent * band(b, percent)[0]:
+            needs.append(k // 2 + 1 - differ // 2)
+    return max(1, min(needs))
+
+
 def set_of(words: list[int], hashes: np.ndarray, length: int) -> np.ndarray:
     """Sorted distinct shingle fingerprints of a document given as word numbers."""
     if not len(words):
@@ -244,13 +266,18 @@ def _share(table: pa.Table) -> pa.Table:
     return table_of(result, _SHARED)
 
 
-#: Every document with the root of its component within the chunk; set, signatures that other
-#: chunks have, and the first chunk of each only for a class that has such.
-_LOCAL = "chunk int, doc_id long, n long, root long, elements binary, signatures array<long>, firsts array<int>"
+#: Every document with the root of its component within the chunk. Only a class with signatures
+#: that other chunks have: its set, these signatures, the first chunk of each, and the chunks that
+#: it visits for its component.
+_LOCAL = (
+    "chunk int, doc_id long, n long, root long, elements binary, signatures array<long>, firsts array<int>, "
+    "visits array<int>, least int"
+)
 _LOCAL_ARROW = pa.schema(
     [
         ("chunk", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()),
         ("elements", pa.binary()), ("signatures", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())),
+        ("visits", pa.list_(pa.int32())), ("least", pa.int32()),
     ]
 )
 
@@ -291,13 +318,26 @@ def _link_within(rule: Similarity, n_buckets: int):
         outer = outer[np.argsort(classes.owner[outer], kind="stable")]
         begin, end = _groups(classes.owner[outer])
         abroad = {int(classes.owner[outer[a]]): outer[a:b] for a, b in zip(begin, end)}
+        # Of each component the class with most signatures that came up there first visits a chunk.
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, mine in abroad.items():
+            for c, count in zip(*(x.tolist() for x in np.unique(each[mine], return_counts=True))):
+                if c != number:
+                    key = (links.root(i), c)
+                    best[key] = max(best.get(key, (0, 0)), (count, -i))
+        visits: dict[int, list[int]] = {}
+        for (_, c), (_, i) in sorted(best.items()):
+            visits.setdefault(-i, []).append(c)
         rows = []
         for i, d in enumerate(ids):
             mine = abroad.get(i)
             extra = (
-                (None, None, None)
+                (None, None, None, None, None)
                 if mine is None
-                else (sets[i].tobytes(), classes.signature[mine].view(np.int64).tolist(), each[mine].tolist())
+                else (
+                    sets[i].tobytes(), classes.signature[mine].view(np.int64).tolist(), each[mine].tolist(),
+                    visits.get(i, []), least_shared(len(sets[i]), rule.percent),
+                )
             )
             rows.append((number, d, len(sets[i]), ids[links.root(i)], *extra))
         columns = list(zip(*rows))
@@ -313,7 +353,7 @@ def _compare(rule: Similarity, group_key: str):
     def run(own: pa.Table, visitors: pa.Table) -> pa.Table:
         pairs: list[tuple[int, int]] = []
         if own.num_rows and visitors.num_rows:
-            home = own.select(["doc_id", group_key, "elements", "signatures"]).to_pylist()
+            home = own.select([group_key, "elements", "signatures"]).to_pylist()
             by_signature: dict[int, list[int]] = {}
             for i, row in enumerate(home):
                 for s in row["signatures"]:
@@ -334,6 +374,13 @@ def _compare(rule: Similarity, group_key: str):
     return run
 
 
+def _counted(rows: DataFrame, name: str):
+    """The rows, written, and a hint: broadcast when few of them were counted, else none."""
+    rows = stage(rows, name)
+    few = rows.count() <= BROADCAST_ROWS
+    return rows, F.broadcast if few else (lambda df: df)
+
+
 def _again(*names: str) -> list:
     """The columns under new identities, to meet those of the table they come from."""
     return [F.col(n).alias(n) for n in names]
@@ -346,57 +393,76 @@ def _components(links: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("node"), F.col("root").alias("component"))
 
 
-def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int) -> DataFrame:
+def _linked_within_chunks(docs: DataFrame, rule: Similarity, chunk_bytes: int) -> DataFrame:
     dealt, n_chunks = dealt_by_chunk(docs, chunk_bytes)
     n_buckets = max(1, math.ceil(n_chunks / 2))
     by_chunk = dealt.groupBy("chunk")
-    shared = by_chunk.applyInArrow(_send(rule, n_buckets), schema_of(_SENT)).groupBy("bucket").applyInArrow(
-        _share, schema_of(_SHARED)
-    )
-    local = stage(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_link_within(rule, n_buckets), _LOCAL), "local")
-    active = local.filter("signatures is not null")
-
-    # One document of each component goes to each first chunk: the one with most signatures there.
-    there = active.select("chunk", "doc_id", "root", F.explode(F.arrays_zip("signatures", "firsts")).alias("s"))
-    there = there.filter("s.firsts != chunk").groupBy("chunk", "root", F.col("s.firsts").alias("first"), "doc_id").count()
-    best = there.groupBy("chunk", "root", "first").agg(F.max(F.struct("count", -F.col("doc_id"))).alias("m"))
-    envoys = best.select("first", (-F.col("m.col2")).alias("doc_id"))
-    plain = active.select("doc_id", "root", "elements", "signatures")
-    visits = envoys.join(plain, "doc_id").select("first", *_again("root", "elements", "signatures"))
-    links = stage(
-        active.groupBy("chunk").cogroup(visits.groupBy("first")).applyInArrow(_compare(rule, "root"), "a long, b long"),
+    sent = by_chunk.applyInArrow(_send(rule, n_buckets), schema_of(_SENT))
+    shared = sent.groupBy("bucket").applyInArrow(_share, schema_of(_SHARED))
+    return stage(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_link_within(rule, n_buckets), _LOCAL), "local")
+
+
+def _first_round(active: DataFrame, rule: Similarity) -> DataFrame:
+    """Links of one document of each component with the first chunk of its signatures."""
+    here = "transform(filter(arrays_zip(signatures, firsts), s -> s.firsts = {}), s -> s.signatures) as signatures"
+    own = active.selectExpr("chunk", "root", "elements", here.format("chunk")).filter("size(signatures) > 0")
+    visits = active.selectExpr("root", "elements", "signatures", "firsts", "explode(visits) as first")
+    visits = visits.selectExpr("first", "root", "elements", here.format("first"))
+    visits = visits.select("first", *_again("root", "elements", "signatures"))
+    return stage(
+        own.groupBy("chunk").cogroup(visits.groupBy("first")).applyInArrow(_compare(rule, "root"), "a long, b long"),
         "links",
     )
 
-    # Signatures that still join several components.
-    components = stage(_components(links), "components")
-    grouped = (
-        active.join(components, active.root == components.node, "left")
-        .withColumn("group", F.coalesce("component", "root"))
-        .select("chunk", "doc_id", "group", "elements", "signatures")
+
+def _open_signatures(active: DataFrame, links: DataFrame) -> DataFrame:
+    """(signature, chunk, doc_id, n, least, group, weight) of the signatures that still join several
+    components; weight is the number of a component's rows here."""
+    found, small = _counted(_components(links), "components")
+    narrow = active.drop("elements", "firsts", "visits").join(small(found), active.root == found.node, "left")
+    members = narrow.select(
+        "chunk", "doc_id", "n", "least", F.coalesce("component", "root").alias("group"),
+        F.explode("signatures").alias("signature"),
+    )
+    span = members.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    several, small = _counted(span.filter("low < high").select("signature"), "several")
+    open_ = stage(members.join(small(several), "signature"), "open")
+    weights, small = _counted(open_.groupBy("group").agg(F.count("*").alias("weight")), "weights")
+    return stage(open_.join(small(weights), "group"), "open")
+
+
+def _second_round(active: DataFrame, open_: DataFrame, rule: Similarity) -> DataFrame:
+    """Links between components that still share signatures: the documents of the lighter one
+    visit the chunks of the heavier one, where enough signatures and a fitting size are found."""
+    homes = open_.groupBy("signature", F.col("chunk").alias("home")).agg(
+        F.max(F.struct("weight", "group")).alias("heaviest"), F.min("n").alias("low"), F.max("n").alias("high")
     )
-    grouped = stage(grouped, "grouped")
-    members = grouped.select("chunk", "doc_id", "group", F.explode("signatures").alias("signature"))
-    sizes = members.groupBy("signature", "group").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("signature").agg(
-        F.max(F.struct("n", "group")).alias("main"), F.count("*").alias("groups")
-    ).filter("groups > 1").select("signature", F.col("main.group").alias("main"))
-    open_ = members.join(several, "signature")
-    homes = open_.select("signature", F.col("chunk").alias("home")).distinct()
-    visits = (
-        open_.filter(F.col("group") != F.col("main"))
-        .select("signature", "chunk", "doc_id")
-        .join(homes, "signature")
-        .filter("home != chunk")
+    heavier = F.struct("weight", "group") < F.col("heaviest")
+    fits = (F.col("low") * rule.percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * rule.percent)
+    routes = (
+        open_.join(homes, "signature")
+        .filter((F.col("home") != F.col("chunk")) & heavier & fits)
+        .groupBy("home", "doc_id")
+        .agg(F.count("*").alias("shared"), F.max("least").alias("least"))
+        .filter("shared >= least")
         .select("home", "doc_id")
-        .distinct()
-        .join(grouped.drop("chunk"), "doc_id")
-        .select("home", *_again("group", "elements", "signatures"))
     )
-    more = stage(
-        grouped.groupBy("chunk").cogroup(visits.groupBy("home")).applyInArrow(_compare(rule, "group"), "a long, b long"),
+    ids, small = _counted(open_.select("doc_id", "group").distinct(), "met")
+    opened = active.select("chunk", "doc_id", "elements", "signatures").join(small(ids), "doc_id")
+    opened = stage(opened, "opened")
+    visits = routes.join(opened.drop("chunk"), "doc_id").select("home", *_again("group", "elements", "signatures"))
+    return stage(
+        opened.groupBy("chunk").cogroup(visits.groupBy("home")).applyInArrow(_compare(rule, "group"), "a long, b long"),
         "links",
     )
+
+
+def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int) -> DataFrame:
+    # Each step ends in a written table; what it shuffled can go before the next one.
+    local = _linked_within_chunks(docs, rule, chunk_bytes)
+    active = local.filter("signatures is not null")
+    links = _first_round(active, rule)
+    more = _second_round(active, _open_signatures(active, links), rule)
     # Links of the second round name components: their smallest roots, which are nodes as well.
     final = _components(stage(links.unionByName(more), "links"))
     return local.join(final, local.root == final.node, "left").select(
