@@ -14,13 +14,14 @@ No pair is missed, and none is expanded needlessly:
    connected. What takes part further is written with its set, once.
 3. Each chunk sends one document of each of its components to the first chunk of the
    signatures. Large groups of copies connect here by one document per chunk.
-4. Signatures that still join several components: the documents of the lighter component visit
-   the chunks of the heavier one, if they share as many signatures with it as a link needs at least,
-   and are compared with those not connected yet.
+4. Signatures that still join several components: their documents' rarest shingles, so many that
+   linked sets have one of them in common, are joined. Documents of the lighter component visit
+   the chunks of the heavier one that they meet there, and are compared with those not connected
+   yet that share as many signatures with them as a link needs at least.
 5. Components of the links give the result.
 
-Every comparison is exact, on the whole sets. A chunk holds about ``chunk_bytes`` of text. Work
-beyond the input's size arises only from documents that share a signature without being similar.
+Every comparison is exact, on the whole sets. A chunk holds about ``chunk_bytes`` of text, and its
+visitors are compared in parts of about ``visit_bytes``, each with a copy of it. Work beyond the input's size arises only from documents that share a signature without being similar.
 
 A shingle counts by its 64-bit fingerprint. Words are runs of characters other than space and
 ``\\t`` to ``\\r``, A-Z lower-cased. Defined results: with fewer words than a shingle's, but some, the
@@ -32,6 +33,7 @@ with nothing and have no component. An empty table gives none. Other columns are
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
@@ -62,6 +64,10 @@ from newsburst.session import stage
 SPREAD = 1.5
 #: Tables of at most so many short rows are broadcast, after they were counted.
 BROADCAST_ROWS = 100_000
+#: More bytes of visitors to one chunk than this are dealt to copies of it.
+VISIT_BYTES = 32 << 20
+#: Sets from which frequent shingles are counted, and at most so many of these.
+SAMPLE, COMMON = 10_000, 65_536
 THIRDS = 3
 
 
@@ -271,13 +277,13 @@ def _share(table: pa.Table) -> pa.Table:
 #: it visits for its component.
 _LOCAL = (
     "chunk int, doc_id long, n long, root long, elements binary, signatures array<long>, firsts array<int>, "
-    "visits array<int>, least int"
+    "visits array<int>"
 )
 _LOCAL_ARROW = pa.schema(
     [
         ("chunk", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()),
         ("elements", pa.binary()), ("signatures", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())),
-        ("visits", pa.list_(pa.int32())), ("least", pa.int32()),
+        ("visits", pa.list_(pa.int32())),
     ]
 )
 
@@ -332,11 +338,11 @@ def _link_within(rule: Similarity, n_buckets: int):
         for i, d in enumerate(ids):
             mine = abroad.get(i)
             extra = (
-                (None, None, None, None, None)
+                (None, None, None, None)
                 if mine is None
                 else (
                     sets[i].tobytes(), classes.signature[mine].view(np.int64).tolist(), each[mine].tolist(),
-                    visits.get(i, []), least_shared(len(sets[i]), rule.percent),
+                    visits.get(i, []),
                 )
             )
             rows.append((number, d, len(sets[i]), ids[links.root(i)], *extra))
@@ -346,9 +352,10 @@ def _link_within(rule: Similarity, n_buckets: int):
     return run
 
 
-def _compare(rule: Similarity, group_key: str):
+def _compare(rule: Similarity, group_key: str, whole: bool = False):
     """Links between visiting documents and a chunk's own that share a signature: as many as
-    connect each visitor with every component it links to."""
+    connect each visitor with every component it links to. With ``whole`` lists of signatures, two
+    rows are compared only if they share as many as the sizes of linked sets need."""
 
     def run(own: pa.Table, visitors: pa.Table) -> pa.Table:
         pairs: list[tuple[int, int]] = []
@@ -359,14 +366,18 @@ def _compare(rule: Similarity, group_key: str):
                 for s in row["signatures"]:
                     by_signature.setdefault(s, []).append(i)
             home_sets = [np.frombuffer(row["elements"], np.uint64) for row in home]
-            for batch in visitors.to_batches(max_chunksize=256):
+            least = [least_shared(len(x), rule.percent) if whole else 1 for x in home_sets]
+            for batch in visitors.select([group_key, "elements", "signatures"]).to_batches(max_chunksize=256):
                 for row in batch.to_pylist():
                     mine = np.frombuffer(row["elements"], np.uint64)
+                    need = least_shared(len(mine), rule.percent) if whole else 1
                     reached = {row[group_key]}
-                    near = sorted({i for s in row["signatures"] for i in by_signature.get(s, ())})
-                    for i in near:
+                    shared = Counter(i for s in row["signatures"] for i in by_signature.get(s, ()))
+                    for i in sorted(shared):
                         group = home[i][group_key]
-                        if group not in reached and similar(mine, home_sets[i], rule):
+                        if shared[i] < max(need, least[i]) or group in reached:
+                            continue
+                        if similar(mine, home_sets[i], rule):
                             reached.add(group)
                             pairs.append((row[group_key], group))
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
@@ -374,6 +385,22 @@ def _compare(rule: Similarity, group_key: str):
     return run
 
 
+def _meet(own: DataFrame, visits: DataFrame, group: str, compare, visit_bytes: int) -> DataFrame:
+    """Links (a, b) of the visits (home, chunk, n, group, elements, signatures) with the homes' own
+    documents. The visitors of one home are dealt into parts of about ``visit_bytes``, each of
+    which meets a copy of the home."""
+    size = F.sum(8 * (F.col("n") + F.size("signatures")))
+    copies = visits.groupBy("home").agg(F.ceil(size / visit_bytes).cast("int").alias("copies"))
+    heavy, small = _counted(copies.filter("copies > 1"), "copies")
+    each = F.expr("explode(sequence(0, coalesce(copies, 1) - 1))").alias("part")
+    own = own.join(small(heavy.select(*_again("home", "copies"))), F.col("chunk") == F.col("home"), "left")
+    own = own.select("chunk", each, group, "elements", "signatures")
+    part = F.expr("cast(coalesce(pmod(xxhash64(chunk, elements), copies), 0) as int)").alias("part")
+    visits = visits.join(small(heavy), "home", "left").select("home", part, group, "elements", "signatures")
+    met = own.groupBy("chunk", "part").cogroup(visits.groupBy("home", "part"))
+    return stage(met.applyInArrow(compare, "a long, b long"), "links")
+
+
 def _counted(rows: DataFrame, name: str):
     """The rows, written, and a hint: broadcast when few of them were counted, else none."""
     rows = stage(rows, name)
@@ -402,67 +429,112 @@ def _linked_within_chunks(docs: DataFrame, rule: Similarity, chunk_bytes: int) -
     return stage(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_link_within(rule, n_buckets), _LOCAL), "local")
 
 
-def _first_round(active: DataFrame, rule: Similarity) -> DataFrame:
+def _first_round(active: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
     """Links of one document of each component with the first chunk of its signatures."""
     here = "transform(filter(arrays_zip(signatures, firsts), s -> s.firsts = {}), s -> s.signatures) as signatures"
     own = active.selectExpr("chunk", "root", "elements", here.format("chunk")).filter("size(signatures) > 0")
-    visits = active.selectExpr("root", "elements", "signatures", "firsts", "explode(visits) as first")
-    visits = visits.selectExpr("first", "root", "elements", here.format("first"))
-    visits = visits.select("first", *_again("root", "elements", "signatures"))
-    return stage(
-        own.groupBy("chunk").cogroup(visits.groupBy("first")).applyInArrow(_compare(rule, "root"), "a long, b long"),
-        "links",
-    )
+    visits = active.selectExpr("chunk", "n", "root", "elements", "signatures", "firsts", "explode(visits) as home")
+    visits = visits.selectExpr("home", "chunk", "n", "root", "elements", here.format("home"))
+    visits = visits.select(*_again("home", "chunk", "n", "root", "elements", "signatures"))
+    return _meet(own, visits, "root", _compare(rule, "root"), visit_bytes)
 
 
-def _open_signatures(active: DataFrame, links: DataFrame) -> DataFrame:
-    """(signature, chunk, doc_id, n, least, group, weight) of the signatures that still join several
-    components; weight is the number of a component's rows here."""
+def _opened(active: DataFrame, links: DataFrame) -> DataFrame:
+    """(chunk, doc_id, n, group, elements, signatures) of the rows with a signature that still
+    joins several components."""
     found, small = _counted(_components(links), "components")
     narrow = active.drop("elements", "firsts", "visits").join(small(found), active.root == found.node, "left")
     members = narrow.select(
-        "chunk", "doc_id", "n", "least", F.coalesce("component", "root").alias("group"),
-        F.explode("signatures").alias("signature"),
+        "chunk", "doc_id", F.coalesce("component", "root").alias("group"), F.explode("signatures").alias("signature")
     )
     span = members.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     several, small = _counted(span.filter("low < high").select("signature"), "several")
-    open_ = stage(members.join(small(several), "signature"), "open")
-    weights, small = _counted(open_.groupBy("group").agg(F.count("*").alias("weight")), "weights")
-    return stage(open_.join(small(weights), "group"), "open")
+    met = members.join(small(several), "signature").select("doc_id", "group").distinct()
+    ids, small = _counted(met, "met")
+    rows = active.select("chunk", "doc_id", "n", "elements", "signatures")
+    return stage(rows.join(small(ids), "doc_id"), "opened")
+
+
+def _common(opened: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted fingerprints that are most frequent in a sample of the sets, and their counts. They
+    only order the shingles: any order gives the same links, this one few visits."""
+    every = max(1, math.ceil(opened.count() / SAMPLE))
+    sampled = opened.filter(F.pmod(F.xxhash64("chunk", "doc_id"), F.lit(every)) == 0).select("elements")
+
+    def count(batches):
+        for batch in batches:
+            held = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)
+            values, counts = np.unique(held, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], ["element", "held"])
+
+    counted = sampled.mapInArrow(count, "element long, held long").groupBy("element").agg(F.sum("held").alias("held"))
+    rows = counted.filter("held > 1").orderBy(F.desc("held"), "element").limit(COMMON).collect()
+    values = np.array([r.element for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], np.array([r.held for r in rows], np.int64)[order]
+
+
+def prefix(elements: np.ndarray, common: np.ndarray, held: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that two linked sets have one of them in common: a
+    linked set lacks at most 100 - percent in a hundred of them."""
+    count = np.zeros(len(elements), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
+        count = np.where(common[at] == elements, held[at], 0)
+    size = len(elements) - -(-percent * len(elements) // 100) + 1
+    return elements[np.lexsort((elements, count))[:size]]
+
+
+def _prefixes(opened: DataFrame, rule: Similarity) -> DataFrame:
+    """(element, chunk, doc_id, n, group, weight) of the prefixes of the sets; weight is the number
+    of a component's rows here."""
+    common, held = _common(opened)
+    weights, small = _counted(opened.groupBy("group").agg(F.count("*").alias("weight")), "weights")
+    rows = opened.select("chunk", "doc_id", "n", "group", "elements").join(small(weights), "group")
+    names = ["chunk", "doc_id", "n", "group", "weight"]
+
+    def cut(batches):
+        for batch in batches:
+            found = [
+                prefix(np.frombuffer(e, np.uint64), common, held, rule.percent) for e in batch.column("elements").to_pylist()
+            ]
+            each = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            element = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(element), *(batch.column(c).take(each) for c in names)], ["element", *names]
+            )
 
+    kinds = "element long, chunk int, doc_id long, n long, group long, weight long"
+    return stage(rows.mapInArrow(cut, kinds), "prefixes")
 
-def _second_round(active: DataFrame, open_: DataFrame, rule: Similarity) -> DataFrame:
-    """Links between components that still share signatures: the documents of the lighter one
-    visit the chunks of the heavier one, where enough signatures and a fitting size are found."""
-    homes = open_.groupBy("signature", F.col("chunk").alias("home")).agg(
+
+def _routes(opened: DataFrame, rule: Similarity) -> DataFrame:
+    """(home, doc_id): the documents of the lighter component visit the chunks of the heavier one in
+    which a set of a fitting size has a shingle of their prefix in its own."""
+    keys = _prefixes(opened, rule)
+    homes = keys.groupBy("element", F.col("chunk").alias("home")).agg(
         F.max(F.struct("weight", "group")).alias("heaviest"), F.min("n").alias("low"), F.max("n").alias("high")
     )
     heavier = F.struct("weight", "group") < F.col("heaviest")
     fits = (F.col("low") * rule.percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * rule.percent)
-    routes = (
-        open_.join(homes, "signature")
-        .filter((F.col("home") != F.col("chunk")) & heavier & fits)
-        .groupBy("home", "doc_id")
-        .agg(F.count("*").alias("shared"), F.max("least").alias("least"))
-        .filter("shared >= least")
-        .select("home", "doc_id")
-    )
-    ids, small = _counted(open_.select("doc_id", "group").distinct(), "met")
-    opened = active.select("chunk", "doc_id", "elements", "signatures").join(small(ids), "doc_id")
-    opened = stage(opened, "opened")
-    visits = routes.join(opened.drop("chunk"), "doc_id").select("home", *_again("group", "elements", "signatures"))
-    return stage(
-        opened.groupBy("chunk").cogroup(visits.groupBy("home")).applyInArrow(_compare(rule, "group"), "a long, b long"),
-        "links",
-    )
+    met = keys.join(homes, "element").filter((F.col("home") != F.col("chunk")) & heavier & fits)
+    return met.select("home", "doc_id").distinct()
+
+
+def _second_round(active: DataFrame, links: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
+    """Links between components that still share signatures."""
+    opened = _opened(active, links)
+    routes = stage(_routes(opened, rule), "routes")
+    visits = routes.join(opened, "doc_id").select("home", *_again("chunk", "n", "group", "elements", "signatures"))
+    return _meet(opened, visits, "group", _compare(rule, "group", whole=True), visit_bytes)
 
 
-def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int) -> DataFrame:
+def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int, visit_bytes: int) -> DataFrame:
     # Each step ends in a written table; what it shuffled can go before the next one.
     local = _linked_within_chunks(docs, rule, chunk_bytes)
     active = local.filter("signatures is not null")
-    links = _first_round(active, rule)
-    more = _second_round(active, _open_signatures(active, links), rule)
+    links = _first_round(active, rule, visit_bytes)
+    more = _second_round(active, links, rule, visit_bytes)
     # Links of the second round name components: their smallest roots, which are nodes as well.
     final = _components(stage(links.unionByName(more), "links"))
     return local.join(final, local.root == final.node, "left").select(
@@ -471,7 +543,7 @@ def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, chunk_bytes: int = CHUNK_BYTES
+    docs: DataFrame, words: int = 5, percent: int = 80, chunk_bytes: int = CHUNK_BYTES, visit_bytes: int = VISIT_BYTES
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text): component_id is the
     smallest doc_id reached over links of at least ``percent`` Jaccard similarity."""
@@ -490,7 +562,7 @@ def near_duplicates(
             )
 
     unnamed = docs.filter("doc_id is null").select("text")
-    return _near(docs, rule, chunk_bytes).unionByName(
+    return _near(docs, rule, chunk_bytes, visit_bytes).unionByName(
         unnamed.mapInArrow(count_only, "doc_id long, n_shingles long, component_id long")
     )
 

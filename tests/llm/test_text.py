@@ -200,6 +200,44 @@ def test_join_edge_rows(spark):
     assert partenum.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("visit_bytes", [1 << 30, 500])
+def test_join_of_parted_visitors(spark, crowd, visit_bytes):
+    docs = spark.createDataFrame(crowd, DOCS)
+    found = partenum.near_duplicates(docs, 3, 80, 1000, visit_bytes)
+    same(found, ["doc_id", "n_shingles", "component_id"], brute.components(crowd, 3, 80))
+
+
+def template_rows(n, filled):
+    """Texts of 100 words on one template, so many of them words of their own."""
+    rng = random.Random(9)
+    return [(d, " ".join([f"t{i}" for i in range(100 - filled)] + [f"x{d}y{rng.random()}" for _ in range(filled)])) for d in range(n)]
+
+
+def test_join_visits_below_the_threshold(spark, monkeypatch):
+    """A template's documents that share signatures but are too far apart do not visit each other."""
+    rows = template_rows(60, 25)
+    met = []
+    meet = partenum._meet
+    monkeypatch.setattr(partenum, "_meet", lambda own, visits, *a: met.append(visits.count()) or meet(own, visits, *a))
+    found = partenum.near_duplicates(spark.createDataFrame(rows, DOCS), 1, 80, 3000)
+    same(found, ["doc_id", "n_shingles", "component_id"], brute.components(rows, 1, 80))
+    assert met[0] > 0 and met[1] == 0
+
+
+def test_prefixes_meet():
+    """Linked sets have a shingle of their prefixes in common, however shingles are ordered."""
+    rng = np.random.default_rng(3)
+    for percent in (60, 80, 90):
+        for size in (1, 2, 7, 40, 300):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            drop = (100 - percent) * 2 * len(a) // (100 + percent) // 2
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
+            assert partenum.similar(a, b, partenum.Similarity(3, percent))
+            for some in (a[:0], a[::2], b):
+                held = rng.integers(2, 9, len(some))
+                assert np.intersect1d(*(partenum.prefix(x, some, held, percent) for x in (a, b))).size
+
+
 def test_signatures_meet(spark):
     """Sets that are similar enough share a signature, at every size and both sides of bands."""
     rng = np.random.default_rng(zlib.crc32(b"sets"))
