@@ -33,17 +33,20 @@ def ingest_stream(
 
     The watermark counts from arrival, not from the article's own time: an old article that comes
     late is stored like any other. An id that comes again within the watermark is dropped, valid
-    and invalid records apart; state older than it is freed. Each micro-batch is written under
-    its own number, so one that runs again replaces its earlier attempt.
+    and invalid records apart; state older than it is freed. Records without an id, malformed lines
+    among them, are all kept. Each micro-batch is written under its own number, so one that runs
+    again replaces its earlier attempt.
     """
     records = spark.readStream.schema(ARTICLE_RECORD).json(source)
     judged = with_errors(apply_defaults(records, system_id=system_id))
-    judged = judged.withColumns({"_arrived": F.current_timestamp(), "_valid": F.size("errors") == 0})
-    unique = judged.withWatermark("_arrived", watermark).dropDuplicatesWithinWatermark(["id", "_valid"])
+    # A record without an id is a key of its own.
+    key = F.when(F.col("id").isNull(), F.uuid())
+    judged = judged.withColumns({"_arrived": F.current_timestamp(), "_valid": F.size("errors") == 0, "_key": key})
+    unique = judged.withWatermark("_arrived", watermark).dropDuplicatesWithinWatermark(["id", "_key", "_valid"])
     rejected = rejected or f"{target.rstrip('/')}_rejected"
 
     def store(batch: DataFrame, number: int) -> None:
-        batch = batch.drop("_arrived")
+        batch = batch.drop("_arrived", "_key")
         parts = ((target, batch.filter("_valid").drop("errors")), (rejected, batch.filter("NOT _valid")))
         for path, rows in parts:
             rows.drop("_valid").write.mode("overwrite").parquet(f"{path}/batch={number}")
