@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsburst.llm.common import texts
+
 CHUNK_BYTES = 8 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,36 +50,55 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
 
 
-def chunk_count(docs: DataFrame, chunk_bytes: int) -> tuple[int, list[int]]:
-    """Number of chunks and the smallest doc_id of each but the first."""
-    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(held / chunk_bytes))
+def chunk_cuts(docs: DataFrame, chunk_bytes: int) -> list[int]:
+    """Smallest doc_id of each chunk but the first, by quantiles of the bytes of text; a doc_id that
+    alone holds more than a chunk comes up several times."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    n = max(1, math.ceil((docs.agg(F.sum(size)).first()[0] or 0) / chunk_bytes))
     if n == 1:
-        return 1, []
-    shares = [i / n for i in range(1, n)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n))).first()[0]
-    return n, sorted(set(cuts or []))
+        return []
+    # A row counts once for each such share of a chunk, what is left by chance.
+    share = max(1, chunk_bytes // 256)
+    times = F.floor(size / share + F.rand(7)).cast("int")
+    counted = docs.select("doc_id", F.explode(F.array_repeat(F.lit(0), times)))
+    cuts = counted.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
+    return sorted(cuts or [])
+
+
+def dealing(cuts: list[int]) -> tuple[list[int], list[int]]:
+    """Bounds of the ranges of doc_id, and the number of chunks of each: several only for a doc_id
+    that comes up several times, which then has a range of its own."""
+    often = {c: n for c, n in Counter(cuts).items() if n > 1}
+    bounds = sorted(set(cuts) | {c + 1 for c in often if c < 2**63 - 1})
+    return bounds, [1, *(often.get(b, 1) for b in bounds)]
 
 
 def partitions(docs: DataFrame) -> int:
     return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dealt_by_chunk(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text), shuffled by chunk, and the number of chunks."""
+def dealt_by_chunk(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, list[int]]:
+    """(chunk, doc_id, text), shuffled by chunk, and the number of the range of doc_id of each
+    chunk: chunks of one range hold rows of one doc_id, dealt by their texts."""
     known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n, cuts = chunk_count(known, chunk_bytes)
-    bounds = np.array(cuts, np.int64)
+    ranges, parts = dealing(chunk_cuts(known, chunk_bytes))
+    bounds, parts = np.array(ranges, np.int64), np.array(parts)
+    firsts = np.cumsum(parts) - parts
 
     def deal(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            chunk = np.searchsorted(bounds, ids, side="right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], ["chunk", "doc_id", "text"])
+            at = np.searchsorted(bounds, ids, side="right")
+            chunk = firsts[at]
+            many = np.flatnonzero(parts[at] > 1)
+            if len(many):
+                held = texts(batch.column("text").take(pa.array(many)))
+                chunk[many] += np.array([zlib.crc32(t) for t in held], np.int64) % parts[at[many]]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.astype(np.int32)), *batch.columns], ["chunk", "doc_id", "text"])
 
     # Without nulls in the key no join adds a filter below the exchange, so all uses share it.
     dealt = known.mapInArrow(deal, "chunk int not null, doc_id long, text string")
-    return dealt.repartition(partitions(docs), "chunk"), n
+    return dealt.repartition(partitions(docs), "chunk"), np.repeat(np.arange(len(parts)), parts).tolist()
 
 
 def table_of(rows: list[tuple], fields: list[tuple]) -> pa.Table:

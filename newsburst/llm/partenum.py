@@ -421,8 +421,8 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def _linked_within_chunks(docs: DataFrame, rule: Similarity, chunk_bytes: int) -> DataFrame:
-    dealt, n_chunks = dealt_by_chunk(docs, chunk_bytes)
-    n_buckets = max(1, math.ceil(n_chunks / 2))
+    dealt, ranges = dealt_by_chunk(docs, chunk_bytes)
+    n_buckets = max(1, math.ceil(len(ranges) / 2))
     by_chunk = dealt.groupBy("chunk")
     sent = by_chunk.applyInArrow(_send(rule, n_buckets), schema_of(_SENT))
     shared = sent.groupBy("bucket").applyInArrow(_share, schema_of(_SHARED))

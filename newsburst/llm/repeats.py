@@ -109,27 +109,34 @@ def _send_edges(window: int, n_buckets: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(ranges: list[int]):
     """For one bucket: which entries of each chunk an earlier chunk has, and the first such."""
-    bucket = table.column("bucket")[0].as_py()
-    rows = sorted(zip(table.column("chunk").to_pylist(), table.column("edges").to_pylist()))
-    lists = [unpacked(e, np.uint64) for _, e in rows]
-    sizes = np.array([len(x) for x in lists])
-    prints = np.concatenate(lists)
-    chunk = np.repeat(np.array([c for c, _ in rows], np.int32), sizes)
-    order = np.argsort(prints, kind="stable")  # equal prints stay in the order of chunks
-    same = np.concatenate([[False], prints[order][1:] == prints[order][:-1]])
-    group_start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    source = np.full(len(prints), -1, np.int32)
-    source[order[same]] = chunk[order[group_start[same]]]
-    result, at = [], 0
-    for (number, _), size in zip(rows, sizes.tolist()):
-        part = source[at : at + size]
-        places = np.flatnonzero(part >= 0)
-        if len(places):
-            result.append((number, bucket, packed(places.astype(np.uint32)), part[places].tobytes()))
-        at += size
-    return table_of(result, _REPEATED)
+    place = np.array(ranges)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        rows = sorted(zip(table.column("chunk").to_pylist(), table.column("edges").to_pylist()))
+        lists = [unpacked(e, np.uint64) for _, e in rows]
+        sizes = np.array([len(x) for x in lists])
+        prints = np.concatenate(lists)
+        chunk = np.repeat(np.array([c for c, _ in rows], np.int32), sizes)
+        order = np.argsort(prints, kind="stable")  # equal prints stay in the order of chunks
+        same = np.concatenate([[False], prints[order][1:] == prints[order][:-1]])
+        group_start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        source = np.full(len(prints), -1, np.int32)
+        source[order[same]] = chunk[order[group_start[same]]]
+        # Chunks of one range hold one doc_id: none is earlier than another.
+        source[(source >= 0) & (place[source] == place[chunk])] = -1
+        result, at = [], 0
+        for (number, _), size in zip(rows, sizes.tolist()):
+            part = source[at : at + size]
+            places = np.flatnonzero(part >= 0)
+            if len(places):
+                result.append((number, bucket, packed(places.astype(np.uint32)), part[places].tobytes()))
+            at += size
+        return table_of(result, _REPEATED)
+
+    return run
 
 
 def _cut_paths(window: int, n_buckets: int):
@@ -278,10 +285,10 @@ def remove_repeats(
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, spans) per row of ``docs`` (doc_id, text): the words
     left, joined by one space, and the proven spans in words with their sources."""
-    dealt, n_chunks = dealt_by_chunk(docs, chunk_bytes)
-    n_buckets = max(1, math.ceil(n_chunks / 2))
+    dealt, ranges = dealt_by_chunk(docs, chunk_bytes)
+    n_buckets = max(1, math.ceil(len(ranges) / 2))
     edges = dealt.groupBy("chunk").applyInArrow(_send_edges(window, n_buckets), schema_of(_EDGES))
-    answers = edges.groupBy("bucket").applyInArrow(_answer, schema_of(_REPEATED))
+    answers = edges.groupBy("bucket").applyInArrow(_answer(ranges), schema_of(_REPEATED))
     by_chunk = dealt.groupBy("chunk")
     paths = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_cut_paths(window, n_buckets), schema_of(_PATHS))
     paths = paths.repartition(partitions(docs), "source")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsburst.llm import decontam, partenum, quality, repeats
+from newsburst.llm import chunks, decontam, partenum, quality, repeats
 
 from . import brute
 
@@ -179,6 +179,32 @@ def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_chunks_are_even(spark):
+    """A few long documents, and a doc_id with a third of the rows, do not make a heavy chunk."""
+    rng = random.Random(4)
+    rows = [(d, " ".join(f"w{rng.randrange(999)}" for _ in range(200 if 400 <= d < 410 else 4))) for d in range(800)]
+    rows += [(500, " ".join(f"v{rng.randrange(60)}" for _ in range(8))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    dealt, ranges = chunks.dealt_by_chunk(docs, 3000)
+    sizes = dealt.groupBy("chunk").agg(F.sum(F.octet_length("text")).alias("size"), F.countDistinct("doc_id").alias("ids"))
+    sizes = {r.chunk: r for r in sizes.collect()}
+    assert dealt.count() == len(rows) and max(sizes) < len(ranges)
+    assert max(r.size for r in sizes.values()) < 3 * 3000
+    assert all(sizes[i].ids == 1 for i in sizes if ranges.count(ranges[i]) > 1) and len(set(ranges)) < len(ranges)
+    same(
+        repeats.remove_repeats(docs, 2, 3000), ["doc_id", "n_words", "n_removed", "kept"], brute.without_repeats(rows, 2)
+    )
+
+
+def test_join_of_a_parted_doc_id(spark):
+    """Different texts of one doc_id lie in several chunks and keep the links of all."""
+    rng = random.Random(6)
+    many = [" ".join(f"a{rng.randrange(10**6)}" for _ in range(rng.choice([12, 60]))) for _ in range(40)]
+    rows = [(50, t) for t in many] + [(100 + i, t + " z") for i, t in enumerate(many)] + [(300 + i, f"b{i} c") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in partenum.near_duplicates(spark.createDataFrame(rows, DOCS), 1, 80, 1000).collect()}
+    assert got == {d: 50 if d < 300 else d for d, _ in rows}
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (1, 60)])
 @pytest.mark.parametrize("chunk_bytes", [1 << 30, 2000])
 def test_join(spark, crowd, words, percent, chunk_bytes):
