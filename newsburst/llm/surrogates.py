@@ -14,6 +14,11 @@ entities.
 All of it is DataFrame expressions. Occurrences are made distinct before they are shuffled, texts
 join on a hash of the text, and a frequent entity is one row of the table of forms.
 
+Found are only the written forms of ``PATTERNS``: a person behind a title, and that name where it comes
+again in the same text; not names without a title, street addresses, numbers of other countries'
+national forms. Spellings of one IPv6 address other than in case are separate, and so are a national
+number and its international form, except with +1.
+
 Defined results: null and empty texts stay as they are. Repeated rows, and rows that share an id
 or have none, are treated alike. Entities of one normal form in several kinds are separate. An empty table
 gives none. Other columns pass through, whatever their names.
@@ -31,6 +36,8 @@ ROUNDS = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE, _FEMALE = "Mr|Herr|Monsieur|Señor|Г-н", "Mrs|Ms|Miss|Frau|Mme|Mlle|Señora|Г-жа"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IBAN = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR|UA"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 
 #: Kinds in the order in which they are tried at a place.
@@ -39,15 +46,20 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,60})(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?=\d*[a-f])(?=[a-f]*\d)[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,4})?(?![0-9A-Za-z])",
+    "iban": rf"(?<![0-9A-Za-z])(?:(?:{_IBAN})\d{{2}}(?=(?:[ A-Z]*\d){{6}})(?:(?: ?[0-9A-Z]{{4}}){{3,7}}(?: ?[0-9A-Z]{{1,3}})?|(?: ?[0-9A-Z]{{4}}){{2}} ?[0-9A-Z]{{3}})"
+    r"|[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,4})?)(?![0-9A-Za-z])",
+    "ip6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
-    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+    r"|\+\d{1,3}(?:[ .-]?\d{1,4}){1,2}(?:[ .-]?\d{2,4}){2,4}|(?<![\d.,])(?:\d{3} \d{3} \d{4}|0[1-9](?:[ .-]?\d{2}){4}"
+    r"|0[1-9]\d{1,3}[ /-]\d{5,9}|[6-9]\d{2}(?: \d{2}){3}))(?!\d)",
     "card": r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: An entity holds a digit, an at sign or one of these: a quick look that spares most texts the patterns.
 TRIGGERS = [*_MALE.split("|"), *_FEMALE.split("|"), "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
+_WITH_ONE = r"^\+1(?:\D*\d){10}$"
 DIGIT_KINDS = ("phone", "card", "ssn")
 
 #: Syllables of made-up names by script (fixed values), and endings by gender.
@@ -67,7 +79,8 @@ def may_hold(text: Column) -> Column:
 
 
 def kind_of(entity: Column) -> Column:
-    kind = F.lit(None).cast("string")
+    # Only an IBAN's pattern looks at what follows it, and so may not match alone.
+    kind = F.lit("iban")
     for name, pattern in reversed(PATTERNS.items()):
         kind = F.when(entity.rlike(f"^(?:{pattern})$"), name).otherwise(kind)
     return kind
@@ -76,8 +89,9 @@ def kind_of(entity: Column) -> Column:
 def normal_form(kind: Column, entity: Column) -> Column:
     digits = F.regexp_replace(entity, r"\D", "")
     return (
-        F.when(kind.isin(*DIGIT_KINDS), digits)
-        .when(kind == "email", F.lower(entity))
+        F.when((kind == "phone") & entity.rlike(_WITH_ONE), F.substring(digits, 2, 10))
+        .when(kind.isin(*DIGIT_KINDS), digits)
+        .when(kind.isin("email", "ip6"), F.lower(entity))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when(kind == "person", F.regexp_replace(entity, r"^(\S+?)\.? ", "$1 "))
         .otherwise(entity)
@@ -142,10 +156,14 @@ def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
         F.sequence(F.lit(0), F.lit(3)),
         lambda i: (F.conv(F.substring(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int") % 254 + 1).cast("string"),
     )
+    hexed = F.transform(
+        F.split(form, ""), lambda c, i: F.when(c == ":", c).otherwise(F.substring(digest, F.pmod(i, F.lit(64)) + 1, F.lit(1)))
+    )
     kept = F.substring(form, 1, 1)
     return (
         F.when(kind == "email", F.concat(_shaped(user, digest), longer, F.lit("@"), new_host))
         .when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "ip6", F.array_join(hexed, ""))
         .when(kind == "person", _made_up_name(form, digest, attempt))
         .when(kind.isin("phone", "card"), F.concat(kept, F.substring(shaped, F.lit(2), F.length(shaped))))
         .when(kind == "secret", F.substring(digest, F.lit(1), F.length(form)))
@@ -157,14 +175,13 @@ def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
 
 def in_layout(kind: Column, entity: Column, surrogate: Column) -> Column:
     """The surrogate written as the entity was: separators, title sign and spacing kept."""
-    gaps = F.split(entity, "[0-9]", -1)
+    gaps = F.when(kind == "iban", F.split(entity, "[0-9A-Z]", -1)).otherwise(F.split(entity, "[0-9]", -1))
+    written = F.when((kind == "phone") & entity.rlike(_WITH_ONE), F.concat(F.lit("1"), surrogate)).otherwise(surrogate)
     digits = F.zip_with(
-        gaps, F.split(surrogate, ""), lambda gap, d: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(d, F.lit("")))
+        gaps, F.split(written, ""), lambda gap, d: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(d, F.lit("")))
     )
-    spaced = F.regexp_replace(surrogate, "(.{4})(?=.)", "$1 ")
     return (
-        F.when(kind.isin(*DIGIT_KINDS), F.array_join(digits, ""))
-        .when((kind == "iban") & entity.contains(" "), spaced)
+        F.when(kind.isin(*DIGIT_KINDS, "iban"), F.array_join(digits, ""))
         .when(kind == "person", F.concat(F.regexp_extract(entity, r"^\S+ ", 0), F.regexp_replace(surrogate, r"^\S+ ", "")))
         .otherwise(surrogate)
     )
@@ -192,10 +209,25 @@ def assign(forms: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"no distinct surrogates after {ROUNDS} rounds")
 
 
+def _later_mentions(gap: Column, people: Column) -> Column:
+    """``gap`` with the names that a title introduced in the same text replaced where they stand alone;
+    of several people of one name the first in order counts."""
+
+    def person(text, p):
+        words = F.arrays_zip(
+            F.slice(F.split(p["entity"], " "), 2, 2).alias("old"), F.slice(F.split(p["new"], " "), 2, 2).alias("new")
+        )
+        return F.aggregate(words, text, lambda t, w: F.regexp_replace(
+            t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), w["old"], F.lit(r"(?![\p{L}\p{N}])")), w["new"]
+        ))
+
+    return F.aggregate(people, gap, person)
+
+
 def with_surrogates(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     """``docs`` with its entities replaced in text, and a column with their number; its name."""
     count = fresh(docs, "n_entities")
-    found, row_key, surrogates = (fresh(docs, n) for n in ("_entities", "_text_key", "_surrogates"))
+    found, row_key, surrogates, people = (fresh(docs, n) for n in ("_entities", "_text_key", "_surrogates", "_people"))
     columns = [f"`{c}`" for c in docs.columns]
     entities = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     maybe = may_hold(F.col("text"))
@@ -214,9 +246,12 @@ def with_surrogates(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
         occurring.join(assigned, ["kind", "form"])
         .withColumn("new", in_layout(F.col("kind"), F.col("entity"), F.col("surrogate")))
         .groupBy(row_key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias(surrogates))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias(surrogates),
+            F.array_sort(F.collect_list(F.when(F.col("kind") == "person", F.struct("entity", "new")))).alias(people),
+        )
     )
-    gaps = F.split("text", PATTERN, -1)
+    gaps = F.transform(F.split("text", PATTERN, -1), lambda gap: _later_mentions(gap, F.col(people)))
     new = F.transform(F.col(found), lambda e: F.col(surrogates)[e])
     rebuilt = F.array_join(
         F.zip_with(gaps, new, lambda gap, n: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(n, F.lit("")))), ""

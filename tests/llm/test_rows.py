@@ -48,6 +48,29 @@ def test_surrogates(spark):
     assert surrogates.pseudonymize(spark.createDataFrame([], DOCS), "k").count() == 0
 
 
+def test_surrogates_of_more_forms(spark):
+    forms = [
+        "06 12 34 56 78", "030 12345678", "0171/1234567", "+33 1 23 45 67 89", "+34 612 34 56 78", "212 555 0199",
+        "GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606",
+        "2001:db8:85a3:0:0:8a2e:370:7334", "2001:db8::ff00:42:8329",
+    ]
+    rows = [(i, f"see {f}, then") for i, f in enumerate(forms)]
+    rows += [(50, "Herr Mueller kam. Mueller sagte, Muellerin nicht."), (51, "+1 212-555-0199 or 212-555-0199.")]
+    rows += [(52, "At 12:30:45 std::vector 1 234 567 and 2024-05-01 10:20.")]
+    rows += [(53, "code DE12 ABCD EFGH IJKL, 123456 end"), (54, "code DE12 ABCD EFGH IJKL 123456 end")]
+    got = {r.doc_id: r.text for r in surrogates.pseudonymize(spark.createDataFrame(rows, DOCS), "k").collect()}
+    for i, f in enumerate(forms):
+        new = re.fullmatch("see (.*), then", got[i])[1]
+        assert new != f and re.sub("[0-9A-Za-z]", "x", new) == re.sub("[0-9A-Za-z]", "x", f)
+        assert f[-5:] not in new
+    first, again = re.fullmatch(r"Herr (\w+) kam\. (\w+) sagte, Muellerin nicht\.", got[50]).groups()
+    assert first == again != "Mueller"
+    a, b = re.fullmatch(r"\+1 (\S+) or (\S+)\.", got[51]).groups()
+    assert a == b != "212-555-0199"
+    assert got[52] == rows[-3][1] and got[53] == rows[-2][1]
+    assert len(got[54]) == len(rows[-1][1]) and got[54].endswith(" end")
+
+
 def test_surrogates_collide(spark):
     """More short addresses than the first shape has room for stay distinct."""
     forms = [f"{a}@x.com" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}{i}@x.com" for a in "abc" for i in range(10)]
