@@ -7,8 +7,8 @@ root of the divergence to base 2, so between 0 and 1). Short documents are too n
 guards set a least number of words for either comparison.
 
 Everything is DataFrame expressions, in one pass over the texts: features are written to the
-shared folder, summed per language with partial aggregates, and read again for the verdict. Where
-whole documents are filtered, a second pass counts the features again instead of writing texts.
+shared folder, beside the columns asked for, summed per language with partial aggregates, and read
+again for the verdict, so a filter on it meets rows whose features are done.
 References go to the tasks as one row per profiled language, of fixed size.
 
 Words are runs of characters other than space and ``\\t`` to ``\\r``. Defined results: a null text
@@ -176,9 +176,9 @@ def judge(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None = N
     kept = keep or docs.columns
     wanted = dict.fromkeys([*kept, next(c for c in docs.columns if c.lower() == "lang")])
     counted = counted.select(*(f"`{c}`" for c in wanted), features)
-    if keep is not None:
-        # Narrow rows are written once; whole documents rather have their features counted twice.
-        counted = stage(counted, "quality")
+    # Written before any filter: one on the verdict would otherwise be pushed below the layers above,
+    # which then have their arrays split and hashed again for every window.
+    counted = stage(counted, "quality")
     # One row for each profiled language at most: a broadcast of fixed size.
     judged = counted.join(
         F.broadcast(references(counted, features)), F.col("`lang`") == F.col("ref_lang"), "left"
