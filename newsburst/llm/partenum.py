@@ -10,8 +10,9 @@ No pair is missed, and none is expanded needlessly:
 
 1. Documents are dealt into chunks; the texts are shuffled once. Chunks send their distinct
    signatures, packed, to buckets, which tell which ones several chunks have, and the first chunk.
-2. Each chunk links its own documents that share a signature, exactly, skipping pairs already
-   connected. What takes part further is written with its set, once.
+2. Each chunk links its own documents that share a signature, exactly. Of those that do, only sets
+   with one of their rarest shingles in common are compared, and none that are connected already.
+   What takes part further is written with its set, once.
 3. Each chunk sends one document of each of its components to the first chunk of the
    signatures. Large groups of copies connect here by one document per chunk.
 4. Signatures that still join several components: their documents' rarest shingles, so many that
@@ -102,6 +103,11 @@ def band_of(size: int, percent: int) -> int:
     return number
 
 
+def spare(k: int) -> int:
+    """Parts beyond those that k differences need."""
+    return k // 16 + 2 if k else 0
+
+
 @cache
 def least_shared(size: int, percent: int) -> int:
     """How many signatures a set of this size shares at least with any that it links to: two
@@ -139,7 +145,8 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     found, owners = [], []
     for b, members in places.items():
         k = band(b, percent)[2]
-        n1 = k // 2 + 1  # k + 1 differences in n1 parts: some part has at most one
+        more = spare(k)
+        n1 = k // 2 + 1 + more  # k differences: more + 1 parts at least have at most one
         thirds = THIRDS if k else 1
         cells = n1 * thirds
         sizes = np.array([len(sets[i]) for i in members])
@@ -150,16 +157,20 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         value = mix(elements)
         low = np.bincount(cell, weights=(value & np.uint64(0xFFFFFFFF)).astype(float), minlength=len(members) * cells)
         high = np.bincount(cell, weights=(value >> np.uint64(32)).astype(float), minlength=len(members) * cells)
+        filled = (np.bincount(cell, minlength=len(members) * cells) > 0).reshape(len(members), n1, thirds)
+        pairs = list(combinations(range(thirds), max(1, thirds - 1)))
+        bare = sum(np.count_nonzero(~filled[:, :, list(chosen)].any(axis=2), axis=1) for chosen in pairs)
         # Sums of 32-bit halves stay exact in doubles; a cell's value hangs on its set of elements.
         held = mix(low.astype(np.uint64) + mix(high.astype(np.uint64))).reshape(len(members), n1, thirds)
         salt = mix(np.arange(n1, dtype=np.uint64) + np.uint64(b << 32))
-        for chosen in combinations(range(thirds), max(1, thirds - 1)):
+        for chosen in pairs:
             mark = salt + np.uint64(chosen[0] * 8 + chosen[-1])
             total = mark[None, :] * FACTOR
             for t in chosen:
                 total = mix(total + held[:, :, t] * FACTOR)
-            found.append(total.ravel())
-            owners.append(np.repeat(np.array(members), n1))
+            made = filled[:, :, list(chosen)].any(axis=2) | (bare > more)[:, None]
+            found.append(total[made])
+            owners.append(np.repeat(np.array(members), made.sum(axis=1)))
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(found), np.concatenate(owners)
@@ -288,6 +299,34 @@ _LOCAL_ARROW = pa.schema(
 )
 
 
+def reach(rest_a, rest_b, size_a, size_b, percent: int):
+    """May two sets link whose first common shingle has so many behind it and itself in either?"""
+    return np.minimum(rest_a, rest_b) * (100 + percent) >= percent * (size_a + size_b)
+
+
+def _meeting(sets: list[np.ndarray], owners: np.ndarray, percent: int):
+    """Groups of the named sets with one of their rarest shingles in common, each with the number of
+    its shingles from there on: two that link meet, where they can still reach each other."""
+    if not len(owners):
+        return
+    sizes = np.array([len(sets[i]) for i in owners])
+    elements, number = np.unique(np.concatenate([sets[i] for i in owners]), return_inverse=True)
+    count = np.bincount(number)[number]
+    owner = np.repeat(owners, sizes)
+    order = np.lexsort((number, count, owner))
+    size = np.repeat(sizes, sizes)
+    rest = size - (np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    wanted = (rest >= -(-percent * size // 100)) & (count[order] > 1)
+    chosen, rest, size = order[wanted], rest[wanted], size[wanted]
+    again = np.lexsort((owner[chosen], number[chosen]))
+    chosen, rest, size = chosen[again], rest[again], size[again]
+    for a, b in zip(*_groups(number[chosen])):
+        kinds, kind = np.unique(np.stack([rest[a:b], size[a:b]]), axis=1, return_inverse=True)
+        able = reach(kinds[0][:, None], kinds[0], kinds[1][:, None], kinds[1], percent).any(axis=1)[kind.ravel()]
+        if np.count_nonzero(able) > 1:
+            yield owner[chosen[a:b]][able].tolist(), rest[a:b][able].tolist()
+
+
 def _link_within(rule: Similarity, n_buckets: int):
     bounds = bucket_bounds(n_buckets)
 
@@ -304,15 +343,25 @@ def _link_within(rule: Similarity, n_buckets: int):
             if ids[a] == ids[b]:
                 links.join(a, b)
         starts, ends = _groups(classes.signature)
-        crowded = np.flatnonzero(ends - starts > 1)
-        for g in crowded.tolist():
-            members = classes.owner[starts[g] : ends[g]].tolist()
-            for j, b in enumerate(members):
-                for a in members[:j]:
-                    if links.root(a) != links.root(b) and (a, b) not in compared:
-                        compared.add((a, b))
-                        if similar(sets[a], sets[b], rule):
-                            links.join(a, b)
+        many = np.repeat(ends - starts > 1, ends - starts)
+        for members, rests in _meeting(sets, np.unique(classes.owner[many]), rule.percent):
+            met: dict[int, list[int]] = {}
+            rest = dict(zip(members, rests))
+            for b in members:
+                for root, others in list(met.items()):
+                    if links.root(b) == links.root(others[0]):
+                        continue
+                    for a in others:
+                        able = reach(rest[a], rest[b], len(sets[a]), len(sets[b]), rule.percent)
+                        if able and (a, b) not in compared:
+                            compared.add((a, b))
+                            if similar(sets[a], sets[b], rule):
+                                links.join(a, b)
+                                break
+                home = met.setdefault(links.root(b), [])
+                for root in [r for r in met if r != links.root(b) and links.root(r) == links.root(b)]:
+                    home += met.pop(root)
+                home.append(b)
         # Places in the buckets' answers are places among the distinct signatures.
         distinct = classes.signature[starts] if len(starts) else classes.signature
         base = [0, *np.searchsorted(distinct, bounds).tolist()]
@@ -486,8 +535,8 @@ def prefix(elements: np.ndarray, common: np.ndarray, held: np.ndarray, percent:
 
 
 def _prefixes(opened: DataFrame, rule: Similarity) -> DataFrame:
-    """(element, chunk, doc_id, n, group, weight) of the prefixes of the sets; weight is the number
-    of a component's rows here."""
+    """(element, rest, chunk, doc_id, n, group, weight) of the prefixes of the sets; rest is the number
+    of shingles from there on, weight that of a component's rows here."""
     common, held = _common(opened)
     weights, small = _counted(opened.groupBy("group").agg(F.count("*").alias("weight")), "weights")
     rows = opened.select("chunk", "doc_id", "n", "group", "elements").join(small(weights), "group")
@@ -500,11 +549,14 @@ def _prefixes(opened: DataFrame, rule: Similarity) -> DataFrame:
             ]
             each = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             element = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+            sizes = batch.column("n").to_numpy()
+            rest = np.concatenate([np.empty(0, np.int64), *(n - np.arange(len(f)) for n, f in zip(sizes, found))])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(element), *(batch.column(c).take(each) for c in names)], ["element", *names]
+                [pa.array(element), pa.array(rest), *(batch.column(c).take(each) for c in names)],
+                ["element", "rest", *names],
             )
 
-    kinds = "element long, chunk int, doc_id long, n long, group long, weight long"
+    kinds = "element long, rest long, chunk int, doc_id long, n long, group long, weight long"
     return stage(rows.mapInArrow(cut, kinds), "prefixes")
 
 
@@ -513,11 +565,13 @@ def _routes(opened: DataFrame, rule: Similarity) -> DataFrame:
     which a set of a fitting size has a shingle of their prefix in its own."""
     keys = _prefixes(opened, rule)
     homes = keys.groupBy("element", F.col("chunk").alias("home")).agg(
-        F.max(F.struct("weight", "group")).alias("heaviest"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
+        F.max(F.struct("weight", "group")).alias("heaviest"), F.min("n").alias("low"), F.max("n").alias("high"),
+        F.max("rest").alias("room"),
+    )
     heavier = F.struct("weight", "group") < F.col("heaviest")
     fits = (F.col("low") * rule.percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * rule.percent)
-    met = keys.join(homes, "element").filter((F.col("home") != F.col("chunk")) & heavier & fits)
+    able = F.least("rest", "room") * (100 + rule.percent) >= (F.col("n") + F.col("low")) * rule.percent
+    met = keys.join(homes, "element").filter((F.col("home") != F.col("chunk")) & heavier & fits & able)
     return met.select("home", "doc_id").distinct()
 
 
