@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, partenum, pieces, quality, records, repeats, reputation, surrogates, toxicity
+from newsburst.llm import chat, decontam, packing, partenum, pieces, quality, records, repeats, reputation, surrogates, toxicity
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -118,6 +118,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.add_ids(table(spark, folder, "documents").select("doc_id", "text"), model_file("piece_bpe_32k.model"))
 
 
+@register("op13_binary_packing")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = packing.sequence_path(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    packing.write_sequences(docs, model_file("word_bpe_49k.json").decode(), 2, path)
+    return packing.sequences(spark, path).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        F.lit(0).cast("long").alias("offset"),  # every piece is a sequence of its own
+    )
+
+
 ORACLES["op5_host_reputation"] = r"""
 with parsed as (
   select page_id,

@@ -18,7 +18,6 @@ records raise an error. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -26,90 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from newsburst.llm.common import slices, texts
-from newsburst.llm.wordcache import WordCache
+from newsburst.llm.common import slices
+from newsburst.llm.wordids import word_ids
 from newsburst.session import scratch_path, stage
 
 SLICE_BYTES = 8 << 20
-#: Words kept per Python worker, some 200 bytes each.
-ENTRIES = 1_600_000
 _MASK = 0xA282EAD8
 
 
-class WordEncoder:
-    """Ids of whole texts from a tokenizer whose pre-tokenizer drops white space and parts
-    letters and digits from signs: so words, and stops behind them, encode on their own.
-
-    New words are encoded together in one text, a control character that stands alone between
-    them. Texts with special tokens go to the tokenizer whole.
-    """
-
-    SEPARATOR = b"\x01"
-    STOPS = b".,"
-
-    def __init__(self, model: str):
-        self.tokenizer = Tokenizer.from_str(model)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
-        mark = self.whole([self.SEPARATOR.decode()])[0]
-        self.mark = mark[0] if len(mark) == 1 else None
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)).encode()) if special else None
-        self.cache = WordCache(self._words, ENTRIES)
-
-    def whole(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
-
-    def _together(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Each word's ids, from joined texts where the separator cannot be misread."""
-        found = {w: self._pack(self.whole([w.decode()])[0]) for w in words if self.mark is None or self.SEPARATOR in w}
-        joinable = [w for w in words if w not in found]
-        between = b" " + self.SEPARATOR + b" "
-        for at in range(0, len(joinable), 20_000):
-            group = joinable[at : at + 20_000]
-            ids = np.array(self.whole([between.join(group).decode()])[0], self.kind)
-            marks = np.flatnonzero(ids == self.mark)
-            begins = ((np.append(-1, marks) + 1) * self.width).tolist()
-            ends = (np.append(marks, len(ids)) * self.width).tolist()
-            data = ids.tobytes()
-            found.update((w, data[a:b]) for w, a, b in zip(group, begins, ends, strict=True))
-        return found
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        # Stops behind an ASCII letter or digit start a piece of their own.
-        known = self.cache.known
-        stopped = {w: w.rstrip(self.STOPS) for w in words if w[-1] in self.STOPS}
-        stopped = {w: (b, w[len(b) :]) for w, b in stopped.items() if b[-1:].isalnum()}
-        parts = {p for pair in stopped.values() for p in pair}
-        parts.update(w for w in words if w not in stopped)
-        ids = self._together([p for p in parts if p not in known])
-        for word, (bare, stops) in stopped.items():
-            ids[word] = (ids.get(bare) or known[bare]) + (ids.get(stops) or known[stops])
-        return [ids[w] if w in ids else known[w] for w in words]
-
-    def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Packed ids of each text."""
-        whole = [bool(self.special and self.special.search(t)) for t in batch]
-        ids = self.cache.joined([[] if w else t.split() for t, w in zip(batch, whole)])
-        return [self._pack(self.whole([t.decode()])[0]) if w else i for t, w, i in zip(batch, whole, ids)]
-
-
-_encoders: dict[int, tuple[str, WordEncoder]] = {}
-
-
-def encoder(model: str) -> WordEncoder:
-    """One per Python worker: its word cache serves all tasks that run there."""
-    kept = _encoders.get(len(model))
-    if kept is None or kept[0] != model:
-        kept = _encoders[len(model)] = (model, WordEncoder(model))
-    return kept[1]
-
-
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + _MASK) & 0xFFFFFFFF
@@ -136,8 +60,8 @@ def frames(content: bytes):
         at += size + 17
 
 
-def payload_of(doc_id: int | None, ids: bytes, width: int) -> bytes:
-    return struct.pack("<BBq", doc_id is not None, width, doc_id or 0) + ids
+def payload_of(doc_id: int | None, ids: bytes | memoryview, width: int) -> bytes:
+    return b"".join((struct.pack("<BBq", doc_id is not None, width, doc_id or 0), ids))
 
 
 def parse(payload) -> tuple[int | None, np.ndarray]:
@@ -150,12 +74,15 @@ def write_records(docs: DataFrame, model: str, end_id: int, path: str) -> None:
     each document, into record files under ``path``."""
 
     def encode(batches):
-        coder = encoder(model)
-        end = np.array([end_id], coder.kind).tobytes()
+        coder = word_ids(model)
+        width = 2 if coder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in slices(batches, "text", SLICE_BYTES):
-            ids = coder.encode(texts(batch.column("text")))
+            offsets, ids = coder.encode(batch.column("text"))
+            held = memoryview(np.insert(ids, offsets[1:], end_id).astype(f"<u{width}").tobytes())
+            ends = (width * (offsets + np.arange(len(offsets)))).tolist()
             rows = [
-                frame(payload_of(d, i + end, coder.width)) for d, i in zip(batch.column("doc_id").to_pylist(), ids)
+                frame(payload_of(d, held[a:b], width))
+                for d, a, b in zip(batch.column("doc_id").to_pylist(), ends, ends[1:])
             ]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 

@@ -1,16 +1,21 @@
 """Binary records and SentencePiece models."""
 
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from newsburst.llm import pieces, records
+from newsburst.llm import packing, pieces, queries, records
+from newsburst.llm.wordids import WordIds
 from newsburst.llm.queries import model_file
 
+FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
 TEXTS = [
     None, "", "Hello, world. It's   1 of 23!", " áb  x  we'll o'clock's '", "İstanbul ΑΣ ΟΔΟΣ. Σ̇", "x\x01y \x01 z",
@@ -42,6 +47,86 @@ def test_records(spark):
     assert sorted(len(r.ids) for r in records.read_records(spark, target).collect()) == sorted(e[2] for e in expected)
 
 
+def test_word_ids(monkeypatch):
+    """Batches, with words kept from one to the next and forgotten, give the ids of whole texts."""
+    coder = WordIds(model_file("word_bpe_49k.json").decode())
+    odd = ["H̱ ẖ Å. á, word́. 3.", "ÀÉ. éÀ, ßẞ ĳ ǅ ﬁ. ſ", "3.14, e.g. x.y.z ... ,,, .", "a" * 5000 + ". " + "B" * 300, "_ _. --. 9.,"]
+    texts = [t for t in TEXTS if "<|" not in (t or "")] + odd
+    for kept in (1 << 20, 10):
+        monkeypatch.setattr("newsburst.llm.wordids.KEPT_CHARS", kept)
+        for batch in (texts, texts[::-1], TEXTS, [], [None]):
+            offsets, ids = coder.encode(pa.array(batch, pa.string()))
+            assert len(offsets) == len(batch) + 1
+            for t, a, b in zip(batch, offsets, offsets[1:]):
+                assert coder.tokenizer.encode(t or "", add_special_tokens=False).ids == ids[a:b].tolist()
+
+
+def brute_pieces(tokens, most=4096):
+    """(start, length) as the binary digits of the length give them."""
+    start, found = 0, []
+    while start < tokens:
+        length = most
+        while length > tokens - start:
+            length //= 2
+        found.append((start, length))
+        start += length
+    return found
+
+
+def check_packing(docs, got, most):
+    """All pieces of all rows, however often a document comes up, in sequences of one length a bucket."""
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = []
+    for d, t in docs:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        for a, n in brute_pieces(len(ids), most):
+            expected.append((d, a, n, len(ids), zlib.crc32(ids[a : a + n].tobytes())))
+    assert sorted(((r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32) for r in got), key=repr) == sorted(expected, key=repr)
+    by_number = sorted(got, key=lambda r: r.sequence_id)
+    assert [r.sequence_id for r in by_number] == list(range(len(got)))
+    assert [r.length for r in by_number] == sorted((r.length for r in got), reverse=True)
+
+
+@pytest.mark.parametrize("most", [4096, 8, 1])
+def test_packing(spark, most):
+    rows = [(7 * i % 31, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (5, "twin"), (5, "twin")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], DOCS + ", length int, task string")
+    path = packing.sequence_path(spark)
+    packing.write_sequences(docs, model_file("word_bpe_49k.json").decode(), 2, path, most)
+    got = packing.sequences(spark, path).withColumn("ids_crc32", F.crc32("ids")).collect()
+    check_packing(rows, got, most)
+
+
+def test_packing_of_nothing(spark):
+    path = packing.sequence_path(spark)
+    model = model_file("word_bpe_49k.json").decode()
+    packing.write_sequences(spark.createDataFrame([], DOCS), model, 2, path)
+    assert packing.sequences(spark, path).count() == 0
+    with pytest.raises(ValueError):
+        packing.write_sequences(spark.createDataFrame([], DOCS), model, 2, path, 100)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+def test_op13(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.callables()["op13_binary_packing"](spark, FOLDER).collect()
+    check_packing(docs, got, 4096)
+    assert all(r.offset == 0 for r in got)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+def test_op6(spark):
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect())
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected, start = [], 0
+    for d, t in docs:
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        expected.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = queries.callables()["op6_binary_records"](spark, FOLDER).collect()
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == expected
+
+
 def test_damage_is_found():
     good = records.frame(records.payload_of(3, b"\x01\x00", 2)) + b"\n"
     assert [p[0] for p in records.frames(good * 2)] == [0, len(good)]
