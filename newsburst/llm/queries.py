@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, packing, partenum, pieces, quality, records, repeats, reputation, surrogates, toxicity
+from newsburst.llm import chat, decontam, packing, partenum, pieces, quality, records, repair, repeats, reputation, surrogates, toxicity
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -118,6 +118,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.add_ids(table(spark, folder, "documents").select("doc_id", "text"), model_file("piece_bpe_32k.model"))
 
 
+@register("op12_streamed_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    damaged = repair.damage(turns)
+    found = repair.report(damaged, repair.plan(damaged))
+    every = turns.select(F.col("conv_id").cast("long").alias("every")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("every").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("every").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 @register("op13_binary_packing")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     path = packing.sequence_path(spark)
@@ -200,6 +215,73 @@ from escaped group by 1
 """
 
 
+#: CRC-32 of an ASCII text {0}, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
+
+
+def _repair_sql() -> str:
+    key = "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"
+    line = "chr(10) || {0} || ':' || {1}"
+
+    def option(cost: str, letter: str, behind: str, role: str = "", text: str = "''") -> str:
+        said = line.format(role, text) + f" || {behind}.t" if role else f"{behind}.t"
+        return f"{{'c': {cost} + {behind}.c, 's': '{letter}' || {behind}.s, 't': {said}}}"
+
+    def best(state: str, after: str, role: str, kept: dict[str, str]) -> str:
+        options = [option("3", "D", state), f"case when not must then {option('2 + short', 'R', after, repr(role), 'text')} end"]
+        for letter, behind in {**kept, "": state}.items():
+            options.append(f"case when not must and letter = '{letter}' then {option('short', 'K', behind, 'role', 'text')} end")
+        return f"list_min([{', '.join(options)}])"
+
+    user, assistant = "'user'", "'assistant'"
+    return rf"""
+with recursive coded as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, {_CRC32.format(key)} % 20 as code from conversations),
+damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+    case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case when code = 3 then [0, 1] else [0] end) as twin
+  from coded where code <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), twin) i,
+    left(role, 1) letter, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) tail from damaged),
+seen as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 again,
+  lag(letter) over (partition by conv_id order by i) || letter pair from placed),
+judged as materialized (
+  select conv_id, i, turn, role, text, letter, pair, case when tail = '' then 1 when again then 2 when tail not in ('.', '!', '?') then 3 else 0 end fault
+  from seen),
+rows_ as (select *, fault in (1, 2) must, cast(fault = 3 as int) short from judged),
+walk as (
+  select conv_id, max(i) + 1 i, {{'c': 0, 's': '', 't': ''}} f0,
+    {{'c': 4, 's': 'II', 't': {line.format(user, "''")} || {line.format(assistant, "''")}}} fs,
+    {{'c': 2, 's': 'I', 't': {line.format(assistant, "''")}}} fu, {{'c': 0, 's': '', 't': ''}} fa
+  from judged group by conv_id
+  union all
+  select conv_id, i, least(b0, {option("2", "I", "gu", user)}), least(bs, {option("2", "I", "gu", user)}), gu, ga
+  from (
+    select *, least(bu, {option("2", "I", "ba", assistant)}) gu, least(ba, {option("2", "I", "bu", user)}) ga
+    from (
+      select r.conv_id, r.i, {best("f0", "fu", "user", {"s": "fs", "u": "fu"})} b0, {best("fs", "fu", "user", {"u": "fu"})} bs,
+        {best("fu", "fa", "assistant", {"a": "fa"})} bu, {best("fa", "fu", "user", {"u": "fu"})} ba
+      from walk join rows_ r on r.conv_id is not distinct from walk.conv_id and r.i = walk.i - 1))),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (where fault = 1) blank,
+    count(*) filter (where fault = 2) duplicate, count(*) filter (where fault = 3) truncated,
+    count(*) filter (where pair not in ('su', 'ua', 'au')) illegal
+  from judged group by conv_id)
+select every.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate,
+  coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, cast(coalesce(f0.c, 0) as bigint) as cost,
+  coalesce(f0.s, '') audit, sha256(coalesce(substr(f0.t, 2), '')) repaired_sha256
+from (select distinct conv_id from conversations) every
+left join counted on counted.conv_id is not distinct from every.conv_id
+left join walk on walk.conv_id is not distinct from every.conv_id and walk.i = 1
+"""
+
+
+ORACLES["op12_streamed_repair"] = _repair_sql()
+
+
 _SPACED = r"""
 words as materialized (
   select doc_id, regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+') w from documents)"""
