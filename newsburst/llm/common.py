@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -38,3 +39,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
             held += size
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on, and a later stage's share of an
+    executor must not be held by what an earlier one has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -58,7 +58,7 @@ from newsburst.llm.chunks import (
     table_of,
     unpacked,
 )
-from newsburst.llm.common import fresh, slices, texts
+from newsburst.llm.common import fresh, give_back, slices, texts
 from newsburst.operators.components import connected_components
 from newsburst.session import stage
 
@@ -252,6 +252,7 @@ def _send(rule: Similarity, n_buckets: int):
     bounds = bucket_bounds(n_buckets)
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         distinct = np.unique(Classes.of(table, rule).signature)
         number = table.column("chunk")[0].as_py()
         cuts = [0, *np.searchsorted(distinct, bounds).tolist(), len(distinct)]
@@ -333,6 +334,7 @@ def _link_within(rule: Similarity, n_buckets: int):
     def run(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _LOCAL_ARROW.empty_table()
+        give_back()
         classes = Classes.of(table, rule)
         number = table.column("chunk")[0].as_py()
         ids, sets = classes.doc_ids, classes.sets
@@ -407,6 +409,7 @@ def _compare(rule: Similarity, group_key: str, whole: bool = False):
     rows are compared only if they share as many as the sizes of linked sets need."""
 
     def run(own: pa.Table, visitors: pa.Table) -> pa.Table:
+        give_back()
         pairs: list[tuple[int, int]] = []
         if own.num_rows and visitors.num_rows:
             home = own.select([group_key, "elements", "signatures"]).to_pylist()

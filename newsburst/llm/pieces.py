@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers
 
-from newsburst.llm.common import slices, texts
+from newsburst.llm.common import give_back, slices, texts
 from newsburst.llm.wordcache import WordCache
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SPACE = "▁"
 
 # Fixed values of the published message format: piece kinds, model kinds and field numbers.
@@ -155,7 +155,8 @@ class Model:
     @property
     def cuttable(self) -> bool:
         inner = any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED))
-        return not (inner or self.character_map or self.trim_spaces) and self.dummy_prefix and self.escape_spaces
+        fits = self.dummy_prefix and self.escape_spaces and self.byte_fallback
+        return fits and not (inner or self.character_map or self.trim_spaces)
 
     def bytes_of(self) -> list[bytes]:
         """What each id decodes to."""
@@ -253,12 +254,15 @@ def encoder(data: bytes, verify: bool, threads: int) -> PieceEncoder:
     return _encoders[key]
 
 
-def add_ids(docs: DataFrame, data: bytes, verify: bool = True, threads: int = 1, keep: tuple = ("doc_id",)) -> DataFrame:
+def add_ids(
+    docs: DataFrame, data: bytes, verify: bool = True, threads: int | None = None, keep: tuple = ("doc_id",)
+) -> DataFrame:
     """Columns ``keep`` of ``docs`` with n_tokens, ids, parity and round_trip of its text.
 
-    ``data`` is the content of the model file; ``threads`` are those of one task's batches (set
-    spark.task.cpus alike).
+    ``data`` is the content of the model file; batches are encoded by as many threads as a task
+    has cores (spark.task.cpus), or ``threads``.
     """
+    threads = threads or int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
     narrow = docs.select(*keep, docs["text"].alias("__text__"))
     schema = T.StructType(
         [
@@ -271,6 +275,7 @@ def add_ids(docs: DataFrame, data: bytes, verify: bool = True, threads: int = 1,
     )
 
     def run(batches):
+        give_back()
         coder = encoder(data, verify, threads)
         for batch in slices(batches, "__text__", SLICE_BYTES):
             given = texts(batch.column("__text__"))
