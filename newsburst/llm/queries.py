@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsburst.llm import chat, decontam, packing, partenum, pieces, quality, records, repair, repeats, reputation, surrogates, toxicity
+from newsburst.llm import chat, decontam, packing, partenum, pieces, quality, records, repair, repeats, reputation, surrogates, toxicity, trie
 from newsburst.llm.common import table
 
 QUERIES = {}
@@ -118,6 +118,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.add_ids(table(spark, folder, "documents").select("doc_id", "text"), model_file("piece_bpe_32k.model"))
 
 
+@register("op11_boas_trie")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(*trie.rebuilt(turns))
+
+
 @register("op12_streamed_repair")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -220,6 +226,44 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(stri
   lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"""
 
 
+ORACLES["op11_boas_trie"] = rf"""
+with own as materialized (
+  select conv_id, coalesce(role, '') role, coalesce(text, '') text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 place
+  from conversations where conv_id is not null),
+ids as (
+  select conv_id, conv_id - conv_id % 100 base, {_CRC32.format("cast(conv_id as varchar)")} % 6 taken
+  from (select distinct conv_id from own)),
+lent as materialized (
+  select ids.conv_id, base, taken, least(taken, count(own.conv_id)) lent
+  from ids left join own on own.conv_id = base and place < taken group by ids.conv_id, base, taken),
+turns as materialized (
+  select lent.conv_id, place + 1 d, role, text from lent join own on own.conv_id = base and place < taken
+  union all
+  select conv_id, place - taken + lent + 1, role, text from own join lent using (conv_id) where place >= taken),
+members as materialized (
+  select conv_id, d, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+    over (partition by conv_id order by d)) name, length(text) chars from turns
+  union all select conv_id, 0, 'root', 0 from ids),
+nodes as materialized (select name, d, min(conv_id) low, count(*) n, max(chars) chars from members group by name, d),
+linked as materialized (
+  select nodes.*, members.name parent from nodes left join members on members.conv_id = low and members.d = nodes.d - 1),
+kids as (select parent name, count(*) n_children from linked where parent is not null group by 1),
+own_totals as (
+  select linked.*, coalesce(n_children, 0) n_children, cast(n_children is null as int) leaf, (n - 1) * chars saved
+  from linked left join kids using (name)),
+totals as (
+  select members.name, sum(leaf) n_leaves, sum(saved) saved_tokens
+  from own_totals y join members on members.conv_id = y.low and members.d <= y.d group by 1),
+ends as (
+  select name, string_agg(cast(conv_id as varchar), ',' order by conv_id) listed
+  from (select * from members qualify d = max(d) over (partition by conv_id)) group by 1)
+select x.low conv_id, cast(x.d as bigint) as depth, p.low parent_conv_id, x.n n_convs, x.n_children,
+  cast(n_leaves as bigint) n_leaves, cast(saved_tokens as bigint) saved_tokens, sha256(coalesce(listed, '')) ends_sha256
+from own_totals x left join nodes p on p.name = x.parent join totals on totals.name = x.name left join ends on ends.name = x.name
+"""
+
+
 def _repair_sql() -> str:
     key = "coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')"
     line = "chr(10) || {0} || ':' || {1}"
@@ -245,7 +289,9 @@ damaged as (
   from coded where code <> 0),
 placed as (
   select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), twin) i,
-    left(role, 1) letter, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) tail from damaged),
+    left(role, 1) letter, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) tail from damaged),
 seen as (select *, row_number() over (partition by conv_id, role, text order by i) > 1 again,
   lag(letter) over (partition by conv_id order by i) || letter pair from placed),
 judged as materialized (

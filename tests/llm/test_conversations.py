@@ -9,7 +9,7 @@ from functools import cache
 
 import pytest
 
-from newsburst.llm import queries, repair
+from newsburst.llm import queries, repair, trie
 
 FOLDER = "/root/testdata/sf0.001"
 TURNS = "conv_id long, turn long, role string, text string"
@@ -160,3 +160,93 @@ def test_op12(spark):
             mine += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
     found = queries.callables()["op12_streamed_repair"](spark, FOLDER)
     assert as_rows(found.collect()) == {c: brute_report(r)[0] for c, r in damaged.items()}
+
+
+def brute_trie(sequences):
+    """All nodes of the trie of {conv_id: [(symbol, chars)]}, prefix by prefix."""
+    members = {}
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(s for s, _ in turns[:d]), []).append(c)
+    children = {}
+    for name in members:
+        if name:
+            children.setdefault(name[:-1], []).append(name)
+
+    def saved(name):
+        return (len(members[name]) - 1) * sequences[members[name][0]][len(name) - 1][1] if name else 0
+
+    rows = []
+    for name, convs in members.items():
+        below = [x for x in members if x[: len(name)] == name]
+        ends = sorted(c for c in convs if len(sequences[c]) == len(name))
+        parent = min(members[name[:-1]]) if name else None
+        rows.append((
+            min(convs), len(name), parent, len(convs), len(children.get(name, [])), sum(x not in children for x in below),
+            sum(saved(x) for x in below), sha(",".join(map(str, ends))),
+        ))
+    return rows
+
+
+NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+@pytest.mark.parametrize("longest", [1, 2, 4, 5, 8, 13])
+def test_trie(spark, longest):
+    rng = random.Random(longest)
+    sequences = {c: [] for c in range(-3, 40)}
+    for c in sequences:
+        if c > 0 and rng.random() < 0.7:
+            other = sequences[rng.randrange(c)]
+            sequences[c] = other[: rng.randrange(len(other) + 1)]
+        if rng.random() < 0.7:
+            grown = [(x, len(x)) for x in rng.choices(["a", "bb", "ccc"], k=rng.randrange(longest + 1))]
+            sequences[c] = (sequences[c] + grown)[:longest]
+    sequences[0] = [("a", 1)] * longest
+    rows = [(c, i, s.encode(), n) for c, turns in sequences.items() for i, (s, n) in enumerate(turns)]
+    found = trie.prefix_trie(
+        spark.createDataFrame(rows, "conv_id long, place long, symbol binary, chars long"),
+        spark.createDataFrame([(c,) for c in [*sequences, None, 3]], "conv_id long"),
+    )
+    assert sorted(map(tuple, found.select(NODE).collect()), key=repr) == sorted(brute_trie(sequences), key=repr)
+
+
+def test_trie_pieces_of_ids(spark, monkeypatch):
+    """A node at which very many conversations end, joined from many pieces."""
+    monkeypatch.setattr(trie, "PIECE_BYTES", 100)
+    rows = spark.range(5000).selectExpr("id as conv_id", "0L as place", "cast('x' as binary) as symbol", "2L as chars")
+    nodes = trie.prefix_trie(rows, rows.select("conv_id")).collect()
+    ids = sha(",".join(map(str, range(5000))))
+    assert sorted(map(tuple, nodes), key=repr) == [(0, 0, None, 5000, 1, 1, 9998, sha("")), (0, 1, 0, 5000, 0, 1, 9998, ids)]
+
+
+def brute_rebuilt(rows):
+    own = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append((turn, role or "", text or ""))
+    for turns in own.values():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], hashlib.md5(f"{len(t[1].encode())}:{t[1]}{t[2]}".encode()).digest()))
+    found = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = own.get(c - (c % 100 if c >= 0 else -(-c % 100)), [])
+        found[c] = [((role, text), len(text)) for _, role, text in base[:h] + turns[h:]]
+    return found
+
+
+def test_rebuilt_conversations(spark):
+    """Nulls, ties, repeated rows, absent bases, one long conversation, clashing columns."""
+    rows = conversations(11, 30, 9) + [(c, t, "user", f"é{t % 3}") for c in (100, 101, 199, 230, -5) for t in (1, 2, 2, 9)]
+    rows += [(250, i, "a", "x") for i in range(700)]
+    turns = spark.createDataFrame([(*r, 1, 2) for r in rows], TURNS + ", place int, depth int")
+    found = trie.prefix_trie(*trie.rebuilt(turns)).select(NODE).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(brute_trie(brute_rebuilt(rows)), key=repr)
+    assert trie.prefix_trie(*trie.rebuilt(turns.limit(0))).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+def test_op11(spark):
+    rows = spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    found = queries.callables()["op11_boas_trie"](spark, FOLDER).select(NODE).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(brute_trie(brute_rebuilt(rows)), key=repr)
