@@ -13,8 +13,9 @@ No pair is missed, and none is expanded needlessly:
 2. Each chunk links its own documents that share a signature, exactly. Of those that do, only sets
    with one of their rarest shingles in common are compared, and none that are connected already.
    What takes part further is written with its set, once.
-3. Each chunk sends one document of each of its components to the first chunk of the
-   signatures. Large groups of copies connect here by one document per chunk.
+3. Each chunk sends one document of each of its components to the first chunk of its
+   signatures, if that is so for a fair part of them. Large groups of copies connect here by one
+   document per chunk; links that this misses are found in the next step.
 4. Signatures that still join several components: their documents' rarest shingles, so many that
    linked sets have one of them in common, are joined. Documents of the lighter component visit
    the chunks of the heavier one that they meet there, and are compared with those not connected
@@ -70,6 +71,8 @@ VISIT_BYTES = 32 << 20
 #: Sets from which frequent shingles are counted, and at most so many of these.
 SAMPLE, COMMON = 10_000, 65_536
 THIRDS = 3
+#: The first round looks at documents with one in so many of their signatures in a chunk.
+FAIR = 8
 
 
 @dataclass(frozen=True)
@@ -284,16 +287,16 @@ def _share(table: pa.Table) -> pa.Table:
     return table_of(result, _SHARED)
 
 
-#: Every document with the root of its component within the chunk. Only a class with signatures
-#: that other chunks have: its set, these signatures, the first chunk of each, and the chunks that
+#: Every document with the root of its component within the chunk and the number of its signatures.
+#: Only a class with signatures that other chunks have: its set, these signatures, the first chunk of each, and the chunks that
 #: it visits for its component.
 _LOCAL = (
-    "chunk int, doc_id long, n long, root long, elements binary, signatures array<long>, firsts array<int>, "
+    "chunk int, doc_id long, n long, root long, made int, elements binary, signatures array<long>, firsts array<int>, "
     "visits array<int>"
 )
 _LOCAL_ARROW = pa.schema(
     [
-        ("chunk", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()),
+        ("chunk", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("made", pa.int32()),
         ("elements", pa.binary()), ("signatures", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int32())),
         ("visits", pa.list_(pa.int32())),
     ]
@@ -375,11 +378,12 @@ def _link_within(rule: Similarity, n_buckets: int):
         outer = outer[np.argsort(classes.owner[outer], kind="stable")]
         begin, end = _groups(classes.owner[outer])
         abroad = {int(classes.owner[outer[a]]): outer[a:b] for a, b in zip(begin, end)}
+        made = np.bincount(classes.owner, minlength=len(ids)).tolist()
         # Of each component the class with most signatures that came up there first visits a chunk.
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for i, mine in abroad.items():
             for c, count in zip(*(x.tolist() for x in np.unique(each[mine], return_counts=True))):
-                if c != number:
+                if c != number and FAIR * count >= made[i]:
                     key = (links.root(i), c)
                     best[key] = max(best.get(key, (0, 0)), (count, -i))
         visits: dict[int, list[int]] = {}
@@ -396,7 +400,7 @@ def _link_within(rule: Similarity, n_buckets: int):
                     visits.get(i, []),
                 )
             )
-            rows.append((number, d, len(sets[i]), ids[links.root(i)], *extra))
+            rows.append((number, d, len(sets[i]), ids[links.root(i)], made[i], *extra))
         columns = list(zip(*rows))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LOCAL_ARROW)], schema=_LOCAL_ARROW)
 
@@ -484,7 +488,8 @@ def _linked_within_chunks(docs: DataFrame, rule: Similarity, chunk_bytes: int) -
 def _first_round(active: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
     """Links of one document of each component with the first chunk of its signatures."""
     here = "transform(filter(arrays_zip(signatures, firsts), s -> s.firsts = {}), s -> s.signatures) as signatures"
-    own = active.selectExpr("chunk", "root", "elements", here.format("chunk")).filter("size(signatures) > 0")
+    own = active.selectExpr("chunk", "root", "made", "elements", here.format("chunk"))
+    own = own.filter(f"size(signatures) > 0 and {FAIR} * size(signatures) >= made")
     visits = active.selectExpr("chunk", "n", "root", "elements", "signatures", "firsts", "explode(visits) as home")
     visits = visits.selectExpr("home", "chunk", "n", "root", "elements", here.format("home"))
     visits = visits.select(*_again("home", "chunk", "n", "root", "elements", "signatures"))
@@ -495,7 +500,7 @@ def _opened(active: DataFrame, links: DataFrame) -> DataFrame:
     """(chunk, doc_id, n, group, elements, signatures) of the rows with a signature that still
     joins several components."""
     found, small = _counted(_components(links), "components")
-    narrow = active.drop("elements", "firsts", "visits").join(small(found), active.root == found.node, "left")
+    narrow = active.drop("made", "elements", "firsts", "visits").join(small(found), active.root == found.node, "left")
     members = narrow.select(
         "chunk", "doc_id", F.coalesce("component", "root").alias("group"), F.explode("signatures").alias("signature")
     )
