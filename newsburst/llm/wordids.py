@@ -44,10 +44,21 @@ class WordIds:
             self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         # The tokenizer lowers case itself: words that differ in case only are one.
         self.lowers = '"Lowercase"' in json.dumps(json.loads(model).get("normalizer"))
+        self.lean = self._lean(json.loads(model)) if self.lowers else self.tokenizer
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = "|".join(map(re.escape, special))
         self._forget()
 
+    def _lean(self, parts: dict) -> Tokenizer:
+        """The same model for lower-case letters between spaces: what else its pattern tells apart and its
+        normalizer changes does not come up, so white space is all that is looked for."""
+        steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        pattern = steps[0].get("pattern", {}).get("Regex", "") if steps else ""
+        if [s["type"] for s in steps] != ["Split", "ByteLevel"] or r"[\p{L}]+" not in pattern:
+            return self.tokenizer
+        parts["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        return Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
+
     def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.chars = 0
@@ -55,8 +66,8 @@ class WordIds:
         self.lengths = np.empty(0, np.int64)
         self.pool = np.empty(0, np.uint32)
 
-    def whole(self, parts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def whole(self, parts: list[str], tokenizer: Tokenizer | None = None) -> list[np.ndarray]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(parts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
     def _letters(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -64,7 +75,7 @@ class WordIds:
         found, sizes = [], []
         for at in range(0, len(words), JOINED):
             group = words[at : at + JOINED]
-            ids = self.whole([" ".join(group)])[0]
+            ids = self.whole([" ".join(group)], self.lean)[0]
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(group) and len(ids) == ends[-1]:
                 parts, length = [ids], np.diff(ends, prepend=0)
