@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsburst.functions.scalars import age_micros, cluster_weight, hot_score, moment
 from newsburst.operators import filters
 from newsburst.operators.dbscan import NOISE, dbscan_labels
+from newsburst.operators.shared import scope_labels
 from newsburst.operators.visibility import exclusive_pairs, shared_pool
 from newsburst.schemas import (
     DEFAULT_EPS,
@@ -73,9 +74,13 @@ def scopes(systems: DataFrame, configs: DataFrame, **options) -> Scopes:
 
 
 def _tenant_pairs(narrow: DataFrame, pool: DataFrame, links: DataFrame, params: DataFrame) -> DataFrame:
+    """(tenant, article) pairs with the tenant's parameters; ``share`` is null for the pool, whose rows
+    the tenants have in common, and the tenant for its own and linked rows."""
     ids = params.agg(F.sort_array(F.collect_set("system_id")).alias("ids"))
     shared = pool.select(F.explode(ids.scalar()).alias("system_id"), "id", "create_time")
-    return exclusive_pairs(narrow, links, params).unionByName(shared).join(params, "system_id")
+    shared = shared.withColumn("share", F.lit(None).cast("long"))
+    own = exclusive_pairs(narrow, links, params).withColumn("share", F.col("system_id"))
+    return own.unionByName(shared).join(params, "system_id")
 
 
 def _newest_minutes(rows: DataFrame, cap: int) -> DataFrame:
@@ -103,7 +108,7 @@ def tenant_candidates(articles: DataFrame, links: DataFrame, tenants: Scopes, as
         pool = _newest_minutes(pool, tenants.cap)
     own_window = moment(as_of, articles) - F.make_dt_interval(F.lit(0), F.col("hours"))
     pairs = _tenant_pairs(narrow, pool, links, tenants.params).filter(F.col("create_time") >= own_window)
-    return pairs.select("system_id", "id", "create_time", "eps", "min_samples", "cap")
+    return pairs.select("system_id", "id", "create_time", "eps", "min_samples", "cap", "share")
 
 
 def backfill_candidates(
@@ -132,7 +137,7 @@ def backfill_candidates(
         .filter(F.col("_from") <= F.col("_to"))
         .withColumn("_n", F.explode(F.sequence("_from", "_to")))
         .withColumn("tick", start + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("_n") * step_minutes).cast("int")))
-        .select("system_id", "tick", "id", "create_time", "eps", "min_samples", "cap")
+        .select("system_id", "tick", "id", "create_time", "eps", "min_samples", "cap", "share")
     )
 
 
@@ -212,7 +217,7 @@ def tenant_labels(
     tenants = scopes(systems, configs, hours=hours, eps=eps, min_samples=min_samples)
     candidates = tenant_candidates(articles, links, tenants, as_of)
     recent = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, tenants.hours)
-    return dbscan_labels(candidates, recent.select("id", "embedding"), ["system_id"], **grid)
+    return scope_labels(candidates, recent.select("id", "embedding"), ["system_id"], **grid)
 
 
 def global_labels(articles, as_of, hours=DEFAULT_HOURS, eps=DEFAULT_EPS,
@@ -225,12 +230,13 @@ def global_labels(articles, as_of, hours=DEFAULT_HOURS, eps=DEFAULT_EPS,
 def cluster_events(
     articles, links, systems, configs, as_of, hours=None, eps=None, min_samples=None, **grid
 ) -> DataFrame:
-    """Events of every tenant in ``systems``, clustered in one job."""
+    """Events of every tenant in ``systems``, clustered in one job; with a ``store`` only what is new since
+    its last run is compared."""
     tenants = scopes(systems, configs, hours=hours, eps=eps, min_samples=min_samples)
     candidates = tenant_candidates(articles, links, tenants, as_of)
     # One windowed table gives vectors, titles and weights.
     recent = filters.within_hours(filters.not_deleted(filters.embedded(articles)), as_of, tenants.hours)
-    labels = dbscan_labels(candidates, recent.select("id", "embedding"), ["system_id"], **grid)
+    labels = scope_labels(candidates, recent.select("id", "embedding"), ["system_id"], **grid)
     return summarize(labels, recent, ["system_id"])
 
 
@@ -244,31 +250,43 @@ def backfill_events(
     articles, links, systems, configs, first_tick, ticks: int, step_minutes: int, **grid
 ) -> DataFrame:
     """Events as they would have been at each tick; every (tenant, tick) is its own scope of
-    one clustering job."""
+    one clustering job. Two articles are compared once, however many ticks see both."""
     tenants = scopes(systems, configs)
     candidates = backfill_candidates(articles, links, tenants, first_tick, ticks, step_minutes)
     recent = filters.within_hours(filters.not_deleted(filters.embedded(articles)), first_tick, tenants.hours)
-    labels = dbscan_labels(candidates, recent.select("id", "embedding"), ["system_id", "tick"], **grid)
+    labels = scope_labels(candidates, recent.select("id", "embedding"), ["system_id", "tick"], **grid)
     return summarize(labels, recent, ["system_id", "tick"])
 
 
-def cluster_presets(articles, as_of, hours, presets=PRESETS, cap=None, **grid) -> DataFrame:
-    """Global events under each named (eps, min_samples) preset; vectors are prepared once."""
+def preset_candidates(articles, as_of, presets: dict[str, tuple], cap=None) -> tuple[DataFrame, DataFrame]:
+    """(candidates keyed by preset, rows of the widest window); a preset is (eps, min_samples, hours)."""
     options = F.array(
         *[
             F.struct(
                 F.lit(name).alias("preset"),
                 F.lit(eps).cast("double").alias("eps"),
                 F.lit(min_samples).cast("int").alias("min_samples"),
+                F.lit(hours).cast("int").alias("hours"),
             )
-            for name, (eps, min_samples) in presets.items()
+            for name, (eps, min_samples, hours) in presets.items()
         ]
     )
-    recent = filters.within_hours(filters.embedded(articles), as_of, hours)
-    candidates = recent.select("id", "create_time", F.explode(options).alias("o")).select(
-        "o.preset", "id", "create_time", "o.eps", "o.min_samples", F.lit(cap).cast("long").alias("cap")
-    )
-    labels = dbscan_labels(candidates, recent.select("id", "embedding"), ["preset"], **grid)
+    recent = filters.within_hours(filters.embedded(articles), as_of, max(hours for *_, hours in presets.values()))
+    since = moment(as_of, articles) - F.make_dt_interval(F.lit(0), F.col("o.hours"))
+    seen = recent.select("id", "create_time", F.explode(options).alias("o")).filter(F.col("create_time") >= since)
+    candidates = seen.select(
+        "o.preset", "id", "create_time", "o.eps", "o.min_samples", F.lit(cap).cast("long").alias("cap"),
+        F.lit(None).cast("long").alias("share"),
+    )
+    return candidates, recent
+
+
+def cluster_presets(articles, as_of, hours=None, presets=PRESETS, cap=None, **grid) -> DataFrame:
+    """Global events under each named preset: (eps, min_samples), with ``hours`` for all, or (eps,
+    min_samples, hours). Two articles are compared once, at the distances of all presets that see both."""
+    full = {name: (*given, hours)[:3] for name, given in presets.items()}
+    candidates, recent = preset_candidates(articles, as_of, full, cap)
+    labels = scope_labels(candidates, recent.select("id", "embedding"), ["preset"], **grid)
     return summarize(labels, recent, ["preset"])
 
 

@@ -133,9 +133,8 @@ class Neighbourhood:
     one_block: bool
 
 
-def _compared(candidates: DataFrame, vectors: DataFrame, keys: list[str], block_rows: int) -> Neighbourhood | None:
-    """Compare the vectors of every scope in blocks; nothing when there are no candidates."""
-    time_type = candidates.schema["create_time"].dataType
+def staged_candidates(candidates: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The candidates, written, with their number and the smallest cap."""
     seen = Observation()
     candidates = stage(
         candidates.observe(
@@ -143,7 +142,17 @@ def _compared(candidates: DataFrame, vectors: DataFrame, keys: list[str], block_
         ),
         "candidates",
     )
-    rows, cap = seen.get["rows"], seen.get["cap"]
+    return candidates, (seen.get["rows"], seen.get["cap"])
+
+
+def _compared(
+    candidates: DataFrame, vectors: DataFrame, keys: list[str], block_rows: int, counted: tuple[int, int] | None = None
+) -> Neighbourhood | None:
+    """Compare the vectors of every scope in blocks; nothing when there are no candidates."""
+    time_type = candidates.schema["create_time"].dataType
+    if counted is None:
+        candidates, counted = staged_candidates(candidates)
+    rows, cap = counted
     if not rows:
         return None
     # Every table below has at most one row per candidate, so the observed count bounds it.
@@ -230,6 +239,7 @@ def dbscan_labels(
     keys: list[str],
     block_rows: int = BLOCK_ROWS,
     task_edges: int = TASK_EDGES,
+    counted: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Cluster every scope of ``candidates`` and label each of its rows.
 
@@ -238,26 +248,42 @@ def dbscan_labels(
     -1 for noise. Clusters are numbered by their newest core row; a border row belongs to
     the lowest-numbered cluster it touches.
 
-    Sizes are observed while a table is written. When all rows together fit one block, and
+    Sizes are observed while a table is written, or ``counted`` where the candidates are staged. When all rows together fit one block, and
     all edges together one task, the jobs that would size each scope are left out.
     """
-    compared = _compared(candidates, vectors, keys, block_rows)
+    compared = _compared(candidates, vectors, keys, block_rows, counted)
     if compared is None:
-        time_type = candidates.schema["create_time"].dataType
-        result_schema = T.StructType(
-            [candidates.schema[k] for k in keys]
-            + table(id=LONG, create_time=time_type, is_core=FLAG, cluster_id=LONG).fields
-        )
-        return candidates.sparkSession.createDataFrame([], result_schema)
+        return no_labels(candidates, keys)
     candidates, members, copies = compared.candidates, compared.members, compared.copies
-    summary, rows = compared.summary, compared.rows
+    # A single block holds each distinct vector once: as many points as rows means no copies.
+    if compared.one_block and compared.degrees == compared.rows:
+        named = candidates.withColumn("rep", F.col("id"))
+    else:
+        named = members.join(copies.select(*keys, "digest", "rep"), [*keys, "digest"])
+    return label_rows(named, compared.summary, keys, compared.rows, compared.edges, task_edges)
+
+
+def no_labels(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    time_type = candidates.schema["create_time"].dataType
+    result_schema = T.StructType(
+        [candidates.schema[k] for k in keys]
+        + table(id=LONG, create_time=time_type, is_core=FLAG, cluster_id=LONG).fields
+    )
+    return candidates.sparkSession.createDataFrame([], result_schema)
+
+
+def label_rows(
+    named: DataFrame, summary: DataFrame, keys: list[str], rows: int, edges: int, task_edges: int = TASK_EDGES
+) -> DataFrame:
+    """Labels of ``named`` (keys, id, create_time, rep) from a staged neighbour summary between reps;
+    ``rows`` and ``edges`` bound the rows of both tables."""
     small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     graph = _graph(summary, keys, small)
-    few = compared.edges <= task_edges
+    few = edges <= task_edges
     if not few:
         graph = stage(graph, "graph")
-    edges = graph.filter(F.col("role") == "edge").select(*keys, "a", "b")
-    roots = finish_in_tasks(edges, keys) if few else connected_components(edges, keys, task_edges)
+    links = graph.filter(F.col("role") == "edge").select(*keys, "a", "b")
+    roots = finish_in_tasks(links, keys) if few else connected_components(links, keys, task_edges)
 
     # Number the components of a scope by their newest core row.
     cores = (
@@ -285,11 +311,6 @@ def dbscan_labels(
     labels = core_labels.select("*", F.lit(True).alias("is_core")).unionByName(
         border_labels.select("*", F.lit(False).alias("is_core"))
     )
-    # A single block holds each distinct vector once: as many points as rows means no copies.
-    if compared.one_block and compared.degrees == rows:
-        named = candidates.withColumn("rep", F.col("id"))
-    else:
-        named = members.join(copies.select(*keys, "digest", "rep"), [*keys, "digest"])
     labels = small(labels.withColumnRenamed("id", "rep"))
     labelled = named.join(labels, [*keys, "rep"], "left").select(
         *keys,

@@ -77,10 +77,14 @@ def with_limits(events: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def build_snapshot(
-    articles, links, systems, configs, as_of, snapshot_time, model_name: str = DEFAULT_MODEL, **grid
-) -> tuple[DataFrame, DataFrame]:
-    """Cluster once, keep each tenant's top events, and derive both snapshot tables."""
+    articles, links, systems, configs, as_of, snapshot_time, model_name: str = DEFAULT_MODEL,
+    due: DataFrame | None = None, **grid,
+) -> tuple[DataFrame, DataFrame]:
+    """Cluster once, keep each tenant's top events, and derive both snapshot tables; of the ``due``
+    tenants where some are given."""
     events = cluster_events(articles, links, systems, configs, as_of, **grid)
+    if due is not None:
+        events = events.join(due.select("system_id"), "system_id", "left_semi")
     ranked = stage(rank_events(with_limits(events, configs), ["system_id"], "snapshot_limit"), "ranked")
     return (
         snapshot_rows(ranked, snapshot_time, model_name),

@@ -245,6 +245,33 @@ def _adjacency(rows, cols, eps: float) -> np.ndarray:
     return result
 
 
+def distance_levels(rows, cols, levels: np.ndarray) -> np.ndarray:
+    """For each (row, col) pair the place of the smallest of the ascending ``levels`` that its distance
+    does not exceed, their number where there is none; decided like ``_adjacency``."""
+    row_unit, row_norm = _unit(rows)
+    col_unit, col_norm = _unit(cols)
+    tolerance = 2.0 * (rows.shape[1] + 8) * 6e-8
+    result = np.full((len(rows), len(cols)), len(levels), dtype=np.uint8)
+    strip = max(1, (16 << 20) // max(1, 4 * len(cols)))
+    for start in range(0, len(rows), strip):
+        stop = min(len(rows), start + strip)
+        similarity = row_unit[start:stop] @ col_unit.T
+        part = result[start:stop]
+        close = np.zeros(similarity.shape, dtype=bool)
+        for place in range(len(levels) - 1, -1, -1):
+            threshold = 1.0 - levels[place]
+            part[similarity >= threshold] = place
+            close |= np.abs(similarity - threshold) <= tolerance
+        close_i, close_j = np.nonzero(close)
+        for at in range(0, len(close_i), 4096):
+            i, j = close_i[at : at + 4096] + start, close_j[at : at + 4096]
+            dots = np.einsum("ij,ij->i", rows[i].astype(np.float64), cols[j].astype(np.float64))
+            norms = row_norm[i] * col_norm[j]
+            cosine = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+            result[i, j] = np.searchsorted(levels, 1.0 - cosine, side="left")
+    return result
+
+
 def _bipartite_components(adjacency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Component numbers of rows and columns; each row of the matrix is read once."""
     transposed = np.ascontiguousarray(adjacency.T)
@@ -278,6 +305,11 @@ def _weighted_degree(near: np.ndarray, mult: np.ndarray) -> np.ndarray:
 def _compare_tile(row_ids, rows, row_mult, col_ids, cols, col_mult, diagonal, eps, min_samples):
     """Degrees and edges of one tile as (kind, a, b) arrays; the degrees come first."""
     near = _adjacency(rows, cols, eps)
+    return tile_parts(near, row_ids, row_mult, col_ids, col_mult, diagonal, min_samples)
+
+
+def tile_parts(near, row_ids, row_mult, col_ids, col_mult, diagonal, min_samples):
+    """Degrees and edges of a tile whose neighbour pairs are known."""
     if diagonal:
         np.fill_diagonal(near, True)
     row_degree = _weighted_degree(near, col_mult)

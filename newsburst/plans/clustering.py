@@ -27,7 +27,8 @@ from newsburst.plans.oracle import (
 )
 from newsburst.plans.registry import ORACLES, query
 from newsburst.plans.relational import ARTICLE, CREATED, PENDING, article
-from newsburst.schemas import PRESETS
+from newsburst.operators.shared import shared_labels
+from newsburst.schemas import PRESETS, WINDOW_PRESETS
 from newsburst.session import scratch_path, stage
 from newsburst.sources import ingest
 
@@ -157,6 +158,33 @@ def c9(t):
     return rows.select("preset", "cluster_id", "article_count", "total_weight", "hot_score", "article_ids")
 
 
+_WINDOW_ROWS = ", ".join(
+    f"({i}, '{n}', {e}, {m}, {h * 10})" for i, (n, (e, m, h)) in enumerate(WINDOW_PRESETS.items()))
+
+
+@query("c9_preset_windows", with_views(
+    f"select p.name preset, {EVENT} from ev join presets p on p.n = ev.k",
+    f"""presets as (select * from (values {_WINDOW_ROWS}) x(n, name, eps, ms, hours)),
+    cand as materialized (
+      select p.n k, id, create_time, p.eps + 0.2 eps, p.ms ms, cast(null as bigint) cap, cast(embedding as double[]) u
+      from articles, clock, presets p
+      where embedding is not null and create_time >= clock.t - to_hours(p.hours))""" + LABELS + EVENTS))
+def c9_windows(t):
+    """Every preset over every window length, each pair of articles compared once; eps is shifted by 0.2 and hours
+    are ten times as many, where these articles have clusters."""
+    presets = {name: (eps + 0.2, m, 10 * hours) for name, (eps, m, hours) in WINDOW_PRESETS.items()}
+    return C.cluster_presets(t.articles, t.as_of, presets=presets, block_rows=512).select("preset", *EVENT_COLUMNS)
+
+
+@query("c6_factored_pool", ORACLES["c6_tenant_clusters"])
+def c6_factored(t):
+    """The shared pool compared once for all tenants, whatever their windows, distances and caps."""
+    rows = candidates(t)
+    recent = filters.within_hours(filters.not_deleted(filters.embedded(t.articles)), t.as_of, 720)
+    found = shared_labels(rows, recent.select("id", "embedding"), ["system_id"]).labels
+    return C.summarize(found, recent, ["system_id"]).select("system_id", *EVENT_COLUMNS)
+
+
 @query("d2s_distinct_labels", tenant_sql("select distinct k system_id, cluster_id from labels_ where cluster_id >= 0"))
 def d2s(t):
     return tenant_labels(t).select("system_id", "cluster_id").filter("cluster_id >= 0").distinct()
@@ -326,6 +354,20 @@ def s4(t):
     return rows.select("system_id", "tick", *EVENT_COLUMNS)
 
 
+_OVERLAPPING = {"ticks": 12, "step": 60}
+
+
+@query("s4_backfill_overlapping", ticks_sql(f"""
+select k % 100 system_id, {TIME.format('tick.at_time')} tick, {EVENT} from ev join tick on tick.n = k // 100
+""", **_OVERLAPPING))
+def s4_overlapping(t):
+    """Twelve ticks whose windows have most of their articles in common; two articles meet once."""
+    ticks, step = _OVERLAPPING["ticks"], _OVERLAPPING["step"] * 60
+    first = t.as_of - dt.timedelta(minutes=step * (ticks - 1))
+    rows = C.backfill_events(t.articles, t.links, t.active_systems, t.configs, first, ticks, step, block_rows=512)
+    return rows.select("system_id", "tick", *EVENT_COLUMNS)
+
+
 # -- stored snapshots ------------------------------------------------------------------------
 
 SNAP = f"system_id, {SEEN} snapshot_time, rank_no, cluster_id, title, article_count, total_weight, hot_score, sample_titles, hours_window, 'token-hash-64' model_name"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from newsburst.operators import encode as N
 from newsburst.operators import events as E
 from newsburst.operators import filters
 from newsburst.operators import tenants as T
+from newsburst.operators.shared import GraphStore
 from newsburst.plans.clustering import SEEN, SNAP, SNAP_COLUMNS
 from newsburst.plans.oracle import STORED, TIME, hashed_sql, stored_sql, tenant_sql, with_views
-from newsburst.plans.registry import query
+from newsburst.plans.registry import ORACLES, query
 from newsburst.plans.views import MODEL
 from newsburst.plans.relational import (
     CREATED,
@@ -491,3 +493,22 @@ def s3(t):
     run = jobs.refresh_stream(stream, store, scratch_path(t.spark, "checkpoint"), load, every=None, model_name=MODEL)
     run.awaitTermination()
     return store.snapshot.select(*SNAP_COLUMNS)
+
+
+@query("s3_incremental_refresh", ORACLES["s3_refresh_stream"])
+def s3_incremental(t):
+    """Two ticks ten days apart over one stored graph: the second compares what is new, and what shares a
+    slice of time with what has left."""
+    source, checkpoint = scratch_path(t.spark, "ticks"), scratch_path(t.spark, "checkpoint")
+    store = SnapshotStore(t.spark, scratch_path(t.spark, "store"))
+    graph = GraphStore(t.spark, scratch_path(t.spark, "graph"))
+    for as_of in (t.as_of - dt.timedelta(days=10), t.as_of):
+        seen = t.articles.filter(F.col("create_time") <= F.lit(as_of))
+        seen.agg(F.lit(as_of).alias("as_of")).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(t.spark.read.parquet(source).schema).parquet(source)
+        load = lambda seen=seen: (seen, t.links, t.active_systems, t.configs)
+        run = jobs.refresh_stream(
+            stream, store, checkpoint, load, every=None, model_name=MODEL, graph=graph, slice_rows=64
+        )
+        run.awaitTermination()
+    return store.snapshot.select(*SNAP_COLUMNS)

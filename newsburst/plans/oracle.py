@@ -71,11 +71,11 @@ cand as materialized (
 """
 )
 
-# Two ticks ten days apart: scope number = tenant + 100 * tick.
+# Ticks some hours apart, the last at the newest article: scope number = tenant + 100 * tick.
 TICKS = (
     PARAMS
     + """,
-tick as (select n, t - to_hours(240 * (1 - n)) as at_time from clock, range(2) r(n)),
+tick as (select n, t - to_hours({step} * ({ticks} - 1 - n)) as at_time from clock, range({ticks}) r(n)),
 cand as materialized (
   select v.system_id + 100 * tick.n k, a.id, a.create_time, p.eps, p.ms, p.cap, cast(a.embedding as double[]) u
   from visible v join articles a using (id) join params p on p.system_id = v.system_id join tick on true
@@ -169,8 +169,8 @@ def tenant_sql(select, hours="default_hours", eps="default_eps", ms="default_min
     return with_views(select, TENANT.format(hours=hours, eps=eps, ms=ms) + tail)
 
 
-def ticks_sql(select, tail="") -> str:
-    own = TICKS.format(hours="default_hours", eps="default_eps", ms="default_min_samples")
+def ticks_sql(select, tail="", ticks=2, step=240) -> str:
+    own = TICKS.format(hours="default_hours", eps="default_eps", ms="default_min_samples", ticks=ticks, step=step)
     return with_views(select, own + LABELS + EVENTS + tail)
 
 

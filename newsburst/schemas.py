@@ -142,3 +142,9 @@ PRESETS = {
     "loose": (0.45, 2),
 }
 WINDOW_HOURS = {"breaking": 12, "daily": 24, "weekly": 168}
+# Every parameter preset over every window, as (eps, min_samples, hours).
+WINDOW_PRESETS = {
+    f"{preset}_{window}": (eps, min_samples, hours)
+    for preset, (eps, min_samples) in PRESETS.items()
+    for window, hours in WINDOW_HOURS.items()
+}

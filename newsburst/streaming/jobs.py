@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsburst.functions.scalars import article_text, is_pending, moment
 from newsburst.operators.encode import encode_texts
 from newsburst.operators.events import build_snapshot
+from newsburst.operators.shared import GraphStore
 from newsburst.schemas import ARTICLE_RECORD, DEFAULT_MODEL
 from newsburst.sources.ingest import apply_defaults, with_errors
 from newsburst.sources.store import SnapshotStore
@@ -98,9 +99,14 @@ def refresh_stream(
     ticks: DataFrame, store: SnapshotStore, checkpoint: str,
     load: Callable[[], tuple[DataFrame, DataFrame, DataFrame, DataFrame]],
     every: str | None = REFRESH_EVERY, keep: int = 1, model_name: str = DEFAULT_MODEL,
+    graph: GraphStore | None = None, **grid,
 ):
     """Refresh, on every tick, the snapshots of the tenants that are due.
 
+    With a ``graph`` the neighbours found stay from tick to tick: a tick compares new articles with the
+    window and the slice of time that its end cuts, and takes the rest as it stands. Then all active tenants
+    are clustered, so that those that are not due keep their part, and the due ones are stored.
+
     ``ticks`` is a stream with an ``as_of`` column (a rate source, or the ingest table);
     ``load`` returns the current articles, links, systems and configs. A tenant is due when its
     ``clustering_cron`` interval has passed since its last snapshot; one without an interval always is.
@@ -115,9 +121,15 @@ def refresh_stream(
         cron = F.col("clustering_cron") if "clustering_cron" in configs.columns else F.lit(None).cast("string")
         schedule = configs.select("system_id", F.coalesce(interval_minutes(cron), F.lit(0)).alias("interval_minutes"))
         last = store.heads().groupBy("system_id").agg(F.max("snapshot_time").alias("snapshot_time"))
-        systems = due_tenants(systems, schedule, last, moment_.cast("timestamp"))
-        snapshot, members = build_snapshot(articles, links, systems, configs, as_of, moment_, model_name)
-        store.commit(snapshot, members, systems, moment_, keep=keep)
+        due = due_tenants(systems, schedule, last, moment_.cast("timestamp"))
+        if graph is None:
+            found = build_snapshot(articles, links, due, configs, as_of, moment_, model_name, **grid)
+        else:
+            active = systems.filter("is_active")
+            found = build_snapshot(
+                articles, links, active, configs, as_of, moment_, model_name, due=due, store=graph, **grid
+            )
+        store.commit(*found, due, moment_, keep=keep)
 
     writer = ticks.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return _start(writer, every).start()
