@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from newsburst.session import file_system
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -48,3 +51,18 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice that plans of finished steps are gone: Spark then removes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            system, folder = file_system(df.sparkSession, files[0].rsplit("/", 1)[0])
+            system.delete(folder, True)

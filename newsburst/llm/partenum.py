@@ -59,7 +59,7 @@ from newsburst.llm.chunks import (
     table_of,
     unpacked,
 )
-from newsburst.llm.common import fresh, give_back, slices, texts
+from newsburst.llm.common import drop_staged, free_shuffles, fresh, give_back, slices, texts
 from newsburst.operators.components import connected_components
 from newsburst.session import stage
 
@@ -568,10 +568,9 @@ def _prefixes(opened: DataFrame, rule: Similarity) -> DataFrame:
     return stage(rows.mapInArrow(cut, kinds), "prefixes")
 
 
-def _routes(opened: DataFrame, rule: Similarity) -> DataFrame:
+def _routes(keys: DataFrame, rule: Similarity) -> DataFrame:
     """(home, doc_id): the documents of the lighter component visit the chunks of the heavier one in
     which a set of a fitting size has a shingle of their prefix in its own."""
-    keys = _prefixes(opened, rule)
     homes = keys.groupBy("element", F.col("chunk").alias("home")).agg(
         F.max(F.struct("weight", "group")).alias("heaviest"), F.min("n").alias("low"), F.max("n").alias("high"),
         F.max("rest").alias("room"),
@@ -586,16 +585,23 @@ def _routes(opened: DataFrame, rule: Similarity) -> DataFrame:
 def _second_round(active: DataFrame, links: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
     """Links between components that still share signatures."""
     opened = _opened(active, links)
-    routes = stage(_routes(opened, rule), "routes")
+    keys = _prefixes(opened, rule)
+    routes = stage(_routes(keys, rule), "routes")
+    drop_staged(keys)
+    free_shuffles(active.sparkSession)
     visits = routes.join(opened, "doc_id").select("home", *_again("chunk", "n", "group", "elements", "signatures"))
-    return _meet(opened, visits, "group", _compare(rule, "group", whole=True), visit_bytes)
+    links = _meet(opened, visits, "group", _compare(rule, "group", whole=True), visit_bytes)
+    drop_staged(opened, routes)
+    return links
 
 
 def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int, visit_bytes: int) -> DataFrame:
-    # Each step ends in a written table; what it shuffled can go before the next one.
+    # Each step ends in a written table; what it shuffled goes before the next one.
     local = _linked_within_chunks(docs, rule, chunk_bytes)
+    free_shuffles(docs.sparkSession)
     active = local.filter("signatures is not null")
     links = _first_round(active, rule, visit_bytes)
+    free_shuffles(docs.sparkSession)
     more = _second_round(active, links, rule, visit_bytes)
     # Links of the second round name components: their smallest roots, which are nodes as well.
     final = _components(stage(links.unionByName(more), "links"))

@@ -8,7 +8,7 @@ guards set a least number of words for either comparison.
 
 Everything is DataFrame expressions, in one pass over the texts: features are written to the
 shared folder, beside the columns asked for, summed per language with partial aggregates, and read
-again for the verdict, so a filter on it meets rows whose features are done.
+again for the verdict. Where whole documents are filtered, the sums have a pass of their own.
 References go to the tasks as one row per profiled language, of fixed size.
 
 Words are runs of characters other than space and ``\\t`` to ``\\r``. Defined results: a null text
@@ -175,10 +175,12 @@ def judge(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None = N
     counted = _with_counts(docs, docs["`text`"], features)
     kept = keep or docs.columns
     wanted = dict.fromkeys([*kept, next(c for c in docs.columns if c.lower() == "lang")])
-    counted = counted.select(*(f"`{c}`" for c in wanted), features)
-    # Written before any filter: one on the verdict would otherwise be pushed below the layers above,
-    # which then have their arrays split and hashed again for every window.
-    counted = stage(counted, "quality")
+    counted = stage(counted.select(*(f"`{c}`" for c in wanted), features), "quality")
+    return _verdicts(counted, features, limits, kept), features
+
+
+def _verdicts(counted: DataFrame, features: str, limits: Limits, kept: list[str]) -> DataFrame:
+    """Columns ``kept`` of rows with their features, and the verdict in place of these."""
     # One row for each profiled language at most: a broadcast of fixed size.
     judged = counted.join(
         F.broadcast(references(counted, features)), F.col("`lang`") == F.col("ref_lang"), "left"
@@ -205,10 +207,16 @@ def judge(docs: DataFrame, limits: Limits = Limits(), keep: list[str] | None = N
         base_failed.alias("base_failed"),
         (~base_failed & near).alias("kept"),
     )
-    return judged.select(*(f"`{c}`" for c in kept), verdict.alias(features)), features
+    return judged.select(*(f"`{c}`" for c in kept), verdict.alias(features))
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``docs`` without the documents that the rules reject."""
-    judged, verdict = judge(docs, limits)
-    return judged.filter(f"{verdict}.kept").drop(verdict)
+    """``docs`` without the documents that the rules reject. Whole documents are not written on the way: the
+    references come from a pass of their own, which counts only what they need."""
+    features, row = fresh(docs, "quality"), fresh(docs, "_row")
+    counted = _with_counts(docs, docs["`text`"], features)
+    # Nothing is pushed below a column that is not deterministic. A filter on the verdict would otherwise
+    # go below the layers of the features, and split and hash their arrays again for every window.
+    counted = counted.withColumn(row, F.monotonically_increasing_id())
+    judged = _verdicts(counted, features, limits, [*docs.columns, row])
+    return judged.filter(F.col(f"{features}.kept") & (F.col(row) >= 0)).drop(features, row)
