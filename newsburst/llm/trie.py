@@ -265,9 +265,9 @@ def prefix_trie(sequences: DataFrame, conversations: DataFrame) -> DataFrame:
     )
     totals = _grafted(met, depth).select("name", "parent", "depth", "n_leaves", "saved_tokens")
     top = totals.filter("depth = 1").agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
-    whole = root.join(top).select(
-        "name", nobody.alias("parent"), "depth", F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"),
-        F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens"),
+    whole = top.filter(F.lit(bool(n))).select(
+        _name_of_root().alias("name"), nobody.alias("parent"), F.lit(0).cast("long").alias("depth"),
+        F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens"),
     )
     every = ends[0]
     for more in ends[1:]:
