@@ -43,7 +43,7 @@ def at(i):
     return START - dt.timedelta(minutes=int(i))
 
 
-@pytest.mark.parametrize("seed,block_rows", [(1, 8192), (2, 16), (3, 4)])
+@pytest.mark.parametrize("seed,block_rows", [(1, 8192), (2, 16)])
 def test_scopes_of_any_rows(spark, seed, block_rows):
     rng = np.random.default_rng(seed)
     vectors = cloud(seed, 90, copies=25)
@@ -128,26 +128,25 @@ def window(vectors, first, last, eps=0.05, least=3):
 
 
 def test_a_later_run_compares_what_is_new(spark, tmp_path):
-    """One percent of the window comes, one leaves; then an article changes, one goes, parameters change."""
-    n, new = 1000, 10
-    vectors = cloud(10, n + 3 * new, copies=50)
+    """Two percent of the window come, two leave; then an article changes, one goes, parameters change."""
+    n, new = 600, 6
+    vectors = cloud(10, n + 40, copies=30)
     store, options = GraphStore(spark, str(tmp_path / "graph")), {"slice_rows": 16, "block_rows": 512}
     whole = check(spark, window(vectors, 0, n), vectors, store, **options)
     assert whole.pairs >= 0.9 * n * (n - 1) / 2
     again = check(spark, window(vectors, 0, n), vectors, store, **options)
     assert again.pairs == 0
-    for k in (1, 2):
-        later = check(spark, window(vectors, k * new, n + k * new), vectors, store, **options)
-        # The new rows and those in one slice with rows that have left, against the window.
-        assert new * 0.9 * n <= later.pairs <= (2 * new + 32) * 1.1 * n
+    later = check(spark, window(vectors, 2 * new, n + 2 * new), vectors, store, **options)
+    # The new rows and those in one slice with rows that have left, against the window.
+    assert 2 * new * 0.9 * n <= later.pairs <= (4 * new + 32) * 1.1 * n
 
     changed = [(i, v[::-1] if i == 500 else v) for i, v in vectors]
     rows = [r for r in window(changed, 20, n + 20) if r[1] != 250]
     found = check(spark, rows, changed, store, **options)
-    assert 0 < found.pairs <= 0.1 * n * n
+    # New rows, and the slices of what has left, changed or gone.
+    assert 0 < found.pairs <= (8 + 4 * 32) * 1.1 * n
     found = check(spark, window(changed, 20, n + 20, eps=0.07), changed, store, **options)
     assert found.pairs >= 0.9 * n * (n - 1) / 2
-    assert check(spark, window(changed, 20, n + 20, eps=0.05), changed, store, **options).pairs >= 0.9 * n * (n - 1) / 2
     found = check(spark, window(changed, 20, n + 20, least=5), changed, store, **options)
     assert found.pairs > 0
     # Of fewer neighbours, what was kept for more is enough.
@@ -157,9 +156,9 @@ def test_a_later_run_compares_what_is_new(spark, tmp_path):
 def test_a_store_stays_small_and_whole(spark, tmp_path):
     vectors = cloud(11, 200)
     store, options = GraphStore(spark, str(tmp_path / "graph")), {"slice_rows": 8}
-    for k in range(6):
-        check(spark, window(vectors, 20 * k, 20 * k + 40), vectors, store, **options)
-        assert len(store.runs()) <= 5
+    for k in range(4):
+        check(spark, window(vectors, 25 * k, 25 * k + 40), vectors, store, **options)
+        assert len(store.runs()) <= 4
     # A run that did not get to its commit is written over.
-    (tmp_path / "graph" / "members" / "run=5" / "_SUCCESS").unlink()
+    (tmp_path / "graph" / "members" / "run=3" / "_SUCCESS").unlink()
     check(spark, window(vectors, 100, 150), vectors, store, **options)
