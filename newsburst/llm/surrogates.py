@@ -3,7 +3,8 @@ kind, gender, script and format, alike wherever the same entity occurs, and dist
 entities.
 
 1. Patterns find entities; each has a normal form (digits of a phone or card number, a lower-cased
-   address), so spellings of one entity share a surrogate. Documents with entities are staged.
+   address), so spellings of one entity share a surrogate. A person is one form per word of the name,
+   so "Mr John Smith" and "Mr Smith" share the surname. Documents with entities are staged.
 2. The distinct normal forms of the whole table get candidates, keyed digests shaped like the
    form. A candidate that another form also has, or that is itself a form found in the texts, is a
    collision: one form keeps a shared candidate, the others try the next. Rounds go on until none
@@ -17,7 +18,13 @@ join on a hash of the text, and a frequent entity is one row of the table of for
 Found are only the written forms of ``PATTERNS``: a person behind a title, and that name where it comes
 again in the same text; not names without a title, street addresses, numbers of other countries'
 national forms. Spellings of one IPv6 address other than in case are separate, and so are a national
-number and its international form, except with +1.
+number and its international form, except with +1. Equal names of a man and a woman are separate, as
+the surrogates match the gender.
+
+What is no name, although it is capitalised: an office behind a title; a word of ``NO_NAMES``, or a noun
+that stands behind a German article in the text, as second name or as later mention; a month before a
+number as second name, and any month or weekday as later mention; a later mention that begins a
+sentence, where the text has the word in small letters too. Cards get a valid Luhn digit, IBANs valid check digits.
 
 Defined results: null and empty texts stay as they are. Repeated rows, and rows that share an id
 or have none, are treated alike. Entities of one normal form in several kinds are separate. An empty table
@@ -38,11 +45,34 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE, _FEMALE = "Mr|Herr|Monsieur|Señor|Г-н", "Mrs|Ms|Miss|Frau|Mme|Mlle|Señora|Г-жа"
 _HEX = "[0-9A-Fa-f]{1,4}"
 _IBAN = "AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR|UA"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+#: Offices that follow a title, words that begin sentences, days and months, German articles.
+OFFICES = (
+    "Minister Ministerin Präsident Präsidentin Kanzler Kanzlerin Bürgermeister Bürgermeisterin Doktor Professor Professorin "
+    "Direktor Direktorin Abgeordneter Abgeordnete Vorsitzender Vorsitzende President Speaker Chairman Chairwoman Secretary "
+    "Ministre Président Présidente Directeur Directrice Presidente Presidenta Ministro Ministra Alcalde Президент Министр"
+).split()
+NO_NAMES = (
+    "The This That These Those There Then They He She It We You His Her Their But And However When While After Before Yesterday "
+    "Today Tomorrow Der Die Das Dies Diese Dieser Er Sie Es Wir Ihr Aber Und Doch Dann Da Gestern Heute Nun Später Nach Vor Alle "
+    "Le La Les Il Elle Ils Elles Mais Puis Hier Demain El Ella Los Las Pero Ayer Hoy Он Она Они Но Вчера Сегодня Завтра Потом"
+).split()
+DAYS = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag "
+    "January February March April May June July August September October November December "
+    "Januar Februar März Mai Juni Juli Oktober Dezember"
+).split()
+ARTICLES = "der die das dem den des ein eine einen einem einer eines kein keine keinen alle allen Der Die Das Ein Eine Alle Kein Keine".split()
+
+_OFFICE, _NO_NAME, _DAY = "|".join(OFFICES), "|".join(NO_NAMES), "|".join(DAYS)
+_NAME = rf"(?!(?:{_OFFICE})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}-]|['’](?!s(?!\p{{L}})))+"
+_SECOND = rf"(?!(?:{_NO_NAME})(?!\p{{L}})|(?:{_DAY})(?!\p{{L}}) ?\d){_NAME}"
+#: What precedes the name in a person: the title, and an office that is kept.
+_LEAD = rf"^(?:{_MALE}|{_FEMALE})\.? (?:(?:{_OFFICE}) )?"
+_NOUN = rf"(?<!\p{{L}})(?:{'|'.join(ARTICLES)}) (\p{{Lu}}[\p{{L}}-]+)"
 
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE})\.? (?:(?:{_OFFICE}) )?{_NAME}(?: {_SECOND})?",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,60})(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])(?=\d*[a-f])(?=[a-f]*\d)[0-9a-f]{32,64}(?![0-9A-Za-z])",
@@ -61,6 +91,7 @@ PATTERN = "|".join(PATTERNS.values())
 TRIGGERS = [*_MALE.split("|"), *_FEMALE.split("|"), "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-"]
 _WITH_ONE = r"^\+1(?:\D*\d){10}$"
 DIGIT_KINDS = ("phone", "card", "ssn")
+GENDERS = ("male", "female")
 
 #: Syllables of made-up names by script (fixed values), and endings by gender.
 SYLLABLES = {
@@ -93,11 +124,31 @@ def normal_form(kind: Column, entity: Column) -> Column:
         .when(kind.isin(*DIGIT_KINDS), digits)
         .when(kind.isin("email", "ip6"), F.lower(entity))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
-        .when(kind == "person", F.regexp_replace(entity, r"^(\S+?)\.? ", "$1 "))
         .otherwise(entity)
     )
 
 
+def is_person(entity: Column) -> Column:
+    """Of the entities found only a person begins with a title and a space."""
+    return entity.rlike(_LEAD)
+
+
+def name_words(person: Column) -> Column:
+    return F.split(F.regexp_replace(person, _LEAD, ""), " ")
+
+
+def parts(kind: Column, entity: Column, nouns: Column) -> Column:
+    """The forms of an entity as (place, kind, form): one, or each word of a person's name with the gender
+    for kind, but no second word that is one of ``nouns``."""
+    gender = F.when(entity.rlike(f"^(?:{_FEMALE})\\.? "), "female").otherwise("male")
+    words = F.transform(
+        name_words(entity), lambda w, i: F.struct(i.alias("place"), gender.alias("kind"), w.alias("form"))
+    )
+    named = F.filter(words, lambda w: (w["place"] == 0) | ~F.array_contains(nouns, w["form"]))
+    single = F.struct(F.lit(0).alias("place"), kind.alias("kind"), normal_form(kind, entity).alias("form"))
+    return F.when(kind == "person", named).otherwise(F.array(single))
+
+
 def _digest(key: str, *parts: Column) -> Column:
     """64 hex digits of a keyed hash, the key inside and outside."""
     inner = F.sha2(F.concat_ws("\n", F.lit(key), *parts), 256)
@@ -122,25 +173,41 @@ def _shaped(form: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(form, ""), change), "")
 
 
-def _made_up_name(form: Column, digest: Column, attempt: Column) -> Column:
-    title = F.substring_index(form, " ", 1)
-    female = title.rlike(f"^(?:{_FEMALE})$")
-    cyrillic = form.rlike(r"\p{IsCyrillic}")
+def _made_up_name(kind: Column, form: Column, digest: Column, attempt: Column) -> Column:
+    """A word of a name in the form's script with the ending of the gender."""
+    places = F.sequence(F.lit(1), 3 + F.least(attempt, F.lit(12)))
+
+    def named(script):
+        listed = F.array(*(F.lit(s) for s in SYLLABLES[script]))
+        syllables = F.transform(
+            places, lambda p: F.element_at(listed, F.conv(F.substring(digest, p, F.lit(1)), 16, 10).cast("int") + 1)
+        )
+        ending = F.when(kind == "female", ENDINGS[script]["female"]).otherwise(ENDINGS[script]["male"])
+        return F.initcap(F.concat(F.array_join(syllables, ""), ending))
+
+    return F.when(form.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
+
 
-    def word(w, i):
-        def named(script):
-            listed = F.array(*(F.lit(s) for s in SYLLABLES[script]))
-            places = F.sequence(i * 8 + 1, i * 8 + 3 + F.least(attempt, F.lit(4)))
-            parts = F.transform(
-                places, lambda p: F.element_at(listed, F.conv(F.substring(digest, p, F.lit(1)), 16, 10).cast("int") + 1)
-            )
-            ending = F.when(female, ENDINGS[script]["female"]).otherwise(ENDINGS[script]["male"])
-            return F.initcap(F.concat(F.array_join(parts, ""), ending))
+def with_luhn(number: Column) -> Column:
+    """A number whose last digit is made the check digit of those before it."""
+    body = F.substring(number, F.lit(1), F.length(number) - 1)
+    doubled = F.transform(
+        F.split(F.reverse(body), ""),
+        lambda d, i: F.when(i % 2 == 0, (d.cast("int") * 2).cast("int")).otherwise(d.cast("int")),
+    )
+    total = F.aggregate(doubled, F.lit(0), lambda t, d: t + F.when(d > 9, d - 9).otherwise(d))
+    return F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))
 
-        return F.when(cyrillic, named("cyrillic")).otherwise(named("latin"))
 
-    names = F.slice(F.split(form, " "), 2, 8)
-    return F.concat_ws(" ", title, F.array_join(F.transform(names, word), " "))
+def with_iban_check(iban: Column) -> Column:
+    """An IBAN whose third and fourth characters are made its check digits."""
+    moved = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 2), F.lit("00"))
+    rest = F.aggregate(
+        F.split(moved, ""), F.lit(0),
+        lambda t, c: F.when(c.between("0", "9"), t * 10 + F.ascii(c) - 48).otherwise(t * 100 + F.ascii(c) - 55) % 97,
+    )
+    check = F.lpad((98 - rest).cast("string"), 2, "0")
+    return F.concat(F.substring(iban, 1, 2), check, F.substring(iban, F.lit(5), F.length(iban)))
 
 
 def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
@@ -164,17 +231,18 @@ def candidate(key: str, kind: Column, form: Column, attempt: Column) -> Column:
         F.when(kind == "email", F.concat(_shaped(user, digest), longer, F.lit("@"), new_host))
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "ip6", F.array_join(hexed, ""))
-        .when(kind == "person", _made_up_name(form, digest, attempt))
-        .when(kind.isin("phone", "card"), F.concat(kept, F.substring(shaped, F.lit(2), F.length(shaped))))
+        .when(kind.isin(*GENDERS), _made_up_name(kind, form, digest, attempt))
+        .when(kind == "phone", F.concat(kept, F.substring(shaped, F.lit(2), F.length(shaped))))
+        .when(kind == "card", with_luhn(F.concat(kept, F.substring(shaped, F.lit(2), F.length(shaped)))))
         .when(kind == "secret", F.substring(digest, F.lit(1), F.length(form)))
-        .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped))))
+        .when(kind == "iban", with_iban_check(F.concat(F.substring(form, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped)))))
         .when(kind == "key", F.concat(F.substring(form, 1, 4), F.substring(shaped, F.lit(5), F.length(shaped))))
         .otherwise(shaped)
     )
 
 
 def in_layout(kind: Column, entity: Column, surrogate: Column) -> Column:
-    """The surrogate written as the entity was: separators, title sign and spacing kept."""
+    """The surrogate written as the entity was, with its separators and spacing."""
     gaps = F.when(kind == "iban", F.split(entity, "[0-9A-Z]", -1)).otherwise(F.split(entity, "[0-9]", -1))
     written = F.when((kind == "phone") & entity.rlike(_WITH_ONE), F.concat(F.lit("1"), surrogate)).otherwise(surrogate)
     digits = F.zip_with(
@@ -182,17 +250,17 @@ def in_layout(kind: Column, entity: Column, surrogate: Column) -> Column:
     )
     return (
         F.when(kind.isin(*DIGIT_KINDS, "iban"), F.array_join(digits, ""))
-        .when(kind == "person", F.concat(F.regexp_extract(entity, r"^\S+ ", 0), F.regexp_replace(surrogate, r"^\S+ ", "")))
         .otherwise(surrogate)
     )
 
 
 def assign(forms: DataFrame, key: str) -> DataFrame:
     """(kind, form, surrogate) for the distinct (kind, form): surrogates differ from each other
-    and from every form of their kind."""
+    and from every form of their kind; those of men also from names of women, and the other way round."""
     done = None
     left = stage(forms.select("kind", "form", F.lit(0).alias("attempt")), "forms")
-    known = left.select("kind", F.col("form").alias("surrogate"))
+    both = F.when(F.col("kind").isin(*GENDERS), F.array(*map(F.lit, GENDERS))).otherwise(F.array("kind"))
+    known = left.select(F.explode(both).alias("kind"), F.col("form").alias("surrogate"))
     for _ in range(ROUNDS):
         tried = left.withColumn("surrogate", candidate(key, F.col("kind"), F.col("form"), F.col("attempt")))
         taken = known if done is None else known.unionByName(done.select("kind", "surrogate"))
@@ -209,17 +277,20 @@ def assign(forms: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"no distinct surrogates after {ROUNDS} rounds")
 
 
-def _later_mentions(gap: Column, people: Column) -> Column:
+#: Not the beginning of a text or sentence.
+_INSIDE = r"(?<!^)(?<!\n)(?<![.!?…]\s{1,3})(?<![.!?…][\"»”’)]\s{1,3})"
+
+
+def _later_mentions(gap: Column, people: Column, nouns: Column, small: Column) -> Column:
     """``gap`` with the names that a title introduced in the same text replaced where they stand alone;
-    of several people of one name the first in order counts."""
+    of a man and a woman of one name the first in order counts."""
 
     def person(text, p):
-        words = F.arrays_zip(
-            F.slice(F.split(p["entity"], " "), 2, 2).alias("old"), F.slice(F.split(p["new"], " "), 2, 2).alias("new")
-        )
-        return F.aggregate(words, text, lambda t, w: F.regexp_replace(
-            t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), w["old"], F.lit(r"(?![\p{L}\p{N}])")), w["new"]
-        ))
+        word = p["word"]
+        place = F.when(F.array_contains(small, F.lower(word)), _INSIDE).otherwise("")
+        pattern = F.concat(place, F.lit(r"(?<![\p{L}\p{N}])"), word, F.lit(r"(?![\p{L}\p{N}])"))
+        barred = word.rlike(f"^(?:{_NO_NAME}|{_DAY})$") | F.array_contains(nouns, word)
+        return F.when(barred, text).otherwise(F.regexp_replace(text, pattern, p["new"]))
 
     return F.aggregate(people, gap, person)
 
@@ -227,17 +298,34 @@ def _later_mentions(gap: Column, people: Column) -> Column:
 def with_surrogates(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     """``docs`` with its entities replaced in text, and a column with their number; its name."""
     count = fresh(docs, "n_entities")
-    found, row_key, surrogates, people = (fresh(docs, n) for n in ("_entities", "_text_key", "_surrogates", "_people"))
+    found, row_key, words, nouns, small = (
+        fresh(docs, n) for n in ("_entities", "_text_key", "_names", "_nouns", "_small")
+    )
+    firsts, seconds, people = (fresh(docs, n) for n in ("_firsts", "_seconds", "_people"))
     columns = [f"`{c}`" for c in docs.columns]
     entities = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))
     maybe = may_hold(F.col("text"))
+    holding = docs.filter(maybe).withColumn(found, entities).filter(F.size(found) > 0).withColumn(row_key, F.sha2("text", 256))
+    # The words of names that the text also has as nouns, and those that it has in small letters.
+    named = F.flatten(F.transform(F.filter(F.array_distinct(found), is_person), name_words))
+    no_words = F.array().cast("array<string>")
+
+    def also(pattern, group, names):
+        seen = F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+        return F.when(F.size(words) > 0, F.array_intersect(seen, names)).otherwise(no_words)
+
     touched = stage(
-        docs.filter(maybe).withColumn(found, entities).filter(F.size(found) > 0).withColumn(row_key, F.sha2("text", 256)), "entities"
+        holding.withColumn(words, named)
+        .withColumn(nouns, also(_NOUN, 1, F.col(words)))
+        .withColumn(small, also(r"(?<!\p{L})\p{Ll}[\p{L}'’-]+", 0, F.transform(words, F.lower)))
+        .drop(words),
+        "entities",
     )
     occurring = (
-        touched.select(row_key, F.explode(F.array_distinct(found)).alias("entity"))
+        touched.select(row_key, F.col(nouns).alias("nouns"), F.explode(F.array_distinct(found)).alias("entity"))
         .withColumn("kind", kind_of(F.col("entity")))
-        .withColumn("form", normal_form(F.col("kind"), F.col("entity")))
+        .select(row_key, "entity", F.explode(parts(F.col("kind"), F.col("entity"), F.col("nouns"))).alias("part"))
+        .select(row_key, "entity", "part.*")
         .distinct()
     )
     assigned = assign(occurring.select("kind", "form").distinct(), key)
@@ -247,12 +335,24 @@ def with_surrogates(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
         .withColumn("new", in_layout(F.col("kind"), F.col("entity"), F.col("surrogate")))
         .groupBy(row_key)
         .agg(
-            F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias(surrogates),
-            F.array_sort(F.collect_list(F.when(F.col("kind") == "person", F.struct("entity", "new")))).alias(people),
+            F.map_from_entries(F.collect_list(F.when(F.col("place") == 0, F.struct("entity", "new")))).alias(firsts),
+            F.map_from_entries(F.collect_list(F.when(F.col("place") == 1, F.struct("entity", "new")))).alias(seconds),
+            F.array_sort(
+                F.collect_set(F.when(F.col("kind").isin(*GENDERS), F.struct(F.col("form").alias("word"), "new")))
+            ).alias(people),
         )
     )
-    gaps = F.transform(F.split("text", PATTERN, -1), lambda gap: _later_mentions(gap, F.col(people)))
-    new = F.transform(F.col(found), lambda e: F.col(surrogates)[e])
+    gaps = F.transform(
+        F.split("text", PATTERN, -1), lambda gap: _later_mentions(gap, F.col(people), F.col(nouns), F.col(small))
+    )
+
+    def written(entity):
+        first = F.try_element_at(F.col(firsts), entity)
+        second = F.coalesce(F.try_element_at(F.col(seconds), entity), F.get(name_words(entity), F.lit(1)))
+        name = F.concat(F.regexp_extract(entity, _LEAD, 0), first, F.coalesce(F.concat(F.lit(" "), second), F.lit("")))
+        return F.when(is_person(entity), name).otherwise(first)
+
+    new = F.transform(F.col(found), written)
     rebuilt = F.array_join(
         F.zip_with(gaps, new, lambda gap, n: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(n, F.lit("")))), ""
     )

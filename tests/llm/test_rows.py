@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from newsburst.llm import chat, queries, reputation, surrogates, toxicity
@@ -71,6 +72,78 @@ def test_surrogates_of_more_forms(spark):
     assert len(got[54]) == len(rows[-1][1]) and got[54].endswith(" end")
 
 
+def test_surrogates_of_names(spark):
+    """Clean words stay, and one person has one name."""
+    texts = [
+        "Frau Schmidt Gestern war es kalt. Gestern war Montag.",
+        "Der Herr Minister sprach. Alle Minister hörten Herr Minister Kohl. Kohl ging.",
+        "Mr May arrived in May 2024. Mr Dan May 3 times.",
+        "Mr John Smith came. Mr Smith left, Smith's coat and John stayed. Mr. John went.",
+        "Mr Brown wore a brown hat. Brown hats suit Brown.",
+        "dass Frau Vogel Angst hat, denn die Angst bleibt. Angst und Vogel.",
+        "Mrs Smith and Mr O’Neil met. O’Neil left.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r.text for r in surrogates.pseudonymize(docs, "k").collect()}
+    assert re.fullmatch(r"Frau \w+ra Gestern war es kalt\. Gestern war Montag\.", got[0])
+    assert re.fullmatch(r"Der Herr Minister sprach\. Alle Minister hörten Herr Minister (\w+rd)\. \1 ging\.", got[1])
+    assert re.fullmatch(r"Mr (\w+rd) arrived in May 2024\. Mr \w+rd May 3 times\.", got[2])
+    john, smith = re.fullmatch(
+        r"Mr (\w+rd) (\w+rd) came\. Mr \2 left, \2's coat and \1 stayed\. Mr\. \1 went\.", got[3]
+    ).groups()
+    assert len({john, smith, "John", "Smith"}) == 4
+    assert re.fullmatch(r"Mr (\w+rd) wore a brown hat\. Brown hats suit \1\.", got[4])
+    assert re.fullmatch(r"dass Frau (\w+ra) Angst hat, denn die Angst bleibt\. Angst und \1\.", got[5])
+    assert re.fullmatch(r"Mrs (\w+ra) and Mr (\w+rd) met\. \2 left\.", got[6])
+
+
+def _luhn(number):
+    digits = [int(c) for c in reversed(number)]
+    return sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+
+
+def test_surrogates_keep_check_digits(spark):
+    cards = ["4111 1111 1111 1111", "378282246310005", "3782 822463 10005", "6011000990139424", "4222222222222"]
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "DE89370400440532013000", "FR14 2004 1010 0505 0001 3M02 606"]
+    docs = spark.createDataFrame([(i, f"pay {n} now") for i, n in enumerate(cards + ibans)], DOCS)
+    for r in surrogates.pseudonymize(docs, "k").collect():
+        old, new = (cards + ibans)[r.doc_id], re.fullmatch("pay (.*) now", r.text)[1]
+        plain = new.replace(" ", "")
+        assert new != old and re.sub("[0-9A-Z]", "x", new) == re.sub("[0-9A-Z]", "x", old)
+        if r.doc_id < len(cards):
+            assert _luhn(plain) % 10 == 0
+        else:
+            assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_surrogates_of_a_table(spark):
+    """Each text of the test table with the surrogates taken back is what it was, and one entity has one surrogate."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pairs = [(r.text, r.new, r.n) for r in docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(
+        surrogates.with_surrogates(docs.dropDuplicates(["doc_id"]).select("doc_id", "text"), "k")[0]
+        .select("doc_id", F.col("text").alias("new"), F.col("n_entities").alias("n")), "doc_id").collect()]
+    assert len(pairs) == docs.select("doc_id").distinct().count()
+    pattern = regex.compile(surrogates.PATTERN.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    forward, back = {}, {}
+    for old, new, n in pairs:
+        found = list(pattern.finditer(old or ""))
+        assert n == len(found)
+        if not found:
+            assert old == new
+            continue
+        people = [m[0] for m in found if regex.match(surrogates._LEAD, m[0])]
+        if people:  # their later mentions change too
+            continue
+        plain = [old[a:b] for a, b in zip([0, *(m.end() for m in found)], [*(m.start() for m in found), len(old)])]
+        taken = regex.fullmatch("(.+?)".join(map(regex.escape, plain)), new, flags=regex.DOTALL)
+        assert taken
+        for m, surrogate in zip(found, taken.groups()):
+            entity = regex.sub(r"[^0-9\p{L}]", "", m[0]).lower()
+            surrogate = regex.sub(r"[^0-9\p{L}]", "", surrogate).lower()
+            assert surrogate != entity
+            assert forward.setdefault(entity, surrogate) == surrogate and back.setdefault(surrogate, entity) == entity
+
+
 def test_surrogates_collide(spark):
     """More short addresses than the first shape has room for stay distinct."""
     forms = [f"{a}@x.com" for a in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}{i}@x.com" for a in "abc" for i in range(10)]
