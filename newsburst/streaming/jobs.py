@@ -12,6 +12,7 @@ from newsburst.operators.encode import encode_texts
 from newsburst.operators.events import build_snapshot
 from newsburst.operators.shared import GraphStore
 from newsburst.schemas import ARTICLE_RECORD, DEFAULT_MODEL
+from newsburst.session import file_system
 from newsburst.sources.ingest import apply_defaults, with_errors
 from newsburst.sources.store import SnapshotStore
 
@@ -24,35 +25,52 @@ def _start(writer, every: str | None):
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
+def unseen(rows: DataFrame, path: str, number: int) -> DataFrame:
+    """One row of each id that no micro-batch before ``number`` stored in ``path``, and all rows without an id.
+
+    Of the stored table only ids between the smallest and the largest new one are read: its files are sorted by id,
+    so their minima and maxima rule most of them out where ids grow with time, and the stored ids are the
+    left side of a semi-join, where Spark can put a Bloom filter of the new ones.
+    """
+    spark = rows.sparkSession
+    keyed = rows.filter("id IS NOT NULL").dropDuplicates(["id"])
+    files, place = file_system(spark, path)
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    if low is not None and files.exists(place):
+        stored = spark.read.schema("id long, batch long").parquet(path)
+        stored = stored.filter((F.col("batch") < number) & F.col("id").between(low, high)).select("id")
+        keyed = keyed.join(stored.join(keyed.select("id"), "id", "left_semi"), "id", "left_anti")
+    return keyed.select(rows.columns).unionByName(rows.filter("id IS NULL"))
+
+
 def ingest_stream(
     spark: SparkSession, source: str, target: str, checkpoint: str,
-    system_id: int | None = None, watermark: str = "1 hour", every: str | None = None,
-    rejected: str | None = None,
+    system_id: int | None = None, every: str | None = None, rejected: str | None = None,
 ):
     """JSON article files to an article table, invalid records with their errors to ``rejected``
     (by default ``target`` with ``_rejected`` behind it).
 
-    The watermark counts from arrival, not from the article's own time: an old article that comes
-    late is stored like any other. An id that comes again within the watermark is dropped, valid
-    and invalid records apart; state older than it is freed. Records without an id, malformed lines
-    among them, are all kept. Each micro-batch is written under its own number, so one that runs
-    again replaces its earlier attempt.
+    An old article that comes late is stored like any other. An id that comes again, however late, is
+    dropped, valid and invalid records apart: each micro-batch is compared with the ids stored before it, so
+    there is no state to keep and none to expire. Records without an id, malformed lines among them, are
+    all kept. Each micro-batch is written under its own number, so one that runs again replaces its
+    earlier attempt and is not compared with it.
     """
     records = spark.readStream.schema(ARTICLE_RECORD).json(source)
     judged = with_errors(apply_defaults(records, system_id=system_id))
-    # A record without an id is a key of its own.
-    key = F.when(F.col("id").isNull(), F.uuid())
-    judged = judged.withColumns({"_arrived": F.current_timestamp(), "_valid": F.size("errors") == 0, "_key": key})
-    unique = judged.withWatermark("_arrived", watermark).dropDuplicatesWithinWatermark(["id", "_key", "_valid"])
     rejected = rejected or f"{target.rstrip('/')}_rejected"
 
     def store(batch: DataFrame, number: int) -> None:
-        batch = batch.drop("_arrived", "_key")
-        parts = ((target, batch.filter("_valid").drop("errors")), (rejected, batch.filter("NOT _valid")))
-        for path, rows in parts:
-            rows.drop("_valid").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    writer = unique.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        batch = batch.persist()
+        valid = F.size("errors") == 0
+        try:
+            for path, rows in ((target, batch.filter(valid).drop("errors")), (rejected, batch.filter(~valid))):
+                new = unseen(rows, path, number).sortWithinPartitions("id")
+                new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    writer = judged.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return _start(writer, every).start()
 
 
