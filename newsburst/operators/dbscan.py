@@ -69,6 +69,28 @@ def newest_per_key(rows: DataFrame, keys: list[str], cap: str = "cap", salts: in
     return whole.unionByName(cut)
 
 
+def recency_numbers(rows: DataFrame, keys: list[str], name: str = "rn") -> DataFrame:
+    """``rows`` with their place in each key, newest first and ties by id, counted from 1.
+
+    Rows are dealt into ranges of (key, time, id), so a hot key or a bulk load with one time takes as many
+    tasks as it fills; a row's number is its place in its range plus the rows of its key in earlier ranges. Rows with
+    equal key, time and id are numbered in any order. A null in ``keys`` is a key of its own.
+    """
+    order = [F.col("create_time").desc(), F.col("id").asc()]
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    dealt = stage(dealt, "ranges")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_range").alias("_of_range"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+    )
+    inside = dealt.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    same = F.col("_range") == F.col("_of_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return inside.join(starts, same).select(*rows.columns, (F.col("_start") + F.col("_place")).alias(name))
+
+
 def _scope_sizes(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.count("*").alias("scope_rows"), F.max("cap").alias("_cap"))
 

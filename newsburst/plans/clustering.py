@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsburst.functions.scalars import age_micros, cluster_weight, moment
 from newsburst.operators import cluster as C
 from newsburst.operators import events as E
 from newsburst.operators import filters
-from newsburst.operators.dbscan import neighbour_counts, newest_per_key
+from newsburst.operators.dbscan import neighbour_counts, newest_per_key, recency_numbers
 from newsburst.operators.events import unnest_articles
 from newsburst.operators.stats import monitoring_counts, unowned_counts
 from newsburst.operators.components import connected_components
@@ -274,9 +273,8 @@ def n1(t):
 
 @query("n2_recency_numbers", tenant_sql("select k system_id, id, rn from pts"))
 def n2(t):
-    newest = Window.partitionBy("system_id").orderBy(*filters.newest_first())
     rows = newest_per_key(stage(candidates(t), "candidates"), ["system_id"])
-    return rows.select("system_id", "id", F.row_number().over(newest).alias("rn"))
+    return recency_numbers(rows.select("system_id", "id", "create_time"), ["system_id"]).drop("create_time")
 
 
 @query("l1_newest_per_tenant", tenant_sql("select k system_id, id from pts where rn <= 50"))
