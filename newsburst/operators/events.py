@@ -86,9 +86,11 @@ def build_snapshot(
     if due is not None:
         events = events.join(due.select("system_id"), "system_id", "left_semi")
     ranked = stage(rank_events(with_limits(events, configs), ["system_id"], "snapshot_limit"), "ranked")
+    # Members lie in the widest window; the weights of older articles are not read.
+    hours = grid.get("hours") or configs.agg(F.max("default_hours")).first()[0] or 0
     return (
         snapshot_rows(ranked, snapshot_time, model_name),
-        event_article_rows(ranked, articles, snapshot_time),
+        event_article_rows(ranked, filters.within_hours(articles, as_of, hours), snapshot_time),
     )
 
 

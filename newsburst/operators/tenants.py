@@ -21,8 +21,15 @@ def with_config_defaults(configs: DataFrame) -> DataFrame:
     return configs.select(*columns)
 
 
-def create_tenants(systems: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New tenants and their configurations.
+def _time(now):
+    return F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+
+
+def create_tenants(
+    systems: DataFrame, requests: DataFrame, now=None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New tenants and their configurations, both with ``create_time`` and ``update_time``; ``now`` is a
+    time or a column, by default the current time.
 
     ``requests``: system_code, system_name, description and any settings. A code that is
     taken, or asked for twice, is an error. Returns (tenants, configs, errors). Ids are
@@ -41,17 +48,23 @@ def create_tenants(systems: DataFrame, requests: DataFrame) -> tuple[DataFrame,
     created = stage(
         judged.filter(F.col("error").isNull())
         .drop("_taken", "_repeated", "error")
-        .withColumn("system_id", (top + 1 + F.monotonically_increasing_id()).cast("long")),
+        .withColumn("system_id", (top + 1 + F.monotonically_increasing_id()).cast("long"))
+        .withColumn("_now", _time(now)),
         "tenants",
     )
     tenants = created.select(
-        "system_id", "system_code", "system_name", "description", F.lit(True).alias("is_active")
-    )
-    return tenants, with_config_defaults(created), errors
-
-
-def merge_configs(configs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Change only the settings a change row gives; null keeps the old value."""
+        "system_id", "system_code", "system_name", "description", F.lit(True).alias("is_active"),
+        F.col("_now").alias("create_time"), F.col("_now").alias("update_time"),
+    )
+    times = created.select("system_id", F.col("_now").alias("create_time"), F.col("_now").alias("update_time"))
+    return tenants, with_config_defaults(created).join(times, "system_id"), errors
+
+
+def merge_configs(configs: DataFrame, changes: DataFrame, now=None) -> DataFrame:
+    """Change only the settings a change row gives; null keeps the old value. Where the table has an
+    ``update_time``, changed rows get ``now``, by default the current time; ``create_time`` stays."""
+    if "update_time" in configs.columns:
+        changes = changes.drop("create_time").withColumn("update_time", _time(now))
     settings = [c for c in configs.columns if c != "system_id"]
     given = [c for c in settings if c in changes.columns]
     renamed = changes.select("system_id", *[F.col(c).alias(f"_new_{c}") for c in given])

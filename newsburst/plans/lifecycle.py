@@ -402,7 +402,7 @@ def t1(t):
         )
     )
     systems, configs, errors = T.create_tenants(t.systems, asked)
-    made = systems.select("system_id", "system_code").join(configs, "system_id").drop("system_id")
+    made = systems.select("system_id", "system_code").join(configs, "system_id").select("system_code", *T.CONFIG_COLUMNS)
     filled = [
         F.lit("" if c.endswith("_cron") else -1).alias(c) for c in T.CONFIG_COLUMNS
     ]

@@ -10,7 +10,7 @@ from newsburst.operators import cluster as C
 from newsburst.operators import events as E
 from newsburst.operators import tenants as T
 from newsburst.operators.articles import unknown_ids, update_weights
-from newsburst.operators.dbscan import neighbour_counts, newest_per_key
+from newsburst.operators.dbscan import neighbour_counts, newest_per_key, recency_numbers
 from newsburst.operators.visibility import visible_to
 from newsburst.sources import ingest
 from newsburst.sources.store import SnapshotStore
@@ -139,3 +139,50 @@ def test_norm_is_bound_once(spark):
     vectors = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [])], "id int, v array<double>")
     got = {r.id: r.u for r in vectors.select("id", scalars.l2_normalize(F.col("v")).alias("u")).collect()}
     assert got == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: []}
+
+
+def test_recency_numbers_share_out_a_hot_tenant(spark):
+    """One tenant holds most rows, many with one time; its rows lie in several ranges and are numbered through."""
+    at = dt.datetime(2024, 5, 1)
+    rows = [(1, i, at if i % 2 else at - dt.timedelta(seconds=i % 97)) for i in range(3000)]
+    rows += [(2, i, at - dt.timedelta(hours=i % 7)) for i in range(200)] + [(None, 1, at), (None, 2, None), (3, 1, at)]
+    table = spark.createDataFrame(rows, "system_id long, id long, create_time timestamp_ntz").repartition(8)
+    got = {(r.system_id, r.id): r.rn for r in recency_numbers(table, ["system_id"]).collect()}
+    expected = {}
+    for tenant in (1, 2, 3, None):
+        own = [r for r in rows if r[0] == tenant]
+        own.sort(key=lambda r: (-(r[2] - at).total_seconds() if r[2] else float("inf"), r[1]))
+        expected |= {(tenant, r[1]): n for n, r in enumerate(own, 1)}
+    assert got == expected
+    assert recency_numbers(table.limit(0), ["system_id"]).count() == 0
+
+
+def test_no_window_over_a_whole_tenant(spark):
+    table = spark.range(10).selectExpr("1L system_id", "id", "timestamp_ntz'2024-05-01 00:00:00' create_time")
+    plan = recency_numbers(table, ["system_id"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line]
+    assert windows and all("_range" in line for line in windows)
+
+
+def test_member_weights_come_from_the_window(spark, make):
+    rows = [r | {"weight": 3} for r in group(make, 0, 4)] + group(make, 50, 4, minutes=60 * 30)
+    configs = make.configs((1, 24, 0.4, 2, 0, 5))
+    links = spark.createDataFrame([], "article_id long, system_id long")
+    at = F.lit(make.as_of).cast("timestamp_ntz")
+    _, members = E.build_snapshot(make.articles(rows), links, make.systems(1), configs, make.as_of, at)
+    assert sorted((r.article_id, float(r.article_weight)) for r in members.collect()) == [(i, 3.0) for i in range(4)]
+    plan = members._jdf.queryExecution().optimizedPlan().toString()
+    assert any("create_time" in line and "Filter" in line for line in plan.splitlines())
+
+
+def test_new_tenants_carry_their_times(spark, make):
+    asked = spark.createDataFrame([("a", "A", "", 12), ("b", "B", "", None)], "system_code string, system_name string, description string, default_hours int")
+    now, later = dt.datetime(2024, 5, 1, 12), dt.datetime(2024, 5, 2, 12)
+    systems, configs, errors = T.create_tenants(make.systems(1), asked, now)
+    assert errors.isEmpty()
+    for made in (systems, configs):
+        assert made.selectExpr("create_time = update_time AND create_time = timestamp'2024-05-01 12:00:00' AS same").distinct().collect() == [(True,)]
+    first = configs.agg(F.min("system_id")).first()[0]
+    changed = T.merge_configs(configs, spark.createDataFrame([(first, 48)], "system_id long, default_hours int"), later)
+    times = {r.system_id == first: (r.create_time.day, r.update_time.day) for r in changed.collect()}
+    assert times == {True: (1, 2), False: (1, 1)}
