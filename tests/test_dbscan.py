@@ -153,3 +153,33 @@ def test_components_of_paths_and_a_hub(spark, task_edges):
     expected |= {(1, 500): 500} | {(1, 1000 + i): 500 for i in range(60)}
     expected |= {(2, i): 7 for i in (7, 8, 9)}
     assert got == expected
+
+
+def test_strips_give_the_whole_tile(monkeypatch):
+    """A task that compares in strips finds the degrees and components of the whole tile, and few blocks are made."""
+    from newsburst.operators import neighbors as N
+
+    for rows in (1_000, 100_000, 600_000):
+        assert -(-rows // N.bounded_blocks(64, rows, 64)) <= N.MOST_BLOCKS
+    assert N.bounded_blocks(64, 10**9, 1024) * 4 * 1024 <= N.BLOCK_BYTES
+    monkeypatch.setattr(N, "STRIP_ROWS", 7)
+    monkeypatch.setattr(N, "PENDING_EDGES", 20)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(60, 4)).astype(np.float32)
+    ids, mult = rng.permutation(60) + 100, rng.integers(1, 3, 60)
+    near = lambda i, j: [N._adjacency(vectors[i], vectors[j], 0.2)]
+    for p, q in ((np.arange(60), np.arange(60)), (np.arange(25), np.arange(25, 60))):
+        diagonal = len(p) == 60
+        whole = N.tile_parts(near(p, q)[0], ids[p], mult[p], ids[q], mult[q], diagonal, 4)
+        (parts,), order = N.compare_strips(ids, mult, p, q, diagonal, near, 1, 4)
+        assert (parts[0][1] == ids[order]).all()
+        degree = {i: d for kind, a, b in whole if kind == N.DEGREE for i, d in zip(a, b)}
+        assert dict(zip(parts[0][1], parts[0][2])) == degree
+
+        def reached(parts):
+            edges = [(a, b) for kind, x, y in parts if kind != N.DEGREE for a, b in zip(x, y) if min(degree[a], degree[b]) >= 4]
+            return set(zip(*map(tuple, N.spanning_forest(*map(np.array, zip(*edges))))))
+
+        assert reached(parts) == reached(whole)
+        border = lambda parts: {frozenset(e) for kind, x, y in parts if kind == N.SPARSE for e in zip(x, y) if min(map(degree.get, e)) < 4}
+        assert border(parts) == border(whole)
