@@ -183,3 +183,17 @@ def test_strips_give_the_whole_tile(monkeypatch):
         assert reached(parts) == reached(whole)
         border = lambda parts: {frozenset(e) for kind, x, y in parts if kind == N.SPARSE for e in zip(x, y) if min(map(degree.get, e)) < 4}
         assert border(parts) == border(whole)
+
+
+def test_rounds_deal_edges_into_tasks_of_bounded_size(spark, monkeypatch):
+    """Rounds write their edges from as many tasks as their number asks for, with the components unchanged."""
+    from newsburst.operators import components as K
+
+    written = []
+    monkeypatch.setattr(K, "PART_EDGES", 15)
+    monkeypatch.setattr(K, "stage", lambda df, name: written.append(df) or stage(df, name))
+    rows = [(1, 3 * i, 3 * i + k) for i in range(20) for k in (1, 2)]
+    edges = stage(spark.createDataFrame(rows, "system_id long, a long, b long"), "e")
+    found = connected_components(edges, ["system_id"], task_edges=0).collect()
+    assert {(r.id, r.root) for r in found} == {(n, n - n % 3) for n in range(60)}
+    assert all(df.rdd.getNumPartitions() == 3 for df in written[:1])
