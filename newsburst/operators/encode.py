@@ -218,13 +218,16 @@ def embed_through_requests(
     reported with its ids. Answers are written once, so no request is sent again for the second output.
     """
 
-    def ask(frames):
-        answer = answer_factory()
-        for frame in frames:
-            yield pd.DataFrame(
-                {"batch": frame["batch"], "ids": frame["ids"], "response": [answer(b) for b in frame["body"]]}
-            )
-
-    requests = encoder_requests(docs, model, rows)
-    answered = stage(requests.mapInPandas(ask, "batch STRING, ids ARRAY<BIGINT>, response STRING"), "answers")
+    # Kept for the task: a request is a group of its own, so a worker holds one body at a time.
+    started = []
+
+    def ask(frame):
+        if not started:
+            started.append(answer_factory())
+        return pd.DataFrame(
+            {"batch": frame["batch"], "ids": frame["ids"], "response": [started[0](b) for b in frame["body"]]}
+        )
+
+    requests = encoder_requests(docs, model, rows).groupBy("batch")
+    answered = stage(requests.applyInPandas(ask, "batch STRING, ids ARRAY<BIGINT>, response STRING"), "answers")
     return decode_responses(answered)

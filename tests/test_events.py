@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -185,3 +186,19 @@ def test_due_tenants(spark, make):
     last = spark.createDataFrame([(1, minutes(5)), (2, minutes(12))], "system_id BIGINT, snapshot_time TIMESTAMP")
     due = jobs.due_tenants(systems, schedule, last, F.lit(make.as_of)).collect()
     assert sorted(r[0] for r in due) == [2, 3]
+
+
+def test_a_worker_holds_one_request_at_a_time(spark, make, monkeypatch):
+    """Requests are groups of their own, not rows of one large batch; the answers stay the same."""
+    plans = []
+    real = N.stage
+    monkeypatch.setattr(N, "stage", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or real(df, name))
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(7)], "id long, text string")
+
+    def service():
+        return lambda body: json.dumps({"embeddings": [[float(t[1:])] for t in json.loads(body)["texts"]]})
+
+    vectors, failed = N.embed_through_requests(docs, service, rows=2)
+    assert {r.id: r.embedding for r in vectors.collect()} == {i: [float(i)] for i in range(7)}
+    assert failed.count() == 0
+    assert "FlatMapGroupsInPandas" in plans[0] and "MapInPandas " not in plans[0].replace("FlatMapGroupsInPandas", "")
