@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsburst.llm.common import slices
+from newsburst.llm.common import give_back, slices
 from newsburst.llm.wordids import word_ids
 from newsburst.session import scratch_path, stage
 
@@ -74,6 +74,7 @@ def write_records(docs: DataFrame, model: str, end_id: int, path: str) -> None:
     each document, into record files under ``path``."""
 
     def encode(batches):
+        give_back()
         coder = word_ids(model)
         width = 2 if coder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in slices(batches, "text", SLICE_BYTES):

@@ -9,6 +9,7 @@ Arrow and NumPy on whole batches; Python meets a distinct word once.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -16,10 +17,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Characters of words kept from batch to batch, about a fifth of the memory that they take.
+#: Characters of words kept from batch to batch; with their places and ids they take about five times as much memory.
 KEPT_CHARS = 6 << 20
-#: Texts joined for the tokenizer at once.
+#: Texts joined for the tokenizer at once, and texts given to it one by one: an encoding takes far more memory than its ids.
 JOINED = 20_000
+SINGLE = 4_000
 _PLAIN = "^[\x01-\x7fÀ-ÖØ-öø-ÿ]*$"
 _LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _STOPPED = "^[\x01-\x7fÀ-ÖØ-öø-ÿ]*[0-9A-Za-zÀ-ÖØ-öø-ÿ][.,]+$"
@@ -60,15 +62,17 @@ class WordIds:
         return Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.chars = 0
         self.starts = np.empty(0, np.int64)
         self.lengths = np.empty(0, np.int64)
         self.pool = np.empty(0, np.uint32)
 
     def whole(self, parts: list[str], tokenizer: Tokenizer | None = None) -> list[np.ndarray]:
-        found = (tokenizer or self.tokenizer).encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+        encode, found = (tokenizer or self.tokenizer).encode_batch_fast, []
+        for at in range(0, len(parts), SINGLE):
+            found += [np.array(e.ids, np.uint32) for e in encode(parts[at : at + SINGLE], add_special_tokens=False)]
+        return found
 
     def _letters(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids, and their numbers, of words of letters, from joined texts cut behind the tokens that end a word."""
@@ -86,34 +90,35 @@ class WordIds:
             sizes.append(length)
         return found, sizes
 
-    def _learn(self, words: list[str], letters: np.ndarray) -> None:
-        """Adds new words; ``letters`` tells those of letters alone."""
+    def _learn(self, words: pa.Array, letters: np.ndarray) -> np.ndarray:
+        """Adds new words, and returns their places; ``letters`` tells those of letters alone."""
         joinable = letters if self.last is not None else np.zeros(len(words), bool)
-        first = [w for w, j in zip(words, joinable) if j]
-        rest = [w for w, j in zip(words, joinable) if not j]
-        found, sizes = self._letters(first)
-        others = self.whole(rest)
+        first, rest = np.flatnonzero(joinable), np.flatnonzero(~joinable)
+        found, sizes = self._letters(words.take(pa.array(first)).to_pylist())
+        others = self.whole(words.take(pa.array(rest)).to_pylist())
         lengths = np.concatenate([np.empty(0, np.int64), *sizes, [len(o) for o in others]]).astype(np.int64)
-        base = len(self.starts)
-        self.slots.update(zip(first + rest, range(base, base + len(words))))
+        order = np.concatenate([first, rest])
+        place = np.empty(len(words), np.int64)
+        place[order] = len(self.starts) + np.arange(len(words))
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(order))])
         self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lengths) - lengths)
         self.lengths = np.append(self.lengths, lengths)
         self.pool = np.concatenate([self.pool, *found, *others])
-        self.chars += sum(map(len, words))
+        self.chars += pc.sum(pc.utf8_length(words)).as_py() or 0
+        return place
 
     def _slots(self, words: pa.Array) -> np.ndarray:
         """The place in the pool of each distinct word."""
-        listed = words.to_pylist()
-        found = np.fromiter((self.slots.get(w, -1) for w in listed), np.int64, len(listed))
+        words = words.cast(pa.large_string())
+        found = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
             if self.chars > KEPT_CHARS:
                 self._forget()
-                new = np.arange(len(listed))
+                new = np.arange(len(words))
             unknown = words.take(pa.array(new))
             letters = pc.match_substring_regex(unknown, _LETTERS).to_numpy(zero_copy_only=False)
-            self._learn(unknown.to_pylist(), letters)
-            found = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))
+            found[new] = self._learn(unknown, letters)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +154,9 @@ _kept: list[tuple[str, WordIds]] = []
 
 
 def word_ids(model: str) -> WordIds:
-    """One per Python worker, which keeps its words for all tasks that run there."""
+    """One per Python worker, which keeps its words for all tasks that run there. A task has one thread: the
+    tokenizer's own would each keep memory, and take CPU time in waiting for each other."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if not _kept or _kept[0][0] != model:
         _kept[:] = [(model, WordIds(model))]
     return _kept[0][1]

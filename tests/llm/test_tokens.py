@@ -1,6 +1,8 @@
 """Binary records and SentencePiece models."""
 
+import gc
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -197,3 +199,33 @@ def test_unigram_model():
 def test_truncated_models_are_refused():
     with pytest.raises((ValueError, IndexError)):
         pieces.Model.parse(model_file("piece_bpe_32k.model")[:-3])
+
+
+def test_word_ids_memory(monkeypatch):
+    """Known words are no Python objects, and few texts at once are encoded one by one."""
+    sent = []
+
+    class Counting(WordIds):
+        def whole(self, parts, tokenizer=None):
+            real = tokenizer or self.tokenizer
+
+            class Seen:
+                @staticmethod
+                def encode_batch_fast(texts, **options):
+                    sent.append(len(texts))
+                    return real.encode_batch_fast(texts, **options)
+
+            return super().whole(parts, Seen)
+
+    coder = Counting(model_file("word_bpe_49k.json").decode())
+    text = pa.array([" ".join(f"a{i}" for i in range(60_000))])
+    tracemalloc.start()
+    try:
+        offsets, ids = coder.encode(text)
+        del offsets, ids
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 6e6
+    finally:
+        tracemalloc.stop()
+    assert max(sent) <= 4_000
+    assert coder.encode(text)[1].tolist() == coder.tokenizer.encode(text[0].as_py(), add_special_tokens=False).ids
