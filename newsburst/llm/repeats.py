@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,42 +51,59 @@ from newsburst.llm.chunks import (
     table_of,
     unpacked,
 )
-from newsburst.llm.common import slices, texts
+from newsburst.llm.common import give_back, slices
 
 WINDOW = 13
 #: More bytes of paths to one source chunk than this are dealt to copies of it.
 PATH_BYTES = 32 << 20
 
 
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts, one after another, and the number of each text's; a null text has none."""
+    split = pc.ascii_split_whitespace(column.cast(pa.large_string()).fill_null(""))
+    words, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    # White space at either end leaves an empty word.
+    some = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), np.diff(upto[ends - ends[0]])
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """As numpy.unique, which hashes long arrays: sorting takes a fraction of its time."""
+    ordered = np.sort(values)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)]]
+
+
 @dataclass
 class Chunk:
-    """The documents of one chunk in the order of (doc_id, text), as one run of word numbers."""
+    """The documents of one chunk in the order of (doc_id, text), as one run of words, numbered by ``index``."""
 
     window: int
-    doc_ids: list[int]
-    words: list[list[bytes]]
+    doc_ids: np.ndarray
+    words: pa.Array
+    sizes: np.ndarray
 
     def __post_init__(self):
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
 
     @classmethod
     def of(cls, table: pa.Table, window: int) -> Chunk:
-        rows = sorted(zip(table.column("doc_id").to_pylist(), texts(table.column("text").combine_chunks())))
-        return cls(window, [d for d, _ in rows], [t.split() for _, t in rows])
+        ids, text = (table.column(c).combine_chunks() for c in ("doc_id", "text"))
+        rows = pa.table({"doc_id": ids, "text": text.cast(pa.large_string()).fill_null("")})
+        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("text", "ascending")]))
+        return cls(window, rows.column(0).to_numpy(), *split_words(rows.column(1).combine_chunks()))
 
     def index(self) -> None:
-        flat = [w for words in self.words for w in words]
-        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(flat))}
-        self.ids = np.fromiter(map(self.numbers.__getitem__, flat), np.int32, len(flat))
-        digest = xxhash.xxh3_64_intdigest
-        self.word_hash = np.array([digest(w) for w in self.numbers], np.uint64)
-        self.doc = np.repeat(np.arange(len(self.words)), self.sizes)
-        prints = run_prints(self.word_hash[self.ids], self.window)
-        whole = self.doc[: len(prints)] == self.doc[self.window - 1 :][: len(prints)]
+        coded = self.words.dictionary_encode()
+        self.held = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        self.ids = coded.indices.to_numpy()
+        self.word_hash = np.array(list(map(xxhash.xxh3_64_intdigest, self.held)), np.uint64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.prints = run_prints(self.word_hash[self.ids], self.window)
+        whole = self.doc[: len(self.prints)] == self.doc[self.window - 1 :][: len(self.prints)]
         self.starts = np.flatnonzero(whole)
-        self.edges, self.first, self.which = np.unique(prints[self.starts], return_index=True, return_inverse=True)
+        self.prints = self.prints[self.starts]
 
 
 _EDGES = [("bucket", pa.int32()), ("chunk", pa.int32()), ("edges", pa.binary())]
@@ -98,12 +116,14 @@ def _send_edges(window: int, n_buckets: int):
     bounds = bucket_bounds(n_buckets)
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         chunk = Chunk.of(table, window)
         chunk.index()
+        edges = distinct(chunk.prints)
         number = table.column("chunk")[0].as_py()
-        cuts = [0, *np.searchsorted(chunk.edges, bounds).tolist(), len(chunk.edges)]
+        cuts = [0, *np.searchsorted(edges, bounds).tolist(), len(edges)]
         return table_of(
-            [(b, number, packed(chunk.edges[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i], _EDGES
+            [(b, number, packed(edges[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i], _EDGES
         )
 
     return run
@@ -145,17 +165,18 @@ def _cut_paths(window: int, n_buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return table_of([], _PATHS)
+        give_back()
         chunk = Chunk.of(table, window)
         chunk.index()
+        edges, firsts, which = np.unique(chunk.prints, return_index=True, return_inverse=True)
         number = table.column("chunk")[0].as_py()
-        base = [0, *np.searchsorted(chunk.edges, bounds).tolist()]
-        source = np.full(len(chunk.edges), -1, np.int64)
+        base = [0, *np.searchsorted(edges, bounds).tolist()]
+        source = np.full(len(edges), -1, np.int64)
         for b, places, sources in zip(*(answers.column(c).to_pylist() for c in ("bucket", "places", "sources"))):
             source[base[b] + unpacked(places, np.uint32)] = np.frombuffer(sources, np.int32)
-        at = source[chunk.which]
-        ids = np.array(chunk.doc_ids, np.int64)
-        here = ids[chunk.doc[chunk.starts]]
-        earliest = ids[chunk.doc[chunk.starts[chunk.first]]][chunk.which]
+        at = source[which]
+        here = chunk.doc_ids[chunk.doc[chunk.starts]]
+        earliest = here[firsts][which]
         at = np.where((at < 0) & (earliest < here), number, at)
         # Paths: consecutive edges of one document with one source.
         starts, doc = chunk.starts, chunk.doc[chunk.starts]
@@ -164,16 +185,16 @@ def _cut_paths(window: int, n_buckets: int):
         heads = np.flatnonzero((at >= 0) & ~follows)
         tails = np.flatnonzero((at >= 0) & ~np.concatenate([follows[1:], [False]]))
         by_source: dict[int, dict[bytes, list]] = {}
-        for h, t in zip(heads.tolist(), tails.tolist()):
-            d = int(doc[h])
-            first, last = int(starts[h] - chunk.begins[d]), int(starts[t] - chunk.begins[d]) + window
+        first, last = starts[heads], starts[tails] + window
+        places = zip(at[heads].tolist(), doc[heads].tolist(), (first - chunk.begins[doc[heads]]).tolist())
+        for (s, d, offset), i, j in zip(places, first.tolist(), last.tolist()):
             # Equal paths to one source are sent once, with all their places.
-            words = b" ".join(chunk.words[d][first:last])
-            by_source.setdefault(int(at[h]), {}).setdefault(words, []).append((d, first))
+            by_source.setdefault(s, {}).setdefault(chunk.ids[i:j].tobytes(), []).append((d, offset))
         rows = []
         for s, paths in by_source.items():
-            marks = [(i, d, first) for i, places in enumerate(paths.values()) for d, first in places]
-            rows.append((s, number, np.array(marks, np.int32).tobytes(), b"\n".join(paths)))
+            marks = [(i, d, offset) for i, places in enumerate(paths.values()) for d, offset in places]
+            words = (b" ".join(map(chunk.held.__getitem__, np.frombuffer(p, np.int32).tolist())) for p in paths)
+            rows.append((s, number, np.array(marks, np.int32).tobytes(), b"\n".join(words)))
         return table_of(rows, _PATHS)
 
     return run
@@ -183,11 +204,13 @@ def _prove(window: int):
     def run(table: pa.Table, paths: pa.Table) -> pa.Table:
         if not table.num_rows or not paths.num_rows:
             return table_of([], _SPANS)
+        give_back()
         chunk = Chunk.of(table, window)
         chunk.index()
-        lookup = chunk.numbers.get
+        edges, firsts = np.unique(chunk.prints, return_index=True)
+        lookup = {w: i for i, w in enumerate(chunk.held)}.get
         rows = []
-        if not len(chunk.edges):
+        if not len(edges):
             return table_of([], _SPANS)
         for sender, marks, words in zip(*(paths.column(c).to_pylist() for c in ("sender", "marks", "words"))):
             split = [p.split(b" ") for p in words.split(b"\n")]
@@ -199,8 +222,8 @@ def _prove(window: int):
             hashes = np.where(ids >= 0, chunk.word_hash[np.maximum(ids, 0)], np.uint64(0))
             prints = run_prints(hashes, window)
             whole = np.flatnonzero(number[: len(prints)] == number[window - 1 :][: len(prints)])
-            edge = np.minimum(np.searchsorted(chunk.edges, prints[whole]), len(chunk.edges) - 1)
-            source = chunk.starts[chunk.first[edge]]
+            edge = np.minimum(np.searchsorted(edges, prints[whole]), len(edges) - 1)
+            source = chunk.starts[firsts[edge]]
             wide = np.arange(window)
             proven = np.concatenate(
                 [
@@ -222,7 +245,7 @@ def _prove(window: int):
             path = number[whole[heads]]
             offset = whole[heads] - (ends - sizes)[path]
             d = chunk.doc[source[heads]]
-            spans = np.column_stack([offset, length, np.array(chunk.doc_ids, np.int64)[d], source[heads] - chunk.begins[d]])
+            spans = np.column_stack([offset, length, chunk.doc_ids[d], source[heads] - chunk.begins[d]])
             # Each place of a path gets the path's spans.
             places = np.frombuffer(marks, np.int32).reshape(-1, 3)
             from_ = np.searchsorted(path, places[:, 0], side="left")
@@ -240,42 +263,37 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<s
 _SPAN = pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source_doc_id", pa.int64()), ("source_start", pa.int32())])
 
 
-def _result(doc_ids, words: list[list[bytes]], spans: list[list[tuple]]) -> pa.Table:
-    removed, kept = [], []
-    for listed, found in zip(words, spans):
-        if found:
-            gone = np.zeros(len(listed) + 1, np.int32)
-            for start, n, *_ in found:
-                gone[start] += 1
-                gone[start + n] -= 1
-            stays = np.cumsum(gone[:-1]) == 0
-            removed.append(int(len(listed) - stays.sum()))
-            kept.append(b" ".join([w for w, s in zip(listed, stays.tolist()) if s]).decode())
-        else:
-            removed.append(0)
-            kept.append(b" ".join(listed).decode())
-    fields = [f.name for f in _SPAN]
+def _result(doc_ids: pa.Array, words: pa.Array, sizes: np.ndarray, spans: np.ndarray) -> pa.Table:
+    """``spans``: place of the document, then as in ``_SPAN``, a row each."""
+    spans = spans[np.lexsort(spans.T[::-1])]
+    begins = np.cumsum(sizes) - sizes
+    at = begins[spans[:, 0]] + spans[:, 1]
+    gone = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + spans[:, 2], minlength=len(words) + 1)
+    stays = np.cumsum(gone[:-1]) == 0
+    upto = np.concatenate([[0], np.cumsum(stays)])
+    kept = np.append(upto[begins], upto[-1])
+    lists = pa.ListArray.from_arrays(pa.array(kept, pa.int32()), words.filter(pa.array(stays)))
+    counts = np.bincount(spans[:, 0], minlength=len(sizes))
+    found = pa.StructArray.from_arrays([pa.array(spans[:, i + 1], f.type) for i, f in enumerate(_SPAN)], fields=list(_SPAN))
     return pa.table(
         {
-            "doc_id": pa.array(doc_ids, pa.int64()),
-            "n_words": pa.array([len(w) for w in words], pa.int64()),
-            "n_removed": pa.array(removed, pa.int64()),
-            "kept": pa.array(kept, pa.string()),
-            "spans": pa.array([[dict(zip(fields, s)) for s in found] for found in spans], pa.list_(_SPAN)),
+            "doc_id": doc_ids,
+            "n_words": pa.array(sizes),
+            "n_removed": pa.array(sizes - np.diff(kept)),
+            "kept": pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string()),
+            "spans": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), found),
         }
     )
 
 
+_NO_SPANS = np.empty((0, 5), np.int64)
+
+
 def _take_out(window: int):
     def run(table: pa.Table, proven: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _result([], [], [])
         chunk = Chunk.of(table, window)
-        spans: list[list[tuple]] = [[] for _ in chunk.words]
-        for data in proven.column("spans").to_pylist():
-            for d, *span in np.frombuffer(data, "<i8").reshape(-1, 5).tolist():
-                spans[d].append(tuple(span))
-        return _result(chunk.doc_ids, chunk.words, [sorted(s) for s in spans])
+        spans = [np.frombuffer(data, "<i8").reshape(-1, 5) for data in proven.column("spans").to_pylist()]
+        return _result(pa.array(chunk.doc_ids, pa.int64()), chunk.words, chunk.sizes, np.concatenate([_NO_SPANS, *spans]))
 
     return run
 
@@ -310,8 +328,8 @@ def remove_repeats(
 
     def keep_all(batches):
         for batch in slices(batches, "text", CHUNK_BYTES):
-            words = [t.split() for t in texts(batch.column("text"))]
-            yield from _result([None] * len(words), words, [[] for _ in words]).to_batches()
+            words, sizes = split_words(batch.column("text"))
+            yield from _result(pa.nulls(len(sizes), pa.int64()), words, sizes, _NO_SPANS).to_batches()
 
     unordered = docs.filter("doc_id is null").select("text").mapInArrow(keep_all, _RESULT)
     return ordered.unionByName(unordered)

@@ -1,9 +1,11 @@
 """Quality rules, decontamination, repeated passages and the n-gram join."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +179,33 @@ def test_repeats(spark, chunk_bytes, path_bytes):
             assert any(w[s.start : s.start + s.n_words] in passages for w in by_id[r.doc_id])
 
 
+def test_repeats_take_little_cpu():
+    """A chunk's words are split, numbered and joined without a Python object for each."""
+    rng = random.Random(2)
+    text = " \n".join(f"w{rng.randrange(3000)}" for _ in range(400_000))
+    table = pa.table({"chunk": pa.array([0, 0], pa.int32()), "doc_id": [1, 2], "text": [text, text]})
+    tracemalloc.start()
+    try:
+        words = repeats.Chunk.of(table, 13).words
+        assert len(words) == 800_000 and tracemalloc.get_traced_memory()[1] < 16e6
+    finally:
+        tracemalloc.stop()
+    spans = repeats._prove(13)(table, repeats._cut_paths(13, 1)(table, repeats.table_of([], repeats._REPEATED)))
+    taken = repeats._take_out(13)(table, spans).to_pylist()
+    assert [r["n_removed"] for r in taken] == [0, 400_000]
+    assert [r["kept"] for r in taken] == [" ".join(text.split()), ""]
+
+
+def test_words_are_those_of_bytes():
+    rng = random.Random(3)
+    listed = ["".join(rng.choice(" \t\n\x0b\f\r\x1c\x85ab \u3000é") for _ in range(rng.randrange(12))) for _ in range(500)]
+    listed += [None, "", " "]
+    words, sizes = repeats.split_words(pa.array(listed, pa.string()).slice(3))
+    expected = [(t or "").encode().split() for t in listed[3:]]
+    assert sizes.tolist() == [len(e) for e in expected]
+    assert words.cast(pa.large_binary()).to_pylist() == [w for e in expected for w in e]
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
