@@ -12,6 +12,7 @@ from newsburst.operators import tenants as T
 from newsburst.operators.articles import unknown_ids, update_weights
 from newsburst.operators.dbscan import neighbour_counts, newest_per_key, recency_numbers
 from newsburst.operators.visibility import visible_to
+from newsburst.session import spread
 from newsburst.sources import ingest
 from newsburst.sources.store import SnapshotStore
 from newsburst.streaming import jobs
@@ -186,3 +187,16 @@ def test_new_tenants_carry_their_times(spark, make):
     changed = T.merge_configs(configs, spark.createDataFrame([(first, 48)], "system_id long, default_hours int"), later)
     times = {r.system_id == first: (r.create_time.day, r.update_time.day) for r in changed.collect()}
     assert times == {True: (1, 2), False: (1, 1)}
+
+
+def test_spread_goes_by_size(spark, tmp_path, monkeypatch):
+    """A large table in one file is cut into more tasks than there are cores, a small one is not."""
+    path = str(tmp_path / "one")
+    spark.range(200_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr("newsburst.session.SPREAD_BYTES", 1 << 40, raising=False)
+    assert spread(rows).rdd.getNumPartitions() == cores
+    monkeypatch.setattr("newsburst.session.SPREAD_BYTES", 1 << 18, raising=False)
+    parts = spread(rows)
+    assert parts.rdd.getNumPartitions() > 2 * cores and parts.distinct().count() == 200_000
