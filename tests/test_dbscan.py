@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -197,3 +198,18 @@ def test_rounds_deal_edges_into_tasks_of_bounded_size(spark, monkeypatch):
     found = connected_components(edges, ["system_id"], task_edges=0).collect()
     assert {(r.id, r.root) for r in found} == {(n, n - n % 3) for n in range(60)}
     assert all(df.rdd.getNumPartitions() == 3 for df in written[:1])
+
+
+def test_a_scope_is_finished_by_strips_of_bounded_size(monkeypatch):
+    from newsburst.operators import components
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 5000), rng.integers(0, 300, 5000)
+    a, b = np.r_[a, 1000, 7], np.r_[b, 1000, 7]  # a node with an edge to itself only
+    expected = components._union(a, b)
+    sizes, union = [], components._union
+    monkeypatch.setattr(components, "_union", lambda a, b: sizes.append(len(a)) or union(a, b))
+    monkeypatch.setattr(components, "PART_EDGES", 100)
+    found = components._union_strips(*(pa.chunked_array([x[:2222], x[2222:]]) for x in (a, b)))
+    assert [x.tolist() for x in found] == [x.tolist() for x in expected]
+    assert max(sizes) <= 100 + 301
