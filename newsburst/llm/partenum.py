@@ -8,7 +8,7 @@ share a signature. Sets near a band's lower end, seen from below, also join the
 
 No pair is missed, and none is expanded needlessly:
 
-1. Documents are dealt into chunks; the texts are shuffled once. Chunks send their distinct
+1. Documents are dealt into chunks; the texts are shuffled for this step and the next. Chunks send their distinct
    signatures, packed, to buckets, which tell which ones several chunks have, and the first chunk.
 2. Each chunk links its own documents that share a signature, exactly. Of those that do, only sets
    with one of their rarest shingles in common are compared, and none that are connected already.
@@ -481,7 +481,9 @@ def _linked_within_chunks(docs: DataFrame, rule: Similarity, chunk_bytes: int) -
     n_buckets = max(1, math.ceil(len(ranges) / 2))
     by_chunk = dealt.groupBy("chunk")
     sent = by_chunk.applyInArrow(_send(rule, n_buckets), schema_of(_SENT))
-    shared = sent.groupBy("bucket").applyInArrow(_share, schema_of(_SHARED))
+    # Written first: the signatures that were sent are gone before the sets are written. Texts are shuffled again.
+    shared = stage(sent.groupBy("bucket").applyInArrow(_share, schema_of(_SHARED)), "shared")
+    free_shuffles(docs.sparkSession)
     return stage(by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(_link_within(rule, n_buckets), _LOCAL), "local")
 
 
@@ -508,6 +510,7 @@ def _opened(active: DataFrame, links: DataFrame) -> DataFrame:
     several, small = _counted(span.filter("low < high").select("signature"), "several")
     met = members.join(small(several), "signature").select("doc_id", "group").distinct()
     ids, small = _counted(met, "met")
+    free_shuffles(active.sparkSession)
     rows = active.select("chunk", "doc_id", "n", "elements", "signatures")
     return stage(rows.join(small(ids), "doc_id"), "opened")
 
@@ -568,6 +571,15 @@ def _prefixes(opened: DataFrame, rule: Similarity) -> DataFrame:
     return stage(rows.mapInArrow(cut, kinds), "prefixes")
 
 
+def _met_elsewhere(keys: DataFrame) -> DataFrame:
+    """The keys whose element several chunks have. Most rarest shingles are in one document only: these are left
+    out by counting, before a join shuffles whole keys."""
+    spans = keys.groupBy("element").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    shared, small = _counted(spans.filter("low < high").select("element"), "shared")
+    free_shuffles(keys.sparkSession)
+    return stage(keys.join(small(shared), "element", "left_semi"), "meeting")
+
+
 def _routes(keys: DataFrame, rule: Similarity) -> DataFrame:
     """(home, doc_id): the documents of the lighter component visit the chunks of the heavier one in
     which a set of a fitting size has a shingle of their prefix in its own."""
@@ -582,30 +594,39 @@ def _routes(keys: DataFrame, rule: Similarity) -> DataFrame:
     return met.select("home", "doc_id").distinct()
 
 
-def _second_round(active: DataFrame, links: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
+def _second_round(opened: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
     """Links between components that still share signatures."""
-    opened = _opened(active, links)
-    keys = _prefixes(opened, rule)
+    spark = opened.sparkSession
+    prefixes = _prefixes(opened, rule)
+    keys = _met_elsewhere(prefixes)
+    drop_staged(prefixes)
+    free_shuffles(spark)
     routes = stage(_routes(keys, rule), "routes")
     drop_staged(keys)
-    free_shuffles(active.sparkSession)
+    free_shuffles(spark)
     visits = routes.join(opened, "doc_id").select("home", *_again("chunk", "n", "group", "elements", "signatures"))
-    links = _meet(opened, visits, "group", _compare(rule, "group", whole=True), visit_bytes)
-    drop_staged(opened, routes)
-    return links
+    return _meet(opened, visits, "group", _compare(rule, "group", whole=True), visit_bytes)
 
 
 def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int, visit_bytes: int) -> DataFrame:
-    # Each step ends in a written table; what it shuffled goes before the next one.
+    # Each step ends in a written table; what it shuffled, and tables with sets that nothing reads any more, go
+    # before the next one.
+    spark = docs.sparkSession
     local = _linked_within_chunks(docs, rule, chunk_bytes)
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
+    roots = stage(local.select("doc_id", "n", "root"), "roots")
     active = local.filter("signatures is not null")
     links = _first_round(active, rule, visit_bytes)
-    free_shuffles(docs.sparkSession)
-    more = _second_round(active, links, rule, visit_bytes)
+    free_shuffles(spark)
+    opened = _opened(active, links)
+    drop_staged(local)
+    free_shuffles(spark)
+    more = _second_round(opened, rule, visit_bytes)
+    drop_staged(opened)
+    free_shuffles(spark)
     # Links of the second round name components: their smallest roots, which are nodes as well.
     final = _components(stage(links.unionByName(more), "links"))
-    return local.join(final, local.root == final.node, "left").select(
+    return roots.join(final, roots.root == final.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "root").alias("component_id")
     )
 

@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -310,3 +311,22 @@ def test_signatures_meet(spark):
                     found, owner = partenum.signatures([a, c], percent)
                     shared = np.intersect1d(found[owner == 0], found[owner == 1]).size
                     assert shared >= max(partenum.least_shared(len(x), percent) for x in (a, c))
+
+
+def test_join_removes_tables_with_sets(spark, monkeypatch):
+    """Chunks' sets, opened rows and prefixes are gone when the result is read; their disk is not held to the end."""
+    rows = template_rows(60, 25)
+    wide, stage = [], partenum.stage
+
+    def staged(df, name):
+        found = stage(df, name)
+        if name in ("local", "opened", "prefixes", "meeting"):
+            wide.append((name, [Path(f.removeprefix("file://")) for f in found.inputFiles()]))
+            assert wide[-1][1][0].exists()
+        return found
+
+    monkeypatch.setattr(partenum, "stage", staged)
+    found = partenum.near_duplicates(spark.createDataFrame(rows, DOCS), 1, 80, 3000)
+    assert [name for name, _ in wide] == ["local", "opened", "prefixes", "meeting"]
+    assert not any(f.exists() for _, files in wide for f in files)
+    same(found, ["doc_id", "n_shingles", "component_id"], brute.components(rows, 1, 80))
