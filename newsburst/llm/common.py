@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,22 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_end_with_jobs(spark: SparkSession):
+    """Spark removes the shuffle files of each query run inside as soon as that has ended, by a setting of Spark's own.
+    ``free_shuffles`` alone leaves it to chance when the driver lets go of a plan."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Removes staged tables that nothing reads any more."""
     for df in tables:

@@ -17,9 +17,10 @@ No pair is missed, and none is expanded needlessly:
    signatures, if that is so for a fair part of them. Large groups of copies connect here by one
    document per chunk; links that this misses are found in the next step.
 4. Signatures that still join several components: their documents' rarest shingles, so many that
-   linked sets have one of them in common, are joined. Documents of the lighter component visit
-   the chunks of the heavier one that they meet there, and are compared with those not connected
-   yet that share as many signatures with them as a link needs at least.
+   linked sets have a twentieth of a set in common there, are joined. Documents of the lighter component visit
+   the chunks of the heavier one where they meet as many, and are compared with those not connected
+   yet that share as many signatures with them as a link needs at least. Only sets of documents that meet as many are
+   shuffled.
 5. Components of the links give the result.
 
 Every comparison is exact, on the whole sets. A chunk holds about ``chunk_bytes`` of text, and its
@@ -59,7 +60,7 @@ from newsburst.llm.chunks import (
     table_of,
     unpacked,
 )
-from newsburst.llm.common import drop_staged, free_shuffles, fresh, give_back, slices, texts
+from newsburst.llm.common import drop_staged, free_shuffles, fresh, give_back, shuffles_end_with_jobs, slices, texts
 from newsburst.operators.components import connected_components
 from newsburst.session import stage
 
@@ -73,6 +74,8 @@ SAMPLE, COMMON = 10_000, 65_536
 THIRDS = 3
 #: The first round looks at documents with one in so many of their signatures in a chunk.
 FAIR = 8
+#: Prefixes have one in so many of a set's shingles more than linked sets need to meet at all, and must meet in as many.
+EVIDENCE = 20
 
 
 @dataclass(frozen=True)
@@ -499,27 +502,24 @@ def _first_round(active: DataFrame, rule: Similarity, visit_bytes: int) -> DataF
 
 
 def _opened(active: DataFrame, links: DataFrame) -> DataFrame:
-    """(chunk, doc_id, n, group, elements, signatures) of the rows with a signature that still
-    joins several components."""
+    """(doc_id, group, weight) of the documents with a signature that still joins several components; weight is the
+    number of a component's documents here."""
     found, small = _counted(_components(links), "components")
     narrow = active.drop("made", "elements", "firsts", "visits").join(small(found), active.root == found.node, "left")
-    members = narrow.select(
-        "chunk", "doc_id", F.coalesce("component", "root").alias("group"), F.explode("signatures").alias("signature")
-    )
+    members = narrow.select("doc_id", F.coalesce("component", "root").alias("group"), F.explode("signatures").alias("signature"))
     span = members.groupBy("signature").agg(F.min("group").alias("low"), F.max("group").alias("high"))
     several, small = _counted(span.filter("low < high").select("signature"), "several")
-    met = members.join(small(several), "signature").select("doc_id", "group").distinct()
-    ids, small = _counted(met, "met")
+    met = stage(members.join(small(several), "signature").select("doc_id", "group").distinct(), "met")
     free_shuffles(active.sparkSession)
-    rows = active.select("chunk", "doc_id", "n", "elements", "signatures")
-    return stage(rows.join(small(ids), "doc_id"), "opened")
+    weights, small = _counted(met.groupBy("group").agg(F.count("*").alias("weight")), "weights")
+    return stage(met.join(small(weights), "group").select("doc_id", "group", "weight"), "opened")
 
 
-def _common(opened: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(active: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted fingerprints that are most frequent in a sample of the sets, and their counts. They
     only order the shingles: any order gives the same links, this one few visits."""
-    every = max(1, math.ceil(opened.count() / SAMPLE))
-    sampled = opened.filter(F.pmod(F.xxhash64("chunk", "doc_id"), F.lit(every)) == 0).select("elements")
+    every = max(1, math.ceil(active.count() / SAMPLE))
+    sampled = active.filter(F.pmod(F.xxhash64("chunk", "doc_id"), F.lit(every)) == 0).select("elements")
 
     def count(batches):
         for batch in batches:
@@ -534,24 +534,29 @@ def _common(opened: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], np.array([r.held for r in rows], np.int64)[order]
 
 
+def met_least(size: int, percent: int) -> int:
+    """Two linked sets share at least the smaller one's number of these among the rarest shingles that ``prefix``
+    takes: the k-th of their common shingles has all others, but k, behind it in either set."""
+    return min(1 + size // EVIDENCE, -(-percent * size // 100))
+
+
 def prefix(elements: np.ndarray, common: np.ndarray, held: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a set, so many that two linked sets have one of them in common: a
+    """The rarest shingles of a set, so many that two linked sets have ``met_least`` of them in common: a
     linked set lacks at most 100 - percent in a hundred of them."""
     count = np.zeros(len(elements), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, elements), len(common) - 1)
         count = np.where(common[at] == elements, held[at], 0)
-    size = len(elements) - -(-percent * len(elements) // 100) + 1
+    size = len(elements) - -(-percent * len(elements) // 100) + met_least(len(elements), percent)
     return elements[np.lexsort((elements, count))[:size]]
 
 
-def _prefixes(opened: DataFrame, rule: Similarity) -> DataFrame:
-    """(element, rest, chunk, doc_id, n, group, weight) of the prefixes of the sets; rest is the number
-    of shingles from there on, weight that of a component's rows here."""
-    common, held = _common(opened)
-    weights, small = _counted(opened.groupBy("group").agg(F.count("*").alias("weight")), "weights")
-    rows = opened.select("chunk", "doc_id", "n", "group", "elements").join(small(weights), "group")
-    names = ["chunk", "doc_id", "n", "group", "weight"]
+def _prefixes(active: DataFrame, rule: Similarity) -> DataFrame:
+    """(element, rest, chunk, doc_id, n) of the prefixes of the sets, made where these lie: no set is shuffled; rest is
+    the number of shingles from there on."""
+    common, held = _common(active)
+    free_shuffles(active.sparkSession)
+    names = ["chunk", "doc_id", "n"]
 
     def cut(batches):
         for batch in batches:
@@ -567,8 +572,8 @@ def _prefixes(opened: DataFrame, rule: Similarity) -> DataFrame:
                 ["element", "rest", *names],
             )
 
-    kinds = "element long, rest long, chunk int, doc_id long, n long, group long, weight long"
-    return stage(rows.mapInArrow(cut, kinds), "prefixes")
+    rows = active.select(*names, "elements")
+    return stage(rows.mapInArrow(cut, "element long, rest long, chunk int, doc_id long, n long"), "prefixes")
 
 
 def _met_elsewhere(keys: DataFrame) -> DataFrame:
@@ -580,52 +585,71 @@ def _met_elsewhere(keys: DataFrame) -> DataFrame:
     return stage(keys.join(small(shared), "element", "left_semi"), "meeting")
 
 
-def _routes(keys: DataFrame, rule: Similarity) -> DataFrame:
-    """(home, doc_id): the documents of the lighter component visit the chunks of the heavier one in
-    which a set of a fitting size has a shingle of their prefix in its own."""
+def _candidates(keys: DataFrame, rule: Similarity) -> DataFrame:
+    """(home, doc_id, visits): the documents that have in common with the prefixes in another chunk as many shingles as
+    a link needs, each with a set of a fitting size and another component. Those of the lighter component visit."""
     homes = keys.groupBy("element", F.col("chunk").alias("home")).agg(
-        F.max(F.struct("weight", "group")).alias("heaviest"), F.min("n").alias("low"), F.max("n").alias("high"),
-        F.max("rest").alias("room"),
+        F.max(F.struct("weight", "group")).alias("heaviest"), F.min(F.struct("weight", "group")).alias("lightest"),
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("room"),
     )
-    heavier = F.struct("weight", "group") < F.col("heaviest")
+    mine = F.struct("weight", "group")
+    other = (F.col("home") != F.col("chunk")) & ((mine != F.col("heaviest")) | (mine != F.col("lightest")))
     fits = (F.col("low") * rule.percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * rule.percent)
     able = F.least("rest", "room") * (100 + rule.percent) >= (F.col("n") + F.col("low")) * rule.percent
-    met = keys.join(homes, "element").filter((F.col("home") != F.col("chunk")) & heavier & fits & able)
-    return met.select("home", "doc_id").distinct()
+    smallest = f"((n * {rule.percent} + 99) div 100)"  # of the sets it may link to
+    need = F.expr(f"least(1 + {smallest} div {EVIDENCE}, ({smallest} * {rule.percent} + 99) div 100)")
+    met = keys.join(homes, "element").filter(other & fits)
+    met = met.select("home", "doc_id", need.alias("need"), able.alias("able"), (able & (mine < F.col("heaviest"))).alias("visits"))
+    counted = met.groupBy("home", "doc_id").agg(
+        F.count("*").alias("shared"), F.min("need").alias("need"), F.bool_or("able").alias("able"), F.bool_or("visits").alias("visits")
+    )
+    return counted.filter("able and shared >= need").select("home", "doc_id", "visits")
 
 
-def _second_round(opened: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
-    """Links between components that still share signatures."""
-    spark = opened.sparkSession
-    prefixes = _prefixes(opened, rule)
-    keys = _met_elsewhere(prefixes)
+def _second_round(active: DataFrame, opened: DataFrame, rule: Similarity, visit_bytes: int) -> DataFrame:
+    """Links between components that still share signatures. Only documents that meet enough of another chunk's
+    shingles are shuffled with their sets."""
+    spark = active.sparkSession
+    prefixes = _prefixes(active, rule)
+    meeting = _met_elsewhere(prefixes)
     drop_staged(prefixes)
     free_shuffles(spark)
-    routes = stage(_routes(keys, rule), "routes")
+    few = F.broadcast if opened.count() <= BROADCAST_ROWS else (lambda df: df)
+    keys = stage(meeting.join(few(opened), "doc_id"), "keys")
+    drop_staged(meeting)
+    free_shuffles(spark)
+    found = stage(_candidates(keys, rule), "candidates")
     drop_staged(keys)
     free_shuffles(spark)
-    visits = routes.join(opened, "doc_id").select("home", *_again("chunk", "n", "group", "elements", "signatures"))
-    return _meet(opened, visits, "group", _compare(rule, "group", whole=True), visit_bytes)
+    ids, small = _counted(found.select("doc_id").distinct().join(opened, "doc_id").select("doc_id", "group"), "taking")
+    rows = active.select("chunk", "doc_id", "n", "elements", "signatures").join(small(ids), "doc_id")
+    rows = stage(rows, "sets")
+    drop_staged(active, opened)
+    free_shuffles(spark)
+    routes, small = _counted(found.filter("visits").select("home", "doc_id"), "routes")
+    visits = rows.join(small(routes), "doc_id").select("home", *_again("chunk", "n", "group", "elements", "signatures"))
+    links = _meet(rows, visits, "group", _compare(rule, "group", whole=True), visit_bytes)
+    drop_staged(rows)
+    return links
 
 
 def _near(docs: DataFrame, rule: Similarity, chunk_bytes: int, visit_bytes: int) -> DataFrame:
     # Each step ends in a written table; what it shuffled, and tables with sets that nothing reads any more, go
     # before the next one.
     spark = docs.sparkSession
-    local = _linked_within_chunks(docs, rule, chunk_bytes)
-    free_shuffles(spark)
-    roots = stage(local.select("doc_id", "n", "root"), "roots")
-    active = local.filter("signatures is not null")
-    links = _first_round(active, rule, visit_bytes)
-    free_shuffles(spark)
-    opened = _opened(active, links)
-    drop_staged(local)
-    free_shuffles(spark)
-    more = _second_round(opened, rule, visit_bytes)
-    drop_staged(opened)
-    free_shuffles(spark)
-    # Links of the second round name components: their smallest roots, which are nodes as well.
-    final = _components(stage(links.unionByName(more), "links"))
+    with shuffles_end_with_jobs(spark):
+        local = _linked_within_chunks(docs, rule, chunk_bytes)
+        free_shuffles(spark)
+        roots = stage(local.select("doc_id", "n", "root"), "roots")
+        active = local.filter("signatures is not null")
+        links = _first_round(active, rule, visit_bytes)
+        free_shuffles(spark)
+        opened = _opened(active, links)
+        free_shuffles(spark)
+        more = _second_round(active, opened, rule, visit_bytes)
+        free_shuffles(spark)
+        # Links of the second round name components: their smallest roots, which are nodes as well.
+        final = _components(stage(links.unionByName(more), "links"))
     return roots.join(final, roots.root == final.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "root").alias("component_id")
     )

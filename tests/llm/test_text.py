@@ -1,6 +1,7 @@
 """Quality rules, decontamination, repeated passages and the n-gram join."""
 
 import random
+import tempfile
 import tracemalloc
 import zlib
 from pathlib import Path
@@ -330,3 +331,57 @@ def test_join_removes_tables_with_sets(spark, monkeypatch):
     assert [name for name, _ in wide] == ["local", "opened", "prefixes", "meeting"]
     assert not any(f.exists() for _, files in wide for f in files)
     same(found, ["doc_id", "n_shingles", "component_id"], brute.components(rows, 1, 80))
+
+
+def shuffle_files():
+    """Shuffle files of this session's folders."""
+    return {f for d in Path(tempfile.gettempdir()).glob("blockmgr-*") for f in d.glob("*/shuffle_*.data")}
+
+
+def test_join_removes_shuffles_at_once(spark, monkeypatch):
+    """What a step of the join has shuffled is gone when the next one begins, whether or not garbage is collected."""
+    monkeypatch.setattr(partenum, "free_shuffles", lambda spark: None)
+    left, stage, before = {}, partenum.stage, shuffle_files()
+
+    def staged(df, name):
+        found = stage(df, name)
+        left[name] = shuffle_files() - before
+        return found
+
+    monkeypatch.setattr(partenum, "stage", staged)
+    rows = template_rows(60, 25)
+    found = partenum.near_duplicates(spark.createDataFrame(rows, DOCS), 1, 80, 3000)
+    assert {"shared", "local", "meeting"} <= set(left) and not any(left.values())
+    same(found, ["doc_id", "n_shingles", "component_id"], brute.components(rows, 1, 80))
+
+
+def test_join_shuffles_few_sets(spark, monkeypatch):
+    """Texts that have one rare passage in common, but little else, are not shuffled with their sets again."""
+    rng = random.Random(4)
+    own = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    passages = [own(12) for _ in range(20)]
+    rows = [(d, " ".join([*passages[d % 20], *own(150)])) for d in range(80)]
+    near = [(100 + d, t + " more") for d, t in rows[:3]]
+    counted, meet = [], partenum._meet
+    monkeypatch.setattr(partenum, "_meet", lambda own, *a: counted.append(own.count()) or meet(own, *a))
+    found = partenum.near_duplicates(spark.createDataFrame(rows + near, DOCS), 1, 80, 3000)
+    same(found, ["doc_id", "n_shingles", "component_id"], brute.components(rows + near, 1, 80))
+    assert counted[1] <= 6
+
+
+def test_prefixes_meet_often():
+    """Linked sets have as many shingles of their prefixes in common as the join asks for, at any size and order."""
+    rng = np.random.default_rng(5)
+    for percent in (1, 10, 60, 80, 90, 100):
+        for size in (1, 2, 7, 19, 20, 40, 300, 1001):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            drop = (100 - percent) * 2 * len(a) // (100 + percent) // 2
+            swapped = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
+            for b in (swapped, a[(100 - percent) * len(a) // 100 :]):
+                if not len(b) or not partenum.similar(a, b, partenum.Similarity(3, percent)):
+                    continue
+                for some in (a[:0], a[::2], b):
+                    held = rng.integers(2, 9, len(some))
+                    common = np.intersect1d(*(partenum.prefix(x, some, held, percent) for x in (a, b))).size
+                    for mine in (a, b):
+                        assert common >= partenum.met_least(-(-percent * len(mine) // 100), percent)
