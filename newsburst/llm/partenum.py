@@ -36,7 +36,6 @@ with nothing and have no component. An empty table gives none. Other columns are
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
@@ -71,6 +70,8 @@ BROADCAST_ROWS = 100_000
 VISIT_BYTES = 32 << 20
 #: Sets from which frequent shingles are counted, and at most so many of these.
 SAMPLE, COMMON = 10_000, 65_536
+#: Words are split, and sets' elements dealt to parts, so many bytes or elements at a time.
+SLICE_BYTES, ELEMENTS = 1 << 20, 1 << 18
 THIRDS = 3
 #: The first round looks at documents with one in so many of their signatures in a chunk.
 FAIR = 8
@@ -139,6 +140,28 @@ def set_of(words: list[int], hashes: np.ndarray, length: int) -> np.ndarray:
     return np.unique(run_prints(hashes[words], min(length, len(words))))
 
 
+def _shares(items: list, limit: int):
+    """The items in order, in lists of a summed length of about ``limit``; a longer one is a list of its own."""
+    held, some = 0, []
+    for item in items:
+        if some and held + len(item) > limit:
+            yield some
+            held, some = 0, []
+        held += len(item)
+        some.append(item)
+    if some:
+        yield some
+
+
+def _banded(sets: list[np.ndarray], places: dict[int, list[int]]):
+    """(band, some of its sets, their numbers)"""
+    for b, members in places.items():
+        at = 0
+        for some in _shares([sets[i] for i in members], ELEMENTS):
+            yield b, some, members[at : at + len(some)]
+            at += len(some)
+
+
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of its set) of all non-empty sets."""
     places: dict[int, list[int]] = {}
@@ -149,14 +172,14 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
             if 100 * len(s) >= percent * band(b + 1, percent)[0]:
                 places.setdefault(b + 1, []).append(i)
     found, owners = [], []
-    for b, members in places.items():
+    for b, some, members in _banded(sets, places):
         k = band(b, percent)[2]
         more = spare(k)
         n1 = k // 2 + 1 + more  # k differences: more + 1 parts at least have at most one
         thirds = THIRDS if k else 1
         cells = n1 * thirds
-        sizes = np.array([len(sets[i]) for i in members])
-        elements = mix(np.concatenate([sets[i] for i in members]) ^ (FACTOR * np.array([b + 1], np.uint64)))
+        sizes = np.array([len(x) for x in some])
+        elements = mix(np.concatenate(some) ^ (FACTOR * np.array([b + 1], np.uint64)))
         part = (elements % np.uint64(n1)).astype(np.int64)
         third = ((elements >> np.uint64(40)) % np.uint64(thirds)).astype(np.int64)
         cell = np.repeat(np.arange(len(members)), sizes) * cells + part * thirds + third
@@ -223,14 +246,15 @@ class Classes:
     @classmethod
     def of(cls, table: pa.Table, rule: Similarity) -> Classes:
         rows = sorted(zip(table.column("doc_id").to_pylist(), texts(table.column("text").combine_chunks())))
-        split = [t.lower().split() for _, t in rows]  # bytes: only A-Z change
-        flat = dict.fromkeys(w for words in split for w in words)
-        number = {w: i for i, w in enumerate(flat)}
-        digest = xxhash.xxh3_64_intdigest
-        hashes = np.array([digest(w) for w in flat], np.uint64)
-        sets = [
-            set_of(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), hashes, rule.words) for words in split
-        ]
+        digest, sets = xxhash.xxh3_64_intdigest, []
+        for some in _shares([t for _, t in rows], SLICE_BYTES):
+            split = [t.lower().split() for t in some]  # bytes: only A-Z change
+            flat = dict.fromkeys(w for words in split for w in words)
+            number = {w: i for i, w in enumerate(flat)}
+            hashes = np.array([digest(w) for w in flat], np.uint64)
+            sets += [
+                set_of(np.fromiter(map(number.__getitem__, words), np.int64, len(words)), hashes, rule.words) for words in split
+            ]
         return cls(rule, [d for d, _ in rows], sets)
 
     def __post_init__(self):
@@ -254,16 +278,26 @@ _SENT = [("bucket", pa.int32()), ("chunk", pa.int32()), ("signatures", pa.binary
 _SHARED = [("chunk", pa.int32()), ("bucket", pa.int32()), ("places", pa.binary()), ("firsts", pa.binary())]
 
 
+def _lean(step, *tables: pa.Table) -> pa.Table:
+    """The step's result; what it held goes back at once, not when the worker's next group comes."""
+    give_back()
+    found = step(*tables)
+    give_back()
+    return found
+
+
 def _send(rule: Similarity, n_buckets: int):
     bounds = bucket_bounds(n_buckets)
 
-    def run(table: pa.Table) -> pa.Table:
-        give_back()
+    def send(table: pa.Table) -> pa.Table:
         distinct = np.unique(Classes.of(table, rule).signature)
         number = table.column("chunk")[0].as_py()
         cuts = [0, *np.searchsorted(distinct, bounds).tolist(), len(distinct)]
         return table_of([(b, number, packed(distinct[i:j])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i], _SENT)
 
+    def run(table: pa.Table) -> pa.Table:
+        return _lean(send, table)
+
     return run
 
 
@@ -337,10 +371,9 @@ def _meeting(sets: list[np.ndarray], owners: np.ndarray, percent: int):
 def _link_within(rule: Similarity, n_buckets: int):
     bounds = bucket_bounds(n_buckets)
 
-    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+    def link(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _LOCAL_ARROW.empty_table()
-        give_back()
         classes = Classes.of(table, rule)
         number = table.column("chunk")[0].as_py()
         ids, sets = classes.doc_ids, classes.sets
@@ -407,6 +440,9 @@ def _link_within(rule: Similarity, n_buckets: int):
         columns = list(zip(*rows))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LOCAL_ARROW)], schema=_LOCAL_ARROW)
 
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        return _lean(link, table, shared)
+
     return run
 
 
@@ -415,35 +451,48 @@ def _compare(rule: Similarity, group_key: str, whole: bool = False):
     connect each visitor with every component it links to. With ``whole`` lists of signatures, two
     rows are compared only if they share as many as the sizes of linked sets need."""
 
-    def run(own: pa.Table, visitors: pa.Table) -> pa.Table:
-        give_back()
+    def compare(own: pa.Table, visitors: pa.Table) -> pa.Table:
         pairs: list[tuple[int, int]] = []
         if own.num_rows and visitors.num_rows:
-            home = own.select([group_key, "elements", "signatures"]).to_pylist()
-            by_signature: dict[int, list[int]] = {}
-            for i, row in enumerate(home):
-                for s in row["signatures"]:
-                    by_signature.setdefault(s, []).append(i)
-            home_sets = [np.frombuffer(row["elements"], np.uint64) for row in home]
+            groups, home_sets, sizes, held = _lists(own, group_key)
+            order = np.argsort(held, kind="stable")
+            held, owner = held[order], np.repeat(np.arange(len(groups)), sizes)[order]
             least = [least_shared(len(x), rule.percent) if whole else 1 for x in home_sets]
-            for batch in visitors.select([group_key, "elements", "signatures"]).to_batches(max_chunksize=256):
-                for row in batch.to_pylist():
-                    mine = np.frombuffer(row["elements"], np.uint64)
-                    need = least_shared(len(mine), rule.percent) if whole else 1
-                    reached = {row[group_key]}
-                    shared = Counter(i for s in row["signatures"] for i in by_signature.get(s, ()))
-                    for i in sorted(shared):
-                        group = home[i][group_key]
-                        if shared[i] < max(need, least[i]) or group in reached:
-                            continue
-                        if similar(mine, home_sets[i], rule):
-                            reached.add(group)
-                            pairs.append((row[group_key], group))
+            for group, mine, signed in zip(*_lists(visitors, group_key, split=True)):
+                need = least_shared(len(mine), rule.percent) if whole else 1
+                reached = {group}
+                starts = np.searchsorted(held, signed)
+                counts = np.searchsorted(held, signed, side="right") - starts
+                places = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                for i, shared in zip(*(x.tolist() for x in np.unique(owner[places], return_counts=True))):
+                    if shared < max(need, least[i]) or groups[i] in reached:
+                        continue
+                    if similar(mine, home_sets[i], rule):
+                        reached.add(groups[i])
+                        pairs.append((group, groups[i]))
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
+    def run(own: pa.Table, visitors: pa.Table) -> pa.Table:
+        return _lean(compare, own, visitors)
+
     return run
 
 
+def _lists(rows: pa.Table, group_key: str, split: bool = False):
+    """Groups, sets, and the rows' signatures: their numbers and all in one array, or ``split`` by row. Sets and
+    signatures are views of the table, not Python objects."""
+    groups, sets, numbers, flat = [], [], [], [np.empty(0, np.int64)]
+    for batch in rows.select([group_key, "elements", "signatures"]).to_batches():
+        groups += batch.column(0).to_pylist()
+        sets += [np.frombuffer(e.as_buffer(), np.uint64) for e in batch.column(1)]
+        numbers += batch.column(2).value_lengths().to_pylist()
+        flat.append(batch.column(2).flatten().to_numpy(zero_copy_only=False))
+    flat = np.concatenate(flat)
+    if not split:
+        return groups, sets, numbers, flat
+    return groups, sets, np.split(flat, np.cumsum(numbers)[:-1])
+
+
 def _meet(own: DataFrame, visits: DataFrame, group: str, compare, visit_bytes: int) -> DataFrame:
     """Links (a, b) of the visits (home, chunk, n, group, elements, signatures) with the homes' own
     documents. The visitors of one home are dealt into parts of about ``visit_bytes``, each of
@@ -559,6 +608,7 @@ def _prefixes(active: DataFrame, rule: Similarity) -> DataFrame:
     names = ["chunk", "doc_id", "n"]
 
     def cut(batches):
+        give_back()
         for batch in batches:
             found = [
                 prefix(np.frombuffer(e, np.uint64), common, held, rule.percent) for e in batch.column("elements").to_pylist()

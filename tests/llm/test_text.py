@@ -385,3 +385,19 @@ def test_prefixes_meet_often():
                     common = np.intersect1d(*(partenum.prefix(x, some, held, percent) for x in (a, b))).size
                     for mine in (a, b):
                         assert common >= partenum.met_least(-(-percent * len(mine) // 100), percent)
+
+
+def test_sets_are_made_by_slices(monkeypatch):
+    """A chunk's words and elements are held in slices; the sets and signatures are those of the whole."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(20_000)]
+    held = pa.table({"doc_id": list(range(3000)), "text": [" ".join(rng.choices(words, k=rng.randrange(500))) for _ in range(3000)]})
+    found = []
+    for limits in ((partenum.SLICE_BYTES, partenum.ELEMENTS), (1 << 40, 1 << 40)):
+        monkeypatch.setattr(partenum, "SLICE_BYTES", limits[0])
+        monkeypatch.setattr(partenum, "ELEMENTS", limits[1])
+        tracemalloc.start()
+        classes = partenum.Classes.of(held, partenum.Similarity(5, 80))
+        found.append((tracemalloc.get_traced_memory()[1], classes.signature.tobytes(), classes.owner.tobytes(), classes.class_of))
+        tracemalloc.stop()
+    assert found[0][1:] == found[1][1:] and found[0][0] < 0.7 * found[1][0]
