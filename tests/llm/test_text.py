@@ -356,11 +356,8 @@ def test_join_removes_shuffles_at_once(spark, monkeypatch):
 
 
 def test_join_shuffles_few_sets(spark, monkeypatch):
-    """Texts that have one rare passage in common, but little else, are not shuffled with their sets again."""
-    rng = random.Random(4)
-    own = lambda n: [f"w{rng.random()}" for _ in range(n)]
-    passages = [own(12) for _ in range(20)]
-    rows = [(d, " ".join([*passages[d % 20], *own(150)])) for d in range(80)]
+    """A template's texts share signatures, but too few rare shingles: their sets are not shuffled again."""
+    rows = template_rows(60, 25)
     near = [(100 + d, t + " more") for d, t in rows[:3]]
     counted, meet = [], partenum._meet
     monkeypatch.setattr(partenum, "_meet", lambda own, *a: counted.append(own.count()) or meet(own, *a))
